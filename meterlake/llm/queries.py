@@ -23,5 +23,38 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {"op2_best_fit_packing": op2_best_fit_packing}
+def op5_static_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rans import encode_corpus, read_token_files
+
+    path = encode_corpus(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
+    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import decode_documents, encode_documents
+
+    path = _tokenizer("byte_bpe_50k.json")
+    out = decode_documents(encode_documents(_table(spark, sf_dir, "documents"), path), path)
+    joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op9_wav_peak_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_documents
+
+    out = media_documents(_table(spark, sf_dir, "documents"))
+    feature = F.concat(F.concat_ws(",", F.col("times").cast("array<string>")), F.lit(":"), F.concat_ws(",", F.col("codes").cast("array<string>")))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op5_static_rans, op6_pair_index_bpe, op9_wav_peak_pairs)}
 ORACLE_SQL: dict[str, str] = {}
