@@ -60,7 +60,8 @@ def landmarks(samples: bytes, rows: int = 4096) -> tuple[np.ndarray, np.ndarray]
     window = np.hanning(FRAME).astype(np.float32)
     peaks = np.empty((count, PEAKS), np.int64)
     for at in range(0, count, rows):
-        block = (view[at : at + rows].astype(np.float32) - 128) * window
+        block = view[at : at + rows].astype(np.float32)
+        block = (block - block.mean(axis=1, keepdims=True)) * window
         power = np.abs(np.fft.rfft(block, axis=1)).astype(np.float32)
         power = np.round(power, 2)
         power[:, 0] = -1

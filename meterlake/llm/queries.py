@@ -16,6 +16,27 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def fingerprint_rows(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    from .fingerprint import edited, fingerprints, likeness, shown, sketch, with_next
+
+    rows = with_next(fingerprints(docs), ["text", "sketch"], buckets)
+    rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    rows = rows.withColumn("edited_sketch", sketch(F.col("edited")))
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        shown(F.col("sketch")).alias("fingerprint"),
+        shown(F.col("edited_sketch")).alias("edited_fingerprint"),
+        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
+def op1_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_rows(_table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -56,5 +77,11 @@ def op9_wav_peak_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op5_static_rans, op6_pair_index_bpe, op9_wav_peak_pairs)}
+def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_scaled_sketch, op2_best_fit_packing, op5_static_rans, op6_pair_index_bpe, op9_wav_peak_pairs, op10_bbit_minhash)}
 ORACLE_SQL: dict[str, str] = {}
