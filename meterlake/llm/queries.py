@@ -44,6 +44,18 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
+def op3_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import BASE, detect, joined
+
+    out = detect(_table(spark, sf_dir, "documents"))
+
+    def number(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(k) for k in BASE]
+    return out.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
+
+
 def op5_static_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rans import encode_corpus, read_token_files
 
@@ -60,6 +72,14 @@ def op6_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op8_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, identify, learn
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = learn(docs.filter(~held_out(F.col("doc_id"))))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op9_wav_peak_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_documents
 
@@ -83,5 +103,8 @@ def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_scaled_sketch, op2_best_fit_packing, op5_static_rans, op6_pair_index_bpe, op9_wav_peak_pairs, op10_bbit_minhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_scaled_sketch, op2_best_fit_packing, op3_weak_supervision_pii, op5_static_rans, op6_pair_index_bpe, op8_output_codes, op9_wav_peak_pairs, op10_bbit_minhash)
+}
 ORACLE_SQL: dict[str, str] = {}
