@@ -56,6 +56,13 @@ def op3_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
 
 
+def op4_conditional_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license import scan
+
+    out = scan(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "start", "end", "license", F.round("reduction", 6).alias("reduction"), F.round("covered", 6).alias("covered"), F.array_join("differences", "; ").alias("differences"))
+
+
 def op5_static_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rans import encode_corpus, read_token_files
 
@@ -72,6 +79,55 @@ def op6_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import preference_pairs, swapped_replies
+
+    def shown(mask: str):
+        return F.array_join(F.transform(mask, lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))), ",").alias(mask)
+
+    out = preference_pairs(*swapped_replies(_table(spark, sf_dir, "conversations")))
+    return out.select(F.col("pair_id").alias("conv_id"), "prompt_turns", "prompt", "chosen_completion", shown("chosen_mask"), "rejected_completion", shown("rejected_mask"))
+
+
+OP7_SQL = """
+WITH replies AS (
+  SELECT conv_id, max(turn) AS last, arg_min(coalesce(text, ''), turn) AS reply
+  FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+ends AS (
+  SELECT r.conv_id, r.last, coalesce(o.reply, '') AS other
+  FROM replies r LEFT JOIN replies o ON o.conv_id = xor(r.conv_id, 1)),
+turns AS (
+  SELECT e.conv_id, e.last, e.other, c.turn, coalesce(c.role, '') AS role, coalesce(c.text, '') AS text
+  FROM ends e JOIN conversations c USING (conv_id)),
+mine AS (SELECT conv_id, other, text FROM turns WHERE turn = last AND role = 'assistant'),
+rows_ AS (
+  SELECT conv_id, 'p' AS part, turn, role, text FROM turns WHERE turn < last
+  UNION ALL SELECT conv_id, 'c', turn, role, text FROM turns WHERE turn >= last
+  UNION ALL SELECT conv_id, 'r', last, 'assistant', other FROM ends),
+placed AS (
+  SELECT t.conv_id, CASE WHEN m.other = m.text AND t.part IN ('c', 'r') AND t.turn = e.last THEN CASE t.part WHEN 'c' THEN 'p' ELSE 'x' END ELSE t.part END AS part,
+    t.turn, replace(t.role, '<|im_', '<|_im_') AS role, replace(t.text, '<|im_', '<|_im_') AS text
+  FROM rows_ t JOIN mine m USING (conv_id) JOIN ends e USING (conv_id)),
+drawn AS (
+  SELECT conv_id, part, turn, role, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown
+  FROM placed WHERE part <> 'x'),
+cut AS (
+  SELECT *, coalesce(sum(length(shown)) OVER (PARTITION BY conv_id, part ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+  FROM drawn),
+parts AS (
+  SELECT conv_id, part, count(*) AS n, string_agg(shown, '' ORDER BY turn) AS shown,
+    coalesce(string_agg((pos + length(role) + 13) || ':' || (pos + length(shown) - 1), ',' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS mask
+  FROM cut GROUP BY conv_id, part)
+SELECT e.conv_id, coalesce(p.n, 0)::INTEGER AS prompt_turns, coalesce(p.shown, '') AS prompt,
+  coalesce(c.shown, '') AS chosen_completion, coalesce(c.mask, '') AS chosen_mask,
+  coalesce(r.shown, '') AS rejected_completion, coalesce(r.mask, '') AS rejected_mask
+FROM ends e
+LEFT JOIN parts p ON p.conv_id = e.conv_id AND p.part = 'p'
+LEFT JOIN parts c ON c.conv_id = e.conv_id AND c.part = 'c'
+LEFT JOIN parts r ON r.conv_id = e.conv_id AND r.part = 'r'
+"""
+
+
 def op8_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import held_out, identify, learn
 
@@ -105,6 +161,17 @@ def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_scaled_sketch, op2_best_fit_packing, op3_weak_supervision_pii, op5_static_rans, op6_pair_index_bpe, op8_output_codes, op9_wav_peak_pairs, op10_bbit_minhash)
+    for f in (
+        op1_scaled_sketch,
+        op2_best_fit_packing,
+        op3_weak_supervision_pii,
+        op4_conditional_compression,
+        op5_static_rans,
+        op6_pair_index_bpe,
+        op7_preference_format,
+        op8_output_codes,
+        op9_wav_peak_pairs,
+        op10_bbit_minhash,
+    )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_preference_format": OP7_SQL}
