@@ -1,0 +1,90 @@
+"""Text operators: compression, pruning, trimming, estimates, findings, duplicates."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def token_estimate(text: Column, ascii_per_token: float = 4.0, other_per_token: float = 1.5) -> Column:
+    plain = F.length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
+    return F.ceil(plain / F.lit(ascii_per_token) + (F.length(text) - plain) / F.lit(other_per_token)).cast("long")
+
+
+def unrepeated(lines: Column) -> Column:
+    """lines without those equal to the one before; blank ones stay."""
+    return F.filter(lines, lambda x, i: (i == 0) | (F.trim(x) == "") | (F.trim(x) != F.trim(F.get(lines, F.greatest(i - 1, F.lit(0))))))
+
+
+def compressed(text: Column) -> Column:
+    """Straight quotes, no HTML comments, no space at line ends or in runs, no runs of blank lines, no repeated lines."""
+    t = F.translate(text, "‘’“”", "''\"\"")
+    t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
+    t = F.regexp_replace(t, r"[ \t]+\n", "\n")
+    t = F.regexp_replace(t, r"[ \t]{2,}", " ")
+    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
+    return F.array_join(unrepeated(F.split(t, "\n")), "\n")
+
+
+def pruned(text: Column, most: int = 8, keep: int = 4) -> Column:
+    """The first `keep` lines of a text with `most` lines or more, else all."""
+    lines = F.split(text, "\n")
+    return F.when(F.size(lines) >= most, F.array_join(F.slice(lines, 1, keep), "\n")).otherwise(text)
+
+
+def trimmed(turns: DataFrame, keep: int = 4) -> DataFrame:
+    """System turns, and those from the `keep`th last user turn on."""
+    later = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.coalesce(F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(later), F.lit(0))
+    return turns.withColumn("after", after).filter((F.col("role") == "system") | (F.col("after") < keep)).drop("after")
+
+
+def prompt_findings(turns: DataFrame) -> DataFrame:
+    """Length classes and habits of the user's prompts."""
+    size, low = F.length("text"), F.lower(F.trim("text"))
+    short = F.col("role") == "user"
+    return turns.filter(short).agg(
+        F.count("*").alias("prompts"),
+        F.count_if(size < 20).alias("under_20"),
+        F.count_if((size >= 20) & (size < 100)).alias("under_100"),
+        F.count_if(size >= 100).alias("longer"),
+        F.count_if(low.isin("ok", "yes", "thanks", "continue", "go on")).alias("acks"),
+        F.count_if(F.col("text").endswith("?")).alias("questions"),
+        F.round(F.avg(size), 6).alias("mean_length"),
+    )
+
+
+def reply_stats(turns: DataFrame) -> DataFrame:
+    """Words of the assistant's replies, by conversation and (null) over all."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    articles = F.size(F.filter(words, lambda w: F.lower(w).isin("a", "an", "the")))
+    letters = F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w))
+    rows = turns.filter("role = 'assistant'").select("conv_id", F.size(words).alias("words"), articles.alias("articles"), letters.alias("letters"))
+    out = rows.rollup("conv_id").agg(F.count("*").alias("replies"), F.sum("words").alias("words"), F.sum("articles").alias("articles"), F.sum("letters").alias("letters"))
+    return out.select("conv_id", "replies", "words", F.round(F.when(F.col("words") > 0, F.col("letters") / F.col("words")).otherwise(0.0), 6).alias("mean_word"), F.round(F.when(F.col("words") > 0, F.col("articles") / F.col("words")).otherwise(0.0), 6).alias("article_share"))
+
+
+def duplicate_groups(docs: DataFrame) -> DataFrame:
+    """Hashes that two documents or more share."""
+    return docs.groupBy(F.concat(F.lit("sha256:"), F.sha2(F.col("text").cast("binary"), 256)).alias("hash")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")).filter("copies >= 2")
+
+
+# Patterns of secrets and personal data that count as findings.
+FINDINGS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "token": r"token = \"[0-9a-f]{40}\"", "card": r"[0-9]{16}"}
+
+
+def redaction_counts(docs: DataFrame) -> DataFrame:
+    return docs.agg(*[F.sum(F.regexp_count("text", F.lit(p))).alias(f"n_{k}") for k, p in FINDINGS.items()])
+
+
+def redacted(text: Column) -> Column:
+    for kind, pattern in FINDINGS.items():
+        text = F.regexp_replace(text, pattern, f"[{kind}]")
+    return text
+
+
+def scrubbed(text: Column) -> Column:
+    """Terminal output without escape codes, spaces at line ends, repeated lines and blank runs."""
+    t = F.regexp_replace(text, r"\x1b\[[0-9;]*[A-Za-z]", "")
+    t = F.regexp_replace(t, r"[ \t]+(\n|$)", "$1")
+    return F.regexp_replace(F.array_join(unrepeated(F.split(t, "\n")), "\n"), r"\n{3,}", "\n\n")
