@@ -7,8 +7,8 @@ the full shingle sets confirm a link.
 
 A bucket of thousands of near copies isn't expanded into pairs: its nodes are compared with one
 node of it, in a few rounds with another one each, and what is linked becomes one component.
-A last round compares all nodes of a bucket that are in different components still, so no link
-that the bands find is lost: of texts at the threshold 0.85, the bands miss about 1 pair in 10**7
+A last round compares, block by block, all nodes of a bucket that are in different components
+still, so no link that the bands find is lost: of texts at the threshold 0.85, the bands miss about 1 pair in 10**7
 and the estimate (5 standard deviations below the threshold) as many.
 """
 
@@ -30,8 +30,8 @@ from .shingles import ShingleSets, jaccard_at_least, mixed
 
 ROWS = 5
 LOW_BITS = 4
-#: nodes of a bucket that a task of the last round holds on one side
-BLOCK = 256
+#: nodes that a task of the last round holds on one side
+BLOCK = 512
 LOW_NIBBLES = 0x1111111111111111
 
 
@@ -101,17 +101,24 @@ def similarity(a: Column, b: Column, percent: int = 85) -> Column:
     return F.greatest(F.lit(0.0), (matches(a, b, _width(percent)) / F.lit(float(k)) - c) / (1 - c))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of nodes those whose full shingle sets reach the threshold."""
-    named = "node long, set binary"
+def _digest(s: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True)
+
+
+def _full_sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, set) of the given (node, doc_id), from the whole texts again."""
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = ShingleSets(words)
         for batch in batches:
             found = [s.tobytes() for s in sets.sets(batch["text"])]
-            nodes = [int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True) for s in found]
-            yield pd.DataFrame({"node": nodes, "set": found})
+            yield pd.DataFrame({"node": [_digest(s) for s in found], "set": found})
 
+    return written(docs.join(nodes.select("doc_id"), "doc_id", "left_semi").mapInPandas(full, "node long, set binary"), "sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose full shingle sets reach the threshold."""
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = [jaccard_at_least(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch["set_a"], batch["set_b"], strict=True)]
@@ -119,12 +126,59 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, p
 
     pairs = written(pairs, "pairs")
     needed = reps.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    sets = docs.join(needed.select("doc_id"), "doc_id", "left_semi").mapInPandas(full, named)
-    sets = written(sets, "sets")
+    sets = _full_sets(needed, docs, words)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     return written(both.mapInPandas(check, "a long, b long"), "confirmed")
 
 
+def _compared(buckets: DataFrame, member: DataFrame, docs: DataFrame, facts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of different components that share a bucket (bucket, node, pivot).
+
+    Buckets with nodes in common are one group (a bucket alone where that is very large, so that a
+    set isn't sent more often than it has bands). A group is cut into blocks; a task compares two
+    blocks, so no pair of nodes is ever a row, and a link between two components that it has
+    found already needs no second one.
+    """
+    least, limit = least_matches(percent), BLOCK * band_count(percent)
+    roots = components(buckets.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    placed = buckets.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("cluster"))
+    sizes = placed.select("cluster", "node").distinct().groupBy("cluster").agg(F.count("*").alias("size"))
+    groups = written(placed.join(sizes, "cluster").select(F.when(F.col("size") <= limit, F.col("cluster")).otherwise(F.col("bucket")).alias("group"), "node").distinct(), "groups")
+    blocks = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    nodes = groups.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    sent = nodes.select("group", "node", "block", other).select("group", "node", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    sets = _full_sets(facts.join(groups.select("node").distinct(), "node", "left_semi"), docs, words)
+    data = sets.dropDuplicates(["node"]).join(facts.select("node", "n", "bits"), "node").join(member, "node")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node", ignore_index=True)
+        node, root, block, n = (rows[c].to_numpy() for c in ("node", "root", "block", "n"))
+        bits = np.stack(rows["bits"].to_numpy()).astype(np.int64).view(np.uint64)
+        sets = [np.frombuffer(x, np.uint64) for x in rows["set"]]
+        number = {r: i for i, r in enumerate(dict.fromkeys(root.tolist()))}
+        part = np.array([number[r] for r in root.tolist()])
+        across = rows["x"].iloc[0] != rows["y"].iloc[0]
+        links = []
+        for i in range(len(node)):
+            d = bits[i] ^ bits[i + 1 :]
+            d |= d >> np.uint64(1)
+            d |= d >> np.uint64(2)
+            same = bits.shape[1] * (64 // LOW_BITS) - np.bitwise_count(d & np.uint64(LOW_NIBBLES)).sum(axis=1, dtype=np.int64)
+            m = n[i + 1 :]
+            fit = (same >= least) & (np.minimum(m, n[i]) * 100 >= np.maximum(m, n[i]) * percent) & (part[i + 1 :] != part[i])
+            if across:
+                fit &= block[i + 1 :] != block[i]
+            for j in np.flatnonzero(fit) + i + 1:
+                if part[i] != part[j] and jaccard_at_least(sets[i], sets[j], percent):
+                    links.append((node[i], node[j]))
+                    part[part == part[j]] = part[i]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    keyed = sent.join(data, "node")
+    return written(keyed.groupBy("group", "x", "y").applyInPandas(compare, "a long, b long"), "links-found")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
@@ -164,18 +218,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, rounds:
         buckets = written(buckets.join(mixed_.select("bucket"), "bucket", "left_semi"), "buckets")
         if buckets.isEmpty():
             break
-        if number < rounds:
-            stars = buckets.join(mixed_, "bucket").select(F.col("node").alias("a"), F.col("pivot").alias("b")).filter("a <> b").distinct()
-            far = candidates(stars).join(member.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a").join(member.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b").filter("root_a <> root_b")
-            best = far.groupBy("root_a", "root_b").agg(F.max_by(F.struct("a", "b"), F.struct("matches", "a", "b")).alias("p"))
-            pairs = best.select("p.a", "p.b")
-        else:
-            side = buckets.join(facts, "node").join(member, "node").select("bucket", "node", "root", "n", "bits", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-            x = side.select("bucket", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-            y = side.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-            like = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (matches(F.col("bits_a"), F.col("bits_b"), width) >= least)
-            on = [x["bucket"] == y["bucket"], x["block"] == y["block"], F.col("a") < F.col("b"), F.col("root_a") != F.col("root_b"), like]
-            pairs = x.join(y, reduce(lambda p, q: p & q, on)).select("a", "b").distinct()
+        if number == rounds:
+            member = joined(_compared(buckets.join(mixed_, "bucket").select("bucket", "node", "pivot"), member, docs, facts, words, percent))
+            break
+        stars = buckets.join(mixed_, "bucket").select(F.col("node").alias("a"), F.col("pivot").alias("b")).filter("a <> b").distinct()
+        far = candidates(stars).join(member.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a").join(member.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b").filter("root_a <> root_b")
+        best = far.groupBy("root_a", "root_b").agg(F.max_by(F.struct("a", "b"), F.struct("matches", "a", "b")).alias("p"))
+        pairs = best.select("p.a", "p.b")
         member = joined(_confirmed(pairs, docs, facts, words, percent))
 
     rooted = signed.select("doc_id", "n", "node").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))

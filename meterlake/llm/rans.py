@@ -201,7 +201,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("part", before.alias("before"))
     rows = frames.mapInPandas(run, "part int, doc_id long, within long, n_tokens long, ids binary")
-    return rows.join(offsets, "part").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids")
+    # broadcast: a row for each partition that wrote frames, 16 bytes, so 1.6 MB for 100,000 of them
+    return rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids")
 
 
 def encode_corpus(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, path: str | None = None, **columns) -> str:

@@ -1,31 +1,51 @@
-"""Fast exact encoding with a tokenizers file: each distinct chunk of a task is encoded by the library once.
+"""Fast exact encoding with a tokenizers file: each distinct word of a task is encoded by the library once.
 
-The texts are cut at single spaces at which every pre-tokenizer in use cuts too, so the ids of a
-text are the ids of its chunks, joined.
+Texts are cut where every pre-tokenizer in use cuts too: at lone spaces, at lone line ends, and
+between a word of letters and the marks behind it. The ids of a text are those of its parts, joined.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
+import unicodedata
 from collections.abc import Iterable
 
-import numpy as np
-
 #: A space may stand at a cut only if no other white space touches it.
 _TOUCHING = re.compile(r"\s\s")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: Chunks beyond this length are encoded anew each time, so that the cache stays small.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Longer parts are encoded anew each time, so that the caches stay small.
 LONGEST_CACHED = 48
-#: Entries after which the cache starts again.
+#: Entries after which a cache starts again.
 CACHE_ENTRIES = 900_000
+#: The letter that stands for each byte in byte-level vocabularies: printable Latin-1 as itself, the rest from 256 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_LETTER = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+class _Known(dict):
+    """Text to what `make` gives for it."""
+
+    def __init__(self, make, entries: int):
+        super().__init__()
+        self.make, self.entries = make, entries
+
+    def __missing__(self, text: str) -> bytes:
+        out = self.make(text)
+        if len(text) <= LONGEST_CACHED:
+            if len(self) >= self.entries:
+                self.clear()
+            self[text] = out
+        return out
 
 
 class ChunkEncoder:
     """ids of texts as little-endian unsigned 32-bit bytes.
 
     spaced: the tokenizer keeps a space as the start of the token after it (byte-level BPE);
-    otherwise white space is dropped and cuts everywhere.
+    otherwise white space is dropped and letters are lower-cased.
     """
 
     def __init__(self, path: str, spaced: bool):
@@ -35,55 +55,48 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
         self.spaced = spaced
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {} if spaced else self.first
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.words = _Known(self._word, CACHE_ENTRIES // 2)
+        self.first = _Known(self._chunk, CACHE_ENTRIES)
+        self.rest = _Known(lambda chunk: self._chunk(" " + chunk), CACHE_ENTRIES) if spaced else self.first
 
     def chunks(self, text: str) -> list[str]:
-        if not self.spaced:
-            return text.split(" ")
-        if _TOUCHING.search(text) or text[:1].isspace() or text[-1:].isspace():
+        if self.spaced and (_TOUCHING.search(text) or text[:1].isspace() or text[-1:].isspace()):
             return _LONE_SPACE.split(text)
         return text.split(" ")
 
-    def _learn(self, known: dict[str, bytes], chunks: set[str], lead: str) -> dict[str, bytes]:
-        """known with chunks added; those too long to stay are in a copy that only this batch uses."""
-        new = [c for c in chunks if c not in known]
-        if not new:
-            return known
-        if len(known) + len(new) > CACHE_ENTRIES:
-            known.clear()
-            new = list(chunks)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            known.update(zip(part, self._library([lead + c for c in part]), strict=True))
-        return known
-
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        """Works in blocks of a few million characters, whatever the number of texts."""
-        out: list[bytes] = []
-        block: list[list[str]] = []
-        size = 0
-        for text in texts:
-            block.append(self.chunks(text))
-            size += len(text)
-            if size > 4_000_000:
-                out += self._block(block)
-                block, size = [], 0
-        return out + self._block(block)
-
-    def _block(self, block: list[list[str]]) -> list[bytes]:
         if not self.spaced:
-            known = self._learn(self.first, set().union(*block), "")
-            out = [b"".join(map(known.__getitem__, x)) for x in block]
-        else:
-            self._learn(self.first, {x[0] for x in block}, "")
-            self._learn(self.rest, set().union(*(x[1:] for x in block)), " ")
-            out = [self.first[x[0]] + b"".join(map(self.rest.__getitem__, x[1:])) for x in block]
-        for known in (self.first, self.rest):
-            for c in [c for x in block for c in x if len(c) > LONGEST_CACHED]:
-                known.pop(c, None)
+            return [b"".join(map(self.first.__getitem__, self.chunks(t))) for t in texts]
+        out = []
+        for text in texts:
+            head, *tail = self.chunks(text)
+            out.append(self.first[head] + b"".join(map(self.rest.__getitem__, tail)))
         return out
+
+    def _chunk(self, chunk: str) -> bytes:
+        """A chunk, with the space before it if there is one."""
+        if "\n" in chunk:
+            parts = chunk.lstrip(" ").split("\n")
+            if all(parts) and len(chunk.split()) == len(parts):
+                lead = chunk[: len(chunk) - len(chunk.lstrip(" "))]
+                end = self.words["\n"] if self.spaced else b""
+                return end.join([self._part(lead + parts[0]), *map(self._part, parts[1:])])
+        return self._part(chunk)
+
+    def _part(self, part: str) -> bytes:
+        word = part.rstrip(_MARKS)
+        if len(word) < len(part) and word.lstrip(" ").isalpha():
+            return self.words[word] + self.words[part[len(word) :]]
+        return self.words[part]
+
+    def _word(self, text: str) -> bytes:
+        """Latin words go to the library's model at once, as its pre-tokenizer hands them over; all else takes the whole way."""
+        bare = text[1:] if text[:1] == " " else text
+        if bare.isalpha() and max(bare) < "İ" and (self.spaced or unicodedata.is_normalized("NFC", bare)):
+            word = text if self.spaced else bare.lower()
+            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_LETTER))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)

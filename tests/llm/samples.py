@@ -2,7 +2,7 @@
 
 HARD = [
     "", None, " ", "  ", "\n", "a", " a", "a ", "hello world", "hello  world", "it's  we'll\n\n x", "Émile naïve ǅ ñ", "<|endoftext|>", "a <|endoftext|> b<|endoftext|>", "tab\tsep \t x\r\ny",
-    "x" * 3000, "é á ́b", "日本語 テキスト", "😀 😀😀", "1234567890 12 345", "\x1c a\x1fb \x85 c  d e", "end.\nNext, (line) -- '' \"q\" 's 'S", "İSTANBUL ΣΑΣ", "word " * 5000, "​ a‍", "½ ² ⅷ",
+    "x" * 3000, "é á ́b", "日本語 テキスト", "😀 😀😀", "1234567890 12 345", "\x1c a\x1fb \x85 c  d e", "end.\nNext, (line) -- '' \"q\" 's 'S", "İSTANBUL ΣΑΣ", "word " * 5000, "​ a‍", "½ ² ⅷ", "<|STARTOFTEXT|> <|startoftext|>, Word, WORD. it's, x., Ά. ΣΑΣ, ß. ,",
 ]
 
 
