@@ -35,6 +35,15 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def only(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi", most: int = 2_000_000) -> DataFrame:
+    """The rows of df whose key is among keys, a written table of one long column (left_anti: the others).
+
+    Up to `most` keys (some 50 MB as a hash table) are broadcast, so wide rows of df stay where
+    they are; beyond that both sides are shuffled.
+    """
+    return df.join(F.broadcast(keys) if keys.count() <= most else keys, on, how)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, also when body uses it inside lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

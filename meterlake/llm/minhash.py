@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import id_and_text, only, written
 from .graph import components
 from .shingles import ShingleSets, jaccard_at_least, mixed
 
@@ -106,7 +106,7 @@ def _digest(s: bytes) -> int:
 
 
 def _full_sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(node, set) of the given (node, doc_id), from the whole texts again."""
+    """(node, set) of the given (node, doc_id), from the whole texts again: once for all rounds."""
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = ShingleSets(words)
@@ -114,24 +114,26 @@ def _full_sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
             found = [s.tobytes() for s in sets.sets(batch["text"])]
             yield pd.DataFrame({"node": [_digest(s) for s in found], "set": found})
 
-    return written(docs.join(nodes.select("doc_id"), "doc_id", "left_semi").mapInPandas(full, "node long, set binary"), "sets")
+    # null ids match nothing in a join, so those few rows come whole; repeated ids give sets more than once
+    asked = only(docs, nodes.select("doc_id"), "doc_id").unionByName(docs.filter("doc_id is null"))
+    found = asked.mapInPandas(full, "node long, set binary").dropDuplicates(["node"])
+    return written(found, "sets")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) of nodes those whose full shingle sets reach the threshold."""
+
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = [jaccard_at_least(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch["set_a"], batch["set_b"], strict=True)]
             yield batch.loc[keep, ["a", "b"]]
 
     pairs = written(pairs, "pairs")
-    needed = reps.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    sets = _full_sets(needed, docs, words)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     return written(both.mapInPandas(check, "a long, b long"), "confirmed")
 
 
-def _compared(buckets: DataFrame, member: DataFrame, docs: DataFrame, facts: DataFrame, words: int, percent: int) -> DataFrame:
+def _compared(buckets: DataFrame, member: DataFrame, sets: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between nodes of different components that share a bucket (bucket, node, pivot).
 
     Buckets with nodes in common are one group (a bucket alone where that is very large, so that a
@@ -148,8 +150,8 @@ def _compared(buckets: DataFrame, member: DataFrame, docs: DataFrame, facts: Dat
     nodes = groups.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     sent = nodes.select("group", "node", "block", other).select("group", "node", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    sets = _full_sets(facts.join(groups.select("node").distinct(), "node", "left_semi"), docs, words)
-    data = sets.dropDuplicates(["node"]).join(facts.select("node", "n", "bits"), "node").join(member, "node")
+    sets = sets.join(groups.select("node").distinct(), "node", "left_semi")
+    data = sets.join(facts.select("node", "n", "bits"), "node").join(member, "node")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node", ignore_index=True)
@@ -195,6 +197,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, rounds:
     shared = keyed.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = written(keyed.join(shared, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "node", "size"), "buckets")
     facts = written(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "n", "bits"), "facts")
+    sets = _full_sets(facts.select("node", "doc_id"), docs, words)
     member = written(facts.select("node", F.col("node").alias("root")), "member")
 
     def candidates(pairs: DataFrame) -> DataFrame:
@@ -219,13 +222,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, rounds:
         if buckets.isEmpty():
             break
         if number == rounds:
-            member = joined(_compared(buckets.join(mixed_, "bucket").select("bucket", "node", "pivot"), member, docs, facts, words, percent))
+            member = joined(_compared(buckets.join(mixed_, "bucket").select("bucket", "node", "pivot"), member, sets, facts, percent))
             break
         stars = buckets.join(mixed_, "bucket").select(F.col("node").alias("a"), F.col("pivot").alias("b")).filter("a <> b").distinct()
         far = candidates(stars).join(member.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a").join(member.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b").filter("root_a <> root_b")
         best = far.groupBy("root_a", "root_b").agg(F.max_by(F.struct("a", "b"), F.struct("matches", "a", "b")).alias("p"))
         pairs = best.select("p.a", "p.b")
-        member = joined(_confirmed(pairs, docs, facts, words, percent))
+        member = joined(_confirmed(pairs, sets, percent))
 
     rooted = signed.select("doc_id", "n", "node").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = written(rooted, "rooted")

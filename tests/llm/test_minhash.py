@@ -73,3 +73,11 @@ def test_blocks_do_not_change_sets():
     a = list(ShingleSets(3).sets(texts))
     assert all((x == y).all() for t, x in zip(texts, a, strict=True) for y in ShingleSets(3).sets([t]))
     assert (a[0] == a[4]).all() and len(a[5]) == 0
+
+
+def test_near_copies_without_ids_are_linked(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = " ".join([*words[:-1], "other"])
+    rows = spark.createDataFrame([(None, " ".join(words)), (7, near), (7, near), (9, "far from these texts")], "doc_id long, text string")
+    found = sorted((r["component_id"], r["kept"]) for r in near_duplicates(rows).collect())
+    assert found == [(7, False), (7, True), (7, True), (9, True)]
