@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import written
+from meterlake.llm.common import only, written
 from meterlake.llm.langid import UNKNOWN, held_out, identify, learn
 from meterlake.llm.minhash import near_duplicates
 from meterlake.llm.packing import pack_documents
@@ -26,9 +26,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays."""
-    keep = near_duplicates(docs, words=5, percent=80).filter("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*COLUMNS)
+    """Of each group of near-duplicates the document of the smallest id stays; rows without an id go."""
+    found = near_duplicates(docs, words=5, percent=80).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = written(found.filter("not kept and doc_id is not null").select("doc_id"), "gone")
+    return only(docs.filter("doc_id is not null"), gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
