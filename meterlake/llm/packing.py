@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, written
-from .tokens import ChunkEncoder
+from .tokens import encoder
 
 PIECES = "key long, doc_id long, piece int, start long, length int, ids_crc32 long, ids binary"
 PLACED = "key long, length int, bin long, offset int, done boolean"
@@ -34,11 +34,11 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = ChunkEncoder(tokenizer_path, spaced=True)
+        encode = encoder(tokenizer_path, spaced=True).encode
         key = TaskContext.get().partitionId() << 34
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch["doc_id"], encoder.encode(batch["text"]), strict=True):
+            for doc, ids in zip(batch["doc_id"], encode(batch["text"]), strict=True):
                 ids += end
                 n, cut = len(ids) // 4, 0
                 for piece in range(-(-n // capacity)):

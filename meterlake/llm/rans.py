@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, id_and_text, written
-from .tokens import ChunkEncoder
+from .tokens import encoder
 
 MAGIC = b"MRA1"
 LOW = np.uint64(1 << 31)
@@ -116,25 +116,34 @@ class Coder:
         return np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
-def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): ids as little-endian unsigned 32-bit, the end id last; a null text counts as empty."""
+def narrowest(tokenizer_path: str, end_id: int | None) -> str:
+    """The little-endian unsigned type that holds all ids of a vocabulary: 16 bits if they do, else 32."""
+    most = max([end_id or 0, *encoder(tokenizer_path, spaced=False).tokenizer.get_vocab(with_added_tokens=True).values()])
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
+def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", id_type: str = "<u4") -> DataFrame:
+    """(doc_id, ids): ids in id_type, the end id last; a null text counts as empty."""
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = ChunkEncoder(tokenizer_path, spaced=False)
+        encode = encoder(tokenizer_path, spaced=False).encode
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": [x + end for x in encoder.encode(batch["text"])]})
+            ids = [x + end for x in encode(batch["text"])]
+            if id_type != "<u4":
+                ids = [np.frombuffer(x, "<u4").astype(id_type).tobytes() for x in ids]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": ids})
 
     return id_and_text(docs, id_col, text_col).mapInPandas(run, "doc_id long, ids binary")
 
 
-def id_counts(tokens: DataFrame) -> DataFrame:
+def id_counts(tokens: DataFrame, id_type: str = "<u4") -> DataFrame:
     """(id, n) over all ids; each task sums its own first, so a task sends a row for each id at most."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            n = np.bincount(np.frombuffer(b"".join(batch["ids"]), "<u4"))
+            n = np.bincount(np.frombuffer(b"".join(batch["ids"]), id_type))
             if len(n) > len(total):
                 n, total = total, n
             total[: len(n)] += n
@@ -144,14 +153,14 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     return tokens.select("ids").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_token_files(tokens: DataFrame, path: str, frame_ids: int = 1 << 18, parts: int | None = None) -> None:
+def write_token_files(tokens: DataFrame, path: str, frame_ids: int = 1 << 18, parts: int | None = None, id_type: str = "<u4") -> None:
     """Writes path/frames and path/frequencies: documents in ascending doc_id order (nulls first).
 
     The table that the driver gathers has a row for each id of the vocabulary at most. Repeated
-    doc_ids stay, in the order of their ids' bytes.
+    doc_ids stay, in the order of their ids' bytes. id_type: of the ids in tokens.
     """
     spark = tokens.sparkSession
-    counts = id_counts(tokens).toPandas()
+    counts = id_counts(tokens, id_type).toPandas()
     dense = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 0, np.int64)
     dense[counts["id"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy()
     freq, bits = normalized(dense)
@@ -161,16 +170,17 @@ def write_token_files(tokens: DataFrame, path: str, frame_ids: int = 1 << 18, pa
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         frame, start, docs, texts, size = 0, 0, [], [], 0
+        width = np.dtype(id_type).itemsize
 
         def flush() -> pd.DataFrame:
-            ids = np.frombuffer(b"".join(texts), "<u4")
-            return pd.DataFrame({"part": [part], "frame": [frame], "part_start": [start], "doc_ids": [docs], "lengths": [[len(x) // 4 for x in texts]], "payload": [coder.encode(ids)]})
+            ids = np.frombuffer(b"".join(texts), id_type)
+            return pd.DataFrame({"part": [part], "frame": [frame], "part_start": [start], "doc_ids": [docs], "lengths": [[len(x) // width for x in texts]], "payload": [coder.encode(ids)]})
 
         for batch in batches:
             for doc, ids in zip(batch["doc_id"], batch["ids"], strict=True):
                 docs.append(None if pd.isna(doc) else int(doc))
                 texts.append(ids)
-                size += len(ids) // 4
+                size += len(ids) // width
                 if size >= frame_ids:
                     yield flush()
                     frame, start, docs, texts, size = frame + 1, start + size, [], [], 0
@@ -208,5 +218,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 def encode_corpus(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, path: str | None = None, **columns) -> str:
     """Tokenises docs and writes token files in the shared folder; returns their path."""
     path = path or fresh_path(docs.sparkSession, "token-files")
-    write_token_files(written(token_table(docs, tokenizer_path, end_id, **columns), "tokens"), path)
+    id_type = narrowest(tokenizer_path, end_id)
+    tokens = written(token_table(docs, tokenizer_path, end_id, id_type=id_type, **columns), "tokens")
+    write_token_files(tokens, path, id_type=id_type)
     return path

@@ -11,9 +11,11 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterable
+from functools import lru_cache
 
 #: A space may stand at a cut only if no other white space touches it.
 _TOUCHING = re.compile(r"\s\s")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Longer parts are encoded anew each time, so that the caches stay small.
@@ -23,21 +25,27 @@ CACHE_ENTRIES = 900_000
 #: The letter that stands for each byte in byte-level vocabularies: printable Latin-1 as itself, the rest from 256 on.
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _LETTER = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
 class _Known(dict):
-    """Text to what `make` gives for it."""
+    """Text to what `make` gives for it. Two generations: when the younger is full it becomes the older, and what is asked for moves back."""
 
     def __init__(self, make, entries: int):
         super().__init__()
-        self.make, self.entries = make, entries
+        self.make, self.young = make, entries // 2
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, text: str) -> bytes:
-        out = self.make(text)
-        if len(text) <= LONGEST_CACHED:
-            if len(self) >= self.entries:
-                self.clear()
-            self[text] = out
+        out = self.older.get(text)
+        if out is None:
+            out = self.make(text)
+            if len(text) > LONGEST_CACHED:
+                return out
+        if len(self) >= self.young:
+            self.older = dict(self)
+            self.clear()
+        self[text] = out
         return out
 
 
@@ -57,46 +65,60 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
         self.spaced = spaced
-        self.words = _Known(self._word, CACHE_ENTRIES // 2)
-        self.first = _Known(self._chunk, CACHE_ENTRIES)
-        self.rest = _Known(lambda chunk: self._chunk(" " + chunk), CACHE_ENTRIES) if spaced else self.first
-
-    def chunks(self, text: str) -> list[str]:
-        if self.spaced and (_TOUCHING.search(text) or text[:1].isspace() or text[-1:].isspace()):
-            return _LONE_SPACE.split(text)
-        return text.split(" ")
+        self.space = " ".translate(_LETTER)
+        self.first = _Known(self._part, CACHE_ENTRIES // 10 if spaced else CACHE_ENTRIES)
+        self.rest = _Known(self._after_space, CACHE_ENTRIES)
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        if not self.spaced:
-            return [b"".join(map(self.first.__getitem__, self.chunks(t))) for t in texts]
-        out = []
-        for text in texts:
-            head, *tail = self.chunks(text)
-            out.append(self.first[head] + b"".join(map(self.rest.__getitem__, tail)))
-        return out
-
-    def _chunk(self, chunk: str) -> bytes:
-        """A chunk, with the space before it if there is one."""
-        if "\n" in chunk:
-            parts = chunk.lstrip(" ").split("\n")
-            if all(parts) and len(chunk.split()) == len(parts):
-                lead = chunk[: len(chunk) - len(chunk.lstrip(" "))]
-                end = self.words["\n"] if self.spaced else b""
-                return end.join([self._part(lead + parts[0]), *map(self._part, parts[1:])])
-        return self._part(chunk)
+        return [self._spaced(t) if self.spaced else self._bare(t) for t in texts]
+
+    def _bare(self, text: str) -> bytes:
+        """White space only parts words here; U+001C to U+001F part words for Python alone, so texts with them are cut at spaces."""
+        words = text.split(" ") if _SEPARATORS.search(text) else text.split()
+        return b"".join(map(self.first.__getitem__, words))
+
+    def _spaced(self, text: str) -> bytes:
+        if _TOUCHING.search(text) or text[:1].isspace() or text[-1:].isspace():
+            return self._line(_LONE_SPACE.split(text))
+        if "\n" not in text:
+            return self._line(text.split(" "))
+        return self.first["\n"].join([self._line(line.split(" ")) for line in text.split("\n")])
+
+    def _line(self, chunks: list[str]) -> bytes:
+        return self.first[chunks[0]] + b"".join(map(self.rest.__getitem__, chunks[1:]))
+
+    def _after_space(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return self._ids(self.space + chunk)
+        word = chunk.rstrip(_MARKS)
+        if len(word) < len(chunk) and word.isalpha():
+            return self.rest[word] + self.first[chunk[len(word) :]]
+        return self._word(" " + chunk)
 
     def _part(self, part: str) -> bytes:
+        if part.isascii() and part.isalpha():
+            return self._ids(part if self.spaced else part.lower())
         word = part.rstrip(_MARKS)
-        if len(word) < len(part) and word.lstrip(" ").isalpha():
-            return self.words[word] + self.words[part[len(word) :]]
-        return self.words[part]
+        if len(word) < len(part) and word.isalpha():
+            return self.first[word] + self.first[part[len(word) :]]
+        return self._word(part)
+
+    def _ids(self, letters: str) -> bytes:
+        """Of a word as the library's pre-tokenizer hands it to its model."""
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, text: str) -> bytes:
-        """Latin words go to the library's model at once, as its pre-tokenizer hands them over; all else takes the whole way."""
+        """Latin words go to the library's model at once; all else takes the whole way."""
         bare = text[1:] if text[:1] == " " else text
         if bare.isalpha() and max(bare) < "İ" and (self.spaced or unicodedata.is_normalized("NFC", bare)):
             word = text if self.spaced else bare.lower()
-            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_LETTER))]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return self._ids(word.encode().decode("latin-1").translate(_LETTER))
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, spaced: bool) -> ChunkEncoder:
+    """The encoder of this Python worker: what a task has learned, later ones of the same worker need not encode again."""
+    return ChunkEncoder(path, spaced)
