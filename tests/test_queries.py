@@ -3,8 +3,9 @@
 import duckdb
 import pytest
 
-from meterlake.plans.queries import ORACLE_SQL, QUERIES
+from meterlake.plans import coach_queries, queries
 
+QUERIES, ORACLE_SQL = queries.QUERIES | coach_queries.QUERIES, queries.ORACLE_SQL | coach_queries.ORACLE_SQL
 DATA = "/root/testdata/sf0.001"
 TABLES = ["events", "documents", "conversations"]
 
