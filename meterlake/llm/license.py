@@ -2,14 +2,16 @@
 
 Sentences and lines with a cue word, and what stands between near ones, are candidate blocks. Each
 is compressed with Zstandard alone and with each template as a raw dictionary; templates are ranked
-by how much smaller they make it. The winner is confirmed by its exact differences in wording: it
-must cover the template, and differ in no word that tells licences apart.
+by how much smaller they make it. Wherever a block has the words of a template, the template is
+confirmed by its exact differences in wording: it must be covered, and differ in no word that tells
+licences apart. A block may hold several licences; the ranking decides between those of equal length.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,6 +48,7 @@ TELLING = re.compile(r"[0-9.]+|v|mit|apache|gnu|lesser|bsd|isc|mozilla|cc|cc0|by
 
 _BREAK = re.compile(r"(?<=[.!?])[\x20\t]+|\n")
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+_CLOSING = re.compile(r"[^\w\s]*")
 #: Segments without a cue that a block may hold between two with one.
 GAP = 2
 LEAST_COVERED = 0.85
@@ -93,38 +96,113 @@ class LicenseScanner:
         size = len(self.alone.compress(raw))
         return sorted(((1 - len(c.compress(raw)) / size, i) for i, c in enumerate(self.with_template)), key=lambda x: (-x[0], x[1]))
 
-    def differences(self, block: str, number: int) -> tuple[float, list[str], bool]:
-        """(share of the template's words that the block has in order, differences within them, whether none is telling)."""
-        own, want = wording(block), self.templates[number][2]
+    def aligned(self, own: list[str], number: int) -> tuple[float, list[str], bool, list[int]]:
+        """(share of the template's words that own has in order, differences within them, whether none is telling, places in own of the words shared)."""
+        want = self.templates[number][2]
         ops = difflib.SequenceMatcher(None, want, own, autojunk=False).get_opcodes()
-        covered = sum(b - a for op, a, b, _, _ in ops if op == "equal") / max(1, len(want))
+        shared = [i for op, _, _, c, d in ops if op == "equal" for i in range(c, d)]
         inner = [(a, b, c, d) for op, a, b, c, d in ops if op != "equal" and (b > a or 0 < a < len(want))]
         telling = any(TELLING.fullmatch(w) for a, b, c, d in inner for w in [*want[a:b], *(own[c:d] if b > a or d - c < 4 else [])])
         shown = [f"-{' '.join(want[a:b])}" * (b > a) + f"+{' '.join(own[c:d])}" * (d > c) for a, b, c, d in inner]
-        return covered, shown, not telling
-
-    def identify(self, block: str) -> tuple[str | None, float, float, list[str]]:
-        """(licence or None, reduction, covered, differences): of the templates that help, best first, the first that is confirmed."""
+        return len(shared) / max(1, len(want)), shown, not telling, shared
+
+    def places(self, own: list[str], number: int) -> list[tuple[float, list[str], list[int]]]:
+        """(covered, differences, places of the words shared) wherever own has the template with few words between.
+
+        A window is aligned only if it starts with a word that a covered template can start with and
+        has enough of the template's words, in any order; the count moves along with the window. Of
+        windows that start close together the one that covers most counts.
+        """
+        want = self.templates[number][2]
+        need = LEAST_COVERED * len(want)
+        first = set(want[: int(len(want) - need) + 1])
+        width = len(want) + max(3, len(want) // 4)
+        free, common, out, last, best, until = Counter(want), 0, [], -1, None, 0.0
+        for i in range(1 - width, len(own)):
+            if i + width <= len(own):
+                w = own[i + width - 1]
+                common += free[w] > 0
+                free[w] -= 1
+            if i > 0:
+                w = own[i - 1]
+                free[w] += 1
+                common -= free[w] > 0
+            if best and (best[0] == 1 or i > until):
+                out.append(best)
+                last, best = best[2][-1], None
+            if i > last and common >= need and own[i] in first:
+                covered, shown, same, shared = self.aligned(own[i : i + width], number)
+                if covered >= LEAST_COVERED and same and (best is None or covered > best[0]):
+                    until = until if best else i + width - need
+                    best = covered, shown, [i + j for j in shared]
+        return out + [best] * (best is not None)
+
+    def located(self, block: str) -> tuple[float, list[tuple]]:
+        """(best reduction of the whole block, (start, end, licence, reduction, covered, differences) of each confirmed template by start).
+
+        Of templates with the same words the longest counts, then the one ranked first; another one
+        counts beside it if it has a telling word of its own or as many other words as common ones.
+        """
         if block in self.seen:
             return self.seen[block]
         order = self.ranked(block)
-        found = (None, order[0][0], 0.0, [])
-        for reduction, number in order:
-            if reduction < LEAST_REDUCTION:
-                break
-            covered, shown, same = self.differences(block, number)
-            if covered >= LEAST_COVERED and same:
-                found = (self.templates[number][0], reduction, covered, shown)
-                break
+        words = list(_WORD.finditer(block.lower()))
+        if len(block.lower()) != len(block):  # a letter that has two in lower case
+            words = list(_WORD.finditer("".join(c.lower() if len(c.lower()) == 1 else c for c in block)))
+        own = [m[0] for m in words]
+        has = Counter(own)
+        found = []
+        for rank, (reduction, number) in enumerate(order):
+            want = Counter(self.templates[number][2])
+            if (want & has).total() < LEAST_COVERED * want.total():
+                continue
+            here = self.places(own, number)
+            if not here and reduction >= LEAST_REDUCTION:
+                covered, shown, same, shared = self.aligned(own, number)
+                here = [(covered, shown, shared)] if covered >= LEAST_COVERED and same else []
+            found += [(-len(shared), rank, number, covered, shown, shared) for covered, shown, shared in here]
+        used: set[int] = set()
+        out = []
+        for _, _, number, covered, shown, shared in sorted(found, key=lambda x: (*x[:2], x[5][0])):
+            fresh = [i for i in shared if i not in used]
+            if not fresh or (2 * len(fresh) < len(shared) and not any(TELLING.fullmatch(own[i]) for i in fresh)):
+                continue
+            used.update(shared)
+            start, end = words[shared[0]].start(), words[shared[-1]].end()
+            end = _CLOSING.match(block, end).end()
+            part = block[start:end].encode()
+            reduction = 1 - len(self.with_template[number].compress(part)) / len(self.alone.compress(part))
+            out.append((start, end, self.templates[number][0], reduction, covered, shown))
+        result = order[0][0], sorted(out, key=lambda x: (*x[:2], x[2]))
         if len(self.seen) >= self.cache:
             self.seen.clear()
         if len(block) < 2000:
-            self.seen[block] = found
-        return found
+            self.seen[block] = result
+        return result
+
+    def identify(self, block: str) -> tuple[str | None, float, float, list[str]]:
+        """(licence or None, reduction, covered, differences) of the first confirmed template."""
+        best, found = self.located(block)
+        return found[0][2:] if found else (None, best, 0.0, [])
+
+    def rows(self, text: str) -> Iterator[tuple]:
+        """(start, end, licence or None, reduction, covered, differences): each confirmed span, and what has a cue beside them."""
+        for a, b in candidate_blocks(text):
+            best, found = self.located(text[a:b])
+            if not found:
+                yield a, b, None, best, 0.0, []
+                continue
+            at = a
+            for start, end, *rest in [*found, (b - a, b - a)]:
+                for c, d in candidate_blocks(text[at : a + start]):
+                    yield at + c, at + d, None, self.ranked(text[at + c : at + d])[0][0], 0.0, []
+                if rest:
+                    yield a + start, a + end, *rest
+                at = max(at, a + end)
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each candidate block: doc_id, start, end, block, license (null if none is confirmed), reduction, covered, differences.
+    """A row for each confirmed span, and for each candidate block or rest of one without: doc_id, start, end, block, license (null if none is confirmed), reduction, covered, differences.
 
     Null and empty texts have no block. Repeated rows have theirs each; other columns are left out.
     Equal reductions: the template listed first.
@@ -136,8 +214,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
-                for a, b in candidate_blocks(text):
-                    rows.append((doc, a, b, text[a:b], *scanner.identify(text[a:b])))
+                for a, b, *rest in scanner.rows(text):
+                    rows.append((doc, a, b, text[a:b], *rest))
             columns = list(zip(*rows, strict=True)) or [()] * 8
             yield pd.DataFrame({"doc_id": pd.array(columns[0], "Int64"), **{n: list(c) for n, c in zip(("start", "end", "block", "license", "reduction", "covered", "differences"), columns[1:], strict=True)}})
 

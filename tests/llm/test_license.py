@@ -28,3 +28,32 @@ def test_blocks():
     assert candidate_blocks("") == [] and candidate_blocks("a. b\nc") == []
     text = "x. License one. y. z. license two.\n" + "q. " * 5 + "license"
     assert [text[a:b] for a, b in candidate_blocks(text)] == ["License one. y. z. license two.", "license"]
+
+
+def spans(text):
+    return [(text[a:b], name) for a, b, name, *_ in LicenseScanner().rows(text)]
+
+
+def test_each_of_several_licences_is_found():
+    mit, apache = "Licensed under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    assert spans(f"{mit} {apache}") == [(mit, "MIT"), (apache, "Apache-2.0")]
+    assert spans(f"{mit}\nAll rights reserved.") == [(mit, "MIT"), ("All rights reserved.", "Proprietary")]
+    assert spans(f"{apache}\n{apache}") == [(apache, "Apache-2.0")] * 2
+    dual = "This is dual licensed under the MIT License and the Apache License, Version 2.0."
+    assert {n for _, n in spans(dual)} == {"MIT", "Apache-2.0"}
+    assert [n for _, n in spans("\n".join(t for _, t in TEMPLATES))] == [n for n, _ in TEMPLATES]
+    assert spans(f"Copyright 2020 A. Person\n{mit}") == [("Copyright 2020 A.", None), (mit, "MIT")]
+
+
+def test_prose_around_does_not_hide_a_licence():
+    prose = " ".join(f"river{i} stone{i * 7} meadow{i % 13}" for i in range(60))
+    mit, gpl = "Licensed under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
+    assert spans(f"{mit}\n{prose}\n{prose[::-1]}\n{gpl}") == [(mit, "MIT"), (gpl, "GPL-3.0")]
+    assert spans(f"{prose} {mit[:-1]} {prose}") == [(mit[:-1], "MIT")]
+    assert [n for _, n in spans(f"{prose} {gpl[:-2]}7 {prose}")] == [None]
+    assert [n for _, n in spans(f"All of it {prose} rights {prose}\nreserved by licence")] == [None]
+
+
+def test_many_licence_lines_take_linear_time():
+    rows = list(LicenseScanner().rows("All rights reserved.\n" * 3000))
+    assert len(rows) == 3000 and {r[2] for r in rows} == {"Proprietary"}
