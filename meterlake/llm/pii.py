@@ -43,8 +43,9 @@ PLACEHOLDERS = ["example", "changeme", "placeholder", "xxxx", "your", "test", "d
 GIVEN_NAMES = ["anna", "carlos", "david", "elena", "emma", "hans", "james", "jean", "john", "jose", "laura", "maria", "marie", "mary", "michael", "peter", "pierre", "robert", "sarah", "sofia", "thomas", "william"]
 
 _CANDIDATES = re.compile(
-    r"(?P<assigned>(?:token|secret|password|passwd|pwd|api[_-]?key)[\x20]?[=:][\x20]?[\"']?)(?P<secret>[A-Za-z0-9+/_-]{6,128})"
-    r"|(?<![A-Za-z0-9+/_-])(?P<long>[A-Za-z0-9+/_-]{24,128})(?![A-Za-z0-9+/_-])"
+    r"(?P<assigned>(?i:token|secret|password|passwd|pwd|api[_-]?key)[\x20]?[=:][\x20]?[\"']?)(?P<secret>[A-Za-z0-9+/_-](?:\.{0,2}[A-Za-z0-9+/_-]){5,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?)"
+    r"|(?<![A-Za-z0-9+/_-])(?P<jwt>eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*)"
+    r"|(?<![A-Za-z0-9+/_-])(?P<long>[A-Za-z0-9+/_-]{24,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?)"
     r"|(?<![A-Za-z0-9-])(?P<national_id>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![A-Za-z0-9-])"
     r"|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})(?![A-Za-z0-9])"
     r"|(?<![^\W_])(?P<person>(?:%s)\x20[A-Z][a-z]{1,30})(?![^\W_])" % "|".join(n.capitalize() for n in GIVEN_NAMES)
@@ -126,18 +127,31 @@ def feature_code(kind: str, value: str, before: str) -> int:
 
 
 def candidate_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int]]:
-    """(kind, start, end, feature code) of candidates that touch none of the spans taken; leftmost first, not overlapping."""
+    """(kind, start, end, feature code) of candidates that touch none of the spans taken; leftmost first, not overlapping.
+
+    Of a secret that touches some, what lies beside them stays a candidate, with the code of the whole.
+    """
     out, busy = [], sorted((s, e) for _, s, e in taken)
     i = 0
     for m in _CANDIDATES.finditer(text):
         name = m.lastgroup
-        kind = "secret" if name in ("long", "secret") else name
+        kind = "secret" if name in ("long", "jwt", "secret") else name
         start, end = m.span(name)
         while i < len(busy) and busy[i][1] <= start:
             i += 1
-        if any(s < end and e > start for s, e in busy[i : i + 4]):
+        touched, k = [], i
+        while k < len(busy) and busy[k][0] < end:
+            touched.append(busy[k])
+            k += 1
+        touched = [(s, e) for s, e in touched if e > start]
+        if touched and kind != "secret":
             continue
-        out.append((kind, start, end, feature_code(kind, text[start:end], text[max(0, start - 32) : start])))
+        code = feature_code(kind, text[start:end], text[max(0, start - 32) : start])
+        at = start
+        for s, e in [*touched, (end, end)]:
+            if s > at:
+                out.append((kind, at, s, code))
+            at = max(at, e)
     return out
 
 

@@ -4,7 +4,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from meterlake.llm.pii import BASE, base_spans, detect, joined, luhn, redact
+from meterlake.llm.pii import BASE, base_spans, candidate_spans, detect, joined, luhn, redact
 
 from .samples import HARD, docs
 
@@ -64,3 +64,28 @@ def joined_all():
 
 def test_empty(spark):
     assert detect(docs(spark, [])).count() == 0 and redact(docs(spark, [])).count() == 0
+
+
+def test_long_secrets_leave_nothing_behind(spark):
+    many = "".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(5))[:300]
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJ" + "c1R9" * 50 + ".Qk7" + "xY3_" * 10
+    base64 = "Ab3" + "dE4/" * 60 + "+9=="
+    key = "0f3a9b77c2d1e8"
+    cases = [(f'token = "{many}"', many), (f"token: {jwt} end", jwt), (f"see {jwt} there", jwt), (f"the key {base64} ok", base64), (f"API_KEY={key}", key), (f"Password: {key}", key), (f"TOKEN={key}", key)]
+    texts = [f"some words {t} é" for t, _ in cases] + [f'word token = "{hashlib.sha1(bytes([i])).hexdigest()}"' for i in range(40)]
+    clean = {r.doc_id: r.text for r in redact(docs(spark, texts)).collect()}
+    for i, (t, secret) in enumerate(cases):
+        assert clean[i] == texts[i].replace(secret, "[secret]")
+
+
+def test_a_secret_around_a_base_span_has_no_rest():
+    text = 'token = "' + "ab12" * 40 + "." + "10.0.0.255" + "." + "cd34" * 40 + '"'
+    base = base_spans(text)
+    taken = sorted([(s, e) for _, s, e in base] + [(s, e) for _, s, e, _ in candidate_spans(text, base)])
+    assert base and taken[0][0] == 9 and taken[-1][1] == len(text) - 1
+    assert all(a[1] == b[0] for a, b in zip(taken, taken[1:], strict=False))
+
+
+def test_candidates_take_linear_time():
+    for c in ("a", "a.", "eyJ", "eyJa.", "token=", "="):
+        candidate_spans(c * 100_000, [])
