@@ -26,10 +26,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays; rows without an id go."""
-    found = near_duplicates(docs, words=5, percent=80).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    gone = written(found.filter("not kept and doc_id is not null").select("doc_id"), "gone")
-    return only(docs.filter("doc_id is not null"), gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near-duplicates one row stays: that of the smallest id (a null id counts as the largest).
+
+    Rows are told apart by a key written with them, so ids may be null or repeated.
+    """
+    rows = written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, words=5, percent=80, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    found = written(found.join(rows.select("row", "doc_id"), "row"), "found")
+    stay = found.groupBy("component_id").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row"))
+    gone = written(found.join(stay.select("row"), "row", "left_anti").select("row"), "gone")
+    return only(rows, gone, "row", "left_anti").select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,14 @@ def test_stages_against_brute_force(spark, tmp_path):
     for r in results[3].collect():
         total[r.doc_id] = total.get(r.doc_id, 0) + r.length
     assert total == {i: len(library.encode(r.text, add_special_tokens=False).ids) + 1 for i, r in clean.items()}
+
+
+def test_dedup_keeps_one_row_of_each_group(spark):
+    words = [f"word{i}" for i in range(400)]
+    a, b, c, d, e = (" ".join(words[i : i + 60]) for i in range(0, 300, 60))
+    rows = [(7, a), (7, a), (None, a), (3, b), (3, c), (9, b), (None, d), (None, e), (None, e), (5, a + " more"), (None, "short one"), (None, "short two"), (1, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = corpus_pipeline.dedup_stage(spark, docs, DATA)
+    assert left.columns == docs.columns
+    want = [(5, a + " more"), (3, b), (3, c), (None, d), (None, e), (None, "short one"), (None, "short two"), (1, "")]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(want, key=repr)
