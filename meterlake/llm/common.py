@@ -10,15 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+BATCH_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, a laptop) a temporary local folder is made and set.
+    Only where that is unset and the master is local (tests, a laptop) a temporary folder is made and set.
     """
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="meterlake-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -50,7 +56,12 @@ def let(value: Column, body) -> Column:
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The two columns an operator works on, under fixed names; a null text counts as empty."""
+    """The two columns an operator works on, under fixed names; a null text counts as empty.
+
+    Batches of whole texts for Python are bounded by bytes, unless the session has a bound of its own.
+    """
+    if df.sparkSession.conf.get(BATCH_BOUND, None) in (None, "-1", str(2**31 - 1)):
+        df.sparkSession.conf.set(BATCH_BOUND, str(BATCH_BYTES))
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 

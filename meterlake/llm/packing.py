@@ -34,21 +34,21 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer_path, spaced=True).encode
         key = TaskContext.get().partitionId() << 34
-        for batch in batches:
-            rows = []
-            for doc, ids in zip(batch["doc_id"], encode(batch["text"]), strict=True):
-                ids += end
-                n, cut = len(ids) // 4, 0
-                for piece in range(-(-n // capacity)):
-                    till = cut + capacity if piece or n % capacity == 0 else n % capacity
-                    part = ids[4 * cut : 4 * till]
-                    rows.append((key, doc, piece, cut, till - cut, zlib.crc32(part), part))
-                    key, cut = key + 1, till
-            out = pd.DataFrame(rows, columns=["key", "doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+        with encoder(tokenizer_path, spaced=True) as tokens:
+            for batch in batches:
+                rows = []
+                for doc, ids in zip(batch["doc_id"], tokens.encode(batch["text"]), strict=True):
+                    ids += end
+                    n, cut = len(ids) // 4, 0
+                    for piece in range(-(-n // capacity)):
+                        till = cut + capacity if piece or n % capacity == 0 else n % capacity
+                        part = ids[4 * cut : 4 * till]
+                        rows.append((key, doc, piece, cut, till - cut, zlib.crc32(part), part))
+                        key, cut = key + 1, till
+                out = pd.DataFrame(rows, columns=["key", "doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+                out["doc_id"] = out["doc_id"].astype("Int64")
+                yield out
 
     return id_and_text(docs, id_col, text_col).mapInPandas(run, PIECES)
 

@@ -71,12 +71,9 @@ def op5_static_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bpe import decode_documents, encode_documents
+    from .bpe import round_trip
 
-    path = _tokenizer("byte_bpe_50k.json")
-    out = decode_documents(encode_documents(_table(spark, sf_dir, "documents"), path), path)
-    joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    return round_trip(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
 def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:

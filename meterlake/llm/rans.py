@@ -118,7 +118,8 @@ class Coder:
 
 def narrowest(tokenizer_path: str, end_id: int | None) -> str:
     """The little-endian unsigned type that holds all ids of a vocabulary: 16 bits if they do, else 32."""
-    most = max([end_id or 0, *encoder(tokenizer_path, spaced=False).tokenizer.get_vocab(with_added_tokens=True).values()])
+    with encoder(tokenizer_path, spaced=False) as tokens:
+        most = max([end_id or 0, *tokens.tokenizer.get_vocab(with_added_tokens=True).values()])
     return "<u2" if most < 1 << 16 else "<u4"
 
 
@@ -127,12 +128,12 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer_path, spaced=False).encode
-        for batch in batches:
-            ids = [x + end for x in encode(batch["text"])]
-            if id_type != "<u4":
-                ids = [np.frombuffer(x, "<u4").astype(id_type).tobytes() for x in ids]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": ids})
+        with encoder(tokenizer_path, spaced=False) as tokens:
+            for batch in batches:
+                ids = [x + end for x in tokens.encode(batch["text"])]
+                if id_type != "<u4":
+                    ids = [np.frombuffer(x, "<u4").astype(id_type).tobytes() for x in ids]
+                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": ids})
 
     return id_and_text(docs, id_col, text_col).mapInPandas(run, "doc_id long, ids binary")
 

@@ -10,7 +10,8 @@ import os
 import re
 import struct
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 #: A space may stand at a cut only if no other white space touches it.
@@ -20,8 +21,8 @@ _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Longer parts are encoded anew each time, so that the caches stay small.
 LONGEST_CACHED = 48
-#: Entries after which a cache starts again.
-CACHE_ENTRIES = 900_000
+#: Entries of a cache, 60 MB at most with the longest parts.
+CACHE_ENTRIES = 100_000
 #: The letter that stands for each byte in byte-level vocabularies: printable Latin-1 as itself, the rest from 256 on.
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _LETTER = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -36,6 +37,10 @@ class _Known(dict):
         self.make, self.young = make, entries // 2
         self.older: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
     def __missing__(self, text: str) -> bytes:
         out = self.older.get(text)
         if out is None:
@@ -119,6 +124,16 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, spaced: bool) -> ChunkEncoder:
-    """The encoder of this Python worker: what a task has learned, later ones of the same worker need not encode again."""
+def _loaded(path: str, spaced: bool) -> ChunkEncoder:
     return ChunkEncoder(path, spaced)
+
+
+@contextmanager
+def encoder(path: str, spaced: bool) -> Iterator[ChunkEncoder]:
+    """The encoder of this Python worker, whose tokenizer file is read once. When a task is done with it, its caches are emptied: idle workers hold no more than the tokenizer."""
+    found = _loaded(path, spaced)
+    try:
+        yield found
+    finally:
+        found.first.forget()
+        found.rest.forget()
