@@ -50,14 +50,53 @@ def cost(input_tokens: Column, cached: Column, output_tokens: Column) -> Column:
     return ((input_tokens - inside) * F.col("input_rate") + inside * cached_rate + output_tokens * F.col("output_rate")) / F.lit(1e6)
 
 
-def priced(events: DataFrame, card: DataFrame) -> DataFrame:
-    """events with list_price (null: no rate), and cost: what is recorded, else the list price, 0 for plan and trial."""
-    rates = resolved(events, card)
+#: Card rows up to which a card is sent to all tasks, some 100 bytes each.
+CARD_ROWS = 5_000
+
+
+def _matched(events: DataFrame, card: DataFrame) -> DataFrame:
+    """events with the RATES of the first entry that fits, by one broadcast row for each provider: events aren't shuffled."""
+    dates = card.select("effective_from").distinct()
+    over = Window.orderBy("effective_from")  # a row for each dated card
+    spans = dates.select("effective_from", F.lead("effective_from").over(over).alias("valid_to"), F.when(F.row_number().over(over) > 1, F.col("effective_from")).alias("valid_from"))
+    starred = F.col("pattern").endswith("*")
+    prefix = F.when(starred, F.expr("substring(pattern, 1, length(pattern) - 1)")).otherwise(F.col("pattern"))
+    entry = F.struct(starred.alias("starred"), (-F.length("pattern")).alias("nr"), prefix.alias("prefix"), "valid_from", "valid_to", *RATES)
+    rules = card.join(spans, "effective_from").groupBy(F.col("provider").alias("card_provider")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+
+    def fits(e: Column) -> Column:
+        named = (e["prefix"] == F.col("model")) | (e["starred"] & F.col("model").startswith(e["prefix"]))
+        return named & (e["valid_from"].isNull() | (F.col("ts") >= e["valid_from"])) & (e["valid_to"].isNull() | (F.col("ts") < e["valid_to"]))
+
+    out = events.join(F.broadcast(rules), F.col("provider") == F.col("card_provider"), "left")
+    out = out.withColumn("entry", F.get(F.filter("entries", fits), F.lit(0)))
+    return out.select(*events.columns, *[F.col(f"entry.{r}").alias(r) for r in RATES])
+
+
+def rated(events: DataFrame, card: DataFrame) -> DataFrame:
+    """events with the RATES that hold for their provider, model and time; null without an entry.
+
+    A card of up to CARD_ROWS rows is broadcast; a larger one is resolved for the distinct models
+    and joined by them.
+    """
+    if card.limit(CARD_ROWS + 1).count() <= CARD_ROWS:
+        return _matched(events, card)
     on = F.expr("e.provider = r.provider and e.model = r.model and (r.valid_from is null or e.ts >= r.valid_from) and (r.valid_to is null or e.ts < r.valid_to)")
-    out = events.alias("e").join(rates.alias("r"), on, "left").select("e.*", *[f"r.{c}" for c in RATES])
-    out = out.withColumn("list_price", cost(F.col("input_tokens"), F.col("cached_input_tokens"), F.col("output_tokens")))
+    return events.alias("e").join(resolved(events, card).alias("r"), on, "left").select("e.*", *[f"r.{c}" for c in RATES])
+
+
+def priced(events: DataFrame, card: DataFrame) -> DataFrame:
+    """events with list_price (null: no rate), and cost: what is recorded, else the list price, 0 for plan and trial.
+
+    Where events have a response_model, that is what is priced, unless it is empty.
+    """
+    if "response_model" in events.columns:
+        asked = events.withColumnRenamed("model", "request_model").withColumn("model", F.coalesce(F.nullif("response_model", F.lit("")), "request_model"))
+        return priced(asked.drop("response_model").withColumn("answered", F.col("model")), card).drop("model").withColumnsRenamed({"request_model": "model", "answered": "response_model"})
+    out = rated(events, card)
+    out = out.withColumn("list_price", cost(F.col("input_tokens"), F.col("cached_input_tokens"), F.col("output_tokens"))).drop(*RATES)
     metered = F.when(F.col("cost_usd") > 0, F.col("cost_usd")).otherwise(F.coalesce("list_price", F.lit(0.0)))
-    return out.withColumn("cost", F.when(F.col("cost_source") == "metered", metered).otherwise(0.0)).drop(*RATES)
+    return out.withColumn("cost", F.when(F.col("cost_source") == "metered", metered).otherwise(0.0))
 
 
 def overridden(base: DataFrame, override: DataFrame) -> DataFrame:

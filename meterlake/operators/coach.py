@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import first_repeats, holt_forecast, linear_forecast, longest_runs, traces
+from .series import holt_forecast, linear_forecast
 from .spend import exact_sum
 
 # Limits of peak context, context growth and an agent's run, by the start of the workflow id ("" for all others).
@@ -14,13 +14,6 @@ LIMITS = [("claude-code:", 900_000, 2_000_000, 4), ("codex:", 250_000, 500_000,
 THRESHOLDS = {"spend_attribution": (90.0, 70.0, 50.0, True), "cache_hit": (90.0, 70.0, 50.0, True), "first_value_time": (60.0, 300.0, 900.0, False)}
 
 
-def workflow_facts(priced: DataFrame) -> DataFrame:
-    """traces with output tokens and the longest run of one agent; all parts are keyed by workflow_id, so they join where they lie."""
-    outputs = priced.groupBy("workflow_id").agg(F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"))
-    facts = traces(priced).join(outputs, "workflow_id").join(longest_runs(priced), "workflow_id", "left")
-    return facts.withColumn("run", F.coalesce("run", F.lit(0)))
-
-
 def efficiency(facts: DataFrame, weights: dict[str, float] | None = None, soft_context: int = 16_384, run_limit: int = 4) -> DataFrame:
     """Four scores from 0 to 1 of each workflow, their weighted mean, and that as a grade of 100.
 
@@ -40,8 +33,8 @@ def efficiency(facts: DataFrame, weights: dict[str, float] | None = None, soft_c
     return out.select("workflow_id", *[F.round(k, 6).alias(k) for k in parts], F.round(total, 6).alias("total"), F.round(total * 100).cast("int").alias("grade"))
 
 
-def waste(facts: DataFrame, events: DataFrame, limits: list[tuple] | None = None) -> DataFrame:
-    """(workflow_id, finding, agent_id, excess): a row for each limit that a workflow reaches, and for a prompt sent twice in a row.
+def waste(facts: DataFrame, limits: list[tuple] | None = None) -> DataFrame:
+    """(workflow_id, finding, agent_id, excess): a row for each limit that a workflow of series.facts reaches, and for a prompt sent twice in a row.
 
     limits: (start of the id, peak context, growth, run); the first that fits holds.
     """
@@ -57,10 +50,9 @@ def waste(facts: DataFrame, events: DataFrame, limits: list[tuple] | None = None
         return F.when(over >= 0, F.struct(F.lit(name).alias("finding"), agent.alias("agent_id"), over.cast("long").alias("excess")))
 
     none = F.lit(None).cast("string")
-    rows = facts.join(first_repeats(events).select("workflow_id", "step"), "workflow_id", "left")
-    repeat = F.when(F.col("step").isNotNull(), F.struct(F.lit("repeated_prompt").alias("finding"), none.alias("agent_id"), F.lit(0).cast("long").alias("excess")))
+    repeat = F.when(F.col("first_repeat").isNotNull(), F.struct(F.lit("repeated_prompt").alias("finding"), none.alias("agent_id"), F.lit(0).cast("long").alias("excess")))
     found = F.array_compact(F.array(finding("oversized_context", "max_context", 1, none), finding("context_growth", "growth", 2, none), finding("agent_loop", "run", 3, F.col("agent_id")), repeat))
-    return rows.select("workflow_id", F.explode(found).alias("f")).select("workflow_id", "f.*")
+    return facts.select("workflow_id", F.explode(found).alias("f")).select("workflow_id", "f.*")
 
 
 def headroom(used: DataFrame, plans: DataFrame, now) -> DataFrame:

@@ -15,12 +15,14 @@ def _severity(z: Column, threshold: float) -> Column:
 def rolling_anomalies(series: DataFrame, key: str, threshold: float = 3.0, back: int = 12, least: int = 4) -> DataFrame:
     """Points whose value is threshold sample deviations over the mean of up to `back` points before them.
 
-    A baseline without deviation: any other value counts, with z 0.
+    A baseline without deviation: a value outside half and one and a half of it counts, with z 0
+    and no severity, dips too.
     """
     w = Window.partitionBy(key).orderBy("at").rowsBetween(-back, -1)
     out = series.withColumns({"n": F.count("value").over(w), "mean": F.avg("value").over(w), "sd": F.coalesce(F.stddev_samp("value").over(w), F.lit(0.0))}).filter(F.col("n") >= least)
     z = F.when(F.col("sd") > 0, (F.col("value") - F.col("mean")) / F.col("sd")).otherwise(0.0)
-    out = out.withColumn("z", z).filter((F.col("z") >= threshold) | ((F.col("sd") == 0) & (F.col("value") != F.col("mean"))))
+    off = (F.col("value") > F.col("mean") * 1.5) | (F.col("value") < F.col("mean") * 0.5)
+    out = out.withColumn("z", z).filter(F.when(F.col("sd") > 0, F.col("z") >= threshold).otherwise(off))
     return out.select(key, "at", "value", F.round("mean", 6).alias("mean"), F.round("z", 6).alias("z"), _severity(F.col("z"), threshold).alias("severity"))
 
 
@@ -66,35 +68,83 @@ def steps(events: DataFrame) -> DataFrame:
     )
 
 
+def facts(events: DataFrame) -> DataFrame:
+    """A row for each workflow, all its facts from one shuffle by workflow_id and one sort.
+
+    steps, input_tokens, output_tokens, max_context, cost_usd (if events are priced), models,
+    agents, growth (of input, where positive), seconds from first to last step, agent_id and run
+    (the longest run of one agent; a step without agent ends a run; ties: the first), first_repeat
+    and repeated (the first step whose prompt is that of the step before, and that prompt).
+    """
+    w = Window.partitionBy("workflow_id").orderBy("ts", "event_id")
+    steps_ = events.withColumns(
+        {
+            "step": F.row_number().over(w),
+            "grown": F.greatest(F.col("input_tokens") - F.lag("input_tokens").over(w), F.lit(0)),
+            "again": F.lag("prompt_hash").over(w) == F.col("prompt_hash"),
+            "turn": F.when(F.col("agent_id").eqNullSafe(F.lag("agent_id").over(w)), 0).otherwise(1),
+        }
+    ).withColumn("island", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    has_cost = "cost" in events.columns
+    money = F.sum(F.col("cost").cast("decimal(18,9)")) if has_cost else F.lit(0)
+    runs = steps_.groupBy("workflow_id", "island").agg(
+        F.first("agent_id").alias("agent_id"),
+        F.count("*").alias("steps"),
+        F.sum("input_tokens").alias("input_tokens"),
+        F.sum("output_tokens").alias("output_tokens"),
+        F.max("input_tokens").alias("max_context"),
+        money.alias("cost"),
+        F.collect_set("model").alias("models"),
+        F.sum("grown").alias("grown"),
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"),
+        F.min(F.when(F.col("again"), F.struct("step", "prompt_hash"))).alias("repeat"),
+    )
+    best = F.max_by(F.struct("agent_id", F.col("steps").alias("run")), F.when(F.col("agent_id").isNotNull(), F.struct("steps", -F.col("island"))))
+    out = runs.groupBy("workflow_id").agg(
+        F.sum("steps").alias("steps"),
+        F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"),
+        F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"),
+        F.max("max_context").alias("max_context"),
+        F.coalesce(F.sum("cost").cast("double"), F.lit(0.0)).alias("cost_usd"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("models")))).cast("long").alias("models"),
+        F.size(F.collect_set("agent_id")).cast("long").alias("agents"),
+        F.coalesce(F.sum("grown"), F.lit(0)).alias("growth"),
+        F.expr("timestampdiff(second, min(first_ts), max(last_ts))").alias("seconds"),
+        best.alias("best"),
+        F.min("repeat").alias("repeat"),
+    )
+    return out.select("workflow_id", "steps", "input_tokens", "output_tokens", "max_context", *(["cost_usd"] if has_cost else []), "models", "agents", "growth", "seconds", F.col("best.agent_id").alias("agent_id"), F.coalesce("best.run", F.lit(0)).alias("run"), F.col("repeat.step").alias("first_repeat"), F.col("repeat.prompt_hash").alias("repeated"))
+
+
+def histograms(events: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """For each key a map from value to count for each of columns; null values are left out. Counted before they are put together."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value")) for c in columns]))
+    counts = events.select(key, kinds.alias("h")).filter("h.value is not null").groupBy(key, "h.kind", "h.value").agg(F.count("*").alias("n"))
+    return counts.groupBy(key).agg(*[F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == c, F.struct("value", "n"))))).alias(f"{c}_counts") for c in columns])
+
+
 def traces(priced: DataFrame) -> DataFrame:
-    """A row for each workflow: steps, tokens, cost, positive growth, models and agents."""
-    grown = steps(priced).groupBy("workflow_id").agg(F.coalesce(F.sum(F.greatest("growth", F.lit(0))), F.lit(0)).alias("growth"))
-    sums = priced.groupBy("workflow_id").agg(F.count("*").alias("steps"), F.sum("input_tokens").alias("input_tokens"), F.max("input_tokens").alias("max_context"), exact_sum("cost").alias("cost_usd"), F.count_distinct("model").alias("models"), F.count_distinct("agent_id").alias("agents"))
-    return sums.join(grown, "workflow_id")
+    """A row for each workflow: steps, tokens, cost, positive growth, duration, models and agents."""
+    return facts(priced).drop("agent_id", "run", "first_repeat", "repeated")
 
 
 def longest_runs(events: DataFrame) -> DataFrame:
     """The longest run of requests of one agent in each workflow; a request without agent ends a run. Ties: the first run."""
-    all_ = Window.partitionBy("workflow_id").orderBy("ts", "event_id")
-    own = Window.partitionBy("workflow_id", "agent_id").orderBy("ts", "event_id")
-    numbered = events.withColumns({"i": F.row_number().over(all_), "island": F.row_number().over(all_) - F.row_number().over(own)}).filter("agent_id is not null")
-    runs = numbered.groupBy("workflow_id", "agent_id", "island").agg(F.count("*").alias("run"), F.min("i").alias("first"))
-    best = F.max_by(F.struct("agent_id", "run"), F.struct("run", -F.col("first")))
-    return runs.groupBy("workflow_id").agg(best.alias("b")).select("workflow_id", "b.agent_id", "b.run")
+    return facts(events).filter("agent_id is not null").select("workflow_id", "agent_id", "run")
 
 
 def first_repeats(events: DataFrame) -> DataFrame:
     """The first step of each workflow whose prompt is that of the step before."""
-    w = Window.partitionBy("workflow_id").orderBy("ts", "event_id")
-    out = events.select("workflow_id", F.row_number().over(w).alias("step"), "prompt_hash", (F.lag("prompt_hash").over(w) == F.col("prompt_hash")).alias("same"))
-    return out.filter("same").groupBy("workflow_id").agg(F.min("step").alias("step"), F.min_by("prompt_hash", "step").alias("prompt_hash"))
+    return facts(events).filter("first_repeat is not null").select("workflow_id", F.col("first_repeat").alias("step"), F.col("repeated").alias("prompt_hash"))
 
 
 def upper_medians(values: DataFrame, key: str, value: str) -> DataFrame:
-    """The upper median of each key's values."""
+    """The upper median of each key's values. Values are counted first, so a window holds a row for each distinct one."""
+    counts = values.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
     w = Window.partitionBy(key)
-    out = values.withColumns({"nr": F.row_number().over(w.orderBy(value)), "n": F.count("*").over(w)})
-    return out.filter("nr = floor(n / 2) + 1").select(key, F.col(value).alias("upper_median"))
+    out = counts.withColumns({"till": F.sum("c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
+    return out.filter("till >= n div 2 + 1").groupBy(key).agg(F.min(value).alias("upper_median"))
 
 
 def latest(events: DataFrame, key: str, column: str) -> DataFrame:

@@ -5,31 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import let, stripped, unrepeated
+
 
 def token_estimate(text: Column, ascii_per_token: float = 4.0, other_per_token: float = 1.5) -> Column:
     plain = F.length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
     return F.ceil(plain / F.lit(ascii_per_token) + (F.length(text) - plain) / F.lit(other_per_token)).cast("long")
 
 
-def unrepeated(lines: Column) -> Column:
-    """lines without those equal to the one before; blank ones stay."""
-    return F.filter(lines, lambda x, i: (i == 0) | (F.trim(x) == "") | (F.trim(x) != F.trim(F.get(lines, F.greatest(i - 1, F.lit(0))))))
-
-
 def compressed(text: Column) -> Column:
-    """Straight quotes, no HTML comments, no space at line ends or in runs, no runs of blank lines, no repeated lines."""
-    t = F.translate(text, "‘’“”", "''\"\"")
+    """Plain quotes, dashes and spaces, no HTML comments, no space at line ends or in runs, no runs of blank lines, no repeated lines.
+
+    A line goes if it equals the one before but for space at its ends; blank lines stay.
+    """
+    t = F.translate(text, "‘’“”—–\u00a0", "''\"\"-- ")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, r"[ \t]+\n", "\n")
+    t = F.regexp_replace(t, r"[ \t]+(\n|\z)", "$1")
     t = F.regexp_replace(t, r"[ \t]{2,}", " ")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
-    return F.array_join(unrepeated(F.split(t, "\n")), "\n")
+    return F.array_join(unrepeated(F.split(t, "\n"), lambda x, y: (stripped(x) != "") & (stripped(x) == stripped(y))), "\n")
+
+
+# What parts chunks, a line of dashes or equals signs, and what begins one where nothing parts them.
+SEPARATOR = r"(?:-{3,}|={3,})\s*$"
+HEADING = r"(?:\d+\.\s|\[\d+\]\s)"
+
+
+def chunks(text: Column) -> Column:
+    """The chunks of a retrieved context: between separator lines, else from each of several numbered headings on; none otherwise."""
+    trim_all = lambda parts: F.transform(parts, lambda c: F.regexp_replace(c, r"\A\s+|\s+\z", ""))
+    parted = F.filter(trim_all(F.split(text, "(?md)^" + SEPARATOR)), lambda c: c != "")
+    headed = F.filter(F.split(text, f"(?md)^(?={HEADING})"), lambda c: c.rlike(r"\A" + HEADING))
+    return F.when(text.rlike("(?md)^" + SEPARATOR), parted).otherwise(let(headed, lambda h: F.when(F.size(h) > 1, trim_all(h)).otherwise(F.array().cast("array<string>"))))
 
 
 def pruned(text: Column, most: int = 8, keep: int = 4) -> Column:
-    """The first `keep` lines of a text with `most` lines or more, else all."""
-    lines = F.split(text, "\n")
-    return F.when(F.size(lines) >= most, F.array_join(F.slice(lines, 1, keep), "\n")).otherwise(text)
+    """The first `keep` chunks of a text with `most` chunks or more, parted by dashes; other texts are left whole."""
+    return let(chunks(text), lambda c: F.when((F.size(c) >= most) & (F.size(c) > keep), F.array_join(F.slice(c, 1, keep), "\n---\n")).otherwise(text))
 
 
 def trimmed(turns: DataFrame, keep: int = 4) -> DataFrame:
@@ -69,22 +81,11 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     return docs.groupBy(F.concat(F.lit("sha256:"), F.sha2(F.col("text").cast("binary"), 256)).alias("hash")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")).filter("copies >= 2")
 
 
-# Patterns of secrets and personal data that count as findings.
-FINDINGS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "token": r"token = \"[0-9a-f]{40}\"", "card": r"[0-9]{16}"}
-
-
-def redaction_counts(docs: DataFrame) -> DataFrame:
-    return docs.agg(*[F.sum(F.regexp_count("text", F.lit(p))).alias(f"n_{k}") for k, p in FINDINGS.items()])
-
-
-def redacted(text: Column) -> Column:
-    for kind, pattern in FINDINGS.items():
-        text = F.regexp_replace(text, pattern, f"[{kind}]")
-    return text
+#: Escape codes of terminals.
+ESCAPES = r"\x1b\[[0-9;?]*[ -/]*[@-~]"
 
 
 def scrubbed(text: Column) -> Column:
-    """Terminal output without escape codes, spaces at line ends, repeated lines and blank runs."""
-    t = F.regexp_replace(text, r"\x1b\[[0-9;]*[A-Za-z]", "")
-    t = F.regexp_replace(t, r"[ \t]+(\n|$)", "$1")
-    return F.regexp_replace(F.array_join(unrepeated(F.split(t, "\n")), "\n"), r"\n{3,}", "\n\n")
+    """Terminal output without escape codes, spaces at line ends, repeated lines, blank runs and blank lines at either end."""
+    t = F.regexp_replace(F.regexp_replace(text, ESCAPES, ""), r"[ \t\r]+(\n|\z)", "$1")
+    return F.regexp_replace(F.array_join(unrepeated(F.split(t, "\n"), lambda x, y: x == y), "\n"), r"\A\n+|\n+\z", "")

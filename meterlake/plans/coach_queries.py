@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import pricing
 from ..operators import coach, series, spend
 from ..sources.usage import SYNTHETIC, usage_events
 from .queries import _DAILY, _NOW, _ORDER, _PRICED, _SUMS, _USAGE, NOW, _daily, _priced, _read, _usage
@@ -21,11 +22,12 @@ def _headroom(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tasks(spark: SparkSession, d: str) -> DataFrame:
-    return coach.task_metrics(_priced(spark, d), spark.createDataFrame(TASKS, "task string, begins timestamp_ntz, ends timestamp_ntz"))
+    everything = pricing.priced(usage_events(_read(spark, d, "events")), pricing.rate_card(spark))  # demo data is part of a task
+    return coach.task_metrics(everything, spark.createDataFrame(TASKS, "task string, begins timestamp_ntz, ends timestamp_ntz"))
 
 
 def _waste(spark: SparkSession, d: str) -> DataFrame:
-    return coach.waste(coach.workflow_facts(_priced(spark, d)), _usage(spark, d))
+    return coach.waste(series.facts(_priced(spark, d)))
 
 
 def _cache_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +44,7 @@ def _daily_agents(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "efficiency_score": lambda s, d: coach.efficiency(coach.workflow_facts(_priced(s, d))),
+    "efficiency_score": lambda s, d: coach.efficiency(series.facts(_priced(s, d))),
     "waste_findings": _waste,
     "plan_headroom": _headroom,
     "kpi_grades": lambda s, d: coach.kpis(_usage(s, d)),
@@ -141,7 +143,7 @@ SELECT workflow_id, event_id, tier FROM b WHERE tier > before""",
     "trailing_messages": f"WITH {_USAGE} SELECT provider, hours, count(*) AS messages, sum(input_tokens + output_tokens)::BIGINT AS tokens FROM usage, (VALUES (5), (24), (168)) w(hours) WHERE ts > {_NOW} - to_hours(hours) AND ts <= {_NOW} GROUP BY ALL",
     "source_warning": f"WITH {_USAGE}, s AS (SELECT count(*) AS events, count(*) FILTER (source = 'demo') AS synthetic FROM everything) SELECT events, synthetic, round(coalesce(synthetic::DOUBLE / nullif(events, 0), 0), 6) AS share, coalesce(synthetic::DOUBLE / nullif(events, 0), 0) > 0.1 AS warn FROM s",
     "budget_windows": f"WITH {_USAGE}, d AS (SELECT DISTINCT date_trunc('day', ts)::TIMESTAMP AS day FROM usage) SELECT day, period, begins::TIMESTAMP AS begins, ends::TIMESTAMP AS ends FROM (SELECT day, 'day' AS period, day AS begins, day + INTERVAL 1 DAY AS ends FROM d UNION ALL SELECT day, 'week', date_trunc('week', day), date_trunc('week', day) + INTERVAL 7 DAY FROM d UNION ALL SELECT day, 'month', date_trunc('month', day), date_trunc('month', day) + INTERVAL 1 MONTH FROM d)",
-    "task_metrics": f"WITH {_PRICED}, tasks(task, begins, ends) AS (VALUES {_TASKS}) SELECT task, count(event_id) AS turns, coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens, coalesce(sum(cost::DECIMAL(18,9))::DOUBLE, 0) AS cost_usd, date_sub('second', any_value(begins), min(ts)) AS first_wait_s FROM tasks LEFT JOIN priced ON ts BETWEEN begins AND ends GROUP BY task",
+    "task_metrics": f"WITH {_PRICED.replace('FROM usage u)', 'FROM everything u)')}, tasks(task, begins, ends) AS (VALUES {_TASKS}) SELECT task, count(event_id) AS turns, coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens, coalesce(sum(cost::DECIMAL(18,9))::DOUBLE, 0) AS cost_usd, date_sub('second', any_value(begins), min(ts)) AS first_wait_s FROM tasks LEFT JOIN priced ON ts BETWEEN begins AND ends GROUP BY task",
     "cache_key": f"WITH {_USAGE} SELECT event_id, sha256(provider || chr(0) || 'POST' || chr(0) || model || chr(0) || prompt_hash) AS key FROM usage",
     "spend_weekly": f"WITH {_PRICED} SELECT date_trunc('week', ts)::TIMESTAMP AS bucket, {_SUMS} FROM priced GROUP BY ALL",
     "rollup_hourly_workflow": f"WITH {_PRICED} SELECT date_trunc('hour', ts) AS bucket, workflow_id, {_SUMS} FROM priced GROUP BY ALL",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pricing
-from ..operators import series, spend, text
+from ..operators import messages, redaction, series, spend, text
 from ..sources.usage import usage_events, without_sources
 
 NOW = datetime(2024, 1, 25, 12)
@@ -51,6 +51,28 @@ def _token_estimates(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "conversations").groupBy("conv_id").agg(F.sum(text.token_estimate(F.col("text")) + 4).alias("tokens"))
 
 
+def _sectioned(spark: SparkSession, d: str) -> DataFrame:
+    """documents as retrieved contexts: a third as they are, a third with dashes between sentences, a third with numbers before them."""
+    t, kind = F.col("text"), F.pmod("doc_id", F.lit(3))
+    return _read(spark, d, "documents").select("doc_id", F.when(kind == 1, F.replace(t, F.lit(". "), F.lit(".\n---\n"))).when(kind == 2, F.concat(F.lit("1. "), F.replace(t, F.lit(". "), F.lit(".\n2. ")))).otherwise(t).alias("t"))
+
+
+def _leaky(spark: SparkSession, d: str) -> DataFrame:
+    """documents with a made-up secret of one kind or another behind most."""
+    h = F.sha2(F.col("text").cast("binary"), 256)
+    kind = F.pmod("doc_id", F.lit(6))
+    tail = F.when(kind == 0, F.concat(F.lit(" AKIA"), F.upper(F.substring(h, 1, 16)))).when(kind == 1, F.concat(F.lit(" Bearer "), h)).when(kind == 2, F.concat(F.lit(" key=sk-ant-"), h))
+    tail = tail.when(kind == 3, F.concat(F.lit(" v "), F.base64(F.unhex(h)))).when(kind == 4, F.concat(F.lit(' aws_secret_access_key = "'), F.substring(h, 1, 40), F.lit('"')))
+    return _read(spark, d, "documents").select("doc_id", F.concat("text", tail.otherwise("")).alias("text"))
+
+
+def _echoed(spark: SparkSession, d: str) -> DataFrame:
+    """conversations in which every message comes again, once as it was but for its start and once without some letters."""
+    c = _read(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    cut = c.withColumns({"turn": F.col("turn") + 1000, "text": F.substring("text", 13, 1 << 30)})
+    return c.unionByName(cut).unionByName(cut.withColumns({"turn": F.col("turn") + 1000, "text": F.replace(F.col("text"), F.lit(" d"), F.lit(" "))}))
+
+
 def _text_digest(column) -> list:
     return [F.length(column).alias("length"), F.md5(column.cast("binary")).alias("digest")]
 
@@ -83,12 +105,13 @@ QUERIES = {
     "latest_cost": lambda s, d: series.latest(_usage(s, d), "workflow_id", "cost_usd"),
     "token_estimate": _token_estimates,
     "prompt_compress": lambda s, d: _read(s, d, "documents").select("doc_id", *_text_digest(text.compressed(F.col("text")))),
-    "chunk_prune": lambda s, d: _read(s, d, "documents").select("doc_id", *_text_digest(text.pruned(F.col("text")))),
+    "chunk_prune": lambda s, d: _sectioned(s, d).select("doc_id", *_text_digest(text.pruned(F.col("t")))),
     "noise_scrub": lambda s, d: _read(s, d, "documents").select("doc_id", *_text_digest(text.scrubbed(F.col("text")))),
-    "redact_text": lambda s, d: _read(s, d, "documents").select("doc_id", *_text_digest(text.redacted(F.col("text")))),
-    "redaction_counts": lambda s, d: text.redaction_counts(_read(s, d, "documents")),
+    "redact_text": lambda s, d: redaction.redacted(_leaky(s, d), "text").select("doc_id", *_text_digest(F.col("text"))),
+    "redaction_counts": lambda s, d: redaction.counts(_leaky(s, d), "text"),
     "rule_duplicates": lambda s, d: text.duplicate_groups(_read(s, d, "documents")),
     "context_trim": lambda s, d: text.trimmed(_read(s, d, "conversations"), 2).select("conv_id", "turn", "role"),
+    "near_dup_messages": lambda s, d: messages.near_duplicates(_echoed(s, d)),
     "prompt_findings": lambda s, d: text.prompt_findings(_read(s, d, "conversations")),
     "reply_stats": lambda s, d: text.reply_stats(_read(s, d, "conversations")),
 }
@@ -140,12 +163,29 @@ _TWO = f"{_CARD}, old AS (SELECT * EXCLUDE effective_from FROM card WHERE effect
 _ORDER = "OVER (PARTITION BY workflow_id ORDER BY ts, event_id)"
 
 
-def _lines_kept(source: str) -> str:
-    """SQL of the lines of `t` in source, without those equal to the one before."""
+def _lines_kept(source: str, dropped: str) -> str:
+    """SQL of the lines of `t` in source, without those for which dropped holds; x is a line, y the one before."""
     return f"""lines AS (SELECT doc_id, string_split(t, chr(10)) AS l FROM {source}),
-kept AS (SELECT doc_id, array_to_string(list_filter(l, lambda x, i: i = 1 OR trim(x) = '' OR trim(x) <> trim(l[i - 1])), chr(10)) AS t FROM lines)"""
-
-
+kept AS (SELECT doc_id, array_to_string(list_filter(l, lambda x, i: i = 1 OR NOT ({dropped.replace("y", "l[i - 1]")})), chr(10)) AS t FROM lines)"""
+
+
+_BLANKS = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
+def _rule_sql(kind: str, pattern: str) -> str:
+    """The rest of a regexp_replace() that puts a mark for what a rule finds; what stands before a group stays."""
+    p = pattern.replace("(?i)", "(?i)(").replace("([A-Za", ")([A-Za") if "(?i)" in pattern else f"(){pattern}"
+    return ", '" + p.replace("'", "''") + f"', '\\1' || chr(1) || '{kind}' || chr(2), 'g')"
+
+
+_NO_PARTS = "[^ \\t\\n\\r\",;:=()\\[\\]{}]+"
+#: Each rule in turn puts chr(1) kind chr(2) for what it finds; then tokens of high entropy without such a mark follow.
+_REDACTED = f"""leaky AS (
+  SELECT doc_id, text || CASE doc_id % 6 WHEN 0 THEN ' AKIA' || upper(substr(sha256(text), 1, 16)) WHEN 1 THEN ' Bearer ' || sha256(text) WHEN 2 THEN ' key=sk-ant-' || sha256(text)
+    WHEN 3 THEN ' v ' || to_base64(unhex(sha256(text))) WHEN 4 THEN ' aws_secret_access_key = "' || substr(sha256(text), 1, 40) || '"' ELSE '' END AS t FROM documents),
+ruled AS (SELECT doc_id, {"regexp_replace(" * len(redaction.RULES)}t{"".join(_rule_sql(k, p) for k, _, p in redaction.RULES)} AS t FROM leaky),
+parted AS (SELECT doc_id, list_transform(regexp_extract_all(t, '{_NO_PARTS}|{_NO_PARTS.replace("[^", "[")}'), lambda x: CASE WHEN strlen(x) >= 20 AND NOT contains(x, chr(1)) AND NOT contains(x, chr(2)) AND regexp_full_match(x, '{_NO_PARTS}') AND list_aggregate(string_split(x, ''), 'entropy') >= 4.5 THEN chr(1) || 'high_entropy' || chr(2) ELSE x END) AS parts FROM ruled),
+whole AS (SELECT doc_id, array_to_string(parts, '') AS t FROM parted),
+redacted AS (SELECT doc_id, replace(replace(t, chr(1), '<redacted:'), chr(2), '>') AS t, regexp_extract_all(t, chr(1) || '([a-z_]+)' || chr(2), 1) AS kinds FROM whole)"""
+_TEXT_OUT = "length(t)::INTEGER AS length, md5(t) AS digest"
 ORACLE_SQL = {
     "spend_hourly_by_model": f"WITH {_PRICED} SELECT date_trunc('hour', ts) AS bucket, model, {_SUMS} FROM priced GROUP BY ALL",
     "spend_daily_by_provider": f"WITH {_PRICED} SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, provider, {_SUMS} FROM priced GROUP BY ALL",
@@ -162,24 +202,38 @@ ORACLE_SQL = {
     "rate_overrides": f"WITH {_TWO} SELECT coalesce(o.provider, n.provider) AS provider, coalesce(o.pattern, n.pattern) AS pattern, coalesce(nullif(n.input_rate, 0), o.input_rate, 0) AS input_rate, coalesce(nullif(n.output_rate, 0), o.output_rate, 0) AS output_rate, coalesce(nullif(n.cached_rate, 0), o.cached_rate, 0) AS cached_rate FROM old o FULL JOIN new n ON o.provider = n.provider AND o.pattern = n.pattern",
     "rate_diff": f"WITH {_TWO} SELECT coalesce(o.provider, n.provider) AS provider, coalesce(o.pattern, n.pattern) AS pattern, CASE WHEN o.provider IS NULL THEN 'added' WHEN n.provider IS NULL THEN 'removed' ELSE 'modified' END AS change, round(coalesce(n.input_rate, 0) - coalesce(o.input_rate, 0), 6) AS d_input_rate, round(coalesce(n.output_rate, 0) - coalesce(o.output_rate, 0), 6) AS d_output_rate, round(coalesce(n.cached_rate, 0) - coalesce(o.cached_rate, 0), 6) AS d_cached_rate FROM old o FULL JOIN new n ON o.provider = n.provider AND o.pattern = n.pattern WHERE o.provider IS NULL OR n.provider IS NULL OR o.input_rate <> n.input_rate OR o.output_rate <> n.output_rate OR o.cached_rate <> n.cached_rate",
     "cheapest_model": f"WITH {_TWO} SELECT provider, arg_min(pattern, (input_rate + output_rate, pattern)) AS pattern, min(input_rate + output_rate) AS total FROM new GROUP BY ALL",
-    "anomaly_rolling": f"WITH {_DAILY}, w AS (SELECT *, count(value) OVER f AS n, avg(value) OVER f AS mean, coalesce(stddev_samp(value) OVER f, 0) AS sd FROM daily WINDOW f AS (PARTITION BY provider ORDER BY moment ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)), z AS (SELECT *, CASE WHEN sd > 0 THEN (value - mean) / sd ELSE 0 END AS z FROM w WHERE n >= 4) SELECT provider, moment AS \"at\", value, round(mean, 6) AS mean, round(z, 6) AS z, {_LEVEL} FROM z WHERE z >= 1.5 OR (sd = 0 AND value <> mean)",
+    "anomaly_rolling": f"WITH {_DAILY}, w AS (SELECT *, count(value) OVER f AS n, avg(value) OVER f AS mean, coalesce(stddev_samp(value) OVER f, 0) AS sd FROM daily WINDOW f AS (PARTITION BY provider ORDER BY moment ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)), z AS (SELECT *, CASE WHEN sd > 0 THEN (value - mean) / sd ELSE 0 END AS z FROM w WHERE n >= 4) SELECT provider, moment AS \"at\", value, round(mean, 6) AS mean, round(z, 6) AS z, {_LEVEL} FROM z WHERE CASE WHEN sd > 0 THEN z >= 1.5 ELSE value > mean * 1.5 OR value < mean * 0.5 END",
     "anomaly_fixed": f"WITH {_DAILY}, z AS (SELECT *, (value - avg(value) OVER (PARTITION BY provider)) / nullif(stddev_samp(value) OVER (PARTITION BY provider), 0) AS z FROM daily) SELECT provider, moment AS \"at\", value, round(z, 6) AS z, {_LEVEL} FROM z WHERE z >= 1.5",
     "forecast_linear": f"WITH {_DAILY}, x AS (SELECT provider, value, row_number() OVER (PARTITION BY provider ORDER BY moment) - 1 AS x FROM daily), f AS (SELECT provider, regr_slope(value, x) AS slope, regr_intercept(value, x) AS base, count(*) AS n FROM x GROUP BY ALL) SELECT provider, step::INTEGER AS step, round(greatest(0, base + slope * (n - 1 + step)), 4) AS predicted FROM f, range(1, 4) r(step) WHERE n >= 2",
     "forecast_holt": f"WITH RECURSIVE {_DAILY}, x AS (SELECT provider, value, row_number() OVER (PARTITION BY provider ORDER BY moment) AS i, lead(value) OVER (PARTITION BY provider ORDER BY moment) AS nxt, count(*) OVER (PARTITION BY provider) AS n FROM daily), h AS (SELECT provider, i, n, value AS l, nxt - value AS t FROM x WHERE i = 1 AND n >= 2 UNION ALL SELECT h.provider, x.i, h.n, 0.6::DOUBLE * x.value + 0.4::DOUBLE * (h.l + h.t), 0.3::DOUBLE * (0.6::DOUBLE * x.value + 0.4::DOUBLE * (h.l + h.t) - h.l) + 0.7::DOUBLE * h.t FROM h JOIN x ON x.provider = h.provider AND x.i = h.i + 1) SELECT provider, step::INTEGER AS step, round(greatest(0, l + step * t), 4) AS predicted FROM h, range(1, 4) r(step) WHERE i = n",
     "workflow_steps": f"WITH {_USAGE} SELECT workflow_id, event_id, row_number() {_ORDER} AS step, input_tokens - lag(input_tokens) {_ORDER} AS growth, date_sub('second', lag(ts) {_ORDER}, ts) AS gap_s FROM usage",
-    "workflow_summary": f"WITH {_PRICED}, g AS (SELECT *, greatest(input_tokens - lag(input_tokens) {_ORDER}, 0) AS grown FROM priced) SELECT workflow_id, count(*) AS steps, sum(input_tokens)::BIGINT AS input_tokens, max(input_tokens) AS max_context, sum(cost::DECIMAL(18,9))::DOUBLE AS cost_usd, count(DISTINCT model) AS models, count(DISTINCT agent_id) AS agents, coalesce(sum(grown), 0)::BIGINT AS growth FROM g GROUP BY ALL",
+    "workflow_summary": f"WITH {_PRICED}, g AS (SELECT *, greatest(input_tokens - lag(input_tokens) {_ORDER}, 0) AS grown FROM priced) SELECT workflow_id, count(*) AS steps, sum(input_tokens)::BIGINT AS input_tokens, max(input_tokens) AS max_context, sum(cost::DECIMAL(18,9))::DOUBLE AS cost_usd, count(DISTINCT model) AS models, count(DISTINCT agent_id) AS agents, coalesce(sum(grown), 0)::BIGINT AS growth, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens, date_sub('second', min(ts), max(ts)) AS seconds FROM g GROUP BY ALL",
     "agent_longest_run": f"WITH {_USAGE}, i AS (SELECT workflow_id, agent_id, row_number() {_ORDER} AS i, row_number() {_ORDER} - row_number() OVER (PARTITION BY workflow_id, agent_id ORDER BY ts, event_id) AS island FROM usage), r AS (SELECT workflow_id, agent_id, island, count(*) AS run, min(i) AS first FROM i WHERE agent_id IS NOT NULL GROUP BY ALL) SELECT workflow_id, agent_id, run FROM r QUALIFY row_number() OVER (PARTITION BY workflow_id ORDER BY run DESC, first) = 1",
     "prompt_repeat": f"WITH {_USAGE}, p AS (SELECT workflow_id, prompt_hash, row_number() {_ORDER} AS step, lag(prompt_hash) {_ORDER} AS before FROM usage) SELECT workflow_id, min(step) AS step, arg_min(prompt_hash, step) AS prompt_hash FROM p WHERE before = prompt_hash GROUP BY ALL",
     "scorecard_upper_median": f"WITH {_USAGE}, r AS (SELECT provider, input_tokens, row_number() OVER (PARTITION BY provider ORDER BY input_tokens) AS nr, count(*) OVER (PARTITION BY provider) AS n FROM usage WHERE input_tokens IS NOT NULL) SELECT provider, input_tokens AS upper_median FROM r WHERE nr = n // 2 + 1",
     "latest_cost": f"WITH {_USAGE} SELECT workflow_id, ts, cost_usd FROM usage WHERE cost_usd IS NOT NULL QUALIFY row_number() OVER (PARTITION BY workflow_id ORDER BY ts DESC, event_id) = 1",
     "token_estimate": "WITH p AS (SELECT conv_id, text, length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) AS plain FROM conversations) SELECT conv_id, sum(ceil(plain / 4.0::DOUBLE + (length(text) - plain) / 1.5::DOUBLE) + 4)::BIGINT AS tokens FROM p GROUP BY ALL",
-    "prompt_compress": "WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text, '‘’“”', '''''\"\"'), '(?s)<!--.*?-->', '', 'g'), '[ \\t]+\\n', chr(10), 'g'), '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS t FROM documents), " + _lines_kept("c") + " SELECT doc_id, length(t)::INTEGER AS length, md5(t) AS digest FROM kept",
-    "chunk_prune": "WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents), p AS (SELECT doc_id, CASE WHEN len(l) >= 8 THEN array_to_string(l[1:4], chr(10)) ELSE text END AS t FROM l) SELECT doc_id, length(t)::INTEGER AS length, md5(t) AS digest FROM p",
-    "noise_scrub": "WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\\x1b\\[[0-9;]*[A-Za-z]', '', 'g'), '[ \\t]+(\\n|$)', '\\1', 'g') AS t FROM documents), " + _lines_kept("c") + ", e AS (SELECT doc_id, regexp_replace(t, '\\n{3,}', chr(10) || chr(10), 'g') AS t FROM kept) SELECT doc_id, length(t)::INTEGER AS length, md5(t) AS digest FROM e",
-    "redact_text": "WITH r AS (SELECT doc_id, " + "regexp_replace(" * 3 + "text" + "".join(f", '{p}', '[{k}]', 'g')" for k, p in text.FINDINGS.items()) + " AS t FROM documents) SELECT doc_id, length(t)::INTEGER AS length, md5(t) AS digest FROM r",
-    "redaction_counts": "SELECT " + ", ".join(f"sum(len(regexp_extract_all(text, '{p}')))::BIGINT AS n_{k}" for k, p in text.FINDINGS.items()) + " FROM documents",
+    "prompt_compress": "WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text, '‘’“”—–' || chr(160), '''''\"\"-- '), '(?s)<!--.*?-->', '', 'g'), '(?m)[ \\t]+$', '', 'g'), '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS t FROM documents), " + _lines_kept("c", f"trim(x, {_BLANKS}) <> '' AND trim(x, {_BLANKS}) = trim(y, {_BLANKS})") + f" SELECT doc_id, {_TEXT_OUT} FROM kept",
+    "chunk_prune": "WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN replace(text, '. ', '.' || chr(10) || '---' || chr(10)) WHEN 2 THEN '1. ' || replace(text, '. ', '.' || chr(10) || '2. ') ELSE text END AS t FROM documents), n AS (SELECT doc_id, t, string_split(regexp_replace(t, '(?m)^((?:\\d+\\.\\s|\\[\\d+\\]\\s))', chr(1) || '\\1', 'g'), chr(1))[2:] AS headed FROM d), c AS (SELECT doc_id, t, CASE WHEN regexp_matches(t, '(?m)^(?:-{3,}|={3,})\\s*$') THEN list_filter(list_transform(string_split_regex(t, '(?m)^(?:-{3,}|={3,})\\s*$'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') WHEN len(headed) > 1 THEN list_transform(headed, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) ELSE [] END AS c FROM n), p AS (SELECT doc_id, CASE WHEN len(c) >= 8 THEN array_to_string(c[1:4], chr(10) || '---' || chr(10)) ELSE t END AS t FROM c) SELECT doc_id, " + _TEXT_OUT + " FROM p",
+    "noise_scrub": "WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\\x1b\\[[0-9;?]*[ -/]*[@-~]', '', 'g'), '(?m)[ \\t\\r]+$', '', 'g') AS t FROM documents), " + _lines_kept("c", "x = y") + ", e AS (SELECT doc_id, trim(t, chr(10)) AS t FROM kept) SELECT doc_id, " + _TEXT_OUT + " FROM e",
+    "redact_text": f"WITH {_REDACTED} SELECT doc_id, {_TEXT_OUT} FROM redacted",
+    "redaction_counts": f"WITH {_REDACTED} SELECT kind, count(*) AS findings FROM (SELECT unnest(kinds) AS kind FROM redacted) GROUP BY kind",
     "rule_duplicates": "SELECT 'sha256:' || sha256(text) AS hash, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY sha256(text) HAVING count(*) >= 2",
     "context_trim": "WITH a AS (SELECT conv_id, turn, role, coalesce(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS later FROM conversations) SELECT conv_id, turn, role FROM a WHERE role = 'system' OR later < 2",
+    "near_dup_messages": """WITH RECURSIVE n AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS nr FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, turn + 1000, role, substr(text, 13) FROM conversations UNION ALL SELECT conv_id, turn + 2000, role, replace(substr(text, 13), ' d', ' ') FROM conversations)),
+w AS (SELECT *, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') AS w FROM n WHERE strlen(text) >= 200 AND role <> 'system'),
+g AS (SELECT *, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) = 2 THEN [w[1], w[2], w[1] || ' ' || w[2]] ELSE w END) AS s FROM w WHERE len(w) > 0),
+p AS (SELECT a.conv_id, a.role, a.nr AS early, b.nr AS late FROM g a JOIN g b ON a.conv_id = b.conv_id AND a.role = b.role AND a.nr < b.nr AND len(list_intersect(a.s, b.s)) >= 0.85::DOUBLE * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))),
+q AS (SELECT conv_id, role, late, list(early ORDER BY early) AS earlier FROM p GROUP BY ALL),
+l AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY late) AS i FROM q),
+f AS (
+  SELECT conv_id, role, i, late, list_filter(earlier, lambda e: true)[1] AS head, [late] AS members FROM l WHERE i = 1
+  UNION ALL
+  SELECT l.conv_id, l.role, l.i, l.late, list_filter(l.earlier, lambda e: NOT list_contains(f.members, e))[1],
+    CASE WHEN len(list_filter(l.earlier, lambda e: NOT list_contains(f.members, e))) > 0 THEN list_append(f.members, l.late) ELSE f.members END
+  FROM f JOIN l ON l.conv_id = f.conv_id AND l.role = f.role AND l.i = f.i + 1)
+SELECT f.conv_id, x.turn, h.turn AS head_turn, f.head::INTEGER AS head_nr, strlen(x.text)::INTEGER AS dropped_bytes
+FROM f JOIN n x ON x.conv_id = f.conv_id AND x.nr = f.late JOIN n h ON h.conv_id = f.conv_id AND h.nr = f.head WHERE f.head IS NOT NULL""",
     "prompt_findings": "SELECT count(*) AS prompts, count(*) FILTER (length(text) < 20) AS under_20, count(*) FILTER (length(text) >= 20 AND length(text) < 100) AS under_100, count(*) FILTER (length(text) >= 100) AS longer, count(*) FILTER (lower(trim(text)) IN ('ok', 'yes', 'thanks', 'continue', 'go on')) AS acks, count(*) FILTER (text LIKE '%?') AS questions, round(avg(length(text)), 6) AS mean_length FROM conversations WHERE role = 'user'",
     "reply_stats": "WITH w AS (SELECT conv_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM conversations WHERE role = 'assistant'), c AS (SELECT conv_id, len(w) AS words, len(list_filter(w, lambda x: lower(x) IN ('a', 'an', 'the'))) AS articles, length(array_to_string(w, '')) AS letters FROM w), s AS (SELECT conv_id, count(*) AS replies, sum(words)::BIGINT AS words, sum(articles)::BIGINT AS articles, sum(letters)::BIGINT AS letters FROM c GROUP BY ROLLUP (conv_id)) SELECT conv_id, replies, words, round(CASE WHEN words > 0 THEN letters::DOUBLE / words ELSE 0 END, 6) AS mean_word, round(CASE WHEN words > 0 THEN articles::DOUBLE / words ELSE 0 END, 6) AS article_share FROM s",
 }
