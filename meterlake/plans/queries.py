@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pricing
-from ..operators import messages, redaction, series, spend, text
+from ..operators import messages, redaction, series, spend, text, tool_output
 from ..sources.usage import usage_events, without_sources
+from . import tool_samples
 
 NOW = datetime(2024, 1, 25, 12)
 
@@ -73,6 +74,18 @@ def _echoed(spark: SparkSession, d: str) -> DataFrame:
     return c.unionByName(cut).unionByName(cut.withColumns({"turn": F.col("turn") + 1000, "text": F.replace(F.col("text"), F.lit(" d"), F.lit(" "))}))
 
 
+def _tool_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """The sample outputs at two levels, reduced."""
+    samples = spark.createDataFrame(tool_samples.outputs(), "command string, t string")
+    rows = samples.withColumn("level", F.explode(F.array(F.lit("balanced"), F.lit("aggressive"))))
+    out = rows.withColumn("r", tool_output.reduced(F.col("t"), F.col("command"), F.col("level")))
+    return out.select("command", "level", F.col("r.text").alias("text"), F.col("r.critical_kept").alias("critical_kept"))
+
+
+# Plain rules for prose: what must stay, what goes, what goes at the aggressive level.
+PROSE_RULES = (["[A-Za-z0-9._-]+@", "[Ll]icen[cs]ed"], ["^.{0,40}$", "^[A-D]"], ["e[rn]\\.$", "^[E-H]"])
+
+
 def _text_digest(column) -> list:
     return [F.length(column).alias("length"), F.md5(column.cast("binary")).alias("digest")]
 
@@ -111,6 +124,8 @@ QUERIES = {
     "redaction_counts": lambda s, d: redaction.counts(_leaky(s, d), "text"),
     "rule_duplicates": lambda s, d: text.duplicate_groups(_read(s, d, "documents")),
     "context_trim": lambda s, d: text.trimmed(_read(s, d, "conversations"), 2).select("conv_id", "turn", "role"),
+    "tool_output_reduce": _tool_outputs,
+    "tool_output_rules": lambda s, d: _read(s, d, "documents").select("doc_id", *_text_digest(tool_output.filtered(F.col("text"), *PROSE_RULES, "aggressive"))),
     "near_dup_messages": lambda s, d: messages.near_duplicates(_echoed(s, d)),
     "prompt_findings": lambda s, d: text.prompt_findings(_read(s, d, "conversations")),
     "reply_stats": lambda s, d: text.reply_stats(_read(s, d, "conversations")),
@@ -220,6 +235,14 @@ ORACLE_SQL = {
     "redaction_counts": f"WITH {_REDACTED} SELECT kind, count(*) AS findings FROM (SELECT unnest(kinds) AS kind FROM redacted) GROUP BY kind",
     "rule_duplicates": "SELECT 'sha256:' || sha256(text) AS hash, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY sha256(text) HAVING count(*) >= 2",
     "context_trim": "WITH a AS (SELECT conv_id, turn, role, coalesce(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS later FROM conversations) SELECT conv_id, turn, role FROM a WHERE role = 'system' OR later < 2",
+    "tool_output_reduce": "SELECT command, level, text, true AS critical_kept FROM (VALUES "
+    + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (c, level, tool_samples.expected(c, level))) + ")" for c in tool_samples.SAMPLES for level in ("balanced", "aggressive"))
+    + ") v(command, level, text)",
+    "tool_output_rules": "WITH c AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '\\x1b\\[[0-9;?]*[ -/]*[@-~]', '', 'g'), '(?m)[ \\t\\r]+$', '', 'g') AS t FROM documents), "
+    + _lines_kept("c", "x = y")
+    + ", s AS (SELECT doc_id, string_split(trim(t, chr(10)), chr(10)) AS l FROM kept), f AS (SELECT doc_id, list_filter(l, lambda x: "
+    + f"(trim(x, {_BLANKS}) <> '' AND regexp_matches(trim(x, {_BLANKS}), '{'|'.join(f'(?:{p})' for p in PROSE_RULES[0])}')) OR NOT regexp_matches(trim(x, {_BLANKS}), '{'|'.join(f'(?:{p})' for p in [*PROSE_RULES[1], *PROSE_RULES[2]])}')) AS l FROM s)"
+    + f", o AS (SELECT doc_id, trim(array_to_string(l, chr(10)), {_BLANKS} || chr(10)) AS t FROM f) SELECT doc_id, {_TEXT_OUT} FROM o",
     "near_dup_messages": """WITH RECURSIVE n AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS nr FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, turn + 1000, role, substr(text, 13) FROM conversations UNION ALL SELECT conv_id, turn + 2000, role, replace(substr(text, 13), ' d', ' ') FROM conversations)),
 w AS (SELECT *, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') AS w FROM n WHERE strlen(text) >= 200 AND role <> 'system'),
 g AS (SELECT *, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) = 2 THEN [w[1], w[2], w[1] || ' ' || w[2]] ELSE w END) AS s FROM w WHERE len(w) > 0),
