@@ -2,9 +2,11 @@
 
 Sentences and lines with a cue word, and what stands between near ones, are candidate blocks. Each
 is compressed with Zstandard alone and with each template as a raw dictionary; templates are ranked
-by how much smaller they make it. Wherever a block has the words of a template, the template is
-confirmed by its exact differences in wording: it must be covered, and differ in no word that tells
-licences apart. A block may hold several licences; the ranking decides between those of equal length.
+by how much smaller they make it. A block takes in the lines around it, and the blocks after it,
+for as long as the best templates explain most of their bytes. Wherever a block has the words of a
+template, the template is confirmed by its exact differences in wording: it must be covered, differ
+in no word that tells licences apart, and have few words put in between. A block may hold several
+licences; the ranking decides between those of equal length.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -53,23 +56,32 @@ _CLOSING = re.compile(r"[^\w\s]*")
 GAP = 2
 LEAST_COVERED = 0.85
 LEAST_REDUCTION = 0.25
+#: Share of a segment's compressed size that one of the best templates must save for a block to take it in.
+EXPLAINED = 0.4
+#: Templates that are tried on a segment beside a block.
+BEST = 3
+
+
+def segments(text: str) -> list[tuple[int, int]]:
+    """(start, end) of lines and sentences that aren't blank."""
+    cuts = [*((m.start(), m.end()) for m in _BREAK.finditer(text)), (len(text), len(text))]
+    starts = [0, *(b for _, b in cuts[:-1])]
+    return [(s, e) for s, (e, _) in zip(starts, cuts, strict=True) if text[s:e].strip()]
 
 
 def candidate_blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) in code points, end exclusive."""
+    """(start, end) in code points, end exclusive, of cue segments and up to GAP others between two."""
     if not CUE.search(text):
         return []
     blocks: list[list[int]] = []
-    start, last = 0, -GAP - 2
-    cuts = [*((m.start(), m.end()) for m in _BREAK.finditer(text)), (len(text), len(text))]
-    for number, (end, following) in enumerate(cuts):
+    last = -GAP - 2
+    for number, (start, end) in enumerate(segments(text)):
         if CUE.search(text, start, end):
             if number - last <= GAP + 1:
                 blocks[-1][1] = end
             else:
                 blocks.append([start, end])
             last = number
-        start = following
     return [(a, b) for a, b in blocks]
 
 
@@ -87,6 +99,7 @@ class LicenseScanner:
         plain = dict(write_content_size=False, write_checksum=False, write_dict_id=False)
         self.alone = zstd.ZstdCompressor(level=3, **plain)
         self.with_template = [zstd.ZstdCompressor(level=3, dict_data=zstd.ZstdCompressionDict(text.encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT), **plain) for _, text, _ in self.templates]
+        self.frame = len(self.alone.compress(b""))
         self.seen: dict[str, tuple] = {}
         self.cache = cache
 
@@ -96,28 +109,99 @@ class LicenseScanner:
         size = len(self.alone.compress(raw))
         return sorted(((1 - len(c.compress(raw)) / size, i) for i, c in enumerate(self.with_template)), key=lambda x: (-x[0], x[1]))
 
-    def aligned(self, own: list[str], number: int) -> tuple[float, list[str], bool, list[int]]:
-        """(share of the template's words that own has in order, differences within them, whether none is telling, places in own of the words shared)."""
+    def _explained(self, text: str, block: tuple[int, int], grown: tuple[int, int], numbers: list[int]) -> bool:
+        """Whether a template saves EXPLAINED of the segment by which a block would grow, or of what it adds to the block."""
+        sizes = lambda a, b: np.array([len(c.compress(text[a:b].encode())) for c in (self.alone, *(self.with_template[n] for n in numbers))])
+        segment = (grown[0], block[0]) if grown[0] < block[0] else (block[1], grown[1])
+        added, own = sizes(*grown) - sizes(*block), sizes(*segment) - self.frame
+        return min(own[1:]) <= (1 - EXPLAINED) * own[0] or (added[0] > 3 and min(added[1:]) <= (1 - EXPLAINED) * added[0])
+
+    def grown_blocks(self, text: str) -> list[tuple[int, int]]:
+        """candidate_blocks, each with the segments around it that its best templates explain; blocks that meet are one.
+
+        A segment, or it and the next two, is explained if a template saves at least EXPLAINED of
+        its compressed size. Lines of wrapped text without a cue are so
+        taken in. A block whose best template saves less than LEAST_REDUCTION doesn't grow.
+        """
+        todo = candidate_blocks(text)
+        if not todo:
+            return []
+        parts = segments(text)
+        first = {s: i for i, (s, _) in enumerate(parts)}
+        last = {e: i for i, (_, e) in enumerate(parts)}
+        spans = [(first[a], last[b]) for a, b in todo]
+        out: list[list[int]] = []
+        at = 0
+        while at < len(spans):
+            a, b = spans[at]
+            at += 1
+            floor = out[-1][1] + 1 if out else 0
+            order = self.ranked(text[parts[a][0] : parts[b][1]])
+            while order[0][0] >= LEAST_REDUCTION:
+                numbers = [n for _, n in order[:BEST]]
+                block = parts[a][0], parts[b][1]
+                lo = next((i for i in range(a - 1, max(floor, a - 3) - 1, -1) if self._explained(text, block, (parts[i][0], block[1]), numbers)), a)
+                hi = next((i for i in range(b + 1, min(len(parts), b + 4)) if self._explained(text, block, (block[0], parts[i][1]), numbers)), b)
+                if (lo, hi) == (a, b):
+                    break
+                a, b = lo, hi
+                while at < len(spans) and b >= spans[at][0] - 1:  # it has met the next block
+                    b = max(b, spans[at][1])
+                    at += 1
+                order = self.ranked(text[parts[a][0] : parts[b][1]])
+            out.append([a, b])
+        return [(parts[a][0], parts[b][1]) for a, b in out]
+
+    def aligned(self, own: list[str], number: int) -> tuple[float, list[str], bool, list[int], list[int]]:
+        """(share of the template's words that own has in order, differences within them, whether no telling word is left out or changed, places in own of the words shared, and of those put in between)."""
         want = self.templates[number][2]
         ops = difflib.SequenceMatcher(None, want, own, autojunk=False).get_opcodes()
         shared = [i for op, _, _, c, d in ops if op == "equal" for i in range(c, d)]
         inner = [(a, b, c, d) for op, a, b, c, d in ops if op != "equal" and (b > a or 0 < a < len(want))]
-        telling = any(TELLING.fullmatch(w) for a, b, c, d in inner for w in [*want[a:b], *(own[c:d] if b > a or d - c < 4 else [])])
+        telling = any(TELLING.fullmatch(w) for a, b, c, d in inner if b > a for w in [*want[a:b], *own[c:d]])
         shown = [f"-{' '.join(want[a:b])}" * (b > a) + f"+{' '.join(own[c:d])}" * (d > c) for a, b, c, d in inner]
-        return len(shared) / max(1, len(want)), shown, not telling, shared
+        return len(shared) / max(1, len(want)), shown, not telling, shared, [i for a, b, c, d in inner if b == a for i in range(c, d)]
 
-    def places(self, own: list[str], number: int) -> list[tuple[float, list[str], list[int]]]:
-        """(covered, differences, places of the words shared) wherever own has the template with few words between.
+    def harmless(self, words: list[str], number: int) -> bool:
+        """Whether words put into a template leave the licence what it is: none is telling, and they aren't more than may be left out."""
+        return len(words) <= max(2, (1 - LEAST_COVERED) * len(self.templates[number][2])) and not any(TELLING.fullmatch(w) for w in words)
+
+    def _cut(self, own: list[str], start: int, shared: list[int], number: int) -> bool:
+        """parted, for a window that begins at start and shares the given places with the template."""
+        want = self.templates[number][2]
+        first, last = start + shared[0], start + shared[-1]
+        head = next((i for i, w in enumerate(want) if w == own[first]), 0)
+        tail = next((i for i, w in enumerate(reversed(want)) if w == own[last]), 0)
+        return self.parted(own, first, last + 1, number, head, tail)
+
+    def parted(self, own: list[str], start: int, end: int, number: int, head: int, tail: int) -> bool:
+        """Whether the template's first or last words, of which `head` and `tail` are missing from own[start:end], stand apart from it with words between that change the licence.
+
+        Three of them in a row are what is looked for, within a template's length.
+        """
+        want = self.templates[number][2]
+        cuts = []
+        if head > 2:
+            near = range(max(0, start - len(want)), start - 2)
+            cuts += [own[i + 3 : start] for i in near if own[i : i + 3] == want[:3]][-1:]
+        if tail > 2:
+            near = range(end, min(len(own), end + len(want)) - 2)
+            cuts += [own[end:i] for i in near if own[i : i + 3] == want[-3:]][:1]
+        return not all(self.harmless(list((Counter(c) - Counter([*want[3:head], *want[len(want) - tail : -3]])).elements()), number) for c in cuts)
+
+    def places(self, own: list[str], number: int) -> list[tuple[float, list[str], list[int], list[int]]]:
+        """(covered, differences, places of the words shared, of those put in) wherever own has the template with few words between.
 
         A window is aligned only if it starts with a word that a covered template can start with and
         has enough of the template's words, in any order; the count moves along with the window. Of
-        windows that start close together the one that covers most counts.
+        windows that start close together the one with no telling word put in, then the one that
+        covers most counts.
         """
         want = self.templates[number][2]
         need = LEAST_COVERED * len(want)
         first = set(want[: int(len(want) - need) + 1])
         width = len(want) + max(3, len(want) // 4)
-        free, common, out, last, best, until = Counter(want), 0, [], -1, None, 0.0
+        free, common, out, last, best, rank, until = Counter(want), 0, [], -1, None, (False, 0.0), 0.0
         for i in range(1 - width, len(own)):
             if i + width <= len(own):
                 w = own[i + width - 1]
@@ -127,14 +211,17 @@ class LicenseScanner:
                 w = own[i - 1]
                 free[w] += 1
                 common -= free[w] > 0
-            if best and (best[0] == 1 or i > until):
+            if best and (rank == (True, 1) or i > until):
                 out.append(best)
                 last, best = best[2][-1], None
             if i > last and common >= need and own[i] in first:
-                covered, shown, same, shared = self.aligned(own[i : i + width], number)
-                if covered >= LEAST_COVERED and same and (best is None or covered > best[0]):
+                covered, shown, same, shared, put_in = self.aligned(own[i : i + width], number)
+                if covered < LEAST_COVERED or not same or self._cut(own, i, shared, number):
+                    continue
+                new = self.harmless([own[i + j] for j in put_in], number), covered
+                if best is None or new > rank:
                     until = until if best else i + width - need
-                    best = covered, shown, [i + j for j in shared]
+                    best, rank = (covered, shown, [i + j for j in shared], [i + j for j in put_in]), new
         return out + [best] * (best is not None)
 
     def located(self, block: str) -> tuple[float, list[tuple]]:
@@ -142,6 +229,7 @@ class LicenseScanner:
 
         Of templates with the same words the longest counts, then the one ranked first; another one
         counts beside it if it has a telling word of its own or as many other words as common ones.
+        Words of another confirmed licence may stand within a template.
         """
         if block in self.seen:
             return self.seen[block]
@@ -158,13 +246,17 @@ class LicenseScanner:
                 continue
             here = self.places(own, number)
             if not here and reduction >= LEAST_REDUCTION:
-                covered, shown, same, shared = self.aligned(own, number)
-                here = [(covered, shown, shared)] if covered >= LEAST_COVERED and same else []
-            found += [(-len(shared), rank, number, covered, shown, shared) for covered, shown, shared in here]
+                covered, shown, same, shared, put_in = self.aligned(own, number)
+                here = [(covered, shown, shared, put_in)] if covered >= LEAST_COVERED and same else []
+            for covered, shown, shared, put_in in here:
+                firm = self.harmless([own[i] for i in put_in], number)
+                found.append((not firm, -len(shared), rank, shared[0], number, covered, shown, shared, put_in))
         used: set[int] = set()
         out = []
-        for _, _, number, covered, shown, shared in sorted(found, key=lambda x: (*x[:2], x[5][0])):
+        for _, _, _, _, number, covered, shown, shared, put_in in sorted(found, key=lambda x: x[:4]):
             fresh = [i for i in shared if i not in used]
+            if not self.harmless([own[i] for i in put_in if i not in used], number):
+                continue
             if not fresh or (2 * len(fresh) < len(shared) and not any(TELLING.fullmatch(own[i]) for i in fresh)):
                 continue
             used.update(shared)
@@ -187,7 +279,7 @@ class LicenseScanner:
 
     def rows(self, text: str) -> Iterator[tuple]:
         """(start, end, licence or None, reduction, covered, differences): each confirmed span, and what has a cue beside them."""
-        for a, b in candidate_blocks(text):
+        for a, b in self.grown_blocks(text):
             best, found = self.located(text[a:b])
             if not found:
                 yield a, b, None, best, 0.0, []
