@@ -14,7 +14,7 @@ from .common import id_and_text, let
 
 WORDS = 5
 #: One in so many shingle hashes is retained.
-SCALE = 8
+SCALE = 4
 _LEAST = -(1 << 63)
 
 
@@ -64,7 +64,10 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def merged(sketches: Column) -> Column:
-    """Aggregate: the hashes of the sketch of all documents together; partly summed before the shuffle."""
+    """Aggregate: the hashes of the sketch of all documents of a group together; partly summed before the shuffle.
+
+    A group's merged sketch is one value: 8 bytes for each distinct retained hash.
+    """
     return F.array_sort(F.array_distinct(F.flatten(F.collect_set(sketches["hashes"]))))
 
 

@@ -1,9 +1,10 @@
 import hashlib
+import re
 import statistics
 
 from pyspark.sql import functions as F
 
-from meterlake.llm.fingerprint import containment, fingerprints, merged, with_next
+from meterlake.llm.fingerprint import SCALE, containment, fingerprints, merged, with_next
 from meterlake.llm.queries import fingerprint_rows
 
 from .samples import HARD, docs
@@ -50,6 +51,30 @@ def test_estimates_follow_the_truth(spark):
     for got, want in zip(row, (1, len(ga & gb) / len(ga), len(gc & ga) / len(gc)), strict=True):
         assert abs(got - want) < 0.08
     all_ = fingerprints(docs(spark, texts)).agg(merged(F.col("sketch")).alias("m")).first().m
-    assert abs(len(all_) * 8 - len(ga | gb | gc)) < 0.15 * len(ga | gb | gc)
+    assert abs(len(all_) * SCALE - len(ga | gb | gc)) < 0.15 * len(ga | gb | gc)
     errors = [abs(row[1] - len(ga & gb) / len(ga))]
     assert statistics.mean(errors) < 0.08
+
+
+def test_likeness_of_edited_and_next_texts_as_by_all_shingles(spark):
+    """near_edited and near_next against the Jaccard similarity of all shingles, computed in Python."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").collect()]
+    rows = {r.doc_id: r for r in fingerprint_rows(docs(spark, texts)).collect()}
+
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+    errors = []
+    for i, t in enumerate(texts):
+        k, nxt = len(t) // 3, texts[i - 1]
+        own = shingles(t)
+        for got, other in ((rows[i].near_edited, t[: len(t) - k] + nxt[:k]), (rows[i].near_next, nxt)):
+            b = shingles(other)
+            if len(own | b) > 60:
+                errors.append(abs(got - len(own & b) / len(own | b)))
+    assert len(errors) > 500 and statistics.mean(errors) < 0.05 and sorted(errors)[int(0.95 * len(errors))] < 0.15
+
+
+def test_empty_table(spark):
+    assert fingerprint_rows(docs(spark, [])).count() == 0
