@@ -34,26 +34,44 @@ def fixed_anomalies(series: DataFrame, key: str, threshold: float = 2.0) -> Data
     return out.select(key, "at", "value", F.round("z", 6).alias("z"), _severity(F.col("z"), threshold).alias("severity"))
 
 
+Z95 = 1.96
+
+
+def _banded(df: DataFrame, key: str, value: Column, width: Column) -> DataFrame:
+    """key, step, predicted, lower and upper, each not below 0."""
+    shown = lambda x, name: F.round(F.greatest(F.lit(0.0), x), 4).alias(name)
+    return df.select(key, "step", shown(value, "predicted"), shown(value - width, "lower"), shown(value + width, "upper"))
+
+
 def linear_forecast(series: DataFrame, key: str, horizon: int = 3) -> DataFrame:
-    """Least-squares line over the index of each series, `horizon` points on, not below 0."""
+    """Least-squares line over the index of each series, `horizon` points on, with the 95 % band of its residuals (n - 2 degrees; none for two points)."""
     x = F.row_number().over(Window.partitionBy(key).orderBy("at")) - 1
-    fit = series.withColumn("x", x).groupBy(key).agg(F.regr_slope("value", "x").alias("slope"), F.regr_intercept("value", "x").alias("base"), F.count("*").alias("n")).filter("n >= 2")
+    sums = [F.regr_slope("value", "x").alias("slope"), F.regr_intercept("value", "x").alias("base"), F.count("*").alias("n"), F.regr_syy("value", "x").alias("syy"), F.regr_sxy("value", "x").alias("sxy"), F.regr_sxx("value", "x").alias("sxx")]
+    fit = series.withColumn("x", x).groupBy(key).agg(*sums).filter("n >= 2")
+    rest = F.greatest(F.lit(0.0), F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"))
+    sigma = F.when(F.col("n") > 2, F.sqrt(rest / (F.col("n") - 2))).otherwise(0.0)
     ahead = fit.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-    return ahead.select(key, "step", F.round(F.greatest(F.lit(0.0), F.col("base") + F.col("slope") * (F.col("n") - 1 + F.col("step"))), 4).alias("predicted"))
+    return _banded(ahead, key, F.col("base") + F.col("slope") * (F.col("n") - 1 + F.col("step")), Z95 * sigma)
 
 
 def holt_forecast(series: DataFrame, key: str, alpha: float = 0.6, beta: float = 0.3, horizon: int = 3) -> DataFrame:
-    """Double exponential smoothing as a fold over each series in time order; series are bucketed first, so arrays stay short."""
+    """Double exponential smoothing as a fold over each series in time order, with a 95 % band that widens by the root of the step.
+
+    Series are bucketed first, so arrays stay short.
+    """
     points = F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda p: p["value"])
     folded = series.groupBy(key).agg(points.alias("v")).filter(F.size("v") >= 2)
-    start = F.struct(F.get("v", F.lit(0)).alias("l"), (F.get("v", F.lit(1)) - F.get("v", F.lit(0))).alias("t"))
+    start = F.struct(F.get("v", F.lit(0)).alias("l"), (F.get("v", F.lit(1)) - F.get("v", F.lit(0))).alias("t"), F.lit(0.0).alias("ss"))
 
     def step(s: Column, v: Column) -> Column:
-        level = alpha * v + (1 - alpha) * (s["l"] + s["t"])
-        return F.struct(level.alias("l"), (beta * (level - s["l"]) + (1 - beta) * s["t"]).alias("t"))
+        guess = s["l"] + s["t"]
+        level = alpha * v + (1 - alpha) * guess
+        return F.struct(level.alias("l"), (beta * (level - s["l"]) + (1 - beta) * s["t"]).alias("t"), (s["ss"] + (v - guess) * (v - guess)).alias("ss"))
 
     out = folded.withColumn("s", F.aggregate(F.slice("v", 2, F.size("v")), start, step)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-    return out.select(key, "step", F.round(F.greatest(F.lit(0.0), F.col("s.l") + F.col("step") * F.col("s.t")), 4).alias("predicted"))
+    n = F.size("v")
+    sigma = F.when(n > 2, F.sqrt(F.col("s.ss") / (n - 2))).otherwise(0.0)
+    return _banded(out, key, F.col("s.l") + F.col("step") * F.col("s.t"), Z95 * sigma * F.sqrt(F.col("step").cast("double")))
 
 
 def steps(events: DataFrame) -> DataFrame:

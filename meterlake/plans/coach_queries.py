@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import pricing
 from ..operators import coach, series, spend
 from ..sources.usage import SYNTHETIC, usage_events
-from .queries import _DAILY, _NOW, _ORDER, _PRICED, _SUMS, _USAGE, NOW, _daily, _priced, _read, _usage
+from .queries import _DAILY, _FIT, _HOLT, _HOLT_BAND, _LINE_BAND, _NOW, _ORDER, _PRICED, _SUMS, _USAGE, _X, NOW, _daily, _priced, _read, _usage
 
 PLANS = [("openai", 4_000_000, 900), ("anthropic", 90_000_000, 500), ("gemini", 2_000_000_000, 5_000_000), ("none", 1000, 10)]
 TASKS = [("a", datetime(2024, 1, 2, 3), datetime(2024, 1, 2, 9)), ("b", datetime(2024, 1, 5, 22), datetime(2024, 1, 7, 1)), ("c", datetime(2030, 1, 1), datetime(2030, 1, 2))]
@@ -73,12 +73,6 @@ r AS (SELECT workflow_id, agent_id, island, count(*) AS run, min(i) AS first FRO
 runs AS (SELECT workflow_id, agent_id, run FROM r QUALIFY row_number() OVER (PARTITION BY workflow_id ORDER BY run DESC, first) = 1),
 facts AS (SELECT s.*, runs.agent_id, coalesce(runs.run, 0) AS run FROM sums s LEFT JOIN runs USING (workflow_id))"""
 
-_HOLT = """h AS (
-  SELECT provider, i, n, value AS l, nxt - value AS t FROM x WHERE i = 1 AND n >= 2
-  UNION ALL
-  SELECT h.provider, x.i, h.n, 0.6::DOUBLE * x.value + 0.4::DOUBLE * (h.l + h.t), 0.3::DOUBLE * (0.6::DOUBLE * x.value + 0.4::DOUBLE * (h.l + h.t) - h.l) + 0.7::DOUBLE * h.t
-  FROM h JOIN x ON x.provider = h.provider AND x.i = h.i + 1)"""
-_X = "x AS (SELECT provider, value, row_number() OVER (PARTITION BY provider ORDER BY moment) AS i, lead(value) OVER (PARTITION BY provider ORDER BY moment) AS nxt, count(*) OVER (PARTITION BY provider) AS n FROM {})"
 _VALUES = ", ".join(str(p) for p in PLANS)
 _TASKS = ", ".join(f"('{t}', TIMESTAMP '{a}', TIMESTAMP '{b}')" for t, a, b in TASKS)
 
@@ -127,9 +121,9 @@ SELECT kpi, value, CASE WHEN value >= 90 THEN 'A' WHEN value >= 70 THEN 'B' WHEN
     "forecast_auto": f"""WITH RECURSIVE {_USAGE},
 weekly AS (SELECT provider, date_trunc('week', ts)::TIMESTAMP AS moment, sum(input_tokens)::DOUBLE AS value FROM usage GROUP BY ALL),
 {_X.format("weekly")}, {_HOLT},
-f AS (SELECT provider, regr_slope(value, i - 1) AS slope, regr_intercept(value, i - 1) AS base, count(*) AS n FROM x GROUP BY ALL)
-SELECT provider, step::INTEGER AS step, round(greatest(0, l + step * t), 4) AS predicted, 'holt' AS model FROM h, range(1, 4) r(step) WHERE i = n AND n >= 4
-UNION ALL SELECT provider, step::INTEGER, round(greatest(0, base + slope * (n - 1 + step)), 4), 'linear' FROM f, range(1, 4) r(step) WHERE n BETWEEN 2 AND 3""",
+f AS (SELECT provider, {_FIT} FROM (SELECT provider, value, i - 1 AS x FROM x) GROUP BY ALL)
+SELECT provider, step::INTEGER AS step, {_HOLT_BAND}, 'holt' AS model FROM h, range(1, 4) r(step) WHERE i = n AND n >= 4
+UNION ALL SELECT provider, step::INTEGER, {_LINE_BAND}, 'linear' FROM f, range(1, 4) r(step) WHERE n BETWEEN 2 AND 3""",
     "forecast_breach": f"""WITH RECURSIVE {_DAILY}, {_X.format("daily")}, {_HOLT},
 p AS (SELECT provider, step::INTEGER AS step, round(greatest(0, l + step * t), 4) AS predicted FROM h, range(1, 15) r(step) WHERE i = n),
 s AS (SELECT *, sum(predicted) OVER (PARTITION BY provider ORDER BY step) AS running FROM p)

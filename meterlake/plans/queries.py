@@ -200,6 +200,16 @@ ruled AS (SELECT doc_id, {"regexp_replace(" * len(redaction.RULES)}t{"".join(_ru
 parted AS (SELECT doc_id, list_transform(regexp_extract_all(t, '{_NO_PARTS}|{_NO_PARTS.replace("[^", "[")}'), lambda x: CASE WHEN strlen(x) >= 20 AND NOT contains(x, chr(1)) AND NOT contains(x, chr(2)) AND regexp_full_match(x, '{_NO_PARTS}') AND list_aggregate(string_split(x, ''), 'entropy') >= 4.5 THEN chr(1) || 'high_entropy' || chr(2) ELSE x END) AS parts FROM ruled),
 whole AS (SELECT doc_id, array_to_string(parts, '') AS t FROM parted),
 redacted AS (SELECT doc_id, replace(replace(t, chr(1), '<redacted:'), chr(2), '>') AS t, regexp_extract_all(t, chr(1) || '([a-z_]+)' || chr(2), 1) AS kinds FROM whole)"""
+_FIT = "regr_slope(value, x) AS slope, regr_intercept(value, x) AS base, count(*) AS n, regr_syy(value, x) AS syy, regr_sxy(value, x) AS sxy, regr_sxx(value, x) AS sxx"
+_LINE_BAND = "round(greatest(0, (base + slope * (n - 1 + step))), 4) AS predicted, round(greatest(0, (base + slope * (n - 1 + step)) - 1.96::DOUBLE * CASE WHEN n > 2 THEN sqrt(greatest(0, syy - sxy * sxy / sxx) / (n - 2)) ELSE 0 END), 4) AS lower, round(greatest(0, (base + slope * (n - 1 + step)) + 1.96::DOUBLE * CASE WHEN n > 2 THEN sqrt(greatest(0, syy - sxy * sxy / sxx) / (n - 2)) ELSE 0 END), 4) AS upper"
+_HOLT_BAND = "round(greatest(0, (l + step * t)), 4) AS predicted, round(greatest(0, (l + step * t) - 1.96::DOUBLE * sqrt(step::DOUBLE) * CASE WHEN n > 2 THEN sqrt(ss / (n - 2)) ELSE 0 END), 4) AS lower, round(greatest(0, (l + step * t) + 1.96::DOUBLE * sqrt(step::DOUBLE) * CASE WHEN n > 2 THEN sqrt(ss / (n - 2)) ELSE 0 END), 4) AS upper"
+_HOLT = """h AS (
+  SELECT provider, i, n, value AS l, nxt - value AS t, 0::DOUBLE AS ss FROM x WHERE i = 1 AND n >= 2
+  UNION ALL
+  SELECT h.provider, x.i, h.n, 0.6::DOUBLE * x.value + 0.4::DOUBLE * (h.l + h.t), 0.3::DOUBLE * (0.6::DOUBLE * x.value + 0.4::DOUBLE * (h.l + h.t) - h.l) + 0.7::DOUBLE * h.t,
+    h.ss + (x.value - h.l - h.t) * (x.value - h.l - h.t)
+  FROM h JOIN x ON x.provider = h.provider AND x.i = h.i + 1)"""
+_X = "x AS (SELECT provider, value, row_number() OVER (PARTITION BY provider ORDER BY moment) AS i, lead(value) OVER (PARTITION BY provider ORDER BY moment) AS nxt, count(*) OVER (PARTITION BY provider) AS n FROM {})"
 _TEXT_OUT = "length(t)::INTEGER AS length, md5(t) AS digest"
 ORACLE_SQL = {
     "spend_hourly_by_model": f"WITH {_PRICED} SELECT date_trunc('hour', ts) AS bucket, model, {_SUMS} FROM priced GROUP BY ALL",
@@ -219,8 +229,8 @@ ORACLE_SQL = {
     "cheapest_model": f"WITH {_TWO} SELECT provider, arg_min(pattern, (input_rate + output_rate, pattern)) AS pattern, min(input_rate + output_rate) AS total FROM new GROUP BY ALL",
     "anomaly_rolling": f"WITH {_DAILY}, w AS (SELECT *, count(value) OVER f AS n, avg(value) OVER f AS mean, coalesce(stddev_samp(value) OVER f, 0) AS sd FROM daily WINDOW f AS (PARTITION BY provider ORDER BY moment ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)), z AS (SELECT *, CASE WHEN sd > 0 THEN (value - mean) / sd ELSE 0 END AS z FROM w WHERE n >= 4) SELECT provider, moment AS \"at\", value, round(mean, 6) AS mean, round(z, 6) AS z, {_LEVEL} FROM z WHERE CASE WHEN sd > 0 THEN z >= 1.5 ELSE value > mean * 1.5 OR value < mean * 0.5 END",
     "anomaly_fixed": f"WITH {_DAILY}, z AS (SELECT *, (value - avg(value) OVER (PARTITION BY provider)) / nullif(stddev_samp(value) OVER (PARTITION BY provider), 0) AS z FROM daily) SELECT provider, moment AS \"at\", value, round(z, 6) AS z, {_LEVEL} FROM z WHERE z >= 1.5",
-    "forecast_linear": f"WITH {_DAILY}, x AS (SELECT provider, value, row_number() OVER (PARTITION BY provider ORDER BY moment) - 1 AS x FROM daily), f AS (SELECT provider, regr_slope(value, x) AS slope, regr_intercept(value, x) AS base, count(*) AS n FROM x GROUP BY ALL) SELECT provider, step::INTEGER AS step, round(greatest(0, base + slope * (n - 1 + step)), 4) AS predicted FROM f, range(1, 4) r(step) WHERE n >= 2",
-    "forecast_holt": f"WITH RECURSIVE {_DAILY}, x AS (SELECT provider, value, row_number() OVER (PARTITION BY provider ORDER BY moment) AS i, lead(value) OVER (PARTITION BY provider ORDER BY moment) AS nxt, count(*) OVER (PARTITION BY provider) AS n FROM daily), h AS (SELECT provider, i, n, value AS l, nxt - value AS t FROM x WHERE i = 1 AND n >= 2 UNION ALL SELECT h.provider, x.i, h.n, 0.6::DOUBLE * x.value + 0.4::DOUBLE * (h.l + h.t), 0.3::DOUBLE * (0.6::DOUBLE * x.value + 0.4::DOUBLE * (h.l + h.t) - h.l) + 0.7::DOUBLE * h.t FROM h JOIN x ON x.provider = h.provider AND x.i = h.i + 1) SELECT provider, step::INTEGER AS step, round(greatest(0, l + step * t), 4) AS predicted FROM h, range(1, 4) r(step) WHERE i = n",
+    "forecast_linear": f"WITH {_DAILY}, x AS (SELECT provider, value, row_number() OVER (PARTITION BY provider ORDER BY moment) - 1 AS x FROM daily), f AS (SELECT provider, {_FIT} FROM x GROUP BY ALL) SELECT provider, step::INTEGER AS step, {_LINE_BAND} FROM f, range(1, 4) r(step) WHERE n >= 2",
+    "forecast_holt": f"WITH RECURSIVE {_DAILY}, {_X.format('daily')}, {_HOLT} SELECT provider, step::INTEGER AS step, {_HOLT_BAND} FROM h, range(1, 4) r(step) WHERE i = n",
     "workflow_steps": f"WITH {_USAGE} SELECT workflow_id, event_id, row_number() {_ORDER} AS step, input_tokens - lag(input_tokens) {_ORDER} AS growth, date_sub('second', lag(ts) {_ORDER}, ts) AS gap_s FROM usage",
     "workflow_summary": f"WITH {_PRICED}, g AS (SELECT *, greatest(input_tokens - lag(input_tokens) {_ORDER}, 0) AS grown FROM priced) SELECT workflow_id, count(*) AS steps, sum(input_tokens)::BIGINT AS input_tokens, max(input_tokens) AS max_context, sum(cost::DECIMAL(18,9))::DOUBLE AS cost_usd, count(DISTINCT model) AS models, count(DISTINCT agent_id) AS agents, coalesce(sum(grown), 0)::BIGINT AS growth, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens, date_sub('second', min(ts), max(ts)) AS seconds FROM g GROUP BY ALL",
     "agent_longest_run": f"WITH {_USAGE}, i AS (SELECT workflow_id, agent_id, row_number() {_ORDER} AS i, row_number() {_ORDER} - row_number() OVER (PARTITION BY workflow_id, agent_id ORDER BY ts, event_id) AS island FROM usage), r AS (SELECT workflow_id, agent_id, island, count(*) AS run, min(i) AS first FROM i WHERE agent_id IS NOT NULL GROUP BY ALL) SELECT workflow_id, agent_id, run FROM r QUALIFY row_number() OVER (PARTITION BY workflow_id ORDER BY run DESC, first) = 1",
