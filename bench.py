@@ -8,8 +8,9 @@ import time
 
 from pyspark.sql import SparkSession
 
-from meterlake.plans.queries import QUERIES
+from meterlake.plans import coach_queries, more_queries, queries
 
+QUERIES = queries.QUERIES | coach_queries.QUERIES | more_queries.QUERIES
 HEADLINE = ["spend_hourly_by_model", "spend_summary", "workflow_summary", "workflow_steps", "agent_longest_run", "anomaly_rolling", "forecast_holt", "prompt_compress", "redact_text", "rule_duplicates", "reply_stats", "context_trim"]
 
 

@@ -111,3 +111,65 @@ def difference(old: DataFrame, new: DataFrame) -> DataFrame:
     both = old.join(n, ["provider", "pattern"], "full_outer")
     change = F.when(F.col("input_rate").isNull(), "added").when(F.col("n_input_rate").isNull(), "removed").when(F.expr(" or ".join(f"{r} <> n_{r}" for r in RATES)), "modified")
     return both.select("provider", "pattern", change.alias("change"), *[F.round(F.coalesce(f"n_{r}", F.lit(0.0)) - F.coalesce(r, F.lit(0.0)), 6).alias(f"d_{r}") for r in RATES]).filter("change is not null")
+
+
+# A model's output rate and cached rate as multiples of its input rate that one provider holds to, and how far off is a finding.
+USUAL = {"anthropic": ((5.0, 0.40), (0.10, 0.50))}
+
+
+def suspicious(rates: DataFrame) -> DataFrame:
+    """(provider, pattern, field, input_rate, got, expected): rates that look wrong next to the input rate; entries without one are left out."""
+    i, o, c = F.col("input_rate"), F.col("output_rate"), F.col("cached_rate")
+    row = lambda on, field, got, expected: F.when(on, F.struct(F.lit(field).alias("field"), got.alias("got"), F.round(expected, 9).alias("expected")))
+    found = [row((c > 0) & (c > i), "cached_above_input", c, i)]
+    for provider, ((times, off), (part, near)) in USUAL.items():
+        mine = F.col("provider") == provider
+        found.append(row(mine & (o > 0) & ~(o / i).between(times * (1 - off), times * (1 + off)), "output", o, i * times))
+        found.append(row(mine & (c > 0) & ~(c / i).between(part * (1 - near), part * (1 + near)), "cached", c, i * part))
+    return rates.filter("input_rate > 0").select("provider", "pattern", "input_rate", F.explode(F.array_compact(F.array(*found))).alias("f")).select("provider", "pattern", "f.field", "input_rate", "f.got", "f.expected")
+
+
+# Vendors that stand before a catalogue's ids, and the words that make another tier of a model.
+VENDORS = ["anthropic", "openai", "mistral", "gemini", "vertex_ai", "google", "cohere", "groq", "deepseek", "xai", "perplexity", "cerebras"]
+TIERS = ["fast", "mini", "nano", "lite", "pro", "turbo", "vision", "thinking", "reasoning", "audio", "embed", "embedding", "tts", "image", "coder", "ocr", "guard", "search", "rerank", "moderation"]
+
+
+def catalogue_rates(entries: DataFrame, keys: DataFrame) -> DataFrame:
+    """(provider, pattern, id, RATES) from a foreign catalogue (provider, id, input_cost, output_cost, cached_cost; USD a token) in the names of our own keys (provider, key).
+
+    An id stands for the longest key that it begins with, up to a dash, unless the next word makes
+    another tier; else for itself without `-latest` or a date. Of ids for one key the one with the
+    newest date counts, then `-latest`, then the first by name. keys are a small table, sent as
+    one row for each provider; entries of other providers and without a price are left out.
+    """
+    listed = keys.groupBy("provider").agg(F.transform(F.array_sort(F.collect_set(F.struct((-F.length("key")).alias("n"), "key"))), lambda x: x["key"]).alias("keys"))
+    rows = entries.join(F.broadcast(listed), "provider").filter("coalesce(input_cost, 0) <> 0 or coalesce(output_cost, 0) <> 0")
+    stem = F.when(F.lower(F.substring_index("id", "/", 1)).isin(VENDORS) & F.col("id").contains("/"), F.regexp_replace("id", "^[^/]*/", "")).otherwise(F.col("id"))
+    rows = rows.withColumn("stem", stem)
+
+    def fits(k: Column) -> Column:
+        rest = F.substr("stem", F.length(k) + 1)
+        word = F.split(rest, "-")
+        return F.col("stem").startswith(k) & ((rest == "") | (rest.startswith("-") & ~F.get(word, F.lit(1)).isin(TIERS)))
+
+    own = F.btrim(F.regexp_replace(F.regexp_replace("stem", "-latest$", ""), r"-\d{6,8}$", ""))
+    digits = F.regexp_extract("stem", r"-(\d{4,8})$", 1)
+    month = (F.length(digits) != 4) | digits.rlike("^2[0-9](0[1-9]|1[0-2])$")
+    date = F.when((digits != "") & month, digits.cast("int"))
+    tier = F.when(date.isNotNull(), 3).when(F.col("stem").endswith("-latest"), 2).otherwise(1)
+    per_million = lambda c: F.round(F.coalesce(F.col(c), F.lit(0.0)) * 1e6, 6)
+    rows = rows.withColumn("pattern", F.coalesce(F.get(F.filter("keys", fits), F.lit(0)), own))
+    best = F.min_by(F.struct("id", per_million("input_cost").alias("input_rate"), per_million("output_cost").alias("output_rate"), per_million("cached_cost").alias("cached_rate")), F.struct(-tier, -F.coalesce(date, F.lit(0)), F.col("id")))
+    return rows.groupBy("provider", "pattern").agg(best.alias("b")).select("provider", "pattern", "b.*")
+
+
+def without_pinned(rates: DataFrame, pinned: DataFrame) -> DataFrame:
+    """rates without the entries (provider, pattern) that are pinned: an override must not touch those."""
+    return rates.join(pinned.select("provider", "pattern"), ["provider", "pattern"], "left_anti")
+
+
+def snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """(taken, provider, pattern, RATES) of the JSON-lines snapshots in a folder; a snapshot's time is its file's name."""
+    raw = spark.read.schema("provider string, pattern string, input_rate double, output_rate double, cached_rate double").json(folder)
+    taken = F.try_to_timestamp(F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2}-\d{2}(?:T\d{2}-?\d{2}-?\d{2})?)[^/]*$", 1))
+    return raw.select(taken.alias("taken"), "provider", "pattern", *RATES).filter("provider is not null and pattern is not null")

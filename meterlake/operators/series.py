@@ -94,6 +94,8 @@ def facts(events: DataFrame) -> DataFrame:
     (the longest run of one agent; a step without agent ends a run; ties: the first), first_repeat
     and repeated (the first step whose prompt is that of the step before, and that prompt).
     """
+    kinds = {"input_tokens": "long", "output_tokens": "long", "model": "string", "agent_id": "string", "prompt_hash": "string"}
+    events = events.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in events.columns})
     w = Window.partitionBy("workflow_id").orderBy("ts", "event_id")
     steps_ = events.withColumns(
         {

@@ -51,31 +51,6 @@ def trimmed(turns: DataFrame, keep: int = 4) -> DataFrame:
     return turns.withColumn("after", after).filter((F.col("role") == "system") | (F.col("after") < keep)).drop("after")
 
 
-def prompt_findings(turns: DataFrame) -> DataFrame:
-    """Length classes and habits of the user's prompts."""
-    size, low = F.length("text"), F.lower(F.trim("text"))
-    short = F.col("role") == "user"
-    return turns.filter(short).agg(
-        F.count("*").alias("prompts"),
-        F.count_if(size < 20).alias("under_20"),
-        F.count_if((size >= 20) & (size < 100)).alias("under_100"),
-        F.count_if(size >= 100).alias("longer"),
-        F.count_if(low.isin("ok", "yes", "thanks", "continue", "go on")).alias("acks"),
-        F.count_if(F.col("text").endswith("?")).alias("questions"),
-        F.round(F.avg(size), 6).alias("mean_length"),
-    )
-
-
-def reply_stats(turns: DataFrame) -> DataFrame:
-    """Words of the assistant's replies, by conversation and (null) over all."""
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
-    articles = F.size(F.filter(words, lambda w: F.lower(w).isin("a", "an", "the")))
-    letters = F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w))
-    rows = turns.filter("role = 'assistant'").select("conv_id", F.size(words).alias("words"), articles.alias("articles"), letters.alias("letters"))
-    out = rows.rollup("conv_id").agg(F.count("*").alias("replies"), F.sum("words").alias("words"), F.sum("articles").alias("articles"), F.sum("letters").alias("letters"))
-    return out.select("conv_id", "replies", "words", F.round(F.when(F.col("words") > 0, F.col("letters") / F.col("words")).otherwise(0.0), 6).alias("mean_word"), F.round(F.when(F.col("words") > 0, F.col("articles") / F.col("words")).otherwise(0.0), 6).alias("article_share"))
-
-
 def duplicate_groups(docs: DataFrame) -> DataFrame:
     """Hashes that two documents or more share."""
     return docs.groupBy(F.concat(F.lit("sha256:"), F.sha2(F.col("text").cast("binary"), 256)).alias("hash")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")).filter("copies >= 2")

@@ -127,8 +127,6 @@ QUERIES = {
     "tool_output_reduce": _tool_outputs,
     "tool_output_rules": lambda s, d: _read(s, d, "documents").select("doc_id", *_text_digest(tool_output.filtered(F.col("text"), *PROSE_RULES, "aggressive"))),
     "near_dup_messages": lambda s, d: messages.near_duplicates(_echoed(s, d)),
-    "prompt_findings": lambda s, d: text.prompt_findings(_read(s, d, "conversations")),
-    "reply_stats": lambda s, d: text.reply_stats(_read(s, d, "conversations")),
 }
 
 _USAGE = """
@@ -267,6 +265,4 @@ f AS (
   FROM f JOIN l ON l.conv_id = f.conv_id AND l.role = f.role AND l.i = f.i + 1)
 SELECT f.conv_id, x.turn, h.turn AS head_turn, f.head::INTEGER AS head_nr, strlen(x.text)::INTEGER AS dropped_bytes
 FROM f JOIN n x ON x.conv_id = f.conv_id AND x.nr = f.late JOIN n h ON h.conv_id = f.conv_id AND h.nr = f.head WHERE f.head IS NOT NULL""",
-    "prompt_findings": "SELECT count(*) AS prompts, count(*) FILTER (length(text) < 20) AS under_20, count(*) FILTER (length(text) >= 20 AND length(text) < 100) AS under_100, count(*) FILTER (length(text) >= 100) AS longer, count(*) FILTER (lower(trim(text)) IN ('ok', 'yes', 'thanks', 'continue', 'go on')) AS acks, count(*) FILTER (text LIKE '%?') AS questions, round(avg(length(text)), 6) AS mean_length FROM conversations WHERE role = 'user'",
-    "reply_stats": "WITH w AS (SELECT conv_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM conversations WHERE role = 'assistant'), c AS (SELECT conv_id, len(w) AS words, len(list_filter(w, lambda x: lower(x) IN ('a', 'an', 'the'))) AS articles, length(array_to_string(w, '')) AS letters FROM w), s AS (SELECT conv_id, count(*) AS replies, sum(words)::BIGINT AS words, sum(articles)::BIGINT AS articles, sum(letters)::BIGINT AS letters FROM c GROUP BY ROLLUP (conv_id)) SELECT conv_id, replies, words, round(CASE WHEN words > 0 THEN letters::DOUBLE / words ELSE 0 END, 6) AS mean_word, round(CASE WHEN words > 0 THEN articles::DOUBLE / words ELSE 0 END, 6) AS article_share FROM s",
 }

@@ -67,45 +67,56 @@ def assistant_turns(spark: SparkSession, glob: str) -> DataFrame:
     n = {c: F.coalesce(use[c], F.lit(0)) for c in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")}
     ts = F.try_to_timestamp(F.col("timestamp"))
     rows = raw.filter((F.lower("type") == "assistant") & (F.coalesce(F.col("message.id"), F.lit("")) != "") & ts.isNotNull() & (sum(n.values()) > 0))
+    session = F.coalesce("sessionId", F.lit(""))
     out = rows.select(
         F.concat(F.lit("ccj-"), F.substring(F.sha2(F.col("message.id"), 256), 1, 16)).alias("event_id"),
         ts.alias("ts"),
         F.col("sessionId").alias("session_id"),
         "project",
+        F.concat_ws(":", F.lit("claude-code"), "project", session).alias("workflow_id"),
+        F.lit("claude-code").alias("agent_id"),
         F.col("message.model").alias("model"),
         (n["input_tokens"] + n["cache_read_input_tokens"] + n["cache_creation_input_tokens"]).alias("input_tokens"),
         n["cache_read_input_tokens"].alias("cached_input_tokens"),
         n["output_tokens"].alias("output_tokens"),
+        F.create_map(F.lit("granularity"), F.lit("assistant_turn")).alias("attributes"),
     )
-    return out.dropDuplicates(["event_id"])
+    first = F.min_by(F.struct(*out.columns[1:-1]), F.struct("ts", "session_id", "project"))  # of a message in several files the first in time
+    once = out.groupBy("event_id").agg(first.alias("r"), F.any_value("attributes").alias("attributes"))
+    return once.select("event_id", "r.*", "attributes")
 
 
-def token_counts(spark: SparkSession, glob: str) -> DataFrame:
-    """Session logs of another kind: running token counts, numbered within their file; reasoning counts as output."""
-    schema = "timestamp string, type string, payload struct<id:string,type:string,info:struct<last_token_usage:struct<input_tokens:long,cached_input_tokens:long,output_tokens:long,reasoning_output_tokens:long>>>"
-    raw = spark.read.schema(schema).json(glob).withColumn("file", F.col("_metadata.file_path"))
-    session = raw.filter("type = 'session_meta'").groupBy("file").agg(F.min("payload.id").alias("session_id"))
-    use = F.col("payload.info.last_token_usage")
+def token_counts(spark: SparkSession, glob: str, model: str | None = None, provider: str = "openai") -> DataFrame:
+    """Session logs of another kind: token counts numbered by their place in the file; reasoning counts as output.
+
+    The session is that of the file's first head line. Lines are numbered in the file, so counts of
+    the same time keep their order. model: for lines that name none. attributes: what the log says
+    of the rate limits.
+    """
+    limit = "struct<used_percent:double,window_minutes:long,resets_at:string>"
+    schema = f"timestamp string, type string, payload struct<id:string,type:string,model:string,info:struct<last_token_usage:struct<input_tokens:long,cached_input_tokens:long,output_tokens:long,reasoning_output_tokens:long>,model_context_window:long>,rate_limits:struct<primary:{limit},secondary:{limit},plan_type:string>>"
+    # whole files: a line's place is part of the record
+    files = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    raw = files.withColumn("j", F.from_json("value", schema)).select("file", "line", "j.*")
+    heads = raw.filter("type = 'session_meta'").groupBy("file").agg(F.min_by("payload.id", "line").alias("session_id"))
+    use, limits = F.col("payload.info.last_token_usage"), F.col("payload.rate_limits")
     rows = raw.filter((F.col("payload.type") == "token_count") & use.isNotNull())
-    order = Window.partitionBy("file").orderBy("timestamp")
-    return rows.join(session, "file", "left").select(
+    order = Window.partitionBy("file").orderBy("line")
+    output = F.coalesce(use["output_tokens"], F.lit(0)) + F.coalesce(use["reasoning_output_tokens"], F.lit(0))
+    pairs = [("granularity", F.lit("assistant_turn")), ("plan_type", limits["plan_type"]), ("context_window", F.col("payload.info.model_context_window"))]
+    pairs += [(f"{w}_{to}", limits[w][name]) for w in ("primary", "secondary") for to, name in (("used_pct", "used_percent"), ("window_minutes", "window_minutes"), ("resets_at", "resets_at"))]
+    attributes = F.map_filter(F.create_map(*[x for k, v in pairs for x in (F.lit(k), v.cast("string"))]), lambda _, v: v.isNotNull())
+    numbered = rows.join(heads, "file", "left").withColumn("ordinal", F.row_number().over(order))
+    return numbered.select(
+        F.concat(F.lit("cdx-"), F.substring(F.sha2(F.concat_ws(":", F.coalesce("session_id", "file"), F.col("ordinal").cast("string")), 256), 1, 16)).alias("event_id"),
         "session_id",
-        F.row_number().over(order).alias("ordinal"),
+        "ordinal",
         F.try_to_timestamp(F.col("timestamp")).alias("ts"),
+        F.lit(provider).alias("provider"),
+        F.coalesce("payload.model", F.lit(model)).alias("model"),
         use["input_tokens"].alias("input_tokens"),
         use["cached_input_tokens"].alias("cached_input_tokens"),
-        (F.coalesce(use["output_tokens"], F.lit(0)) + F.coalesce(use["reasoning_output_tokens"], F.lit(0))).alias("output_tokens"),
+        output.alias("output_tokens"),
+        (F.coalesce(use["input_tokens"], F.lit(0)) + output).alias("total_tokens"),
+        attributes.alias("attributes"),
     )
-
-
-def append_once(batch: DataFrame, path: str, key: str = "event_id") -> None:
-    """Appends the rows whose key isn't at path yet, one a key: a batch that comes twice changes nothing."""
-    spark = batch.sparkSession
-    fresh = batch.dropDuplicates([key])
-    try:
-        seen = spark.read.parquet(path).select(key)
-        fresh = fresh.join(seen, key, "left_anti")
-    except Exception as e:  # nothing has been written there
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    fresh.write.mode("append").parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.usage import append_once
+from ..sources.ledger import append_once
 
 
 def hourly(stream: DataFrame, watermark: str = "60 days") -> DataFrame:

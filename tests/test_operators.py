@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.pricing import cost, priced, rate_card, resolved
 from meterlake.operators import series, text
-from meterlake.sources.usage import append_once, assistant_turns, token_counts, usage_events, without_sources
+from meterlake.sources.ledger import append_once
+from meterlake.sources.usage import assistant_turns, token_counts, usage_events, without_sources
 from meterlake.streaming.hourly import hourly, ingest
 
 
@@ -70,10 +71,12 @@ def test_session_logs(spark, tmp_path):
 
 
 def test_append_once(spark, tmp_path):
-    rows = spark.range(4).withColumnRenamed("id", "event_id")
-    append_once(rows, f"{tmp_path}/t")
-    append_once(rows.union(spark.range(3, 6)), f"{tmp_path}/t")
-    assert spark.read.parquet(f"{tmp_path}/t").count() == 6
+    dated = lambda a, b, word: spark.range(a, b).selectExpr("id as event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id as int)) as ts", f"'{word}' as word")
+    append_once(dated(0, 4, "first"), f"{tmp_path}/t")
+    append_once(dated(0, 4, "again").union(dated(3, 6, "later")).union(dated(5, 6, "even later")), f"{tmp_path}/t")
+    got = {r.event_id: r.word for r in spark.read.parquet(f"{tmp_path}/t").collect()}
+    assert got == {0: "first", 1: "first", 2: "first", 3: "first", 4: "later", 5: "even later"}
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("day=")]) == 6
 
 
 def test_stream_equals_batch(spark, tmp_path):
