@@ -54,15 +54,20 @@ def cost(input_tokens: Column, cached: Column, output_tokens: Column) -> Column:
 CARD_ROWS = 5_000
 
 
-def _matched(events: DataFrame, card: DataFrame) -> DataFrame:
+def _entries(spark: SparkSession, rows: list) -> DataFrame:
+    """(card_provider, entries): for each provider the card's entries in order of preference, each with the time that its card holds."""
+    dates = sorted({r["effective_from"] for r in rows})
+    till = dict(zip(dates, [*dates[1:], None], strict=True))
+    by: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: (r["pattern"].endswith("*"), -len(r["pattern"]), r["pattern"])):
+        start = r["effective_from"] if r["effective_from"] != dates[0] else None
+        by.setdefault(r["provider"], []).append((r["pattern"].endswith("*"), r["pattern"].removesuffix("*"), start, till[r["effective_from"]], *(float(r[x]) for x in RATES)))
+    entry = "starred:boolean,prefix:string,valid_from:timestamp_ntz,valid_to:timestamp_ntz,input_rate:double,output_rate:double,cached_rate:double"
+    return spark.createDataFrame(sorted(by.items()), f"card_provider string, entries array<struct<{entry}>>").coalesce(1)
+
+
+def _matched(events: DataFrame, rules: DataFrame) -> DataFrame:
     """events with the RATES of the first entry that fits, by one broadcast row for each provider: events aren't shuffled."""
-    dates = card.select("effective_from").distinct()
-    over = Window.orderBy("effective_from")  # a row for each dated card
-    spans = dates.select("effective_from", F.lead("effective_from").over(over).alias("valid_to"), F.when(F.row_number().over(over) > 1, F.col("effective_from")).alias("valid_from"))
-    starred = F.col("pattern").endswith("*")
-    prefix = F.when(starred, F.expr("substring(pattern, 1, length(pattern) - 1)")).otherwise(F.col("pattern"))
-    entry = F.struct(starred.alias("starred"), (-F.length("pattern")).alias("nr"), prefix.alias("prefix"), "valid_from", "valid_to", *RATES)
-    rules = card.join(spans, "effective_from").groupBy(F.col("provider").alias("card_provider")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
 
     def fits(e: Column) -> Column:
         named = (e["prefix"] == F.col("model")) | (e["starred"] & F.col("model").startswith(e["prefix"]))
@@ -76,11 +81,12 @@ def _matched(events: DataFrame, card: DataFrame) -> DataFrame:
 def rated(events: DataFrame, card: DataFrame) -> DataFrame:
     """events with the RATES that hold for their provider, model and time; null without an entry.
 
-    A card of up to CARD_ROWS rows is broadcast; a larger one is resolved for the distinct models
-    and joined by them.
+    A card of up to CARD_ROWS rows is gathered and broadcast; a larger one is resolved for the
+    distinct models and joined by them.
     """
-    if card.limit(CARD_ROWS + 1).count() <= CARD_ROWS:
-        return _matched(events, card)
+    rows = card.select("provider", "pattern", "effective_from", *RATES).limit(CARD_ROWS + 1).collect()
+    if len(rows) <= CARD_ROWS:
+        return _matched(events, _entries(events.sparkSession, rows))
     on = F.expr("e.provider = r.provider and e.model = r.model and (r.valid_from is null or e.ts >= r.valid_from) and (r.valid_to is null or e.ts < r.valid_to)")
     return events.alias("e").join(resolved(events, card).alias("r"), on, "left").select("e.*", *[f"r.{c}" for c in RATES])
 
