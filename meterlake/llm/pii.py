@@ -1,7 +1,7 @@
 """Personal data: base patterns, and more spans by weak supervision.
 
-Labelers (a shape pattern, a gazetteer, the context before, the mix of characters) vote on each
-candidate span. Expectation-maximisation over the counts of vote patterns estimates how reliable
+Candidates are found by their form alone. Labelers (the shape, a gazetteer or list of placeholders,
+the context before, the mix of characters) vote on each. Expectation-maximisation over the counts of vote patterns estimates how reliable
 each labeler is for each kind, without labels; a logistic span classifier is then trained on the
 estimates. Base spans always stay; the classifier adds spans of further kinds beside them.
 """
@@ -34,13 +34,23 @@ _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 # Words that speak for or against a candidate, and given names.
 CUES = {
     "secret": ["token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "key", "bearer"],
-    "person": ["mr", "mrs", "ms", "dr", "contact", "name", "from", "dear", "regards", "sincerely"],
+    "person": ["mr", "mrs", "ms", "dr", "prof", "contact", "name", "named", "from", "dear", "regards", "sincerely", "herr", "frau", "señor", "señora", "monsieur", "madame", "author", "signed", "by"],
     "national_id": ["ssn", "social", "security", "id", "number"],
     "iban": ["iban", "account", "konto", "cuenta", "compte"],
 }
-COUNTER_CUES = ["commit", "sha", "sha1", "sha256", "md5", "checksum", "version", "revision", "isbn", "order", "page"]
+COUNTER_CUES = ["commit", "sha", "sha1", "sha256", "md5", "checksum", "version", "revision", "isbn", "order", "page", "license", "licence", "under", "university", "street", "institute"]
 PLACEHOLDERS = ["example", "changeme", "placeholder", "xxxx", "your", "test", "dummy", "none", "null", "000000"]
-GIVEN_NAMES = ["anna", "carlos", "david", "elena", "emma", "hans", "james", "jean", "john", "jose", "laura", "maria", "marie", "mary", "michael", "peter", "pierre", "robert", "sarah", "sofia", "thomas", "william"]
+# Common given names of English, Spanish, French, German, Italian and Polish speakers, from general knowledge.
+GIVEN_NAMES = set(
+    """adam agnes alan alba alberto alejandro alex alexander alice amelie amy ana andrea andreas andrew angela anja ann anna anne antoine antonio
+    barbara beatriz benjamin bernd brian camille carla carlos carmen caroline catherine charles charlotte chiara chloe christian christine christopher claire claudia clara
+    daniel david denis diana diego dominik dorota edward elena elisabeth elizabeth emily emma enrique eric eva ewa fabian felix fernando florian francesca francesco francisco frank franz
+    gabriel george gerhard giulia giuseppe grace grzegorz guillaume hannah hans harry heike heinrich helen helena helga henri henry hugo ines ingrid irene isabel isabella
+    jack jacques jakob james jan jane javier jean jennifer jessica joanna johanna john jonas jorge jose joseph juan judith julia julian julie jürgen karen karin karl katarzyna kate katharina kevin klaus
+    laura laurent lea lena leo leon lisa louis louise lucas lucia ludwig luis luca luigi lukas maciej manuel marc marco margaret maria marie mario marion mark markus marta martin martina mary matteo matthew max michael michel miguel monika
+    nadia natalia nicolas nicole nina olga oliver olivia oscar pablo patricia patrick paul paula paulo pedro peter petra philip philippe pierre piotr rachel rafael raul rebecca renate ricardo richard robert roberto rosa ruth
+    samuel sandra sara sarah sebastian sergio silvia simon sofia sophie stefan stephanie stephen steven susan susanne sylvie teresa thomas tim tomasz ursula valentina vanessa veronica victor victoria vincent walter werner william wolfgang xavier yves zofia""".split()
+)
 
 _CANDIDATES = re.compile(
     r"(?P<assigned>(?i:token|secret|password|passwd|pwd|api[_-]?key)[\x20]?[=:][\x20]?[\"']?)(?P<secret>[A-Za-z0-9+/_-](?:\.{0,2}[A-Za-z0-9+/_-]){5,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?)"
@@ -48,8 +58,11 @@ _CANDIDATES = re.compile(
     r"|(?<![A-Za-z0-9+/_-])(?P<long>[A-Za-z0-9+/_-]{24,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?)"
     r"|(?<![A-Za-z0-9-])(?P<national_id>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![A-Za-z0-9-])"
     r"|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})(?![A-Za-z0-9])"
-    r"|(?<![^\W_])(?P<person>(?:%s)\x20[A-Z][a-z]{1,30})(?![^\W_])" % "|".join(n.capitalize() for n in GIVEN_NAMES)
+    r"|(?<![^\W_])(?P<person>[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:[\x20-][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)+)(?![^\W_])"
 )
+_SENTENCE_START = re.compile(r"(?:^|[.!?:]|\n)\s*\Z")
+# Fixed value: lengths of hexadecimal digests, which are as often public as secret.
+DIGEST_LENGTHS = (32, 40, 64)
 _HEX = re.compile(r"[0-9a-f]{16,}\Z")
 
 
@@ -99,22 +112,27 @@ def _entropy(value: str) -> float:
 def votes(kind: str, value: str, before: str) -> tuple[int, int, int, int]:
     """Votes of the labelers: 1 for, -1 against, 0 no vote."""
     if kind == "secret":
-        shape = 1 if _HEX.match(value) else 0
+        shape = 0 if not _HEX.match(value) or len(value) in DIGEST_LENGTHS else 1
     elif kind == "iban":
         shape = 1 if _mod97(value) else -1
     elif kind == "national_id":
         shape = -1 if value[:3] in ("000", "666") or value[0] == "9" or value[4:6] == "00" or value[7:] == "0000" else 1
     else:
-        shape = 0
+        shape = -1 if _SENTENCE_START.search(before) or len(value.split(" ")) > 3 else 0
     low = value.lower()
-    listed = 1 if low.split(" ")[0] in GIVEN_NAMES else -1 if any(p in low for p in PLACEHOLDERS) else 0
-    near = re.findall(r"[a-z_]+[0-9]*", before.lower())[-3:]
+    if kind == "person":
+        listed = 1 if low.split(" ")[0].split("-")[0] in GIVEN_NAMES else -1
+    else:
+        listed = -1 if any(p in low for p in PLACEHOLDERS) else 0
+    near = re.findall(r"[a-zß-öø-ÿ_]+[0-9]*", before.lower())[-3:]
     context = 1 if any(w in CUES[kind] for w in near) else -1 if any(w in COUNTER_CUES for w in near) else 0
     digits = sum(c.isdigit() for c in value) / len(value)
     if kind == "secret":
         mix = 1 if _entropy(value) >= 3 and 0.1 < digits < 0.95 else -1 if digits == 0 else 0
+    elif kind == "person":
+        mix = -1 if len(set(low.split(" "))) < len(low.split(" ")) or any(len(w) < 3 for w in low.split(" ")) else 0
     else:
-        mix = 1 if len(set(value)) > 5 else 0
+        mix = 1 if len(set(value)) > 5 else -1
     return shape, listed, context, mix
 
 
@@ -181,11 +199,21 @@ def _unpacked(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rest, np.stack(columns[::-1], axis=1), size
 
 
+#: What is believed of labelers beforehand weighs as much as this share of a kind's candidates, and four more.
+PRIOR = 0.01
+#: Kind x labeler: how often a vote is taken to be right beforehand. Lists, context and checksums tell more than looks.
+BELIEF = np.array([[0.6, 0.9, 0.9, 0.6], [0.7, 0.9, 0.9, 0.7], [0.95, 0.9, 0.9, 0.6], [0.95, 0.9, 0.9, 0.6]])
+
+
 def reliabilities(codes: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Expectation-maximisation on counted vote patterns: (probability that each code is personal data, tables kind x labeler x class x vote)."""
+    """Expectation-maximisation on counted vote patterns: (probability that each code is personal data, tables kind x labeler x class x vote).
+
+    A labeler that abstains says nothing; the tables hold how often it votes against and for where it votes.
+    """
     kind, vote, _ = _unpacked(codes)
-    post = 1 / (1 + np.exp(-1.5 * (vote - 1).sum(axis=1)))
-    tables = np.zeros((len(ADDED), 4, 2, 3))
+    says = vote != 1
+    post = 1 / (1 + np.exp(-((vote - 1) * np.log(BELIEF / (1 - BELIEF))[kind]).sum(axis=1)))
+    tables = np.full((len(ADDED), 4, 2, 2), 0.5)
     for _ in range(rounds):
         new = np.zeros_like(post)
         for k in range(len(ADDED)):
@@ -193,14 +221,15 @@ def reliabilities(codes: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple[n
             if not at.any():
                 continue
             weight = np.stack([n[at] * (1 - post[at]), n[at] * post[at]])
-            prior = (weight.sum(axis=1) + [1, 1]) / (n[at].sum() + 2)
+            believed = 4 + PRIOR * n[at].sum()
+            prior = (weight.sum(axis=1) + believed / 2) / (n[at].sum() + believed)
             score = np.log(prior)[:, None] + np.zeros((2, at.sum()))
             for j in range(4):
                 for c in range(2):
                     # a labeler is taken to be better than chance before it has been seen
-                    t = np.bincount(vote[at, j], weights=weight[c], minlength=3) + ([2, 2, 1] if c == 0 else [1, 2, 2])
+                    t = np.bincount(vote[at, j][says[at, j]] // 2, weights=weight[c][says[at, j]], minlength=2) + believed * np.abs([c - BELIEF[k, j], 1 - c - BELIEF[k, j]])
                     tables[k, j, c] = t / t.sum()
-                    score[c] += np.log(tables[k, j, c][vote[at, j]])
+                    score[c] += np.where(says[at, j], np.log(tables[k, j, c][vote[at, j] // 2]), 0)
             new[at] = 1 / (1 + np.exp(np.clip(score[0] - score[1], -30, 30)))
         post = new
     return post, tables

@@ -17,7 +17,7 @@ def _tokenizer(name: str) -> str:
 
 
 def fingerprint_rows(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    from .fingerprint import edited, fingerprints, likeness, shown, sketch, with_next
+    from .fingerprint import containment, edited, fingerprints, likeness, shown, sketch, with_next
 
     rows = with_next(fingerprints(docs), ["text", "sketch"], buckets)
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
@@ -30,6 +30,8 @@ def fingerprint_rows(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         shown(F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        containment(F.col("sketch"), F.col("edited_sketch")).alias("contained_in_edited"),
+        containment(F.col("sketch"), F.col("next_sketch")).alias("contained_in_next"),
     )
 
 
@@ -45,15 +47,16 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import BASE, detect, joined
+    from .pii import ADDED, BASE, detect, joined
 
     out = detect(_table(spark, sf_dir, "documents"))
 
-    def number(kind: str):
-        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    def number(kind: str, spans: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [number(k) for k in BASE]
-    return out.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
+    counts, added = [number(k, "base") for k in BASE], [number(k, "added") for k in ADDED]
+    totals = [F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans")]
+    return out.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), *added, *totals)
 
 
 def op4_conditional_compression(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 import hashlib
+import random
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from meterlake.llm.pii import BASE, base_spans, candidate_spans, detect, joined, luhn, redact
+from meterlake.llm.pii import ADDED, BASE, base_spans, candidate_spans, detect, features, joined, luhn, redact, reliabilities, span_classifier
 
 from .samples import HARD, docs
 
@@ -89,3 +91,69 @@ def test_a_secret_around_a_base_span_has_no_rest():
 def test_candidates_take_linear_time():
     for c in ("a", "a.", "eyJ", "eyJa.", "token=", "="):
         candidate_spans(c * 100_000, [])
+
+
+def test_em_recovers_planted_reliabilities():
+    """Votes drawn with known reliabilities: what is estimated without labels comes near them, and so does the share of personal data."""
+    rng = np.random.default_rng(1)
+    right = np.array([[0.8, 0.7], [0.95, 0.9], [0.9, 0.85], [0.7, 0.75]])  # of those that vote, by class
+    silent = np.array([0.5, 0.2, 0.3, 0.1])
+    for kind, share in ((0, 0.3), (1, 0.1), (3, 0.6)):
+        truth = (rng.random(300_000) < share).astype(int)
+        code = np.full(len(truth), kind)
+        for j in range(4):
+            agrees = rng.random(len(truth)) < right[j][truth]
+            code = code * 3 + np.where(rng.random(len(truth)) < silent[j], 1, 2 * (truth == agrees))
+        codes, n = np.unique(code * 4 + rng.integers(0, 4, len(truth)), return_counts=True)
+        post, tables = reliabilities(codes, n.astype(float))
+        assert np.abs(tables[kind][:, 0, 0] - right[:, 0]).max() < 0.05 and np.abs(tables[kind][:, 1, 1] - right[:, 1]).max() < 0.05
+        assert abs((post * n).sum() / n.sum() - share) < 0.04
+        learned = 1 / (1 + np.exp(-features(codes) @ span_classifier(codes, n.astype(float), post)))
+        assert ((learned >= 0.5) == (post >= 0.5))[n > 500].mean() > 0.9
+
+
+def iban(rng):
+    bban = "".join(rng.choices("0123456789", k=18))
+    return f"DE{98 - int(bban + '131400') % 97:02d}{bban}"
+
+
+def planted_texts(seed=2):
+    """(text, kind, value or None) of prose with personal data, and of prose with what only looks like it."""
+    rng = random.Random(seed)
+    prose = lambda: " ".join(rng.choices(["river", "stone", "meadow", "and", "over", "the", "light"], k=rng.randint(5, 30)))
+    hexed = lambda k: "".join(rng.choices("0123456789abcdef", k=k))
+    rows = []
+    for i in range(60):
+        made = {
+            "secret": (rng.choice(['token = "{}"', "password={}", "api_key: {}", "the key {} is"]), hexed(rng.choice([18, 40, 64]))),
+            "person": (rng.choice(["contact {} today", "dear {}", "written by {} last", "asked {} for"]), f"{rng.choice(['Maria', 'Hans', 'Pierre', 'Laura', 'Robert'])} {rng.choice(['Lopez', 'Huber', 'Novak', 'Brown'])}"),
+            "national_id": (rng.choice(["ssn {} of", "social security number {}"]), f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"),
+            "iban": (rng.choice(["iban {} here", "account {} at"]), iban(rng)),
+        }
+        for kind, (form, value) in made.items():
+            rows.append((f"{prose()} {form.format(value)} {prose()}", kind, value))
+        rows.append((f"{prose()} commit {hexed(40)} {prose()}.", None, None))
+        rows.append((f"{prose()}. {rng.choice(['Stone River', 'The Meadow', 'Apache License'])} {prose()}", None, None))
+        rows.append((f"{prose()} order 000-00-{rng.randint(1, 9999):04d} {prose()}", None, None))
+        rows.append((f"{prose()} part AB12{''.join(rng.choices('0123456789', k=14))} {prose()}", None, None))
+    return rows
+
+
+def test_recall_of_added_kinds(spark):
+    rows = planted_texts()
+    found = {r.doc_id: [(x.kind, rows[r.doc_id][0][x.start : x.end]) for x in r.added] for r in detect(docs(spark, [t for t, _, _ in rows])).collect()}
+    for kind in ADDED:
+        planted = [i for i, (_, k, _) in enumerate(rows) if k == kind]
+        assert sum((kind, rows[i][2]) in found[i] for i in planted) >= 0.9 * len(planted), kind
+    clean = [i for i, (_, k, _) in enumerate(rows) if k is None]
+    assert sum(not found[i] for i in clean) >= 0.9 * len(clean)
+
+
+def test_without_any_personal_data_nothing_is_added(spark):
+    rows = [t for t, k, _ in planted_texts(3) if k is None and "AB12" not in t]
+    assert detect(docs(spark, rows)).filter("size(added) > 0").count() <= 0.1 * len(rows)
+
+
+def test_nulls_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "a@b.com"), (None, "a@b.com"), (4, None), (4, "x 10.0.0.1")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, len(r.base)) for r in detect(df).collect()) == [(0, 1), (0, 1), (4, 0), (4, 1)]
