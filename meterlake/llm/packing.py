@@ -87,7 +87,7 @@ def _round(capacity: int, slack: int, last: bool):
         rows = pd.concat(frames, ignore_index=True)
         bins, inverse = np.unique(rows["bin"].to_numpy(), return_inverse=True)
         used = np.bincount(inverse, weights=rows["length"].to_numpy()).astype(np.int64)
-        order = np.lexsort((bins, -used))
+        order = np.lexsort((bins, -used))  # whatever order the rows came in
         place, offset = best_fit(used[order], capacity)
         filled = np.bincount(place, weights=used[order]).astype(np.int64)
         opener = np.full(len(filled), np.iinfo(np.int64).max)
@@ -102,21 +102,19 @@ def _round(capacity: int, slack: int, last: bool):
     return run
 
 
-def packed(lengths: DataFrame, capacity: int = 2048, slack: int | None = None, fan_in: int = 8, rows_per_task: int = 250_000) -> DataFrame:
+def packed(lengths: DataFrame, capacity: int = 2048, slack: int | None = None, fan_in: int = 8, rows_per_task: int = 50_000) -> DataFrame:
     """(key, length) to (key, bin, offset): bins of at most capacity, gapless from offset 0.
 
     slack: a bin that wants no more than this counts as nearly full (capacity / 64 if None). A
     task holds rows_per_task rows or about fan_in times what a task of the round before left over.
-    keys are unique; lengths are from 1 to capacity. An empty input gives no rows.
+    keys are unique; lengths are from 1 to capacity. An empty input gives no rows. The bins depend
+    on keys and lengths alone, not on the machines.
     """
     slack = capacity // 64 if slack is None else slack
-    spark = lengths.sparkSession
     full = lengths.filter(F.col("length") >= capacity).select("key", F.col("key").alias("bin"), F.lit(0).alias("offset"))
     todo = lengths.filter(F.col("length") < capacity).select("key", "length", F.col("key").alias("bin"), F.lit(0).alias("offset"))
     count = todo.count()
     parts, before, done = max(1, -(-count // rows_per_task)), None, [full]
-    if count > 20_000:
-        parts = max(parts, min(spark.sparkContext.defaultParallelism, count // 5_000))
     while count:
         last = parts == 1 or (before is not None and count > 0.98 * before)
         table = written(todo.repartition(parts, "bin").mapInPandas(_round(capacity, slack, last), PLACED), "packing")

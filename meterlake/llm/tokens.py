@@ -21,8 +21,10 @@ _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Longer parts are encoded anew each time, so that the caches stay small.
 LONGEST_CACHED = 48
-#: Entries of a cache, 60 MB at most with the longest parts.
-CACHE_ENTRIES = 100_000
+#: Bytes that a cache may take while a task runs: text, ids and the table's share of each entry.
+CACHE_BYTES = 200_000_000
+#: What an entry takes beside the bytes of its text and ids.
+ENTRY_BYTES = 150
 #: The letter that stands for each byte in byte-level vocabularies: printable Latin-1 as itself, the rest from 256 on.
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _LETTER = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -30,16 +32,16 @@ _PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
 class _Known(dict):
-    """Text to what `make` gives for it. Two generations: when the younger is full it becomes the older, and what is asked for moves back."""
+    """Text to what `make` gives for it. Two generations of half the bytes each: when the younger is full it becomes the older, and what is asked for moves back."""
 
-    def __init__(self, make, entries: int):
+    def __init__(self, make, size: int):
         super().__init__()
-        self.make, self.young = make, entries // 2
+        self.make, self.most, self.size = make, size // 2, 0
         self.older: dict[str, bytes] = {}
 
     def forget(self) -> None:
         self.clear()
-        self.older = {}
+        self.older, self.size = {}, 0
 
     def __missing__(self, text: str) -> bytes:
         out = self.older.get(text)
@@ -47,8 +49,9 @@ class _Known(dict):
             out = self.make(text)
             if len(text) > LONGEST_CACHED:
                 return out
-        if len(self) >= self.young:
-            self.older = dict(self)
+        self.size += ENTRY_BYTES + len(text) + len(out)
+        if self.size > self.most:
+            self.older, self.size = dict(self), 0
             self.clear()
         self[text] = out
         return out
@@ -71,8 +74,8 @@ class ChunkEncoder:
         self.model = self.tokenizer.model
         self.spaced = spaced
         self.space = " ".translate(_LETTER)
-        self.first = _Known(self._part, CACHE_ENTRIES // 10 if spaced else CACHE_ENTRIES)
-        self.rest = _Known(self._after_space, CACHE_ENTRIES)
+        self.first = _Known(self._part, CACHE_BYTES // 10 if spaced else CACHE_BYTES)
+        self.rest = _Known(self._after_space, CACHE_BYTES)
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         return [self._spaced(t) if self.spaced else self._bare(t) for t in texts]

@@ -65,3 +65,10 @@ def test_empty(spark):
 def test_best_fit_takes_the_tightest_bin():
     at, offset = best_fit(np.array([7, 6, 3, 4, 1]), 10)
     assert at.tolist() == [0, 1, 0, 1, 2] and offset.tolist() == [0, 0, 7, 6, 0]
+
+
+def test_bins_do_not_depend_on_the_machines(spark):
+    sizes = [int(x) for x in np.random.default_rng(5).integers(1, 2047, 25_000)]
+    lengths = spark.createDataFrame(list(enumerate(sizes)), "key long, length int")
+    found = [{r.key: (r.bin, r.offset) for r in packed(lengths.repartition(n), rows_per_task=6_000).collect()} for n in (1, 3, 11)]
+    assert found[0] == found[1] == found[2]
