@@ -163,10 +163,18 @@ RULE_FILES = r"(?i)(^|/)(CLAUDE\.md|AGENTS\.md|mcp\.policy\.yaml|[^/]*\.mcp\.(ya
 
 
 def rule_documents(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
-    """(source_id, repo, path, kind, scope, text) of the rule documents below a folder, whole texts."""
+    """(source_id, repo, path, kind, scope, text) of the rule documents below a folder, whole texts.
+
+    Spark passes over folders whose name begins with a dot, so those that may hold rules are named to it, three levels down.
+    """
     from ..operators.rulebook import default_scope, source_id, source_kind
 
-    raw = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
+    jvm = spark.sparkContext._jvm
+    hidden = []
+    for above in ("", "*/", "*/*/", "*/*/*/"):
+        at = jvm.org.apache.hadoop.fs.Path(f"{root}/{above}.cursor/rules")
+        hidden += [str(f.getPath()) for f in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []]
+    raw = spark.read.option("recursiveFileLookup", "true").text([root, *hidden], wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     path = F.regexp_replace("file", "^.*?" + re.escape(root.strip("/")) + "/+", "")
     out = raw.withColumn("path", path).filter(F.col("path").rlike(RULE_FILES)).withColumn("repo", F.lit(repo))
     kind = source_kind(F.col("path"))
