@@ -8,9 +8,32 @@ from pyspark.sql import functions as F
 from ..functions.columns import let, stripped, unrepeated
 
 
-def token_estimate(text: Column, ascii_per_token: float = 4.0, other_per_token: float = 1.5) -> Column:
+# Characters a token, ASCII and other, and tokens for each message and for the whole, by provider; "" for all others.
+TOKEN_RATES = {"anthropic": (3.5, 1.4, 5, 3), "gemini": (4.0, 1.6, 3, 2), "": (4.0, 1.5, 4, 3)}
+
+
+def token_estimate(text: Column, ascii_per_token: float | Column = 4.0, other_per_token: float | Column = 1.5) -> Column:
+    """Tokens of a text by its characters, rounded up; null for null."""
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
     plain = F.length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
-    return F.ceil(plain / F.lit(ascii_per_token) + (F.length(text) - plain) / F.lit(other_per_token)).cast("long")
+    return F.ceil(plain / as_column(ascii_per_token) + (F.length(text) - plain) / as_column(other_per_token)).cast("long")
+
+
+def rates_of(provider: Column) -> Column:
+    """struct<ascii, other, message, whole> of a provider."""
+    row = lambda r: F.struct(F.lit(r[0]).alias("ascii"), F.lit(r[1]).alias("other"), F.lit(r[2]).alias("message"), F.lit(r[3]).alias("whole"))
+    out = row(TOKEN_RATES[""])
+    for name, rates in TOKEN_RATES.items():
+        out = F.when(provider == name, row(rates)).otherwise(out) if name else out
+    return out
+
+
+def message_tokens(turns: DataFrame, keys: list[str], provider: str = "provider") -> DataFrame:
+    """(keys, tokens): the messages (role, text, provider) of each conversation with what a provider adds to each and to the whole."""
+    r = rates_of(F.col(provider))
+    rows = turns.withColumn("r", r)
+    size = lambda c: F.coalesce(token_estimate(F.col(c), F.col("r.ascii"), F.col("r.other")), F.lit(0))
+    return rows.groupBy(*keys).agg((F.sum(size("role") + size("text") + F.col("r.message")) + F.max("r.whole")).cast("long").alias("tokens"))
 
 
 def compressed(text: Column) -> Column:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pricing
-from ..operators import coach, quality, quotas, rulebook, series, talk
+from ..operators import coach, quality, quotas, rulebook, series, talk, text
 from ..sources import ledger, logs
+from ..sources.usage import usage_events, without_sources
 from .queries import _CARD, _NOW, _PRICED, _TWO, _USAGE, NOW, _card_at, _priced, _read, _usage
 
 _K = "json_extract(props, '$.k')"
@@ -334,8 +335,13 @@ SELECT event_id, ts, provider, model, input_tokens, output_tokens, target, quali
 # ---- ledger
 
 
+def _provided(spark: SparkSession, d: str) -> DataFrame:
+    provider = F.get(F.array(F.lit("anthropic"), F.lit("gemini"), F.lit("mistral")), (F.col("conv_id") % 3).cast("int"))
+    return _read(spark, d, "conversations").withColumn("provider", provider)
+
+
 def _kpi_events(spark: SparkSession, d: str) -> DataFrame:
-    return _usage(spark, d).withColumn("latency_s", (F.col("k") * 7).cast("double"))
+    return without_sources(usage_events(_read(spark, d, "events")), coach.KPI_EXCLUDED).withColumn("latency_s", (F.col("k") * 7).cast("double"))
 
 
 def _kpis(spark: SparkSession, d: str) -> DataFrame:
@@ -439,6 +445,7 @@ QUERIES = {
     "rollup_daily_savings": lambda s, d: _usage(s, d).filter("k % 3 = 0").groupBy(F.to_date("ts").alias("day"), F.col("prompt_hash").alias("kind")).agg(F.count("*").alias("applied"), F.sum("output_tokens").alias("saved_tokens")),
     "coach_budget": lambda s, d: coach.within_budget(_usage(s, d).withColumn("cost", F.col("output_tokens")), 3000, "workflow_id", "event_id").select("event_id", "running"),
     "counter_fallback": _counters,
+    "message_tokens": lambda s, d: text.message_tokens(_provided(s, d), ["conv_id", "provider"]),
 }
 
 ORACLE_SQL = {
@@ -504,5 +511,8 @@ SELECT workflow_id, model_counts, coalesce(agent_id_counts, '') AS agent_id_coun
     "rollup_hourly_provider_model": f"WITH {_USAGE} SELECT date_trunc('hour', ts) AS bucket, provider, model, count(*) AS requests, sum(input_tokens)::BIGINT AS input_tokens FROM usage GROUP BY ALL",
     "rollup_daily_savings": f"WITH {_USAGE} SELECT ts::DATE AS day, prompt_hash AS kind, count(*) AS applied, sum(output_tokens)::BIGINT AS saved_tokens FROM usage WHERE k % 3 = 0 GROUP BY ALL",
     "coach_budget": f"WITH {_USAGE}, r AS (SELECT event_id, sum(output_tokens) OVER (PARTITION BY workflow_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM usage) SELECT * FROM r WHERE running <= 3000",
+    "message_tokens": """WITH r AS (SELECT conv_id, role, text, ['anthropic', 'gemini', 'mistral'][conv_id % 3 + 1] AS provider, [3.5, 4.0, 4.0][conv_id % 3 + 1]::DOUBLE AS a, [1.4, 1.6, 1.5][conv_id % 3 + 1]::DOUBLE AS o, [5, 3, 4][conv_id % 3 + 1] AS m, [3, 2, 3][conv_id % 3 + 1] AS w FROM conversations),
+p AS (SELECT *, length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) AS plain FROM r)
+SELECT conv_id, provider, (sum(ceil(length(role) / a) + ceil(plain / a + (length(text) - plain) / o) + m) + max(w))::BIGINT AS tokens FROM p GROUP BY ALL""",
     "counter_fallback": f"SELECT sum(coalesce(nullif(cast({_K} AS BIGINT), 0), CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END))::BIGINT AS cached FROM events",
 }

@@ -199,3 +199,9 @@ def test_price_snapshots(spark, tmp_path):
     (tmp_path / "2024-02-01.json").write_text('{"provider": "p", "pattern": "m", "input_rate": 1.0, "output_rate": 2.0}\njunk\n')
     row = pricing.snapshots(spark, str(tmp_path)).first()
     assert (row.taken.date(), row.pattern, row.output_rate) == (date(2024, 2, 1), "m", 2.0)
+
+
+def test_waste_limits_by_start_of_the_id(spark):
+    facts = spark.createDataFrame([(w, 300_000, 600_000, "a", 2, None) for w in ("claude-code:p", "codex:p", "other")], "workflow_id string, max_context long, growth long, agent_id string, run long, first_repeat long")
+    found = sorted((r.workflow_id, r.finding, r.excess) for r in coach.waste(facts).collect())
+    assert found == [("codex:p", "context_growth", 100_000), ("codex:p", "oversized_context", 50_000), ("other", "context_growth", 583_616), ("other", "oversized_context", 267_232)]
