@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 
-def _resolved(pointers: DataFrame) -> DataFrame:
+def _resolved(pointers: DataFrame, written) -> DataFrame:
     """(node, to) with to < node, followed to the end; each pass halves the depth."""
     pointers = written(pointers, "pointers")
     while True:
@@ -18,16 +18,18 @@ def _resolved(pointers: DataFrame) -> DataFrame:
         pointers = written(pointers.join(ahead, "to", "left").select("node", F.coalesce("further", "to").alias("to")), "pointers")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(a, b) links to (node, root): root is the smallest node of the component; only for nodes that aren't roots.
 
     Every node points to its smallest smaller neighbour, pointers are followed to their ends, and
     links between the ends are the next round's. Nothing is gathered but whether links are left.
+    scratch: where the tables on the way are noted.
     """
+    written = (scratch or Scratch(links.sparkSession)).written
     edge = lambda d: d.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links, out = written(edge(links), "links"), None
     while not links.isEmpty():
-        to = _resolved(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")))
+        to = _resolved(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")), written)
         if out is None:
             out = to.select("node", F.col("to").alias("root"))
         else:

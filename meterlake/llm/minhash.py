@@ -24,14 +24,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, only, written
+from .common import Scratch, id_and_text, keyed_join, only, written
 from .graph import components
 from .shingles import ShingleSets, jaccard_at_least, mixed
 
 ROWS = 5
 LOW_BITS = 4
 #: nodes that a task of the last round holds on one side
-BLOCK = 512
+BLOCK = 128
 LOW_NIBBLES = 0x1111111111111111
 
 
@@ -101,11 +101,17 @@ def similarity(a: Column, b: Column, percent: int = 85) -> Column:
     return F.greatest(F.lit(0.0), (matches(a, b, _width(percent)) / F.lit(float(k)) - c) / (1 - c))
 
 
+def least_estimate(percent: int) -> float:
+    """The estimate at least_matches: a pair at the threshold falls below it by chance in 5 standard deviations."""
+    c, k = 0.5**LOW_BITS, _width(percent) * 64 // LOW_BITS
+    return max(0.0, (least_matches(percent) / k - c) / (1 - c)) - 1e-9
+
+
 def _digest(s: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True)
 
 
-def _full_sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+def _full_sets(nodes: DataFrame, docs: DataFrame, words: int, scratch: Scratch) -> DataFrame:
     """(node, set) of the given (node, doc_id), from the whole texts again: once for all rounds."""
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,10 +123,10 @@ def _full_sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     # null ids match nothing in a join, so those few rows come whole; repeated ids give sets more than once
     asked = only(docs, nodes.select("doc_id"), "doc_id").unionByName(docs.filter("doc_id is null"))
     found = asked.mapInPandas(full, "node long, set binary").dropDuplicates(["node"])
-    return written(found, "sets")
+    return scratch.written(found, "sets")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Of pairs (a, b) of nodes those whose full shingle sets reach the threshold."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,12 +134,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = [jaccard_at_least(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch["set_a"], batch["set_b"], strict=True)]
             yield batch.loc[keep, ["a", "b"]]
 
-    pairs = written(pairs, "pairs")
+    pairs = scratch.written(pairs, "pairs")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    return written(both.mapInPandas(check, "a long, b long"), "confirmed")
+    return scratch.written(both.mapInPandas(check, "a long, b long"), "confirmed")
 
 
-def _compared(buckets: DataFrame, member: DataFrame, sets: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+def _compared(buckets: DataFrame, member: DataFrame, sets: DataFrame, facts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) between nodes of different components that share a bucket (bucket, node, pivot).
 
     Buckets with nodes in common are one group (a bucket alone where that is very large, so that a
@@ -142,12 +148,13 @@ def _compared(buckets: DataFrame, member: DataFrame, sets: DataFrame, facts: Dat
     found already needs no second one.
     """
     least, limit = least_matches(percent), BLOCK * band_count(percent)
-    roots = components(buckets.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    roots = components(buckets.select(F.col("node").alias("a"), F.col("pivot").alias("b")), scratch)
     placed = buckets.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("cluster"))
     sizes = placed.select("cluster", "node").distinct().groupBy("cluster").agg(F.count("*").alias("size"))
-    groups = written(placed.join(sizes, "cluster").select(F.when(F.col("size") <= limit, F.col("cluster")).otherwise(F.col("bucket")).alias("group"), "node").distinct(), "groups")
-    blocks = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    nodes = groups.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = scratch.written(sizes.withColumn("of", F.col("size")), "sizes")
+    groups = scratch.written(keyed_join(placed, sizes, ["cluster"]).select(F.when(F.col("of") <= limit, F.col("cluster")).otherwise(F.col("bucket")).alias("group"), "node").distinct(), "groups")
+    blocks = scratch.written(groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")), "blocks")
+    nodes = keyed_join(groups, blocks, ["group"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     sent = nodes.select("group", "node", "block", other).select("group", "node", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
     sets = sets.join(groups.select("node").distinct(), "node", "left_semi")
@@ -178,7 +185,7 @@ def _compared(buckets: DataFrame, member: DataFrame, sets: DataFrame, facts: Dat
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     keyed = sent.join(data, "node")
-    return written(keyed.groupBy("group", "x", "y").applyInPandas(compare, "a long, b long"), "links-found")
+    return scratch.written(keyed.groupBy("group", "x", "y").applyInPandas(compare, "a long, b long"), "links-found")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,49 +196,66 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, rounds:
     component_id unless a group has no other (then kept is false). Other columns are left out.
     rounds: comparisons of a bucket with one of its nodes before the last, full one.
     """
-    width, least = _width(percent), least_matches(percent)
     docs = id_and_text(docs, id_col, text_col)
-    signed = written(signatures(docs, words, percent), "signatures")
-    nodes = written(signed.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "nodes")
+    scratch = Scratch(docs.sparkSession)
+    keep = scratch.written
+    signed = keep(signatures(docs, words, percent), "signatures")
+    nodes = keep(signed.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "nodes")
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = keyed.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = written(keyed.join(shared, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "node", "size"), "buckets")
-    facts = written(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "n", "bits"), "facts")
-    sets = _full_sets(facts.select("node", "doc_id"), docs, words)
-    member = written(facts.select("node", F.col("node").alias("root")), "member")
+    shared = keep(keyed.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1"), "shared")
+    buckets = keep(keyed_join(keyed, shared, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "node"), "buckets")
+    facts = keep(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "n", "bits"), "facts")
+    sets = _full_sets(facts.select("node", "doc_id"), docs, words, scratch)
+    member = keep(facts.select("node", F.col("node").alias("root")), "member")
 
     def candidates(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b) whose sizes and bit counts allow a link, with the count of matches."""
+        """pairs (a, b) whose sizes and bit counts allow a link, with the estimate of their similarity."""
         x = facts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
         y = facts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-        both = pairs.join(x, "a").filter(F.col("bits_a").isNotNull()).join(y, "b")
-        both = both.withColumn("matches", matches(F.col("bits_a"), F.col("bits_b"), width))
-        return both.filter((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("matches") >= least))
+        # many nodes have one pivot, so the pivots' side is the one to be sent to all of them
+        pivots = keep(y.join(pairs.groupBy("b").agg(F.count("*").alias("size")), "b"), "pivots")
+        both = keyed_join(pairs.join(x, "a"), pivots, ["b"], most=50_000)
+        both = both.withColumn("estimate", similarity(F.col("bits_a"), F.col("bits_b"), percent))
+        return both.filter((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("estimate") >= least_estimate(percent)))
+
+    def rooted(pairs: DataFrame) -> DataFrame:
+        """pairs (a, b) of nodes in different components, with those components."""
+        ends = member.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+        ends = keep(ends.join(pairs.groupBy("b").agg(F.count("*").alias("size")), "b"), "ends")
+        found = keyed_join(pairs.join(member.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a"), ends, ["b"])
+        return found.filter("root_a <> root_b")
 
     def joined(found: DataFrame) -> DataFrame:
         """member with the components that found links put together."""
-        ends = found.join(member.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a").join(member.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b")
-        roots = components(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-        moved = member.join(roots.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-        return written(moved.select("node", F.coalesce("to", "root").alias("root")), "member")
+        links = keep(rooted(found).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "root-links")
+        moves = components(links, scratch).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        moves = keep(moves.join(member.groupBy("root").agg(F.count("*").alias("size")), "root"), "moves")
+        if moves.isEmpty():
+            return member
+        there = keyed_join(member, moves, ["root"]).select("node", F.col("to").alias("root"))
+        return keep(only(member, keep(there, "moved").select("node"), "node", "left_anti").unionByName(there), "member")
 
     for number in range(rounds + 1):
-        rows = buckets.join(member, "node")
-        mixed_ = rows.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("node", F.xxhash64("node", F.lit(number))).alias("pivot"), F.count("*").alias("of")).filter("r0 <> r1")
-        buckets = written(buckets.join(mixed_.select("bucket"), "bucket", "left_semi"), "buckets")
-        if buckets.isEmpty():
+        mixed_ = buckets.join(member, "node").groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("node", F.xxhash64("node", F.lit(number))).alias("pivot"), F.count("*").alias("size"))
+        mixed_ = keep(mixed_.filter("r0 <> r1").drop("r0", "r1"), "mixed")
+        starred = keep(keyed_join(buckets, mixed_, ["bucket"]), "buckets")
+        if starred.isEmpty():
             break
         if number == rounds:
-            member = joined(_compared(buckets.join(mixed_, "bucket").select("bucket", "node", "pivot"), member, sets, facts, percent))
+            member = joined(_compared(starred, member, sets, facts, percent, scratch))
             break
-        stars = buckets.join(mixed_, "bucket").select(F.col("node").alias("a"), F.col("pivot").alias("b")).filter("a <> b").distinct()
-        far = candidates(stars).join(member.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a").join(member.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b").filter("root_a <> root_b")
-        best = far.groupBy("root_a", "root_b").agg(F.max_by(F.struct("a", "b"), F.struct("matches", "a", "b")).alias("p"))
-        pairs = best.select("p.a", "p.b")
-        member = joined(_confirmed(pairs, sets, percent))
-
-    rooted = signed.select("doc_id", "n", "node").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = written(rooted, "rooted")
-    smallest = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("smallest"))
-    out = rooted.join(smallest, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("smallest")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+        buckets = starred.select("bucket", "node")
+        stars = keep(starred.select(F.col("node").alias("a"), F.col("pivot").alias("b")).filter("a <> b").distinct(), "stars")
+        far = rooted(keep(candidates(stars), "close"))
+        best = far.groupBy("root_a", "root_b").agg(F.max_by(F.struct("a", "b"), F.struct("estimate", "a", "b")).alias("p"))
+        member = joined(_confirmed(best.select("p.a", "p.b"), sets, percent, scratch))
+
+    ends = keep(signed.select("doc_id", "n", "node").join(member, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root")), "rooted")
+    smallest = ends.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("size")).filter("size > 1")
+    smallest = keep(smallest, "smallest")
+    grouped = keyed_join(ends, smallest, ["root"])
+    alone = only(ends.filter("root is not null"), smallest.select("root"), "root", "left_anti").unionByName(ends.filter("root is null")).withColumn("smallest", F.col("doc_id"))
+    out = grouped.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("smallest").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("smallest"), F.lit(False)).alias("kept"))
+    out = written(out, "near-duplicates")
+    scratch.clear()
+    return out

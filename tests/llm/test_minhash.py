@@ -3,6 +3,10 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from meterlake.llm import minhash
+from meterlake.llm.common import Scratch, shared_folder
 from meterlake.llm.graph import components
 from meterlake.llm.minhash import near_duplicates
 from meterlake.llm.shingles import ShingleSets
@@ -81,3 +85,61 @@ def test_near_copies_without_ids_are_linked(spark):
     rows = spark.createDataFrame([(None, " ".join(words)), (7, near), (7, near), (9, "far from these texts")], "doc_id long, text string")
     found = sorted((r["component_id"], r["kept"]) for r in near_duplicates(rows).collect())
     assert found == [(7, False), (7, True), (7, True), (9, True)]
+
+
+@pytest.mark.parametrize("block", [7, 40])
+def test_last_round_alone_over_many_blocks(spark, monkeypatch, block):
+    """No pivot rounds: all links come from comparing blocks, within and across; small blocks also bring buckets over the limit of a group."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    texts = corpus(11)
+    got = {r.doc_id: r for r in near_duplicates(docs(spark, texts), 3, 85, rounds=0).collect()}
+    assert {i: (got[i].n_shingles, got[i].component_id) for i in got} == brute(texts, 3, 85)
+
+
+def test_one_bucket_of_more_nodes_than_two_blocks(spark):
+    """1,200 nodes of one bucket, few of them alike: the links within and across blocks are those of brute force."""
+    rng = np.random.default_rng(3)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(vocab, 60)) for _ in range(1100)]
+    texts += [" ".join([*t.split(" ")[:59], "changed"]) for t in texts[::11]]
+    made = [s for s in ShingleSets(3).sets(texts)]
+    signed = minhash.signatures(docs(spark, texts), 3, 85).filter("n > 0").toPandas()
+    assert len(signed) == len(texts) > 2 * minhash.BLOCK
+    facts = spark.createDataFrame(signed[["node", "doc_id", "n", "bits"]].astype({"node": "int64"}).assign(bits=[list(map(int, b)) for b in signed["bits"]]), "node long, doc_id long, n long, bits array<long>")
+    node_of = dict(zip(signed["doc_id"].astype(int), signed["node"].astype(int), strict=True))
+    sets = spark.createDataFrame([(node_of[i], bytearray(s.tobytes())) for i, s in enumerate(made)], "node long, set binary")
+    member = facts.selectExpr("node", "node as root")
+    pivot = min(node_of.values())
+    buckets = facts.selectExpr("1L as bucket", "node", f"{pivot}L as pivot")
+    found = {tuple(sorted(r)) for r in minhash._compared(buckets, member, sets, facts, 85, Scratch(spark)).collect()}
+    want = {tuple(sorted((node_of[i], node_of[j]))) for k, j in enumerate(range(1100, len(texts))) for i in [11 * k]}
+    assert found == want
+
+
+def test_estimate_is_corrected_for_collisions(spark):
+    """The mean error of the estimate is near 0 at any similarity, and unrelated texts are near 0."""
+    rng = np.random.default_rng(4)
+    vocab = [f"w{i}" for i in range(5000)]
+    base = list(rng.choice(vocab, 400))
+    texts = [" ".join(base)]
+    for share in np.linspace(0.02, 1, 60):
+        own = list(base)
+        cut = int(share * 400)
+        own[:cut] = rng.choice(vocab, cut)
+        texts.append(" ".join(own))
+    sets = [set(s.tolist()) for s in ShingleSets(3).sets(texts)]
+    true = [len(sets[0] & s) / len(sets[0] | s) for s in sets]
+    signed = minhash.signatures(docs(spark, texts), 3, 85)
+    first = signed.filter("doc_id = 0").select(F.col("bits").alias("a"))
+    rows = signed.join(F.broadcast(first), how="inner").select("doc_id", minhash.similarity(F.col("a"), F.col("bits"), 85).alias("s")).collect()
+    error = [r.s - true[r.doc_id] for r in rows]
+    assert abs(np.mean(error)) < 0.03 and max(map(abs, error)) < 0.2
+
+
+def test_intermediate_tables_are_removed(spark):
+    import os
+
+    folder = shared_folder(spark)
+    before = set(os.listdir(folder))
+    near_duplicates(docs(spark, corpus()), 3, 85)
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} == {"near"}
