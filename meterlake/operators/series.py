@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spend import exact_sum
-
 
 def _severity(z: Column, threshold: float) -> Column:
     return F.when(z >= 2 * threshold, "high").when(z >= 1.5 * threshold, "medium").when(z >= threshold, "low").otherwise("none")
