@@ -29,8 +29,8 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     mask: array of struct<start, end> in code points of the completion, end exclusive; tokens
     outside don't count for the loss. Turns are in order of turn, then role, then text. Null
     roles and texts count as empty. Equal conversations have empty completions. A pair_id that is
-    null or in one table only has no row. Other columns are left out. Turns are compared one by
-    one; only what is rendered of one conversation comes together, as its row.
+    null or in one table only has no row. Other columns are left out. The turns of a conversation
+    come together in one row, which is what is rendered of it anyway.
     """
 
     def numbered(df: DataFrame, side: str) -> DataFrame:

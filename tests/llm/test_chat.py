@@ -34,3 +34,14 @@ def test_swapped(spark):
     assert rows[0].rejected_completion == plain([("assistant", "d")]) and rows[4].rejected_completion == plain([("assistant", "")])
     assert rows[1].chosen_completion == plain([("assistant", "d"), ("user", "e")])
     assert preference_pairs(chosen.limit(0), rejected.limit(0)).count() == 0
+
+
+def test_null_pairs_repeated_turns_and_long_conversations(spark):
+    schema = "pair_id long, turn long, role string, text string"
+    long = [(7, i, "user" if i % 2 == 0 else "assistant", f"turn {i} " * 3) for i in range(3000)]
+    chosen = spark.createDataFrame([(None, 0, "user", "x"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "assistant", "b"), *long], schema)
+    rejected = spark.createDataFrame([(None, 0, "user", "x"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "assistant", "b"), *long[:-1], (7, 2999, "assistant", "other")], schema)
+    rows = {r.pair_id: r for r in preference_pairs(chosen, rejected).collect()}
+    assert set(rows) == {1, 7}
+    assert rows[1].prompt_turns == 3 and rows[1].chosen_completion == "" and rows[1].prompt == plain([("assistant", "b"), ("user", "a"), ("user", "a")])
+    assert rows[7].prompt_turns == 2999 and rows[7].prompt == plain([r[2:] for r in long[:-1]]) and rows[7].rejected_completion == plain([("assistant", "other")])

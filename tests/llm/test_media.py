@@ -3,7 +3,7 @@ import wave
 
 import numpy as np
 
-from meterlake.llm.media import FRAME, from_wav, landmarks, media_documents, padded, to_wav
+from meterlake.llm.media import FRAME, HOP, from_wav, landmarks, media_documents, padded, to_wav
 
 from .samples import HARD, docs
 
@@ -33,3 +33,36 @@ def test_blocks_do_not_change_the_result():
     data = np.random.default_rng(1).integers(0, 256, FRAME * 50).astype(np.uint8).tobytes()
     a, b = landmarks(data, rows=7), landmarks(data)
     assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+
+
+def plain_peaks(data):
+    """The two strongest bins of each frame, by sums over cosines and sines."""
+    x = np.frombuffer(data, np.uint8).astype(float)
+    t, k = np.arange(FRAME), np.arange(FRAME // 2 + 1)[:, None]
+    wave_ = np.exp(-2j * np.pi * k * t / FRAME)
+    out = []
+    for at in range(0, len(x) - FRAME + 1, HOP):
+        f = x[at : at + FRAME]
+        power = np.round(np.abs(wave_ @ ((f - f.mean()) * np.hanning(FRAME))), 2)
+        order = sorted(range(1, FRAME // 2 + 1), key=lambda b: (-power[b], b))
+        out.append(order[:2])
+    return out
+
+
+def test_landmarks_as_by_plain_sums():
+    rng = np.random.default_rng(9)
+    t = np.arange(FRAME * 6)
+    for tones in ((31, 77), (12, 200), (64, 65)):
+        data = 128 + sum(40 * np.sin(2 * np.pi * f * t / FRAME + i) for i, f in enumerate(tones)) + rng.normal(0, 1, len(t))
+        data = np.clip(data, 0, 255).astype(np.uint8).tobytes()
+        peaks, want = plain_peaks(data), set()
+        for i, own in enumerate(peaks):
+            want |= {(i, a << 12 | peaks[i + gap][0] << 3 | gap) for gap in (1, 2) if i + gap < len(peaks) for a in own}
+        assert set(zip(*map(np.ndarray.tolist, landmarks(data)), strict=True)) == want
+
+
+def test_empty_table_null_ids_and_repeats(spark):
+    assert media_documents(docs(spark, [])).count() == 0
+    rows = spark.createDataFrame([(None, "a"), (None, "a"), (2, None), (2, "")], "doc_id long, text string")
+    got = media_documents(rows).collect()
+    assert len(got) == 4 and len({r.media for r in got}) == 2

@@ -56,3 +56,13 @@ def test_dedup_keeps_one_row_of_each_group(spark):
     assert left.columns == docs.columns
     want = [(5, a + " more"), (3, b), (3, c), (None, d), (None, e), (None, "short one"), (None, "short two"), (1, "")]
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_empty_table_and_repeated_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("empty", []), ("twice", [(1, "some words of a text that comes twice", "en", "s", 37)] * 2)):
+        docs = spark.createDataFrame(rows, schema)
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs.write.parquet(f"{tmp_path}/{name}{i}")
+            docs = stage(spark, spark.read.schema(docs.schema).parquet(f"{tmp_path}/{name}{i}"), DATA)
+        assert docs.count() == min(1, len(rows))
