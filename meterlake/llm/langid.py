@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 UNKNOWN = "und"
 #: n-grams fall into so many classes; a table row for each language and class is all the driver gathers.
 DIMS = 1 << 14
@@ -106,8 +108,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageCodes:
-    """Fits on every row whose text and language aren't null; each task sums its own counts first."""
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", most_languages: int = 512) -> LanguageCodes:
+    """Fits on every row whose text and language aren't null; each task sums its own counts first.
+
+    The driver gathers DIMS counts for each language. More than most_languages distinct values are
+    an error: such a column doesn't hold languages.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -121,6 +127,10 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
             yield pd.DataFrame({"lang": lang, "gram": at.astype("int32"), "n": n[at]})
 
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
+    bounded_batches(rows)
+    found = rows.select("lang").distinct().limit(most_languages + 1).count()
+    if found > most_languages:
+        raise ValueError(f"{lang_col} has over {most_languages} distinct values")
     counts = rows.mapInPandas(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
     dense = np.zeros((len(languages), DIMS))
@@ -131,13 +141,15 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 def identify(docs: DataFrame, model: LanguageCodes, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score and ambiguous added (a column of docs of such a name gives way).
 
-    Null, empty and letterless texts are und with score 0 and ambiguous. Repeated rows stay.
+    Null, empty and letterless texts are und with score 0 and ambiguous. Repeated rows stay. The
+    function is declared as nondeterministic so that a filter on its result doesn't run it twice.
     """
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score", "ambiguous"])
 
-    found = predict(F.col(text_col).cast("string"))
+    bounded_batches(docs)
+    found = predict.asNondeterministic()(F.col(text_col).cast("string"))
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "ambiguous")]
     return docs.select(*[F.col(f"`{c}`") for c in kept], found.alias("_found")).select(*[F.col(f"`{c}`") for c in kept], "_found.*")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from meterlake.llm.langid import codewords, held_out, identify, learn
@@ -37,3 +38,12 @@ def test_codewords_differ():
     for n in (2, 4, 5, 9, 30):
         code = codewords(n)
         assert len(np.unique(code, axis=0)) == n and (np.abs(code.sum(axis=0)) < n).all()
+
+
+def test_empty_table_repeats_and_dirty_labels(spark):
+    rows = spark.createDataFrame([(None, "le chat", "fr"), (None, "le chat", "fr"), (3, "the cat", "en"), (3, "the cat", "en")], "doc_id long, text string, lang string")
+    model = learn(rows)
+    assert identify(rows.limit(0), model).count() == 0 and learn(rows.limit(0)).languages == []
+    assert sorted(r.lang_pred for r in identify(rows, model).collect()) == ["en", "en", "fr", "fr"]
+    with pytest.raises(ValueError, match="over 2 distinct"):
+        learn(docs(spark, ["a", "b", "c"]).withColumn("lang", F.col("doc_id").cast("string")), most_languages=2)
