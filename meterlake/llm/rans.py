@@ -154,11 +154,12 @@ def id_counts(tokens: DataFrame, id_type: str = "<u4") -> DataFrame:
     return tokens.select("ids").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_token_files(tokens: DataFrame, path: str, frame_ids: int = 1 << 18, parts: int | None = None, id_type: str = "<u4") -> None:
+def write_token_files(tokens: DataFrame, path: str, frame_ids: int = 1 << 18, ids_per_file: int = 1 << 23, id_type: str = "<u4") -> None:
     """Writes path/frames and path/frequencies: documents in ascending doc_id order (nulls first).
 
     The table that the driver gathers has a row for each id of the vocabulary at most. Repeated
-    doc_ids stay, in the order of their ids' bytes. id_type: of the ids in tokens.
+    doc_ids stay, in the order of a hash of their ids. id_type: of the ids in tokens. A file has about
+    ids_per_file ids.
     """
     spark = tokens.sparkSession
     counts = id_counts(tokens, id_type).toPandas()
@@ -188,8 +189,10 @@ def write_token_files(tokens: DataFrame, path: str, frame_ids: int = 1 << 18, pa
         if docs:
             yield flush()
 
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    parts = max(1, -(-int(dense.sum()) // ids_per_file))
+    # rows of one id, null for instance, may be many: those with other ids of tokens can go to other files
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]
+    ordered = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order, "ids")
     ordered.mapInPandas(run, FRAMES).write.option("compression", "uncompressed").parquet(f"{path}/frames")
 
 

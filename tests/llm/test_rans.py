@@ -45,7 +45,8 @@ def test_files(spark):
 def test_many_frames_nulls_and_repeats(spark, tmp_path):
     rows = [(None, "a b"), (None, "c"), (5, "x y z"), (5, "x y z"), (-3, "n")] * 20
     tokens = token_table(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json"), 2)
-    write_token_files(tokens, f"{tmp_path}/t", frame_ids=7)
+    write_token_files(tokens, f"{tmp_path}/t", frame_ids=7, ids_per_file=40)
+    assert 2 < spark.read.parquet(f"{tmp_path}/t/frames").select("part").distinct().count() < 20
     back = read_token_files(spark, f"{tmp_path}/t").orderBy("start").collect()
     assert len(back) == 100 and [r.doc_id for r in back] == [None] * 40 + [-3] * 20 + [5] * 40
     assert [r.start for r in back] == [0, *np.cumsum([r.n_tokens for r in back])[:-1]]
