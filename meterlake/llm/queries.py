@@ -159,6 +159,65 @@ def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op11_level_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import folded, manifest, siblings
+
+    out = manifest(_table(spark, sf_dir, "documents")).withColumn("folded_root", folded(F.coalesce("altered", "leaf"), F.col("path")))
+    proof = F.sha2(siblings(F.col("path")).cast("binary"), 256).alias("proof_sha256")
+    return out.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+OP11_SQL = """
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY k) AS t FROM (
+    SELECT k, list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k) AS c
+    FROM (SELECT unnest(range(256)) AS k))),
+fields AS (
+  SELECT doc_id, lang, n_chars,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS body
+  FROM documents),
+hashed AS (
+  SELECT doc_id, lang, n_chars, head, body, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || body) AS leaf,
+    xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT),
+      lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295::BIGINT)) AS crc
+  FROM fields, crc_table),
+placed AS (
+  SELECT doc_id, lang, leaf, CASE WHEN crc % 7 = 0 AND n_chars IS NOT NULL THEN sha256(head || strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) || body) ELSE leaf END AS altered,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS rank
+  FROM hashed),
+low AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY rank) AS nodes FROM placed GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range((len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))
+  FROM low WHERE len(nodes) > 1),
+subroots AS (
+  SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS rank FROM low WHERE len(nodes) = 1),
+high AS (
+  SELECT 0 AS level, list(subroot ORDER BY rank) AS nodes FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range((len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))
+  FROM high WHERE len(nodes) > 1),
+steps AS (
+  SELECT p.doc_id, p.leaf, s.subroot, p.altered, l.level, (p.rank // (1::BIGINT << l.level)) % 2 AS odd, l.nodes[xor(p.rank // (1::BIGINT << l.level), 1) + 1] AS other
+  FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN low l ON l.lang IS NOT DISTINCT FROM p.lang WHERE len(l.nodes) > 1
+  UNION ALL
+  SELECT p.doc_id, p.leaf, s.subroot, p.altered, 1000 + h.level, (s.rank // (1::BIGINT << h.level)) % 2, h.nodes[xor(s.rank // (1::BIGINT << h.level), 1) + 1]
+  FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang, high h WHERE len(h.nodes) > 1),
+paths AS (
+  SELECT doc_id, leaf, subroot, altered, list(CASE WHEN other IS NULL THEN '' WHEN odd = 1 THEN 'L' || other ELSE 'R' || other END ORDER BY level) AS path
+  FROM steps GROUP BY ALL
+  UNION ALL
+  SELECT doc_id, leaf, leaf, altered, []::VARCHAR[] FROM placed WHERE (SELECT count(*) FROM placed) = 1),
+folded AS (
+  SELECT *, (SELECT nodes[1] FROM high WHERE len(nodes) = 1) AS root,
+    list_reduce(path, lambda a, s: sha256(CASE s[1] WHEN 'L' THEN s[2:] || a WHEN 'R' THEN a || s[2:] ELSE a END), altered) AS folded_root
+  FROM paths)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM folded
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -172,6 +231,7 @@ QUERIES = {
         op8_output_codes,
         op9_wav_peak_pairs,
         op10_bbit_minhash,
+        op11_level_strings,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op7_preference_format": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_preference_format": OP7_SQL, "op11_level_strings": OP11_SQL}
