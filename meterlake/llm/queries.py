@@ -218,6 +218,32 @@ FROM folded
 """
 
 
+def op13_segment_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import hard_negatives, vectors
+
+    rows = vectors(_table(spark, sf_dir, "embeddings"))
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_dot_product(a.v, r.v)::BIGINT AS score
+  FROM vectors a JOIN vectors r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank,
+  n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.positive_score <= 100 * n.score AND 100 * n.score <= 100 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) <= 5
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -232,6 +258,7 @@ QUERIES = {
         op9_wav_peak_pairs,
         op10_bbit_minhash,
         op11_level_strings,
+        op13_segment_summaries,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op7_preference_format": OP7_SQL, "op11_level_strings": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_preference_format": OP7_SQL, "op11_level_strings": OP11_SQL, "op13_segment_summaries": OP13_SQL}
