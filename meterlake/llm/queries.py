@@ -218,6 +218,33 @@ FROM folded
 """
 
 
+def op12_prefix_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+OP12_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END AS s
+  FROM words),
+nodes AS (SELECT min(doc_id) AS node, len(any_value(s)) AS n, any_value(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+tokens AS (SELECT node, n, unnest(s) AS t FROM nodes),
+pairs AS (
+  SELECT a.node AS a, b.node AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.node < b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT node, node AS other FROM nodes UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other),
+roots AS (SELECT n.node, list_sort(n.s) AS s, min(r.other) AS root FROM nodes n JOIN reach r USING (node) GROUP BY n.node, n.s)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(r.root, d.doc_id) AS component_id
+FROM sets d LEFT JOIN roots r ON r.s = list_sort(d.s)
+"""
+
+
 def op13_segment_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .negatives import hard_negatives, vectors
 
@@ -258,7 +285,8 @@ QUERIES = {
         op9_wav_peak_pairs,
         op10_bbit_minhash,
         op11_level_strings,
+        op12_prefix_orders,
         op13_segment_summaries,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op7_preference_format": OP7_SQL, "op11_level_strings": OP11_SQL, "op13_segment_summaries": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_preference_format": OP7_SQL, "op11_level_strings": OP11_SQL, "op12_prefix_orders": OP12_SQL, "op13_segment_summaries": OP13_SQL}
