@@ -9,7 +9,7 @@ first by what the filters need, then, for nodes that have a candidate left, by t
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,8 @@ from .shingles import jaccard_at_least
 
 #: nodes of a block, about; groups of more than WHOLE blocks are compared bucket by bucket
 BLOCK, WHOLE = 128, 64
+#: rows that a task of the last step holds at once, about: with the columns of the filters, with full sets
+LIGHT_ROWS, FULL_ROWS = 8_192, 1_024
 CELL = ["group", "class_x", "x", "class_y", "y"]
 
 
@@ -29,12 +31,12 @@ class Linker:
     """Links nodes (long ids) whose sets reach 100 * intersection >= percent * union.
 
     facts: written table (node, n, filter columns). sets: written table (node, set binary).
-    fits(a, b) is a condition on the filter columns with those prefixes; fitting(rows) is the same
-    for all pairs of a pandas frame, as a matrix.
+    fits(a, b) is a condition on the filter columns with those prefixes; prepared(rows) turns the
+    filter columns of a pandas frame into a list, and meets(x, y) is the same condition on two of it.
     """
 
-    def __init__(self, facts: DataFrame, sets: DataFrame, percent: int, fits: Callable[[str, str], Column], fitting: Callable[[pd.DataFrame], np.ndarray], scratch: Scratch):
-        self.facts, self.sets, self.percent, self.fits, self.fitting, self.keep = facts, sets, percent, fits, fitting, scratch.written
+    def __init__(self, facts: DataFrame, sets: DataFrame, percent: int, fits: Callable[[str, str], Column], prepared: Callable[[pd.DataFrame], list], meets: Callable[[object, object], bool], scratch: Scratch):
+        self.facts, self.sets, self.percent, self.fits, self.prepared, self.meets, self.keep = facts, sets, percent, fits, prepared, meets, scratch.written
         self.scratch = scratch
         self.member = self.keep(facts.select("node", F.col("node").alias("root")), "member")
 
@@ -112,40 +114,65 @@ class Linker:
         return out.select("group", F.col("cell.a").alias("class_x"), F.col("cell.x").alias("x"), F.col("cell.b").alias("class_y"), F.col("cell.y").alias("y"), "node", "class", "sub")
 
     def compare(self, buckets: DataFrame) -> None:
-        """Links between nodes of different components that share a bucket (bucket, node, pivot): all of them that matter."""
-        fitting, percent = self.fitting, self.percent
+        """Links between nodes of different components that share a bucket (bucket, node, pivot): all of them that matter.
+
+        Many cells go to one call of Python, so small ones cost little. First only the columns of
+        the filters are sent; full sets follow for the nodes that have a candidate left in a cell.
+        """
+        percent, prepared, meets = self.percent, self.prepared, self.meets
         sent = self.keep(self.cells(buckets), "cells")
         light = self.facts.join(self.member, "node")
 
-        def allowed(rows: pd.DataFrame) -> np.ndarray:
+        def pairs(rows: pd.DataFrame) -> Iterator[tuple[int, int]]:
+            """Places of rows, sorted by cell, that sizes, components, blocks and filters leave."""
             n, root, cls, sub = (rows[c].to_numpy() for c in ("n", "root", "class", "sub"))
-            fit = np.minimum(n, n[:, None]) * 100 >= np.maximum(n, n[:, None]) * percent
-            fit &= np.triu(root != root[:, None])
-            if tuple(rows.iloc[0][["class_x", "x"]]) != tuple(rows.iloc[0][["class_y", "y"]]):
-                fit &= (cls != cls[:, None]) | (sub != sub[:, None])
-            return fit & fitting(rows) if fit.any() else fit
+            cell, ready = rows[CELL].to_numpy(), prepared(rows)
+            edges = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]).any(axis=1), [True]]))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                across = tuple(cell[a, 1:3]) != tuple(cell[a, 3:5])
+                for i in range(a, b - 1):
+                    m = n[i + 1 : b]
+                    fit = (np.minimum(m, n[i]) * 100 >= np.maximum(m, n[i]) * percent) & (root[i + 1 : b] != root[i])
+                    if across:
+                        fit &= (cls[i + 1 : b] != cls[i]) | (sub[i + 1 : b] != sub[i])
+                    for j in np.flatnonzero(fit) + i + 1:
+                        if meets(ready[i], ready[j]):
+                            yield i, j
 
         def first(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("node", ignore_index=True)
-            fit = allowed(rows)
-            return rows.loc[fit.any(axis=0) | fit.any(axis=1), [*CELL, "node", "class", "sub"]]
+            rows = rows.sort_values([*CELL, "node"], ignore_index=True)
+            left = np.zeros(len(rows), bool)
+            for i, j in pairs(rows):
+                left[i] = left[j] = True
+            return rows.loc[left, [*CELL, "node", "class", "sub"]]
 
         def second(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("node", ignore_index=True)
-            sets, node, part = [np.frombuffer(x, np.uint64) for x in rows["set"]], rows["node"].to_numpy(), np.unique(rows["root"], return_inverse=True)[1]
-            links = []
-            for i, j in np.argwhere(allowed(rows)):
-                if part[i] != part[j] and jaccard_at_least(sets[i], sets[j], percent):
+            rows = rows.sort_values([*CELL, "node"], ignore_index=True)
+            sets, node, root = [np.frombuffer(x, np.uint64) for x in rows["set"]], rows["node"].to_numpy(), rows["root"].tolist()
+            end, links = {r: r for r in root}, []
+
+            def find(r: int) -> int:
+                while end[r] != r:
+                    r = end[r] = end[end[r]]
+                return r
+
+            for i, j in pairs(rows):
+                a, b = find(root[i]), find(root[j])
+                if a != b and jaccard_at_least(sets[i], sets[j], percent):
                     links.append((node[i], node[j]))
-                    part[part == part[j]] = part[i]
+                    end[a] = b
             return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
+        def dealt(df: DataFrame, rows: int) -> DataFrame:
+            """df with a number for the cells that are worked on together."""
+            return df.withColumn("lot", F.pmod(F.xxhash64(*CELL), F.lit(max(1, df.count() // rows))))
+
         names = "group long, class_x int, x int, class_y int, y int, node long, class int, sub int"
-        left = self.keep(sent.join(light, "node").groupBy(*CELL).applyInPandas(first, names), "cells-left")
-        found = left.join(light, "node").join(self.sets, "node").groupBy(*CELL).applyInPandas(second, "a long, b long")
+        left = self.keep(dealt(sent, LIGHT_ROWS).join(light, "node").groupBy("lot").applyInPandas(first, names), "cells-left")
+        found = dealt(left, FULL_ROWS).join(light, "node").join(self.sets, "node").groupBy("lot").applyInPandas(second, "a long, b long")
         self.join(self.keep(found, "links-found"))
 
-    def linked(self, buckets: DataFrame, rounds: int = 3) -> DataFrame:
+    def linked(self, buckets: DataFrame, rounds: int = 2) -> DataFrame:
         """(node, root) for every node of facts; buckets (bucket, node) is a written table."""
         for number in range(rounds + 1):
             pivot = F.min_by("node", F.xxhash64("node", F.lit(number))).alias("pivot")

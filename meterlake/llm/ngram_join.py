@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,11 @@ from .linking import Linker
 from .shingles import ShingleSets, mixed
 
 ORDERS = 3
-#: counters of tokens, by hash: 2**20 of them, of which one byte each is broadcast; a task's counters travel in chunks
-COUNTERS, CHUNK = 1 << 20, 1 << 12
+#: counters of tokens, by hash: as many as the corpus has words, between these bounds; a byte each is broadcast, so 64 MB at most
+COUNTERS, MOST_COUNTERS = 1 << 20, 1 << 26
+#: counters of a chunk, in which a task's counters travel
+CHUNK = 1 << 18
+LOG_STEPS = 8
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -31,43 +35,65 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def token_counts(docs: DataFrame, words: int) -> np.ndarray:
-    """How many texts have a token, summed over the tokens of each counter."""
+def counter_number(docs: DataFrame) -> int:
+    """A power of two that is about the number of words of all texts, within the bounds."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return min(MOST_COUNTERS, max(COUNTERS, 1 << (size // 6).bit_length()))
+
+
+def token_counts(docs: DataFrame, words: int, counters: int = COUNTERS) -> np.ndarray:
+    """How many texts have a token, summed over the tokens of each counter, as LOG_STEPS * log2(count + 1) rounded to a byte.
+
+    A task counts up to 255 a counter; sums of tasks go on from there.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets, total = ShingleSets(words), np.zeros(COUNTERS, np.int64)
+        sets, total = ShingleSets(words), np.zeros(counters, np.uint8)
+
+        def add(kept: list[np.ndarray]) -> None:
+            at, times = np.unique(np.concatenate(kept).astype(np.uint32), return_counts=True)
+            total[at] = np.minimum(total[at].astype(np.int64) + times, 255)
+
         for batch in batches:
             kept, size = [], 0
             for s in sets.sets(batch["text"]):
-                kept.append(s & np.uint64(COUNTERS - 1))
+                kept.append(s & np.uint64(counters - 1))
                 size += len(s)
-                if size > COUNTERS:
-                    total += np.bincount(np.concatenate(kept).astype(np.int64), minlength=COUNTERS)
+                if size > 1 << 20:
+                    add(kept)
                     kept, size = [], 0
             if size:
-                total += np.bincount(np.concatenate(kept).astype(np.int64), minlength=COUNTERS)
-        if total.any():
-            yield pd.DataFrame({"chunk": np.arange(COUNTERS // CHUNK, dtype=np.int32), "counts": [c.tobytes() for c in total.reshape(-1, CHUNK)]})
+                add(kept)
+        pack = zstandard.ZstdCompressor(level=1)
+        for chunk, counts in enumerate(total.reshape(-1, min(CHUNK, counters))):
+            if counts.any():
+                yield pd.DataFrame({"chunk": np.array([chunk], np.int32), "counts": [pack.compress(counts.tobytes())]})
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for chunk, counts in zip(batch["chunk"], batch["counts"], strict=True):
-                total[chunk] = total.get(chunk, 0) + np.frombuffer(counts, np.int64)
-        yield pd.DataFrame({"chunk": np.array([*total], np.int32), "counts": [c.tobytes() for c in total.values()]})
+                more = np.frombuffer(unpack.decompress(counts), np.uint8).astype(np.uint32)
+                total[chunk] = total[chunk] + more if chunk in total else more
+        for chunk, counts in total.items():
+            logs = np.round(np.log2(counts + 1.0) * LOG_STEPS).astype(np.uint8)
+            yield pd.DataFrame({"chunk": np.array([chunk], np.int32), "counts": [pack.compress(logs.tobytes())]})
 
     ddl = "chunk int, counts binary"
-    parts = docs.select("text").mapInPandas(count, ddl).repartition("chunk").mapInPandas(add, ddl)
-    out = np.zeros((COUNTERS // CHUNK, CHUNK), np.int64)
-    for row in parts.collect():  # a fixed number of counters, whatever the corpus
-        out[row.chunk] = np.frombuffer(row.counts, np.int64)
+    parts = docs.select("text").mapInPandas(count, ddl).repartition("chunk").mapInPandas(add_up, ddl)
+    out = np.zeros((counters // min(CHUNK, counters), min(CHUNK, counters)), np.uint8)
+    for row in parts.collect():  # MOST_COUNTERS bytes at most, whatever the corpus
+        out[row.chunk] = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.counts), np.uint8)
     return out.reshape(-1)
 
 
-def rarity(counts: np.ndarray) -> np.ndarray:
-    """A class for each counter: 0 up to twice the mean, then one more for each doubling."""
-    mean = max(1.0, counts.mean())
-    return np.maximum(0, np.ceil(np.log2(np.maximum(counts, 1) / mean)) - 1).astype(np.uint8)
+def rarity(logs: np.ndarray) -> np.ndarray:
+    """A class for each counter: 0 up to one more than the mean, then one more for each doubling of what is above the mean."""
+    count = 2 ** (np.arange(256) / LOG_STEPS) - 1
+    mean = float((np.bincount(logs, minlength=256) * count).sum() / len(logs))
+    classes = np.ceil(np.log2(np.maximum(np.round(count) - np.floor(mean), 1))).astype(np.uint8)
+    return classes[logs]
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -107,21 +133,13 @@ def _fits(a: str, b: str) -> Column:
     return F.arrays_overlap(f"{a}second", f"{b}second") & F.arrays_overlap(f"{a}third", f"{b}third")
 
 
-def _meeting(lists) -> np.ndarray:
-    """Which of the lists share a token, as a matrix."""
-    out = np.zeros((len(lists), len(lists)), bool)
-    token, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    order = np.argsort(token, kind="stable")
-    token, owner = token[order], owner[order]
-    edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if b - a > 1:
-            out[np.ix_(owner[a:b], owner[a:b])] = True
-    return out
+def _meets(a, b) -> bool:
+    """As _fits, for two rows (second, third) of sets."""
+    return not a[0].isdisjoint(b[0]) and not a[1].isdisjoint(b[1])
 
 
-def _fitting(rows: pd.DataFrame) -> np.ndarray:
-    return _meeting(list(rows["second"])) & _meeting(list(rows["third"]))
+def _prepared(rows: pd.DataFrame) -> list:
+    return [(frozenset(x), frozenset(y)) for x, y in zip(rows["second"], rows["third"], strict=True)]
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, words: int, scratch: Scratch) -> DataFrame:
@@ -139,7 +157,7 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, words: int, scratch: Scratch)
     return scratch.written(found.join(nodes.select("node", "digest"), "digest").select("node", "set"), "sets")
 
 
-def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs.
 
     Two texts are linked where 100 * shared shingles >= percent * all shingles of both; component_id
@@ -151,7 +169,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, round
     docs = id_and_text(docs, id_col, text_col)
     scratch = Scratch(docs.sparkSession)
     keep = scratch.written
-    classes = docs.sparkSession.sparkContext.broadcast(rarity(token_counts(docs, words)))
+    classes = docs.sparkSession.sparkContext.broadcast(rarity(token_counts(docs, words, counter_number(docs))))
     signed = keep(signatures(docs, words, percent, classes).withColumn("row", F.monotonically_increasing_id()), "signatures")
     digests = signed.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("smallest"), F.count("*").alias("size"))
     digests = keep(digests, "digests")
@@ -162,7 +180,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, round
     facts = keep(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "n", "second", "third"), "facts")
     ids = nodes.select("node", "digest").join(facts.select("node"), "node").join(signed.select(F.col("row").alias("node"), "doc_id"), "node")
     sets = _full_sets(docs, keep(ids, "ids"), words, scratch)
-    member = Linker(facts, sets, percent, _fits, _fitting, scratch).linked(buckets, rounds)
+    member = Linker(facts, sets, percent, _fits, _prepared, _meets, scratch).linked(buckets, rounds)
 
     rooted = keep(digests.join(member, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     roots = keep(rooted.groupBy("root").agg(F.min("smallest").alias("component_id"), F.count("*").alias("size")), "roots")
