@@ -23,8 +23,8 @@ from .linking import Linker
 from .shingles import ShingleSets, mixed
 
 ORDERS = 3
-#: counters of tokens, by hash: as many as the corpus has words, between these bounds; a byte each is broadcast, so 64 MB at most
-COUNTERS, MOST_COUNTERS = 1 << 20, 1 << 26
+#: counters of tokens, by hash: as many as the corpus has words, between these bounds; a byte each is broadcast, so 16 MB at most
+COUNTERS, MOST_COUNTERS = 1 << 20, 1 << 24
 #: counters of a chunk, in which a task's counters travel
 CHUNK = 1 << 18
 LOG_STEPS = 8
@@ -89,37 +89,38 @@ def token_counts(docs: DataFrame, words: int, counters: int = COUNTERS) -> np.nd
 
 
 def rarity(logs: np.ndarray) -> np.ndarray:
-    """A class for each counter: 0 up to one more than the mean, then one more for each doubling of what is above the mean."""
+    """The class of each of the 256 values that a counter may have: 0 up to one more than the mean, then one more for each doubling of what is above the mean."""
     count = 2 ** (np.arange(256) / LOG_STEPS) - 1
     mean = float((np.bincount(logs, minlength=256) * count).sum() / len(logs))
-    classes = np.ceil(np.log2(np.maximum(np.round(count) - np.floor(mean), 1))).astype(np.uint8)
-    return classes[logs]
+    return np.ceil(np.log2(np.maximum(np.round(count) - np.floor(mean), 1))).astype(np.uint8)
 
 
 def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def prefixes(s: np.ndarray, classes: np.ndarray, percent: int) -> list[np.ndarray]:
-    """The first tokens of a set under each order."""
-    p, high = prefix_length(len(s), percent), classes[s & np.uint64(len(classes) - 1)].astype(np.uint64) << np.uint64(56)
+def prefixes(s: np.ndarray, logs: np.ndarray, classes: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The first tokens of a set under each order: the first order goes by the counters, the others by their classes, so that hashes decide more."""
+    p, own = prefix_length(len(s), percent), logs[s & np.uint64(len(logs) - 1)]
     out = []
     for number in range(1, ORDERS + 1):
-        key = high | (mixed(s + mixed(np.full(1, number, np.uint64))) >> np.uint64(8))
+        high = own if number == 1 else classes[own]
+        key = (high.astype(np.uint64) << np.uint64(56)) | (mixed(s + mixed(np.full(1, number, np.uint64))) >> np.uint64(8))
         out.append(s[key <= np.partition(key, p - 1)[p - 1]])
     return out
 
 
-def signatures(docs: DataFrame, words: int, percent: int, classes) -> DataFrame:
+def signatures(docs: DataFrame, words: int, percent: int, counters) -> DataFrame:
     """(doc_id, n, digest, first array<long>, second array<int>, third array<int>); the last two hold the low halves of tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets, rare = ShingleSets(words), classes.value
+        sets, logs = ShingleSets(words), counters.value
+        classes = rarity(logs)
         for batch in batches:
             rows = []
             for s in sets.sets(batch["text"]):
                 if len(s):
-                    one, *more = prefixes(s, rare, percent)
+                    one, *more = prefixes(s, logs, classes, percent)
                     rows.append((len(s), _digest(s), one.view(np.int64), *(m.astype(np.uint32).view(np.int32) for m in more)))
                 else:
                     rows.append((0, None, None, None, None))
@@ -169,8 +170,8 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, round
     docs = id_and_text(docs, id_col, text_col)
     scratch = Scratch(docs.sparkSession)
     keep = scratch.written
-    classes = docs.sparkSession.sparkContext.broadcast(rarity(token_counts(docs, words, counter_number(docs))))
-    signed = keep(signatures(docs, words, percent, classes).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    counters = docs.sparkSession.sparkContext.broadcast(token_counts(docs, words, counter_number(docs)))
+    signed = keep(signatures(docs, words, percent, counters).withColumn("row", F.monotonically_increasing_id()), "signatures")
     digests = signed.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("smallest"), F.count("*").alias("size"))
     digests = keep(digests, "digests")
     nodes = keep(only(signed, digests.select(F.col("node").alias("row")), "row").drop("doc_id").withColumnRenamed("row", "node"), "nodes")
@@ -190,5 +191,5 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, round
     out = out.unionByName(rows.filter("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     out = written(out.select("doc_id", "n_shingles", "component_id"), "jaccard-components")
     scratch.clear()
-    classes.unpersist()
+    counters.unpersist()
     return out

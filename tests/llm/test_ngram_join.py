@@ -47,7 +47,8 @@ def test_a_passage_in_many_texts(spark, monkeypatch, whole):
 
 def test_prefixes_meet_for_every_pair_at_the_threshold():
     rng = np.random.default_rng(2)
-    classes = rarity(rng.integers(0, 100, ngram_join.COUNTERS).astype(np.uint8))
+    logs = rng.integers(0, 100, ngram_join.COUNTERS).astype(np.uint8)
+    classes = rarity(logs)
     for _ in range(300):
         n = int(rng.integers(1, 400))
         a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
@@ -55,16 +56,16 @@ def test_prefixes_meet_for_every_pair_at_the_threshold():
         b = np.unique(np.concatenate([a[away:], rng.integers(0, 2**63, away, dtype=np.uint64)]))
         both = len(np.intersect1d(a, b))
         assert 100 * both >= 90 * (len(a) + len(b) - both)
-        for x, y in zip(prefixes(a, classes, 90), prefixes(b, classes, 90), strict=True):
+        for x, y in zip(prefixes(a, logs, classes, 90), prefixes(b, logs, classes, 90), strict=True):
             assert len(np.intersect1d(x, y))
-        assert all(len(x) == prefix_length(len(a), 90) for x in prefixes(a, classes, 90))
+        assert all(len(x) == prefix_length(len(a), 90) for x in prefixes(a, logs, classes, 90))
 
 
 def test_orders_put_rare_tokens_first():
     counts = np.full(ngram_join.COUNTERS, ngram_join.LOG_STEPS, np.uint8)  # once each
     counts[:100] = 100
     s = np.arange(1000, dtype=np.uint64)
-    for x in prefixes(s, rarity(counts), 90):
+    for x in prefixes(s, counts, rarity(counts), 90):
         assert x.min() >= 100 and len(x) == 101
 
 
