@@ -22,6 +22,8 @@ from .shingles import jaccard_at_least
 
 #: nodes of a block, about; groups of more than WHOLE blocks are compared bucket by bucket
 BLOCK, WHOLE = 128, 64
+#: rows of a few numbers each that are sent to all tasks at most, so that wide rows stay where they are
+NARROW = 2_000_000
 #: rows that a task of the last step holds at once, about: with the columns of the filters, with full sets
 LIGHT_ROWS, FULL_ROWS = 8_192, 1_024
 CELL = ["group", "class_x", "x", "class_y", "y"]
@@ -40,11 +42,16 @@ class Linker:
         self.scratch = scratch
         self.member = self.keep(facts.select("node", F.col("node").alias("root")), "member")
 
+    def beside(self, wide: DataFrame, narrow: DataFrame, on: str) -> DataFrame:
+        """wide joined with a written table of few columns, which is sent to all tasks if it isn't large."""
+        return wide.join(F.broadcast(narrow) if narrow.count() <= NARROW else narrow, on)
+
     def candidates(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes and filters allow a link; many a have one b."""
         named = lambda df, p: df.select([F.col(c).alias(p if c == "node" else f"{p}_{c}") for c in df.columns])
-        pivots = named(self.facts, "b").join(pairs.groupBy("b").agg(F.count("*").alias("size")), "b")
-        both = keyed_join(pairs.join(named(self.facts, "a"), "a"), self.keep(pivots, "pivots"), ["b"], most=20_000)
+        ends = self.keep(pairs.groupBy("b").agg(F.count("*").alias("size")), "pivot-sizes")
+        pivots = self.keep(self.beside(named(self.facts, "b"), ends, "b"), "pivots")
+        both = keyed_join(self.beside(named(self.facts, "a"), self.keep(pairs, "candidates"), "a"), pivots, ["b"], most=50_000)
         sizes = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * self.percent
         return both.filter(sizes).filter(self.fits("a_", "b_")).select("a", "b")
 
@@ -64,8 +71,14 @@ class Linker:
                 fit = [jaccard_at_least(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch["set_a"], batch["set_b"], strict=True)]
                 yield batch.loc[fit, ["a", "b"]]
 
-        side = lambda p: self.sets.select(F.col("node").alias(p), F.col("set").alias(f"set_{p}"))
-        both = self.keep(pairs, "pairs").join(side("a"), "a").join(side("b"), "b")
+        pairs = self.keep(pairs, "pairs")
+
+        def side(p: str) -> DataFrame:
+            """The sets of one end, and no others."""
+            asked = self.keep(pairs.select(F.col(p).alias("node")).distinct(), "asked")
+            return only(self.sets, asked, "node").select(F.col("node").alias(p), F.col("set").alias(f"set_{p}"))
+
+        both = self.beside(side("a"), pairs, "a").join(side("b"), "b")
         return self.keep(both.mapInPandas(check, "a long, b long"), "confirmed")
 
     def join(self, links: DataFrame) -> None:
@@ -121,7 +134,8 @@ class Linker:
         """
         percent, prepared, meets = self.percent, self.prepared, self.meets
         sent = self.keep(self.cells(buckets), "cells")
-        light = self.facts.join(self.member, "node")
+        asked = self.keep(sent.select("node").distinct(), "asked")
+        light = self.keep(only(self.facts, asked, "node").join(only(self.member, asked, "node"), "node"), "light")
 
         def pairs(rows: pd.DataFrame) -> Iterator[tuple[int, int]]:
             """Places of rows, sorted by cell, that sizes, components, blocks and filters leave."""
@@ -164,12 +178,13 @@ class Linker:
             return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
         def dealt(df: DataFrame, rows: int) -> DataFrame:
-            """df with a number for the cells that are worked on together."""
+            """A written table df with a number for the cells that are worked on together."""
             return df.withColumn("lot", F.pmod(F.xxhash64(*CELL), F.lit(max(1, df.count() // rows))))
 
         names = "group long, class_x int, x int, class_y int, y int, node long, class int, sub int"
-        left = self.keep(dealt(sent, LIGHT_ROWS).join(light, "node").groupBy("lot").applyInPandas(first, names), "cells-left")
-        found = dealt(left, FULL_ROWS).join(light, "node").join(self.sets, "node").groupBy("lot").applyInPandas(second, "a long, b long")
+        left = self.keep(self.beside(light, dealt(sent, LIGHT_ROWS), "node").groupBy("lot").applyInPandas(first, names), "cells-left")
+        full = only(self.sets, self.keep(left.select("node").distinct(), "asked"), "node")
+        found = self.beside(light, dealt(left, FULL_ROWS), "node").join(full, "node").groupBy("lot").applyInPandas(second, "a long, b long")
         self.join(self.keep(found, "links-found"))
 
     def linked(self, buckets: DataFrame, rounds: int = 2) -> DataFrame:

@@ -154,8 +154,13 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, words: int, scratch: Scratch)
 
     # null ids match nothing in a join, so those few rows come whole; what isn't asked for goes by its digest
     asked = only(docs, scratch.written(nodes.select("doc_id").filter("doc_id is not null").distinct(), "asked"), "doc_id").unionByName(docs.filter("doc_id is null"))
-    found = asked.mapInPandas(full, "digest binary, set binary").dropDuplicates(["digest"])
-    return scratch.written(found.join(nodes.select("node", "digest"), "digest").select("node", "set"), "sets")
+    named = scratch.written(nodes.select("node", "digest").withColumn("size", F.lit(1)), "digest-nodes")
+    sets = scratch.written(keyed_join(asked.mapInPandas(full, "digest binary, set binary"), named, ["digest"], most=2_000_000).select("node", "set"), "sets")
+    # ids that come more than once may bring a set more than once; only those are shuffled
+    twice = scratch.written(sets.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node"), "twice")
+    if twice.isEmpty():
+        return sets
+    return scratch.written(only(sets, twice, "node", "left_anti").unionByName(only(sets, twice, "node").dropDuplicates(["node"])), "sets")
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,8 +183,9 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, round
     keyed = nodes.select("node", F.explode("first").alias("bucket"))
     shared = keep(keyed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "shared")
     buckets = keep(keyed_join(keyed, shared, ["bucket"]), "buckets")
-    facts = keep(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "n", "second", "third"), "facts")
-    ids = nodes.select("node", "digest").join(facts.select("node"), "node").join(signed.select(F.col("row").alias("node"), "doc_id"), "node")
+    met = keep(buckets.select("node").distinct(), "met")
+    facts = keep(only(nodes, met, "node").select("node", "n", "second", "third"), "facts")
+    ids = only(signed.select(F.col("row").alias("node"), "doc_id", "digest"), met, "node")
     sets = _full_sets(docs, keep(ids, "ids"), words, scratch)
     member = Linker(facts, sets, percent, _fits, _prepared, _meets, scratch).linked(buckets, rounds)
 
