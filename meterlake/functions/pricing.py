@@ -50,8 +50,8 @@ def cost(input_tokens: Column, cached: Column, output_tokens: Column) -> Column:
     return ((input_tokens - inside) * F.col("input_rate") + inside * cached_rate + output_tokens * F.col("output_rate")) / F.lit(1e6)
 
 
-#: Card rows up to which a card is sent to all tasks, some 100 bytes each.
-CARD_ROWS = 5_000
+#: Card rows up to which each event looks through its provider's entries; of a larger card the distinct models are looked up, and events joined with what was found.
+CARD_ROWS = 100
 
 
 def _entries(spark: SparkSession, rows: list) -> DataFrame:

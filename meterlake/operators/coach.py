@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import holt_forecast, linear_forecast, upper_medians
+from .order import order_statistics
+from .series import holt_forecast, linear_forecast
 from .spend import exact_sum
 
 # Limits of peak context, context growth and an agent's run, by the start of the workflow id ("" for all others).
@@ -115,8 +116,8 @@ def kpis(events: DataFrame, saved: DataFrame | None = None) -> DataFrame:
     if "latency_s" in events.columns:
         key = F.coalesce(text("session_id"), text("workflow_id"))
         first = events.withColumn("key", key).filter("key is not null").groupBy("key").agg(F.min_by("latency_s", F.struct("ts", "event_id")).alias("latency"))
-        median = upper_medians(first.withColumn("all", F.lit(1)), "all", "latency")
-        out = out.unionByName(median.select(F.lit("first_value_time").alias("kpi"), F.round(F.col("upper_median").cast("double"), 6).alias("value")))
+        median = order_statistics(first, "latency", {"first_value_time": lambda n: F.floor(n / 2)})
+        out = out.unionByName(median.select(F.col("name").alias("kpi"), F.round("value", 6).alias("value")))
     return out.withColumn("grade", graded(F.col("kpi"), F.col("value")))
 
 

@@ -83,19 +83,22 @@ def document_summary(parts: DataFrame, top: int = 5, bytes_per_token: float = 4.
 
 
 def redundant(parts: DataFrame) -> DataFrame:
-    """(hash, sections, members): bodies that two sections or more share, blank ones aside; members in order, joined by commas."""
+    """(hash, sections, id): a row for each section whose body two sections or more have, blank ones aside."""
     named = parts.filter(F.btrim("body", F.lit(" \t\r\n")) != "").select("hash", section_id().alias("id"))
-    return named.groupBy("hash").agg(F.count("*").alias("sections"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("members")).filter("sections >= 2")
+    shared = named.groupBy("hash").agg(F.count("*").alias("sections")).filter("sections >= 2")
+    return named.join(shared, "hash").select("hash", "sections", "id")
 
 
 def drifting(parts: DataFrame) -> DataFrame:
-    """(anchor, sections, bodies, members): headings, whatever their case, that stand over different bodies."""
+    """(anchor, sections, bodies, id, hash): a row for each section under a heading that stands, whatever its case, over different bodies."""
     named = parts.filter("anchor <> ''").select(F.lower("anchor").alias("anchor"), "hash", section_id().alias("id"))
-    return named.groupBy("anchor").agg(F.count("*").alias("sections"), F.count_distinct("hash").alias("bodies"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("members")).filter("sections >= 2 and bodies >= 2")
+    bodies = named.groupBy("anchor", "hash").agg(F.count("*").alias("n")).groupBy("anchor").agg(F.sum("n").alias("sections"), F.count("*").alias("bodies"))
+    return named.join(bodies.filter("sections >= 2 and bodies >= 2"), "anchor").select("anchor", "sections", "bodies", "id", "hash")
 
 
 def contrary(parts: DataFrame, patterns: list[tuple[str, list[str], list[str]]] | None = None) -> DataFrame:
-    """(pattern, inside, members): sections that trip both sides of a pattern, each alone, and all that trip one side only where both sides occur."""
+    """(pattern, inside, id, side): a row for each section that trips both sides of a pattern (inside, no side), and for each
+    that trips one (side a or b) where some section trips the other only."""
     low = F.lower("body")
 
     def trips(words: list[str]) -> Column:
@@ -106,9 +109,11 @@ def contrary(parts: DataFrame, patterns: list[tuple[str, list[str], list[str]]]
 
     hits = F.array(*[F.struct(F.lit(n).alias("pattern"), trips(a).alias("a"), trips(b).alias("b")) for n, a, b in patterns or CONTRARY])
     rows = parts.select(section_id().alias("id"), F.explode(hits).alias("h")).select("id", "h.*").filter("a or b").groupBy("id", "pattern").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    both = rows.filter("a and b").select("pattern", F.lit(True).alias("inside"), F.col("id").alias("members"))
-    one = rows.filter("a <> b").groupBy("pattern").agg(F.array_sort(F.collect_list(F.when(F.col("a"), F.col("id")))).alias("x"), F.array_sort(F.collect_list(F.when(F.col("b"), F.col("id")))).alias("y"))
-    across = one.filter("size(x) > 0 and size(y) > 0").select("pattern", F.lit(False).alias("inside"), F.array_join(F.concat("x", "y"), ",").alias("members"))
+    alone = rows.filter("a <> b")
+    # a row for each pattern, of which there are as many as were asked for
+    met = alone.groupBy("pattern").agg(F.max("a").alias("some_a"), F.max("b").alias("some_b")).filter("some_a and some_b").select("pattern")
+    both = rows.filter("a and b").select("pattern", F.lit(True).alias("inside"), "id", F.lit(None).cast("string").alias("side"))
+    across = alone.join(F.broadcast(met), "pattern").select("pattern", F.lit(False).alias("inside"), "id", F.when(F.col("a"), "a").otherwise("b").alias("side"))
     return both.unionByName(across)
 
 

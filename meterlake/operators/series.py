@@ -72,10 +72,15 @@ def holt_forecast(series: DataFrame, key: str, alpha: float = 0.6, beta: float =
     return _banded(out, key, F.col("s.l") + F.col("step") * F.col("s.t"), Z95 * sigma * F.sqrt(F.col("step").cast("double")))
 
 
+def _owned(events: DataFrame) -> DataFrame:
+    """Events that belong to a workflow; those without one are no workflow of their own."""
+    return events.filter("workflow_id <> ''")
+
+
 def steps(events: DataFrame) -> DataFrame:
     """Each request of a workflow in time order with its growth of input and the seconds since the one before."""
     w = Window.partitionBy("workflow_id").orderBy("ts", "event_id")
-    return events.select(
+    return _owned(events).select(
         "workflow_id",
         "event_id",
         F.row_number().over(w).alias("step"),
@@ -95,7 +100,7 @@ def facts(events: DataFrame) -> DataFrame:
     kinds = {"input_tokens": "long", "output_tokens": "long", "model": "string", "agent_id": "string", "prompt_hash": "string"}
     events = events.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in events.columns})
     w = Window.partitionBy("workflow_id").orderBy("ts", "event_id")
-    steps_ = events.withColumns(
+    steps_ = _owned(events).withColumns(
         {
             "step": F.row_number().over(w),
             "grown": F.greatest(F.col("input_tokens") - F.lag("input_tokens").over(w), F.lit(0)),

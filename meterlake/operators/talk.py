@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import let
@@ -199,28 +199,35 @@ def composition(blocks: DataFrame) -> DataFrame:
     return tools.unionByName(prose)
 
 
-def _numbered_reads(blocks: DataFrame) -> DataFrame:
-    reads = joined_results(blocks).filter("name = 'Read' and bytes > 0")
-    nr = F.row_number().over(Window.partitionBy("session", "path").orderBy("ts", "id"))
-    again = F.row_number().over(Window.partitionBy("hash").orderBy("ts", "session", "id"))
-    return reads.withColumn("hash", F.xxhash64("content")).withColumns({"nr": nr, "again": again})
+def _reads(blocks: DataFrame) -> DataFrame:
+    return joined_results(blocks).filter("name = 'Read' and bytes > 0")
+
+
+def _by_path(reads: DataFrame) -> DataFrame:
+    """(session, path, reads, wasted): wasted is what every read but the first took; sums by partial aggregation, so a hot path is no single task."""
+    first = F.min_by("bytes", F.struct("ts", "id"))
+    return reads.filter("path <> ''").groupBy("session", "path").agg(F.count("*").alias("reads"), (F.sum("bytes") - first).alias("wasted"))
 
 
 def read_report(blocks: DataFrame) -> DataFrame:
     """One row: reads, bytes, reads of a range, bytes read again in a session, bytes whose content was read before anywhere."""
-    sums = lambda on: F.coalesce(F.sum(F.when(on, F.col("bytes"))), F.lit(0))
-    return _numbered_reads(blocks).agg(F.count("*").alias("reads"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count_if("ranged").alias("ranged"), sums((F.col("path") != "") & (F.col("nr") > 1)).alias("repeat_bytes"), sums(F.col("again") > 1).alias("duplicate_bytes"))
+    reads = _reads(blocks)
+    none = lambda *names: [F.lit(0).cast("long").alias(n) for n in names]
+    by_content = reads.groupBy(F.sha2("content", 256)).agg(F.count("*").alias("reads"), F.sum("bytes").alias("bytes"), F.count_if("ranged").alias("ranged"), (F.sum("bytes") - F.max("bytes")).alias("duplicate_bytes"))
+    parts = by_content.select("reads", "bytes", "ranged", *none("repeat_bytes"), "duplicate_bytes")
+    parts = parts.unionByName(_by_path(reads).select(*none("reads", "bytes", "ranged"), F.col("wasted").alias("repeat_bytes"), *none("duplicate_bytes")))
+    return parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in parts.columns])
 
 
 def rereads(blocks: DataFrame, top: int = 20) -> DataFrame:
     """The paths that waste most bytes by being read again in a session; ties by path."""
-    by_session = _numbered_reads(blocks).filter("path <> ''").groupBy("session", "path").agg(F.count("*").alias("reads"), F.sum(F.when(F.col("nr") > 1, F.col("bytes")).otherwise(0)).alias("wasted"))
-    return by_session.filter("reads > 1").groupBy("path").agg(F.sum("reads").alias("reads"), F.sum("wasted").alias("wasted_bytes")).filter("wasted_bytes > 0").orderBy(F.desc("wasted_bytes"), "path").limit(top)
+    by_session = _by_path(_reads(blocks)).filter("reads > 1")
+    return by_session.groupBy("path").agg(F.sum("reads").alias("reads"), F.sum("wasted").alias("wasted_bytes")).filter("wasted_bytes > 0").orderBy(F.desc("wasted_bytes"), "path").limit(top)
 
 
 def read_extensions(blocks: DataFrame) -> DataFrame:
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
-    return _numbered_reads(blocks).filter("path <> ''").groupBy(F.when(ext == "", "(none)").otherwise(ext).alias("ext")).agg(F.sum("bytes").alias("bytes"))
+    return _reads(blocks).filter("path <> ''").groupBy(F.when(ext == "", "(none)").otherwise(ext).alias("ext")).agg(F.sum("bytes").alias("bytes"))
 
 
 def weekly_timeline(blocks: DataFrame, usage: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,8 +68,9 @@ class Reducer:
         t = line.strip()
         return bool(t and self.fits["critical"](t) and not self.fits["uncritical"](t))
 
-    def reduce(self, text: str, level: str) -> Reduced:
-        clean = scrub(text)
+    def reduce(self, text: str, level: str, clean: str | None = None) -> Reduced:
+        """clean: the scrubbed text, where it is known."""
+        clean = scrub(text) if clean is None else clean
         if self.tool.json and clean.lstrip()[:1] in ("{", "["):
             return Reduced(text, how="json")
         if not self.fits["sniff"](clean):
@@ -179,12 +181,65 @@ class Reducer:
         return Reduced("\n".join(kept), dropped, how="rules")
 
 
+def marks(pattern: str) -> list[str]:
+    """For each alternative of a regular expression the longest run of plain characters in it, lower-cased: a text that the
+    alternative fits has it. An empty one says nothing. Alternatives in brackets are taken as one."""
+    runs, depth, i = [[""]], 0, 0
+    while i < len(pattern):
+        c, plain = pattern[i], ""
+        if c == "\\":
+            i += 1
+            plain = {"n": "\n", "t": "\t"}.get(pattern[i], "" if pattern[i].isalnum() else pattern[i])
+        elif c == "[":
+            i = pattern.index("]", i + 2)
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            runs.append([""])
+        elif c == "{":
+            i = pattern.index("}", i)
+        elif c not in "^$.*+?|":
+            plain = c
+        i += 1
+        if plain and not depth and pattern[i : i + 1] not in ("*", "?", "{"):
+            runs[-1][-1] += plain
+        else:
+            runs[-1].append("")
+    return [max(own, key=len).lower() for own in runs]
+
+
+class Sniffer:
+    """Which rule sets may know a text: one automaton over the marks of all of them, in one pass over the text."""
+
+    def __init__(self, tools: list[Tool]):
+        owners: dict[str, list[int]] = {}
+        for at, tool in enumerate(tools):
+            for mark in marks(tool.sniff):
+                owners.setdefault(mark, []).append(at)
+        self.always = owners.pop("", [])
+        self.automaton = ahocorasick.Automaton()
+        for mark, of in owners.items():
+            self.automaton.add_word(mark, of)
+        self.automaton.make_automaton()
+
+    def candidates(self, text: str) -> set[int]:
+        found = set(self.always)
+        for _, of in self.automaton.iter(text.lower()):
+            found.update(of)
+        return found
+
+
 class Registry:
     """Reducers by command name and alias. overrides: a level for some commands."""
 
     def __init__(self, tools: list[Tool] | None = None, overrides: dict[str, str] | None = None):
-        self.reducers = {name: Reducer(tool) for tool in (TOOLS if tools is None else tools) for name in tool.names}
+        self.tools = TOOLS if tools is None else tools
+        own = [Reducer(tool) for tool in self.tools]
+        self.reducers = {name: r for r in own for name in r.tool.names}
         self.overrides = overrides or {}
+        # later tools take over a name; what is left of each, with the name that comes first
+        self.first = [min((n for n in r.tool.names if self.reducers[n] is r), default=None) for r in own]
+        self.sniffer = Sniffer(self.tools)
 
     def reduce(self, command: str | None, text: str, level: str) -> Reduced:
         """By the program that a command line starts with; unknown ones are only scrubbed, empty texts stay."""
@@ -195,10 +250,14 @@ class Registry:
         return found.reduce(text, self.overrides.get(name, level)) if found else Reduced(scrub(text))
 
     def sniffed(self, text: str, level: str) -> tuple[Reduced, str]:
-        """The smallest of what the rule sets make of a text of unknown origin; ties: the first command by name, none first."""
-        best, by = Reduced(scrub(text)), ""
-        for name in sorted(self.reducers):
-            out = self.reducers[name].reduce(text, level)
+        """The smallest of what the rule sets make of a text of unknown origin; ties: the first command by name, none first.
+
+        Only the rule sets of which a mark is in the text are tried; the others don't know it.
+        """
+        clean = scrub(text)
+        best, by = Reduced(clean), ""
+        for name in sorted(self.first[i] for i in self.sniffer.candidates(clean) if self.first[i]):
+            out = self.reducers[name].reduce(text, level, clean)
             if out.how in ("rules", "json") and out.critical_kept and out.size < best.size:
                 best, by = out, name
         return best, by

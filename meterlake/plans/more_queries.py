@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pricing
-from ..operators import coach, quality, quotas, rulebook, series, talk, text
+from ..operators import bodies, coach, order, quality, quotas, rulebook, series, talk, text, token_count
 from ..sources import ledger, logs
 from ..sources.usage import usage_events, without_sources
-from .queries import _CARD, _NOW, _PRICED, _TWO, _USAGE, NOW, _card_at, _priced, _read, _usage
+from . import tool_samples
+from .queries import _CARD, _NOW, _PARTS, _PRICED, _USAGE, NOW, PROVIDERS, _card, _priced, _read, _usage, sample_lines, template_values, tool_samples_text
 
 _K = "json_extract(props, '$.k')"
 
@@ -75,28 +76,41 @@ SELECT *, CASE WHEN vendor_api + cookie + jsonl + codex + copilot + cursor > 0 O
 
 # ---- prices
 
-ENTRIES = [
-    ("openai", "openai/gpt-2-2024-05-01", 1e-6, 4e-6, None), ("openai", "gpt-2-2405", 2e-6, 5e-6, 2e-7), ("openai", "gpt-2-latest", 9e-6, 9e-6, None), ("openai", "gpt-2", 8e-6, 9e-6, None),
-    ("openai", "gpt-2-mini", 1e-7, 3e-7, None), ("openai", "gpt-20", 5e-6, 6e-6, None), ("anthropic", "claude-1-20240301", 3e-6, 15e-6, 3e-7), ("anthropic", "anthropic/claude-1-20240701", 4e-6, 20e-6, 4e-7),
-    ("anthropic", "claude-9-latest", 1e-6, 2e-6, 3e-6), ("mistral", "large-240101", 0.0, 0.0, None), ("nobody", "x", 1e-6, 1e-6, None),
-]
-KEYS = [("openai", "gpt-2"), ("openai", "gpt"), ("anthropic", "claude-1"), ("mistral", "mistral")]
+#: What stands before and behind a stem in a foreign catalogue.
+VENDOR, ENDS = ["", "openai/", "anthropic/"], ["", "-latest", "-20240501", "-2405", "-240101", "-mini", "-20240301", "0"]
 
 
 def _catalogue(spark: SparkSession, d: str) -> DataFrame:
-    entries = spark.createDataFrame(ENTRIES, "provider string, id string, input_cost double, output_cost double, cached_cost double")
-    return pricing.catalogue_rates(entries, spark.createDataFrame(KEYS, "provider string, key string"))
-
-
-_CATALOGUE_SQL = f"""WITH e(provider, id, i, o, c) AS (VALUES {_values(ENTRIES)}), keys(provider, key) AS (VALUES {_values(KEYS)}),
+    """Parts as a foreign catalogue's entries, suppliers as our own keys."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    of = lambda values, i: F.get(F.array(*map(F.lit, values)), i.cast("int"))
+    stem = lambda n: F.concat(F.lit("gpt-"), n.cast("string"))
+    million = lambda x: x / F.lit(1e6)
+    entries = _read(spark, d, "part").select(
+        of([*PROVIDERS, "nobody"], key % 5).alias("provider"),
+        F.concat(of(VENDOR, size % 3), stem(key % 40), of(ENDS, size % 8)).alias("id"),
+        million(F.when(size % 11 == 0, 0.0).otherwise(key % 90 + 1.0)).alias("input_cost"),
+        million(F.when(size % 11 == 0, 0.0).otherwise(size * 2.0)).alias("output_cost"),
+        F.when(size % 2 == 0, million(size / 2.0)).alias("cached_cost"),
+    )
+    keys = _read(spark, d, "supplier").select(of(PROVIDERS, F.col("s_suppkey") % 4).alias("provider"), stem(F.col("s_suppkey") % 30).alias("key")).distinct()
+    # one of several entries with one id is as good as another, so those with the smallest rates are taken
+    entries = entries.groupBy("provider", "id").agg(F.min("input_cost").alias("input_cost"), F.min("output_cost").alias("output_cost"), F.min("cached_cost").alias("cached_cost"))
+    return pricing.catalogue_rates(entries, keys)
+
+
+_CATALOGUE_SQL = f"""WITH g AS (SELECT ({[*PROVIDERS, "nobody"]})[p_partkey % 5 + 1] AS provider, ({VENDOR})[p_size % 3 + 1] || 'gpt-' || (p_partkey % 40) || ({ENDS})[p_size % 8 + 1] AS id,
+  CASE WHEN p_size % 11 = 0 THEN 0 ELSE p_partkey % 90 + 1 END / 1e6::DOUBLE AS i, CASE WHEN p_size % 11 = 0 THEN 0 ELSE p_size * 2 END / 1e6::DOUBLE AS o, CASE WHEN p_size % 2 = 0 THEN p_size / 2.0::DOUBLE / 1e6::DOUBLE END AS c FROM part),
+e AS (SELECT provider, id, min(i) AS i, min(o) AS o, min(c) AS c FROM g GROUP BY ALL),
+keys AS (SELECT DISTINCT ({PROVIDERS})[s_suppkey % 4 + 1] AS provider, 'gpt-' || (s_suppkey % 30) AS key FROM supplier),
 s AS (SELECT *, CASE WHEN contains(id, '/') THEN regexp_replace(id, '^[^/]*/', '') ELSE id END AS stem FROM e WHERE provider IN (SELECT provider FROM keys) AND (i <> 0 OR o <> 0)),
 k AS (SELECT s.*, key FROM s LEFT JOIN keys USING (provider) WHERE starts_with(stem, key) AND (stem = key OR (stem[len(key) + 1] = '-' AND NOT list_contains({pricing.TIERS}, split_part(stem[len(key) + 1:], '-', 2))))),
-b AS (SELECT id, arg_max(key, len(key)) AS key FROM k GROUP BY id),
-p AS (SELECT s.*, coalesce(b.key, regexp_replace(regexp_replace(stem, '-latest$', ''), '-\\d{{6,8}}$', '')) AS pattern, regexp_extract(stem, '-(\\d{{4,8}})$', 1) AS digits FROM s LEFT JOIN b USING (id)),
+b AS (SELECT provider, id, arg_max(key, len(key)) AS key FROM k GROUP BY ALL),
+p AS (SELECT s.*, coalesce(b.key, regexp_replace(regexp_replace(stem, '-latest$', ''), '-\\d{{6,8}}$', '')) AS pattern, regexp_extract(stem, '-(\\d{{4,8}})$', 1) AS digits FROM s LEFT JOIN b USING (provider, id)),
 r AS (SELECT *, CASE WHEN digits <> '' AND (len(digits) <> 4 OR regexp_matches(digits, '^2[0-9](0[1-9]|1[0-2])$')) THEN digits::INTEGER END AS date FROM p)
 SELECT provider, pattern, id, round(i * 1e6, 6) AS input_rate, round(o * 1e6, 6) AS output_rate, round(coalesce(c, 0) * 1e6, 6) AS cached_rate FROM r
 QUALIFY row_number() OVER (PARTITION BY provider, pattern ORDER BY CASE WHEN date IS NOT NULL THEN 3 WHEN ends_with(stem, '-latest') THEN 2 ELSE 1 END DESC, coalesce(date, 0) DESC, id) = 1"""
-_GUARD_SQL = f"""WITH {_TWO}, r AS (SELECT * FROM new WHERE input_rate > 0)
+_GUARD_SQL = f"""WITH {_PARTS}, r AS (SELECT * FROM new WHERE input_rate > 0)
 SELECT provider, pattern, 'cached_above_input' AS field, input_rate, cached_rate AS got, input_rate AS expected FROM r WHERE cached_rate > input_rate
 UNION ALL SELECT provider, pattern, 'output', input_rate, output_rate, round(input_rate * 5, 9) FROM r WHERE provider = 'anthropic' AND output_rate > 0 AND output_rate / input_rate NOT BETWEEN 3 AND 7
 UNION ALL SELECT provider, pattern, 'cached', input_rate, cached_rate, round(input_rate * 0.1, 9) FROM r WHERE provider = 'anthropic' AND cached_rate > 0 AND cached_rate / input_rate NOT BETWEEN 0.05 AND 0.15"""
@@ -158,8 +172,8 @@ SELECT conv_id, replies, words, round(words::DOUBLE / replies, 6) AS mean_words,
 COMMANDS = ["git status", "cd /a && rm -rf build", "sudo FOO=1 /usr/bin/pytest -q | tail", "git push --force", "export A=1; make all", "drop table x", "", "cd /a"]
 
 
-def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Every usage event as a tool call, most with a result, some with prose."""
+def _blocks(spark: SparkSession, d: str, output=None) -> DataFrame:
+    """Every usage event as a tool call, most with a result, some with prose. output: a function of k, for what the shell's results say."""
     e = _usage(spark, d).select("event_id", "ts", "k", F.col("workflow_id").alias("session"), "provider")
     name = F.when(F.col("k") % 3 == 0, "Bash").when(F.col("k") % 3 == 1, "Read").otherwise("Grep")
     command = F.when(name == "Bash", F.get(F.array(*map(F.lit, COMMANDS)), (F.col("k") % 8).cast("int")))
@@ -168,7 +182,9 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
     base = {"role": text(None), "name": text(None), "command": text(None), "path": text(None), "ranged": F.lit(False), "content": text(None), "is_error": F.lit(False)}
     identity = ["session", "ts", "k", F.col("event_id").cast("string").alias("id")]
     use = e.select(*identity, name.alias("n"), command.alias("c"), path.alias("p")).withColumns({**base, "kind": F.lit("tool_use"), "name": F.col("n"), "command": F.col("c"), "path": F.col("p"), "ranged": F.col("k") % 5 == 0}).drop("n", "c", "p")
-    result = e.filter("k % 11 <> 0").select(*identity).withColumns({**base, "kind": F.lit("tool_result"), "content": F.repeat(F.concat(F.lit("line "), (F.col("k") % 6).cast("string"), F.lit("\n")), (F.col("k") % 9).cast("int")), "is_error": F.col("k") % 9 == 1})
+    content = F.repeat(F.concat(F.lit("line "), (F.col("k") % 6).cast("string"), F.lit("\n")), (F.col("k") % 9).cast("int"))
+    content = F.when(F.col("k") % 3 == 0, F.coalesce(output(F.col("k")), content)).otherwise(content) if output else content
+    result = e.filter("k % 11 <> 0").select(*identity).withColumns({**base, "kind": F.lit("tool_result"), "content": content, "is_error": F.col("k") % 9 == 1})
     orphan = e.filter("k % 13 = 0").select("session", "ts", "k", F.concat(F.lit("o"), F.col("event_id").cast("string")).alias("id")).withColumns({**base, "kind": F.lit("tool_result"), "content": F.lit("lost")})
     prose = e.filter("k % 4 = 0").select(*identity).withColumns({**base, "kind": F.lit("text"), "role": F.when(F.col("k") % 8 == 0, "assistant").otherwise("user"), "content": F.col("session")})
     out = use.unionByName(result).unionByName(orphan).unionByName(prose)
@@ -186,6 +202,32 @@ prose AS (SELECT ts, CASE WHEN k % 8 = 0 THEN 'assistant_prose' ELSE 'user_prose
 reads AS (SELECT *, row_number() OVER (PARTITION BY session, path ORDER BY ts, id) AS nr, row_number() OVER (PARTITION BY content ORDER BY ts, session, id) AS again FROM r WHERE name = 'Read' AND bytes > 0)"""
 
 
+SHELL = {0: "git", 2: "pytest", 3: "git", 4: "make"}  # by k modulo 8
+
+
+def _shell_output(k):
+    """What git, pytest and make print, with counts from k; null for other commands."""
+    out = F.lit(None).cast("string")
+    for at, command in SHELL.items():
+        lines = F.array(*[F.lit(line) for c, _, mark, line in tool_samples.templates() if c == command and mark in "!.-~"])
+        out = F.when(k % 8 == at, tool_samples_text(lines, F.lit("f"), k % 5 + 3)).otherwise(out)
+    return out
+
+
+def _shell_sizes(marks: str) -> str:
+    return f"coalesce(sum(strlen(line) + 1) FILTER (contains('{marks}', mark)), 0)::BIGINT - 1"
+
+
+_SHELL_SQL = f"""{_BLOCKS},
+t(command, nr, mark, line) AS (VALUES {_values([t for t in tool_samples.templates() if t[0] in SHELL.values()])}),
+runs AS (SELECT event_id, k, k % 5 + 3 AS n, (['git', 'rm', 'pytest', 'git', 'make', 'drop', 'unknown', 'unknown'])[k % 8 + 1] AS command FROM e WHERE name = 'Bash' AND k % 11 <> 0),
+filled AS (SELECT event_id, runs.command, nr, mark, replace(replace(replace(replace(line, '{{w}}', 'f'), '{{k}}', n::VARCHAR), '{{k1}}', (n + 1)::VARCHAR), '{{k2}}', (2 * n)::VARCHAR) AS line, n FROM runs JOIN t ON t.command = runs.command),
+repeated AS (SELECT event_id, command, mark, unnest(CASE WHEN contains(line, '{{i}}') THEN list_transform(range(1, n + 1), lambda i: replace(line, '{{i}}', i::VARCHAR)) ELSE [line] END) AS line FROM filled),
+sizes AS (SELECT event_id, command, {_shell_sizes('!.-~')} AS raw, {_shell_sizes('!.~=')} AS balanced, {_shell_sizes('!.+=')} AS aggressive FROM repeated GROUP BY ALL
+  UNION ALL SELECT event_id, command, (k % 9) * 7, 6, 6 FROM runs WHERE command NOT IN {tuple(sorted(set(SHELL.values())))} AND k % 9 > 0)
+SELECT command, count(*) AS runs, sum(raw)::BIGINT AS raw_bytes, sum(raw - balanced)::BIGINT AS saved_balanced, sum(raw - aggressive)::BIGINT AS saved_aggressive FROM sizes GROUP BY command"""
+
+
 def _timeline(spark: SparkSession, d: str) -> DataFrame:
     return talk.weekly_timeline(_blocks(spark, d), _usage(spark, d).select("ts", "input_tokens", "output_tokens"))
 
@@ -223,16 +265,54 @@ def _bodies(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.lit("m-1").alias("model"), F.lit(True).alias("stream"), F.lit(64).alias("max_tokens"), messages.alias("messages"))).alias("body")).withColumn("path", F.lit("/v1/chat"))
 
 
+SHAPES = ["openai", "anthropic", "mistral"]
+
+
+def _tool_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Each conversation as a request body in which the assistant's turns are results of tools, in one of three shapes."""
+    esc = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
+    turn, conv = F.col("turn"), F.col("conv_id")
+    result = esc(sample_lines(tool_samples.SNIFFED, conv * 3 + turn, F.lit("f"), turn % 5 + 3))
+    inside = F.when(turn % 4 == 1, F.concat(F.lit('[{"type": "text", "text": "'), result, F.lit('"}]'))).otherwise(F.concat(F.lit('"'), result, F.lit('"')))
+    block = F.concat(F.lit('{"content": [{"type": "tool_result", "content": '), inside, F.lit('}], "role": "user"}'))
+    plain = F.concat(F.lit('{"role": "tool", "tool_call_id": "t'), turn.cast("string"), F.lit('", "content":  "'), result, F.lit('"}'))
+    other = F.concat(F.lit('{"role": "'), F.col("role"), F.lit('", "content": "'), esc(F.coalesce("text", F.lit(""))), F.lit('"}'))
+    message = F.when(F.col("role") != "assistant", other).when(conv % 3 == 1, block).otherwise(plain)
+    rows = _read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))).alias("m"))
+    body = F.concat(F.lit('{"model": "m-1",  "messages": ['), F.array_join(F.transform("m", lambda x: x["m"]), ", "), F.lit('], "max_tokens": 64}'))
+    return rows.select("conv_id", F.get(F.array(*map(F.lit, SHAPES)), (conv % 3).cast("int")).alias("provider"), body.alias("body"))
+
+
+def _rewritten_bodies(spark: SparkSession, d: str) -> DataFrame:
+    out = bodies.rewritten(_tool_bodies(spark, d))
+    return out.select("conv_id", F.md5(F.col("body").cast("binary")).alias("digest"), "bytes_before", "bytes_after", "saved_tokens")
+
+
+_ESC = "replace(replace(replace(replace({}, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(9), '\\t')"
+_REWRITTEN_SQL = f"""WITH t(command, nr, mark, line) AS (VALUES {template_values()}),
+c AS (SELECT conv_id, turn, role, text, ({tool_samples.SNIFFED})[(conv_id * 3 + turn) % {len(tool_samples.SNIFFED)} + 1] AS command, turn % 5 + 3 AS k FROM conversations),
+f AS (SELECT conv_id, turn, nr, mark, k, replace(replace(replace(replace(line, '{{w}}', 'f'), '{{k}}', k::VARCHAR), '{{k1}}', (k + 1)::VARCHAR), '{{k2}}', (2 * k)::VARCHAR) AS line FROM c JOIN t USING (command) WHERE role = 'assistant'),
+x AS (SELECT conv_id, turn, nr, mark, i, replace(line, '{{i}}', i::VARCHAR) AS line FROM (SELECT *, unnest(CASE WHEN contains(line, '{{i}}') THEN range(1, k + 1) ELSE [1] END) AS i FROM f)),
+s AS (SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY nr, i) FILTER (mark IN ('!', '.', '-', '~')) AS raw, trim(string_agg(line, chr(10) ORDER BY nr, i) FILTER (mark IN ('!', '.', '~', '=')), chr(10)) AS less FROM x GROUP BY ALL),
+r AS (SELECT *, conv_id % 3 < 2 AND strlen(less) < strlen(raw) AS shorter FROM s),
+shown AS (SELECT conv_id, turn, shorter, strlen(raw) AS before, strlen(less) AS after, {_ESC.format("raw")} AS a, CASE WHEN shorter THEN {_ESC.format("less")} ELSE {_ESC.format("raw")} END AS b FROM r),
+m AS (SELECT c.conv_id, c.turn, shorter, before, after, unnest([1, 2]) AS version, CASE WHEN role <> 'assistant' THEN '{{"role": "' || role || '", "content": "' || {_ESC.format("coalesce(text, '')")} || '"}}'
+  ELSE CASE WHEN c.conv_id % 3 = 1 THEN '{{"content": [{{"type": "tool_result", "content": ' || CASE WHEN c.turn % 4 = 1 THEN '[{{"type": "text", "text": "' ELSE '"' END ELSE '{{"role": "tool", "tool_call_id": "t' || c.turn || '", "content":  "' END || unnest([a, b])
+    || CASE WHEN c.conv_id % 3 = 1 THEN CASE WHEN c.turn % 4 = 1 THEN '"}}]' ELSE '"' END || '}}], "role": "user"}}' ELSE '"}}' END END AS m FROM c LEFT JOIN shown USING (conv_id, turn)),
+b AS (SELECT conv_id, version, '{{"model": "m-1",  "messages": [' || string_agg(m, ', ' ORDER BY turn) || '], "max_tokens": 64}}' AS body, coalesce(sum(before) FILTER (shorter), 0)::BIGINT AS before, coalesce(sum(after) FILTER (shorter), 0)::BIGINT AS after FROM m GROUP BY ALL),
+w AS (SELECT *, (before - after) // 4 >= 16 AS changed FROM b)
+SELECT conv_id, md5(body) AS digest, CASE WHEN changed THEN before ELSE 0 END AS bytes_before, CASE WHEN changed THEN after ELSE 0 END AS bytes_after, CASE WHEN changed THEN (before - after) // 4 ELSE 0 END AS saved_tokens FROM w WHERE version = CASE WHEN changed THEN 2 ELSE 1 END"""
+
 # ---- rules
 
 
 def _rule_sections(spark: SparkSession, d: str) -> DataFrame:
     """documents with a heading before each sentence but the first; anchors repeat, so they drift."""
     t = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), F.lit(". "), F.lit(".\n## Part\n"))
-    return rulebook.sections(_read(spark, d, "documents").filter("n_chars < 4000").select(F.col("doc_id").cast("string").alias("source_id"), t.alias("text")))
+    return rulebook.sections(_read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), t.alias("text")))
 
 
-_SECTIONS = """s AS (SELECT doc_id::VARCHAR AS source_id, string_split(replace(replace(coalesce(text, ''), chr(10), ' '), '. ', '.' || chr(10) || '## Part' || chr(10)), chr(10) || '## Part' || chr(10)) AS p FROM documents WHERE n_chars < 4000),
+_SECTIONS = """s AS (SELECT doc_id::VARCHAR AS source_id, string_split(replace(replace(coalesce(text, ''), chr(10), ' '), '. ', '.' || chr(10) || '## Part' || chr(10)), chr(10) || '## Part' || chr(10)) AS p FROM documents),
 u AS (SELECT source_id, generate_subscripts(p, 1) - 1 AS nr, unnest(p) AS b FROM s),
 parts AS (SELECT source_id, nr, CASE WHEN nr = 0 THEN '' ELSE '/Part' END AS anchor, CASE WHEN b = '' THEN '' ELSE b || chr(10) END AS body, source_id || '#' || CASE WHEN nr = 0 THEN '_preamble' ELSE '/Part' END AS id FROM u)"""
 
@@ -250,7 +330,7 @@ roi AS (SELECT workflow_id, agent_id, requests, retries, output_tokens, baseline
 
 
 def _selected(spark: SparkSession, d: str) -> DataFrame:
-    scored = _usage(spark, d).filter("k >= 60").select("workflow_id", F.col("event_id").cast("string").alias("id"), F.col("output_tokens").alias("tokens"), (F.col("k") / 50.0).alias("score"))
+    scored = _usage(spark, d).select("workflow_id", F.col("event_id").cast("string").alias("id"), F.col("output_tokens").alias("tokens"), (F.col("k") / 50.0).alias("score"))
     return rulebook.selected(scored, 2500, 1.3, "workflow_id").select("workflow_id", "place", "id", "tokens")
 
 
@@ -392,11 +472,20 @@ def _counters(spark: SparkSession, d: str) -> DataFrame:
     return e.agg(F.sum(ledger.coalesced_counter("payload", "attributes", "cached", "cache_read_input")).alias("cached"))
 
 
+def _exact_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """No SQL: merging by ranks is beyond it. Held against the public library in tests/test_token_count.py."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken")) as f:
+        ranks = token_count.ranks_of(f.read().splitlines())
+    return token_count.conversation_tokens(_read(spark, d, "conversations"), "conv_id", ranks)
+
+
 QUERIES = {
     "session_budget": _session_budget,
     "latest_quota": lambda s, d: quotas.reported(_with_attributes(s, d), NOW, 24),
     "signal_quality": _signals,
-    "rate_guard": lambda s, d: pricing.suspicious(_card_at(s, "2024-01-15")),
+    "rate_guard": lambda s, d: pricing.suspicious(_card(s, d)),
     "rate_catalogue": _catalogue,
     "prompt_findings": lambda s, d: talk.prompt_findings(_prompts(s, d)),
     "prompt_repeats": lambda s, d: talk.repeated_prompts(_prompts(s, d)),
@@ -411,15 +500,16 @@ QUERIES = {
     "read_repeats": lambda s, d: talk.rereads(_blocks(s, d)),
     "read_extensions": lambda s, d: talk.read_extensions(_blocks(s, d)),
     "weekly_timeline": _timeline,
-    "command_roi": lambda s, d: talk.command_roi(_blocks(s, d)).select("command", "runs", "raw_bytes"),
+    "command_roi": lambda s, d: talk.command_roi(_blocks(s, d, _shell_output)),
     "log_prompts": _logged(logs.user_prompts),
     "log_replies": _logged(logs.assistant_replies),
     "request_bodies": lambda s, d: logs.requests(_bodies(s, d)).select("conv_id", "model", "stream", "max_tokens", "messages", "has_system"),
     "request_messages": lambda s, d: logs.request_messages(_bodies(s, d).drop("path")).select("conv_id", F.col("nr").cast("int").alias("nr"), "role", F.md5(F.col("text").cast("binary")).alias("digest")),
+    "request_rewrite": _rewritten_bodies,
     "rule_summary": lambda s, d: rulebook.document_summary(_rule_sections(s, d)),
-    "rule_redundant": lambda s, d: rulebook.redundant(_rule_sections(s, d)).select("sections", F.md5(F.col("members").cast("binary")).alias("members")),
-    "rule_drift": lambda s, d: rulebook.drifting(_rule_sections(s, d)).select("anchor", "sections", "bodies"),
-    "rule_contrary": lambda s, d: rulebook.contrary(_rule_sections(s, d), [("a_vs_b", ["the that", "que la"], ["und die", "el que", "with"])]).select("pattern", "inside", F.md5(F.col("members").cast("binary")).alias("members")),
+    "rule_redundant": lambda s, d: rulebook.redundant(_rule_sections(s, d)).select("hash", "sections", "id"),
+    "rule_drift": lambda s, d: rulebook.drifting(_rule_sections(s, d)),
+    "rule_contrary": lambda s, d: rulebook.contrary(_rule_sections(s, d), [("a_vs_b", ["the that", "que la"], ["und die", "el que", "with"])]),
     "rule_roi": lambda s, d: rulebook.returns(_exposures(s, d)),
     "rule_winners": lambda s, d: rulebook.winners(rulebook.returns(_exposures(s, d)).filter("agent_id is not null").select(F.col("workflow_id").alias("scenario"), F.col("agent_id").alias("profile"), "roi")),
     "rule_select": _selected,
@@ -438,13 +528,15 @@ QUERIES = {
     "event_scan": lambda s, d: ledger.events_between(_usage(s, d), NOW.replace(day=20), NOW, limit=500, provider="openai").select("event_id", "ts", "model"),
     "event_count": lambda s, d: ledger.count_between(_usage(s, d), NOW.replace(day=20), NOW, provider="openai"),
     "plan_stamp": lambda s, d: ledger.stamped(_usage(s, d).withColumn("cost_source", F.when(F.col("k") % 2 == 0, F.col("cost_source"))), ["openai", "gemini"]).groupBy("provider", "cost_source").agg(F.count("*").alias("events")),
-    "otlp_records": lambda s, d: ledger.log_records(_usage(s, d).filter("k = 7"), ["event_id", "provider", "model", "agent_id"]).select(F.md5(F.col("record").cast("binary")).alias("digest")),
+    "otlp_records": lambda s, d: ledger.log_records(_usage(s, d), ["event_id", "provider", "model", "agent_id"]).select(F.md5(F.col("record").cast("binary")).alias("digest")),
+    "latency_percentiles": lambda s, d: order.order_statistics(_read(s, d, "events"), "value", {"p50": order.at_share(0.5), "p99": order.at_share(0.99)}),
     "kind_counts": lambda s, d: ledger.kind_counts(_usage(s, d), "cost_source"),
     "session_ledger": lambda s, d: ledger.session_ledger(_usage(s, d), "session_id"),
     "rollup_hourly_provider_model": lambda s, d: _priced(s, d).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bucket"), "provider", "model").agg(F.count("*").alias("requests"), F.sum("input_tokens").alias("input_tokens")),
     "rollup_daily_savings": lambda s, d: _usage(s, d).filter("k % 3 = 0").groupBy(F.to_date("ts").alias("day"), F.col("prompt_hash").alias("kind")).agg(F.count("*").alias("applied"), F.sum("output_tokens").alias("saved_tokens")),
     "coach_budget": lambda s, d: coach.within_budget(_usage(s, d).withColumn("cost", F.col("output_tokens")), 3000, "workflow_id", "event_id").select("event_id", "running"),
     "counter_fallback": _counters,
+    "exact_tokens": _exact_tokens,
     "message_tokens": lambda s, d: text.message_tokens(_provided(s, d), ["conv_id", "provider"]),
 }
 
@@ -471,19 +563,20 @@ SELECT calls, failed, destructive, round((calls - failed) * 100.0::DOUBLE / call
 UNION ALL SELECT date_trunc('week', ts)::DATE, 0, 0, CASE name WHEN 'Read' THEN bytes ELSE 0 END, CASE name WHEN 'Bash' THEN bytes ELSE 0 END, CASE WHEN name NOT IN ('Read', 'Bash') THEN bytes ELSE 0 END, 0 FROM r
 UNION ALL SELECT date_trunc('week', ts)::DATE, 0, 0, 0, 0, 0, bytes FROM prose WHERE part = 'assistant_prose')
 SELECT week, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, sum(rb)::BIGINT AS read_bytes, sum(bb)::BIGINT AS bash_bytes, sum(ob)::BIGINT AS other_bytes, sum(pb)::BIGINT AS prose_bytes FROM a GROUP BY week""",
-    "command_roi": f"WITH {_BLOCKS} SELECT CASE WHEN command = '' THEN 'unknown' ELSE command END AS command, count(*) AS runs, sum(bytes)::BIGINT AS raw_bytes FROM r WHERE name = 'Bash' AND bytes > 0 GROUP BY ALL",
+    "command_roi": f"WITH {_SHELL_SQL}",
     "log_prompts": _logged_sql("user"),
     "log_replies": _logged_sql("assistant"),
     "request_bodies": "SELECT conv_id, 'm-1' AS model, true AS stream, 64::BIGINT AS max_tokens, count(*)::INTEGER AS messages, arg_min(role, turn) = 'system' AS has_system FROM conversations GROUP BY conv_id",
     "request_messages": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS nr, role, md5(text) AS digest FROM conversations",
+    "request_rewrite": _REWRITTEN_SQL,
     "rule_summary": f"""WITH {_SECTIONS}, t AS (SELECT *, strlen(body) AS b, ceil(strlen(body) / 4.0::DOUBLE)::BIGINT AS tokens FROM parts),
 k AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY tokens DESC, nr) AS rank FROM t)
 SELECT source_id, count(*) AS sections, sum(b)::BIGINT AS bytes, sum(tokens)::BIGINT AS tokens, round(coalesce(sum(tokens) * 1000.0::DOUBLE / nullif(sum(b), 0), 0), 6) AS tokens_per_k, string_agg(anchor, '|' ORDER BY rank) FILTER (rank <= 5) AS largest FROM k GROUP BY source_id""",
-    "rule_redundant": f"WITH {_SECTIONS} SELECT count(*) AS sections, md5(string_agg(id, ',' ORDER BY id)) AS members FROM parts WHERE trim(body, ' ' || chr(9) || chr(10) || chr(13)) <> '' GROUP BY body HAVING count(*) >= 2",
-    "rule_drift": f"WITH {_SECTIONS} SELECT lower(anchor) AS anchor, count(*) AS sections, count(DISTINCT body) AS bodies FROM parts WHERE anchor <> '' GROUP BY lower(anchor) HAVING count(*) >= 2 AND count(DISTINCT body) >= 2",
-    "rule_contrary": f"""WITH {_SECTIONS}, h AS (SELECT id, bool_or(contains(lower(body), 'the that') OR contains(lower(body), 'que la')) AS a, bool_or(contains(lower(body), 'und die') OR contains(lower(body), 'el que') OR contains(lower(body), 'with')) AS b FROM parts GROUP BY id),
-o AS (SELECT string_agg(id, ',' ORDER BY id) FILTER (a) AS x, string_agg(id, ',' ORDER BY id) FILTER (b) AS y FROM h WHERE a <> b)
-SELECT 'a_vs_b' AS pattern, true AS inside, md5(id) AS members FROM h WHERE a AND b UNION ALL SELECT 'a_vs_b', false, md5(x || ',' || y) FROM o WHERE x IS NOT NULL AND y IS NOT NULL""",
+    "rule_redundant": f"WITH {_SECTIONS} SELECT 'sha256:' || sha256(body) AS hash, count(*) OVER (PARTITION BY body) AS sections, id FROM parts WHERE trim(body, ' ' || chr(9) || chr(10) || chr(13)) <> '' QUALIFY count(*) OVER (PARTITION BY body) >= 2",
+    "rule_drift": f"WITH {_SECTIONS}, n AS (SELECT lower(anchor) AS anchor, count(*) AS sections, count(DISTINCT body) AS bodies FROM parts WHERE anchor <> '' GROUP BY lower(anchor) HAVING count(*) >= 2 AND count(DISTINCT body) >= 2) SELECT n.*, id, 'sha256:' || sha256(body) AS hash FROM n JOIN parts p ON lower(p.anchor) = n.anchor",
+    "rule_contrary": f"""WITH {_SECTIONS}, h AS (SELECT id, bool_or(contains(lower(body), 'the that') OR contains(lower(body), 'que la')) AS a, bool_or(contains(lower(body), 'und die') OR contains(lower(body), 'el que') OR contains(lower(body), 'with')) AS b FROM parts GROUP BY id)
+SELECT 'a_vs_b' AS pattern, true AS inside, id, NULL AS side FROM h WHERE a AND b
+UNION ALL SELECT 'a_vs_b', false, id, CASE WHEN a THEN 'a' ELSE 'b' END FROM h WHERE a <> b AND (SELECT count(*) FROM h WHERE a AND NOT b) > 0 AND (SELECT count(*) FROM h WHERE b AND NOT a) > 0""",
     "rule_roi": f"WITH {_EXPOSED} SELECT * FROM roi",
     "rule_winners": f"WITH {_EXPOSED} SELECT workflow_id AS scenario, agent_id AS profile FROM roi WHERE agent_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY workflow_id ORDER BY roi DESC, agent_id) = 1",
     "rule_select": _SELECTED_SQL,
@@ -505,7 +598,8 @@ SELECT workflow_id, model_counts, coalesce(agent_id_counts, '') AS agent_id_coun
     "event_scan": f"WITH {_USAGE} SELECT event_id, ts, model FROM usage WHERE provider = 'openai' AND ts >= TIMESTAMP '2024-01-20 12:00:00' AND ts < {_NOW} ORDER BY ts, event_id LIMIT 500",
     "event_count": f"WITH {_USAGE} SELECT count(*) AS events FROM usage WHERE provider = 'openai' AND ts >= TIMESTAMP '2024-01-20 12:00:00' AND ts < {_NOW}",
     "plan_stamp": f"WITH {_USAGE}, s AS (SELECT provider, CASE WHEN k % 2 = 0 THEN cost_source WHEN provider IN ('openai', 'gemini') THEN 'plan_included' END AS cost_source FROM usage) SELECT provider, cost_source, count(*) AS events FROM s GROUP BY ALL",
-    "otlp_records": f"""WITH {_USAGE} SELECT md5('{{"timeUnixNano":"' || epoch_ns(ts) || '","attributes":[{{"key":"event_id","value":{{"stringValue":"' || event_id || '"}}}},{{"key":"provider","value":{{"stringValue":"' || provider || '"}}}},{{"key":"model","value":{{"stringValue":"' || model || '"}}}},{{"key":"agent_id","value":{{"stringValue":"' || agent_id || '"}}}}]}}') AS digest FROM usage WHERE k = 7""",
+    "otlp_records": f"""WITH {_USAGE} SELECT md5('{{"timeUnixNano":"' || epoch_ns(ts) || '","attributes":[{{"key":"event_id","value":{{"stringValue":"' || event_id || '"}}}},{{"key":"provider","value":{{"stringValue":"' || provider || '"}}}},{{"key":"model","value":{{"stringValue":"' || model || '"}}}}' || coalesce(',{{"key":"agent_id","value":{{"stringValue":"' || agent_id || '"}}}}', '') || ']}}') AS digest FROM usage""",
+    "latency_percentiles": "WITH o AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL AND NOT isnan(value)) SELECT name, value FROM o, (VALUES ('p50', 0.5::DOUBLE), ('p99', 0.99::DOUBLE)) v(name, p) WHERE i = floor((n - 1) * p)",
     "kind_counts": f"WITH {_USAGE} SELECT cost_source, count(*) AS events FROM usage GROUP BY ALL",
     "session_ledger": f"WITH {_USAGE} SELECT count(*) AS entries, count(DISTINCT user_id || '-' || ts::DATE) AS sessions, coalesce(sum(cost_usd::DECIMAL(18,9))::DOUBLE, 0) AS total FROM usage",
     "rollup_hourly_provider_model": f"WITH {_USAGE} SELECT date_trunc('hour', ts) AS bucket, provider, model, count(*) AS requests, sum(input_tokens)::BIGINT AS input_tokens FROM usage GROUP BY ALL",

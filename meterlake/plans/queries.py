@@ -31,17 +31,23 @@ def _daily(spark: SparkSession, d: str) -> DataFrame:
     return _usage(spark, d).groupBy("provider", F.date_trunc("day", "ts").alias("at")).agg(F.sum("input_tokens").cast("double").alias("value"))
 
 
-def _card_at(spark: SparkSession, day: str) -> DataFrame:
-    return pricing.rate_card(spark).filter(F.col("effective_from") == F.lit(day).cast("timestamp_ntz")).drop("effective_from")
+def _card(spark: SparkSession, d: str, new: bool = True) -> DataFrame:
+    """Parts as entries of a rate card: an old one, and a new one with other parts, changed rates and gaps."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    base = (key % 50 + 1) / 4.0
+    changed = F.when(size % 10 == 1, 0.0).when(size % 4 == 0, base * 2).otherwise(base) if new else base
+    provider = F.get(F.array(*map(F.lit, PROVIDERS)), (key % 4).cast("int"))
+    pattern = F.concat(F.lit("m-"), key.cast("string"), F.when(key % 3 == 0, "*").otherwise(""))
+    rows = _read(spark, d, "part").filter(key % (7 if new else 5) != 0)
+    return rows.select(provider.alias("provider"), pattern.alias("pattern"), changed.alias("input_rate"), (base * (size % 9 + 1)).alias("output_rate"), (base * (size % 12) / 8.0).alias("cached_rate"))
 
 
-def _overrides(spark: SparkSession, d: str) -> DataFrame:
-    return pricing.overridden(_card_at(spark, "2024-01-01"), _card_at(spark, "2024-01-15"))
+PROVIDERS = ["openai", "anthropic", "gemini", "mistral"]
 
 
 def _cheapest(spark: SparkSession, d: str) -> DataFrame:
     total = F.col("input_rate") + F.col("output_rate")
-    return _card_at(spark, "2024-01-15").groupBy("provider").agg(F.min_by("pattern", F.struct(total, F.col("pattern"))).alias("pattern"), F.min(total).alias("total"))
+    return _card(spark, d).groupBy("provider").agg(F.min_by("pattern", F.struct(total, F.col("pattern"))).alias("pattern"), F.min(total).alias("total"))
 
 
 def _first_latencies(spark: SparkSession, d: str) -> DataFrame:
@@ -74,12 +80,50 @@ def _echoed(spark: SparkSession, d: str) -> DataFrame:
     return c.unionByName(cut).unionByName(cut.withColumns({"turn": F.col("turn") + 1000, "text": F.replace(F.col("text"), F.lit(" d"), F.lit(" "))}))
 
 
+def tool_samples_text(lines, w, k):
+    """Sample lines with their slots filled by a word and a count, as one text."""
+    text = lambda c: c.cast("string")
+
+    def filled(line):
+        for slot, value in (("{w}", w), ("{k}", text(k)), ("{k1}", text(k + 1)), ("{k2}", text(k * 2))):
+            line = F.replace(line, F.lit(slot), value)
+        times = F.when(line.contains("{i}"), k).otherwise(1)
+        return F.transform(F.sequence(F.lit(1), times.cast("int")), lambda i: F.replace(line, F.lit("{i}"), text(i)))
+
+    return F.array_join(F.flatten(F.transform(lines, filled)), "\n")
+
+
+def sample_lines(commands, key, w, k):
+    """The text that a command of a list prints, by a key modulo their number."""
+    lines = F.lit(None).cast("array<string>")
+    for at, command in enumerate(commands):
+        own = F.array(*[F.lit(line) for c, _, mark, line in tool_samples.templates() if c == command and mark in "!.-~"])
+        lines = F.when(key % len(commands) == at, own).otherwise(lines)
+    return tool_samples_text(lines, w, k)
+
+
+def _outputs(spark: SparkSession, d: str, commands: list[str]) -> DataFrame:
+    """(p_partkey, command, t): a command's output for each part, its names and counts from the part's columns."""
+    lines = spark.createDataFrame([t for t in tool_samples.templates() if t[2] in "!.-~"], "command string, nr int, mark string, line string")
+    # a row for each of the sample commands, so it may be sent to all tasks
+    bare = lines.groupBy("command").agg(F.transform(F.array_sort(F.collect_list(F.struct("nr", "line"))), lambda x: x["line"]).alias("lines"))
+    names = F.array(*map(F.lit, commands))
+    w, k = F.lower(F.replace("p_brand", F.lit("#"))).alias("w"), (F.col("p_size") % 5 + 3).alias("k")
+    parts = _read(spark, d, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % len(commands)).cast("int")).alias("command"), w, k)
+    return parts.join(F.broadcast(bare), "command").select("p_partkey", "command", tool_samples_text(F.col("lines"), F.col("w"), F.col("k")).alias("t"))
+
+
 def _tool_outputs(spark: SparkSession, d: str) -> DataFrame:
-    """The sample outputs at two levels, reduced."""
-    samples = spark.createDataFrame(tool_samples.outputs(), "command string, t string")
-    rows = samples.withColumn("level", F.explode(F.array(F.lit("balanced"), F.lit("aggressive"))))
+    """Each command's output reduced at two levels."""
+    rows = _outputs(spark, d, [*tool_samples.SAMPLES]).withColumn("level", F.explode(F.array(F.lit("balanced"), F.lit("aggressive"))))
     out = rows.withColumn("r", tool_output.reduced(F.col("t"), F.col("command"), F.col("level")))
-    return out.select("command", "level", F.col("r.text").alias("text"), F.col("r.critical_kept").alias("critical_kept"))
+    return out.select("p_partkey", "command", "level", F.col("r.text").alias("text"), F.col("r.critical_kept").alias("critical_kept"), F.col("r.bytes_before").alias("bytes_before"))
+
+
+def _sniffed(spark: SparkSession, d: str) -> DataFrame:
+    """The same texts with the command unknown."""
+    out = _outputs(spark, d, tool_samples.SNIFFED).withColumn("r", tool_output.sniffed(F.col("t")))
+    return out.select("p_partkey", F.col("r.text").alias("text"))
 
 
 # Plain rules for prose: what must stay, what goes, what goes at the aggressive level.
@@ -103,8 +147,8 @@ QUERIES = {
     "plan_consumption": lambda s, d: spend.consumption(_usage(s, d), NOW),
     "budget_alerts": lambda s, d: spend.budget_alerts(_priced(s, d), 2.0),
     "retention_plan": lambda s, d: spend.retention(_usage(s, d), NOW, {"trial": 5, "metered": 20}, 10),
-    "rate_overrides": _overrides,
-    "rate_diff": lambda s, d: pricing.difference(_card_at(s, "2024-01-01"), _card_at(s, "2024-01-15")),
+    "rate_overrides": lambda s, d: pricing.overridden(_card(s, d, False), _card(s, d)),
+    "rate_diff": lambda s, d: pricing.difference(_card(s, d, False), _card(s, d)),
     "cheapest_model": _cheapest,
     "anomaly_rolling": lambda s, d: series.rolling_anomalies(_daily(s, d), "provider", 1.5),
     "anomaly_fixed": lambda s, d: series.fixed_anomalies(_daily(s, d), "provider", 1.5),
@@ -125,6 +169,7 @@ QUERIES = {
     "rule_duplicates": lambda s, d: text.duplicate_groups(_read(s, d, "documents")),
     "context_trim": lambda s, d: text.trimmed(_read(s, d, "conversations"), 2).select("conv_id", "turn", "role"),
     "tool_output_reduce": _tool_outputs,
+    "tool_output_sniffed": _sniffed,
     "tool_output_rules": lambda s, d: _read(s, d, "documents").select("doc_id", *_text_digest(tool_output.filtered(F.col("text"), *PROSE_RULES, "aggressive"))),
     "near_dup_messages": lambda s, d: messages.near_duplicates(_echoed(s, d)),
 }
@@ -172,7 +217,10 @@ _SUMS = "count(*) AS requests, coalesce(sum(input_tokens), 0)::BIGINT AS input_t
 _DAILY = f"{_USAGE}, daily AS (SELECT provider, date_trunc('day', ts)::TIMESTAMP AS moment, sum(input_tokens)::DOUBLE AS value FROM usage GROUP BY ALL)"
 _NOW = f"TIMESTAMP '{NOW}'"
 _LEVEL = "CASE WHEN z >= 3 THEN 'high' WHEN z >= 2.25 THEN 'medium' WHEN z >= 1.5 THEN 'low' ELSE 'none' END AS severity"
-_TWO = f"{_CARD}, old AS (SELECT * EXCLUDE effective_from FROM card WHERE effective_from = TIMESTAMP '2024-01-01'), new AS (SELECT * EXCLUDE effective_from FROM card WHERE effective_from = TIMESTAMP '2024-01-15')"
+_PARTS = f"""named AS (SELECT p_partkey, p_size, ({PROVIDERS})[p_partkey % 4 + 1] AS provider, 'm-' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '*' ELSE '' END AS pattern, (p_partkey % 50 + 1) / 4.0::DOUBLE AS base FROM part),
+listed_parts AS (SELECT *, base * (p_size % 9 + 1) AS output_rate, base * (p_size % 12) / 8.0::DOUBLE AS cached_rate FROM named),
+old AS (SELECT provider, pattern, base AS input_rate, output_rate, cached_rate FROM listed_parts WHERE p_partkey % 5 <> 0),
+new AS (SELECT provider, pattern, CASE WHEN p_size % 10 = 1 THEN 0 WHEN p_size % 4 = 0 THEN base * 2 ELSE base END::DOUBLE AS input_rate, output_rate, cached_rate FROM listed_parts WHERE p_partkey % 7 <> 0)"""
 _ORDER = "OVER (PARTITION BY workflow_id ORDER BY ts, event_id)"
 
 
@@ -208,6 +256,18 @@ _HOLT = """h AS (
     h.ss + (x.value - h.l - h.t) * (x.value - h.l - h.t)
   FROM h JOIN x ON x.provider = h.provider AND x.i = h.i + 1)"""
 _X = "x AS (SELECT provider, value, row_number() OVER (PARTITION BY provider ORDER BY moment) AS i, lead(value) OVER (PARTITION BY provider ORDER BY moment) AS nxt, count(*) OVER (PARTITION BY provider) AS n FROM {})"
+def template_values() -> str:
+    """The samples' lines as rows of a VALUES list (command, nr, mark, line)."""
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in t) + ")" for t in tool_samples.templates())
+
+
+def _outputs_sql(commands: list[str]) -> str:
+    return f"""t(command, nr, mark, line) AS (VALUES {template_values()}),
+p AS (SELECT p_partkey, ({commands})[p_partkey % {len(commands)} + 1] AS command, lower(replace(p_brand, '#', '')) AS w, p_size % 5 + 3 AS k FROM part),
+f AS (SELECT p_partkey, command, k, nr, mark, replace(replace(replace(replace(line, '{{w}}', w), '{{k}}', k::VARCHAR), '{{k1}}', (k + 1)::VARCHAR), '{{k2}}', (2 * k)::VARCHAR) AS line FROM p JOIN t USING (command)),
+x AS (SELECT p_partkey, command, nr, mark, i, replace(line, '{{i}}', i::VARCHAR) AS line FROM (SELECT *, unnest(CASE WHEN contains(line, '{{i}}') THEN range(1, k + 1) ELSE [1] END) AS i FROM f))"""
+
+
 _TEXT_OUT = "length(t)::INTEGER AS length, md5(t) AS digest"
 ORACLE_SQL = {
     "spend_hourly_by_model": f"WITH {_PRICED} SELECT date_trunc('hour', ts) AS bucket, model, {_SUMS} FROM priced GROUP BY ALL",
@@ -222,9 +282,9 @@ ORACLE_SQL = {
     "plan_consumption": f"WITH {_USAGE} SELECT provider, sum(CASE WHEN ts >= date_trunc('month', {_NOW}) THEN input_tokens + output_tokens ELSE 0 END)::BIGINT AS month_tokens, sum(CASE WHEN ts >= {_NOW} - INTERVAL 7 DAY THEN input_tokens + output_tokens ELSE 0 END)::BIGINT AS week_tokens, count(*) FILTER (ts >= {_NOW} - INTERVAL 7 DAY) AS week_messages FROM usage WHERE cost_source = 'plan_included' AND ts <= {_NOW} GROUP BY ALL",
     "budget_alerts": f"WITH {_PRICED}, s AS (SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, provider, sum(cost::DECIMAL(18,9))::DOUBLE AS cost_usd FROM priced GROUP BY ALL) SELECT bucket, provider, cost_usd, cost_usd / 2 AS used, CASE WHEN cost_usd / 2 >= 1 THEN 'exceeded' WHEN cost_usd / 2 >= 0.95 THEN 'critical' WHEN cost_usd / 2 >= 0.75 THEN 'warning' ELSE 'ok' END AS level FROM s",
     "retention_plan": f"WITH {_USAGE} SELECT cost_source, count(*) AS to_delete FROM usage WHERE ts < {_NOW} - to_days(CASE cost_source WHEN 'trial' THEN 5 WHEN 'metered' THEN 20 ELSE 10 END) GROUP BY ALL",
-    "rate_overrides": f"WITH {_TWO} SELECT coalesce(o.provider, n.provider) AS provider, coalesce(o.pattern, n.pattern) AS pattern, coalesce(nullif(n.input_rate, 0), o.input_rate, 0) AS input_rate, coalesce(nullif(n.output_rate, 0), o.output_rate, 0) AS output_rate, coalesce(nullif(n.cached_rate, 0), o.cached_rate, 0) AS cached_rate FROM old o FULL JOIN new n ON o.provider = n.provider AND o.pattern = n.pattern",
-    "rate_diff": f"WITH {_TWO} SELECT coalesce(o.provider, n.provider) AS provider, coalesce(o.pattern, n.pattern) AS pattern, CASE WHEN o.provider IS NULL THEN 'added' WHEN n.provider IS NULL THEN 'removed' ELSE 'modified' END AS change, round(coalesce(n.input_rate, 0) - coalesce(o.input_rate, 0), 6) AS d_input_rate, round(coalesce(n.output_rate, 0) - coalesce(o.output_rate, 0), 6) AS d_output_rate, round(coalesce(n.cached_rate, 0) - coalesce(o.cached_rate, 0), 6) AS d_cached_rate FROM old o FULL JOIN new n ON o.provider = n.provider AND o.pattern = n.pattern WHERE o.provider IS NULL OR n.provider IS NULL OR o.input_rate <> n.input_rate OR o.output_rate <> n.output_rate OR o.cached_rate <> n.cached_rate",
-    "cheapest_model": f"WITH {_TWO} SELECT provider, arg_min(pattern, (input_rate + output_rate, pattern)) AS pattern, min(input_rate + output_rate) AS total FROM new GROUP BY ALL",
+    "rate_overrides": f"WITH {_PARTS} SELECT coalesce(o.provider, n.provider) AS provider, coalesce(o.pattern, n.pattern) AS pattern, coalesce(nullif(n.input_rate, 0), o.input_rate, 0) AS input_rate, coalesce(nullif(n.output_rate, 0), o.output_rate, 0) AS output_rate, coalesce(nullif(n.cached_rate, 0), o.cached_rate, 0) AS cached_rate FROM old o FULL JOIN new n ON o.provider = n.provider AND o.pattern = n.pattern",
+    "rate_diff": f"WITH {_PARTS} SELECT coalesce(o.provider, n.provider) AS provider, coalesce(o.pattern, n.pattern) AS pattern, CASE WHEN o.provider IS NULL THEN 'added' WHEN n.provider IS NULL THEN 'removed' ELSE 'modified' END AS change, round(coalesce(n.input_rate, 0) - coalesce(o.input_rate, 0), 6) AS d_input_rate, round(coalesce(n.output_rate, 0) - coalesce(o.output_rate, 0), 6) AS d_output_rate, round(coalesce(n.cached_rate, 0) - coalesce(o.cached_rate, 0), 6) AS d_cached_rate FROM old o FULL JOIN new n ON o.provider = n.provider AND o.pattern = n.pattern WHERE o.provider IS NULL OR n.provider IS NULL OR o.input_rate <> n.input_rate OR o.output_rate <> n.output_rate OR o.cached_rate <> n.cached_rate",
+    "cheapest_model": f"WITH {_PARTS} SELECT provider, arg_min(pattern, (input_rate + output_rate, pattern)) AS pattern, min(input_rate + output_rate) AS total FROM new GROUP BY ALL",
     "anomaly_rolling": f"WITH {_DAILY}, w AS (SELECT *, count(value) OVER f AS n, avg(value) OVER f AS mean, coalesce(stddev_samp(value) OVER f, 0) AS sd FROM daily WINDOW f AS (PARTITION BY provider ORDER BY moment ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)), z AS (SELECT *, CASE WHEN sd > 0 THEN (value - mean) / sd ELSE 0 END AS z FROM w WHERE n >= 4) SELECT provider, moment AS \"at\", value, round(mean, 6) AS mean, round(z, 6) AS z, {_LEVEL} FROM z WHERE CASE WHEN sd > 0 THEN z >= 1.5 ELSE value > mean * 1.5 OR value < mean * 0.5 END",
     "anomaly_fixed": f"WITH {_DAILY}, z AS (SELECT *, (value - avg(value) OVER (PARTITION BY provider)) / nullif(stddev_samp(value) OVER (PARTITION BY provider), 0) AS z FROM daily) SELECT provider, moment AS \"at\", value, round(z, 6) AS z, {_LEVEL} FROM z WHERE z >= 1.5",
     "forecast_linear": f"WITH {_DAILY}, x AS (SELECT provider, value, row_number() OVER (PARTITION BY provider ORDER BY moment) - 1 AS x FROM daily), f AS (SELECT provider, {_FIT} FROM x GROUP BY ALL) SELECT provider, step::INTEGER AS step, {_LINE_BAND} FROM f, range(1, 4) r(step) WHERE n >= 2",
@@ -243,9 +303,12 @@ ORACLE_SQL = {
     "redaction_counts": f"WITH {_REDACTED} SELECT kind, count(*) AS findings FROM (SELECT unnest(kinds) AS kind FROM redacted) GROUP BY kind",
     "rule_duplicates": "SELECT 'sha256:' || sha256(text) AS hash, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY sha256(text) HAVING count(*) >= 2",
     "context_trim": "WITH a AS (SELECT conv_id, turn, role, coalesce(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS later FROM conversations) SELECT conv_id, turn, role FROM a WHERE role = 'system' OR later < 2",
-    "tool_output_reduce": "SELECT command, level, text, true AS critical_kept FROM (VALUES "
-    + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (c, level, tool_samples.expected(c, level))) + ")" for c in tool_samples.SAMPLES for level in ("balanced", "aggressive"))
-    + ") v(command, level, text)",
+    "tool_output_reduce": f"""WITH {_outputs_sql([*tool_samples.SAMPLES])},
+b AS (SELECT p_partkey, sum(strlen(line) + 1)::INTEGER - 1 AS bytes_before FROM x WHERE mark IN ('!', '.', '-', '~') GROUP BY p_partkey),
+o AS (SELECT p_partkey, command, level, string_agg(line, chr(10) ORDER BY nr, i) AS text FROM x, (VALUES ('balanced', '!.~='), ('aggressive', '!.+=')) v(level, marks) WHERE contains(marks, mark) GROUP BY ALL),
+c AS (SELECT x.p_partkey, o.level, bool_and(contains(chr(10) || o.text || chr(10), chr(10) || x.line || chr(10))) AS critical_kept FROM x JOIN o USING (p_partkey) WHERE x.mark = '!' GROUP BY ALL)
+SELECT p_partkey, command, level, regexp_replace(trim(text, chr(10)), '\\x1b\\[[0-9;]*m', '', 'g') AS text, coalesce(critical_kept, true) AS critical_kept, bytes_before FROM o LEFT JOIN c USING (p_partkey, level) JOIN b USING (p_partkey)""",
+    "tool_output_sniffed": f"WITH {_outputs_sql(tool_samples.SNIFFED)} SELECT p_partkey, trim(string_agg(line, chr(10) ORDER BY nr, i), chr(10)) AS text FROM x WHERE mark IN ('!', '.', '~', '=') GROUP BY p_partkey",
     "tool_output_rules": "WITH c AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '\\x1b\\[[0-9;?]*[ -/]*[@-~]', '', 'g'), '(?m)[ \\t\\r]+$', '', 'g') AS t FROM documents), "
     + _lines_kept("c", "x = y")
     + ", s AS (SELECT doc_id, string_split(trim(t, chr(10)), chr(10)) AS l FROM kept), f AS (SELECT doc_id, list_filter(l, lambda x: "

@@ -73,3 +73,87 @@ def expected(command: str, level: str) -> str:
     out = {"balanced": "!.~=", "aggressive": "!.+="}[level]
     lines = [x for x in SAMPLES[command].split("\n") if x[0] in out]
     return "\n".join(x[1:] for x in lines).strip("\n").replace("\x1b[1m", "").replace("\x1b[0m", "")
+
+
+#: Where a sample takes its names and counts from a row: {w} a word, {k} a count, {k1} and {k2} one more and twice as many; a line with {i} comes k times, i from 1.
+SLOTS = {
+    "alembic": [("users", "{w}s")],
+    "ansible-playbook": [("-ok: [h1]", "-ok: [{w}{i}]"), ("~changed: [h1]", "~changed: [{w}{i}]"), ("no space", "no space on {w}")],
+    "apt-get": [("~  libalpha libbeta libgamma\n~  libdelta libepsilon", "~  lib{w}{i}a lib{w}{i}b"), ("+5 packages", "+{k2} packages"), ("5 newly", "{k2} newly")],
+    "aws": [("i-0a1b", "i-{w}{i}")],
+    "az": [(".one", ".{w}{i}")],
+    "bazel": [("~//a:skipped_test_with_a_rather_long_name  NO STATUS\n~//a:other_test_", "~//a:{w}_{i}_"), ("(+2", "(+{k}")],
+    "biome": [("src/a.ts:3:5", "src/{w}.ts:{k}:5")],
+    "brew": [("for x: y", "for {w}{i}: y"), ("Pouring x", "Pouring {w}")],
+    "bundle": [("Using rails", "Using {w}{i}")],
+    "cargo": [("foo v0.1.0", "{w}{i} v0.1.0"), ("`x`", "`{w}`")],
+    "cmake": [("object a.o", "object {w}{i}.o")],
+    "composer": [("symfony/console", "{w}/{w}{i}")],
+    "curl": [("to a.example", "to {w}.example"), ("content-type", "x-{w}-{i}")],
+    "yum": [("~ libfoo   x86_64  1.0-1.el8  baseos  120 k\n~ libbar   noarch  2.0", "~ lib{w}{i}   noarch  2.0"), ("+2 packages", "+{k} packages")],
+    "docker": [("apk add x", "apk add {w}{i}"), ("+2 build", "+{k1} build")],
+    "dotnet": [("/a/b.csproj", "/a/{w}{i}.csproj"), ("CS0168: ", "CS0168: {w} ")],
+    "eslint": [("1:1  warning  unexpected console", "{i}:1  warning  unexpected {w}")],
+    "flyway": [("version 2 - add", "version {k} - add {w}")],
+    "gcloud": [(".a     p-1", ".{w}{i}     p-1")],
+    "gem": [("rack", "{w}")],
+    "gh": [("~completed\tsuccess\tfix the docs\tci\n~completed\tsuccess\tadd a test", "~completed\tsuccess\tfix {w} {i}"), ("+2 successful", "+{k} successful")],
+    "git": [("~\tnotes/one_long_file_name_here.txt\n~\tnotes/two_long_file_name_here", "~\tnotes/{w}_long_file_name_{i}"), ("+2 untracked", "+{k} untracked")],
+    "golangci-lint": [("variable", "variable {w}")],
+    "go": [("~ok  \tmod/a\t0.01s\n~ok  \tmod/b", "~ok  \tmod/{w}{i}"), ("+2 passing", "+{k} passing")],
+    "gradle": [(":compileJava", ":{w}{i}")],
+    "helm": [(".NAME: web", ".NAME: {w}")],
+    "jest": [("src/a.test", "src/{w}{i}.test")],
+    "kubectl": [("~web-1   1/1     Running   3d\n~web-2", "~{w}-{i}"), ("+2 healthy", "+{k} healthy")],
+    "oc": [("web-1", "{w}-1")],
+    "make": [("-c a.c", "-c {w}{i}.c")],
+    "mix": [("app", "{w}")],
+    "mvn": [("projects", "{w}{i}")],
+    "ninja": [("[1/3] Compiling a.c", "[{i}/{k}] Compiling {w}.c")],
+    "nix": [("-  /nix/store/aa-x", "-  /nix/store/aa-{w}{i}")],
+    "nomad": [("~0a1b2c3d  4e5f6a7b  web  running\n~1a1b2c3d  4e5f6a7b  web", "~{i}a1b2c3d  4e5f6a7b  {w}"), ("+2 healthy", "+{k} healthy")],
+    "npm": [("-npm warn deprecated inflight@1.0.6: leaks memory\n-npm warn deprecated glob", "-npm warn deprecated {w}{i}"), ("+2 deprecation", "+{k} deprecation")],
+    "packer": [("~==> Wait completed after 3 minutes and some\n~==> Wait completed after 4", "~==> Wait for {w} completed after {i}"), ("+2 build", "+{k} build")],
+    "pip3": [("Collecting requests", "Collecting {w}{i}")],
+    "playwright": [("✓  1 a.spec", "✓  {i} {w}.spec")],
+    "prettier": [("src/a.js", "src/{w}.js")],
+    "pulumi": [("name: x", "name: {w}")],
+    "pytest": [("~tests/test_alpha.py ...          [ 60%]\n~tests/test_beta", "~tests/test_{w}{i}"), ("+2 passing", "+{k} passing")],
+    "rspec": [("Adder", "{w}")],
+    "rubocop": [("a.rb:3", "{w}.rb:{k}")],
+    "ruff": [("a.py:3", "{w}.py:{k}")],
+    "sbt": [("3 sources", "{k} sources of {w}")],
+    "swift": [("[1/3] Compiling A", "[{i}/{k}] Compiling {w}")],
+    "terraform": [("aws_x.a:", "aws_x.{w}{i}:")],
+    "tsc": [("'x'", "'{w}'")],
+    "uv": [("+ x==", "+ {w}{i}==")],
+    "vitest": [("src/a.test", "src/{w}{i}.test")],
+    "pnpm": [("-+ x ", "-+ {w}{i} ")],
+    "unknown": [("rest", "rest of {w}")],
+}
+
+
+def templates() -> list[tuple[str, int, str, str]]:
+    """(command, nr, mark, line with slots) of each line of the samples."""
+    out = []
+    for command, sample in SAMPLES.items():
+        for old, new in SLOTS[command]:
+            if old not in sample:
+                raise ValueError(f"{command}: {old!r} isn't in its sample")
+            sample = sample.replace(old, new)
+        out += [(command, nr, x[0], x[1:]) for nr, x in enumerate(sample.split("\n"))]
+    return out
+
+
+def filled(command: str, marks: str, w: str, k: int) -> str:
+    """The lines of a sample with one of the marks, its slots filled."""
+    lines = []
+    for c, _, mark, line in templates():
+        if c == command and mark in marks:
+            line = line.replace("{w}", w).replace("{k}", str(k)).replace("{k1}", str(k + 1)).replace("{k2}", str(2 * k))
+            lines += [line.replace("{i}", str(i)) for i in range(1, k + 1)] if "{i}" in line else [line]
+    return "\n".join(lines)
+
+
+#: Samples that sniffing takes for what they are, or reduces in the same way.
+SNIFFED = [c for c in SAMPLES if c not in ("biome", "brew", "mix", "packer", "unknown")]

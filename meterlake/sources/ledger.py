@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,20 +28,25 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def append_once(batch: DataFrame, path: str, key: str = "event_id", order: str = "ts") -> None:
-    """Appends the rows whose key isn't in the table's partitions of their days yet; of a key's rows in the batch the first by `order` and then by content.
+def append_once(batch: DataFrame, path: str, key: str = "event_id", order: str = "ts", everywhere: bool = False) -> None:
+    """Appends the rows whose key isn't in the table yet; of a key's rows in the batch the first by `order` and then by content.
 
-    An event keeps its time, so its key can only be among those of its day: only those partitions
-    are read. A batch that comes twice changes nothing.
+    An event that keeps its time can only be among those of its day, so only those partitions are
+    read. everywhere: a key counts whatever its day; then the key column of the whole table is
+    read. A batch that comes twice changes nothing.
     """
     spark = batch.sparkSession
+    replayed_retention(spark, path)
     dated = batch.withColumn("day", F.to_date(order))
     whole = F.to_json(F.struct(*[F.col(c) for c in batch.columns]))
-    fresh = dated.groupBy("day", key).agg(F.min_by(F.struct(*dated.columns), F.struct(order, whole)).alias("r")).select("r.*")
+    by = [key] if everywhere else ["day", key]
+    fresh = dated.groupBy(*by).agg(F.min_by(F.struct(*dated.columns), F.struct(order, whole)).alias("r")).select("r.*")
     if _exists(spark, path):
-        days = [r.day for r in dated.select("day").distinct().collect()]  # the days of one batch
-        seen = spark.read.parquet(path).filter(F.col("day").isin(days)).select("day", key)
-        fresh = fresh.join(seen, ["day", key], "left_anti")
+        seen = spark.read.parquet(path)
+        if not everywhere:
+            days = [r.day for r in dated.select("day").distinct().collect()]  # the days of one batch
+            seen = seen.filter(F.col("day").isin(days))
+        fresh = fresh.join(seen.select(*by), by, "left_anti")
     fresh.write.mode("append").partitionBy("day").parquet(path)
 
 
@@ -64,12 +71,54 @@ def count_between(table: DataFrame, since=None, until=None, **equal) -> DataFram
     return events_between(table, since, until, **equal).agg(F.count("*").alias("events"))
 
 
+def _removed(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _mark(spark: SparkSession, copy: str, touched: list) -> None:
+    """The copy is whole from here on: these days are to be replaced from it."""
+    spark.createDataFrame([(d,) for d in touched], "day date").coalesce(1).write.parquet(f"{copy}/days")
+
+
+def _put_back(spark: SparkSession, path: str, copy: str) -> None:
+    """Each marked day is replaced by what the copy has of it; doing it twice gives the same."""
+    days = [r.day for r in spark.read.parquet(f"{copy}/days").collect()]
+    left = spark.read.schema(spark.read.parquet(path).schema).parquet(f"{copy}/rows")
+    left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    full = {r.day for r in left.select("day").distinct().collect()}
+    for d in days:
+        if d not in full:
+            _removed(spark, f"{path.rstrip('/')}/day={d}")
+
+
+def _cleared(spark: SparkSession, copy: str) -> None:
+    """Without its mark a copy counts no more, so the mark goes first."""
+    _removed(spark, f"{copy}/days")
+    _removed(spark, copy)
+
+
+def replayed_retention(spark: SparkSession, path: str) -> None:
+    """Ends what a retention that stopped half way has begun: a marked copy is put back, one without a mark goes."""
+    table = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    store = table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if table.getParent() is None or not store.exists(table.getParent()):
+        return
+    begin = f"{table.getName()}.retention-"
+    for copy in sorted(x.getPath().toString() for x in store.listStatus(table.getParent()) if x.getPath().getName().startswith(begin)):
+        if _exists(spark, f"{copy}/days/_SUCCESS"):
+            _put_back(spark, path, copy)
+        _cleared(spark, copy)
+
+
 def apply_retention(spark: SparkSession, path: str, now, days: dict[str, int], default: int, column: str = "type") -> DataFrame:
     """Deletes what is older than each kind is kept; returns (column, deleted).
 
     Only the partitions that hold such rows are written again, each to replace itself, from a copy
-    beside the table that goes when they are in place.
+    beside the table, one for each run. A run that stops leaves a copy that the next retention or
+    append puts in place, or drops if it isn't whole, before it does anything else.
     """
+    replayed_retention(spark, path)
     keep = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in days.items() for x in kv]), F.col(column)), F.lit(default))
     old = F.col("ts") < F.lit(now) - F.make_dt_interval(keep)
     table = spark.read.parquet(path)
@@ -78,15 +127,11 @@ def apply_retention(spark: SparkSession, path: str, now, days: dict[str, int], d
     counts = due.filter(old).groupBy(column, "day").agg(F.count("*").alias("deleted")).collect()  # kinds times days
     touched = sorted({r.day for r in counts})
     if touched:
-        beside = f"{path.rstrip('/')}.retention"
-        due.filter(F.col("day").isin(touched) & ~F.coalesce(old, F.lit(False))).write.mode("overwrite").parquet(beside)
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        left = spark.read.schema(table.schema).parquet(beside)
-        left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
-        full = {r.day for r in left.select("day").distinct().collect()}
-        for gone in [f"{path.rstrip('/')}/day={d}" for d in touched if d not in full] + [beside]:
-            at = jvm.org.apache.hadoop.fs.Path(gone)
-            at.getFileSystem(conf).delete(at, True)
+        copy = f"{path.rstrip('/')}.retention-{uuid.uuid4().hex}"
+        due.filter(F.col("day").isin(touched) & ~F.coalesce(old, F.lit(False))).write.parquet(f"{copy}/rows")
+        _mark(spark, copy, touched)
+        _put_back(spark, path, copy)
+        _cleared(spark, copy)
     total: dict[str, int] = {}
     for r in counts:
         total[r[column]] = total.get(r[column], 0) + r.deleted
