@@ -25,7 +25,7 @@ BLOCK, WHOLE = 128, 64
 #: rows of a few numbers each that are sent to all tasks at most, so that wide rows stay where they are
 NARROW = 2_000_000
 #: rows that a task of the last step holds at once, about: with the columns of the filters, with full sets
-LIGHT_ROWS, FULL_ROWS = 8_192, 1_024
+LIGHT_ROWS, FULL_ROWS = 2_048, 256
 CELL = ["group", "class_x", "x", "class_y", "y"]
 
 
@@ -140,17 +140,20 @@ class Linker:
         def pairs(rows: pd.DataFrame) -> Iterator[tuple[int, int]]:
             """Places of rows, sorted by cell, that sizes, components, blocks and filters leave."""
             n, root, cls, sub = (rows[c].to_numpy() for c in ("n", "root", "class", "sub"))
-            cell, ready = rows[CELL].to_numpy(), prepared(rows)
+            cell = rows[CELL].to_numpy()
             edges = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]).any(axis=1), [True]]))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                across = tuple(cell[a, 1:3]) != tuple(cell[a, 3:5])
+                across, ready = tuple(cell[a, 1:3]) != tuple(cell[a, 3:5]), None
                 for i in range(a, b - 1):
                     m = n[i + 1 : b]
                     fit = (np.minimum(m, n[i]) * 100 >= np.maximum(m, n[i]) * percent) & (root[i + 1 : b] != root[i])
                     if across:
                         fit &= (cls[i + 1 : b] != cls[i]) | (sub[i + 1 : b] != sub[i])
-                    for j in np.flatnonzero(fit) + i + 1:
-                        if meets(ready[i], ready[j]):
+                    found = np.flatnonzero(fit) + i + 1
+                    if len(found) and ready is None:  # for one cell at a time
+                        ready = prepared(rows.iloc[a:b])
+                    for j in found.tolist():
+                        if meets(ready[i - a], ready[j - a]):
                             yield i, j
 
         def first(rows: pd.DataFrame) -> pd.DataFrame:
