@@ -1,7 +1,7 @@
 """Media columns: payloads stored as 8-bit WAV, read back, with spectral-peak pair fingerprints.
 
-Frames of the sound go through a short-time Fourier transform; the strongest bins of a frame are
-its peaks, and pairs of peaks of near frames are landmarks (frequency, frequency, gap) with the
+Frames of the sound go through a short-time Fourier transform; a frame's peaks are the strongest of
+the bins that are larger than those beside them, and pairs of peaks of near frames are landmarks (frequency, frequency, gap) with the
 frame they start at, stored as time-coded arrays.
 """
 
@@ -20,7 +20,7 @@ from .common import id_and_text
 RATE = 8000
 FRAME = 576
 HOP = 288
-#: Peaks a frame, later frames that a peak is paired with.
+#: Peaks of a frame at most, later frames that a peak is paired with.
 PEAKS = 2
 REACH = 2
 
@@ -49,8 +49,10 @@ def padded(data: bytes, block: int = FRAME, fill: int = 255) -> bytes:
 def landmarks(samples: bytes, rows: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """(frame number, code) of each peak pair, by frame; code = first bin * 2**12 + second bin * 2**3 + gap.
 
-    Frames are transformed in blocks of `rows`, so memory doesn't grow with the length. Equal
-    magnitudes: the lower bin is the peak. Silence has the lowest bins as peaks.
+    Frames are transformed in blocks of `rows`, so memory doesn't grow with the length. A peak is
+    larger than the bin below and not smaller than the one above, bin 0 aside; of equal peaks the
+    lower counts first. Where no two frames in reach have peaks, the codes are those of single
+    peaks with gap 0, and 0 alone if there are none either.
     """
     wave_ = np.frombuffer(samples, np.uint8)
     if len(wave_) < FRAME:
@@ -62,21 +64,27 @@ def landmarks(samples: bytes, rows: int = 4096) -> tuple[np.ndarray, np.ndarray]
     for at in range(0, count, rows):
         block = view[at : at + rows].astype(np.float32)
         block = (block - block.mean(axis=1, keepdims=True)) * window
-        power = np.abs(np.fft.rfft(block, axis=1)).astype(np.float32)
-        power = np.round(power, 2)
-        power[:, 0] = -1
+        power = np.round(np.abs(np.fft.rfft(block, axis=1)).astype(np.float32), 2)
+        power[:, 0] = 0
+        beside = np.pad(power, ((0, 0), (0, 1)), constant_values=-1)
+        peak = np.zeros(power.shape, bool)
+        peak[:, 1:] = (power[:, 1:] > power[:, :-1]) & (power[:, 1:] >= beside[:, 2:])
+        power[~peak] = -1
         for p in range(PEAKS):
             best = power.argmax(axis=1)
-            peaks[at : at + rows, p] = best
-            power[np.arange(len(best)), best] = -2
+            found = power[np.arange(len(best)), best] > 0
+            peaks[at : at + rows, p] = np.where(found, best, -1)
+            power[np.arange(len(best)), best] = -1
     times, codes = [], []
-    for gap in range(1, REACH + 1):
+    for gap in range(1, min(REACH, count - 1) + 1):
         for a in range(PEAKS):
-            if count > gap:
-                times.append(np.arange(count - gap))
-                codes.append(peaks[:-gap, a] << 12 | peaks[gap:, 0] << 3 | gap)
-    if not times:
-        return np.zeros(1, np.int64), peaks[0, :1] << 12
+            for b in range(PEAKS):
+                both = np.flatnonzero((peaks[:-gap, a] >= 0) & (peaks[gap:, b] >= 0))
+                times.append(both)
+                codes.append(peaks[both, a] << 12 | peaks[both + gap, b] << 3 | gap)
+    if not sum(map(len, times)):
+        t, p = np.nonzero(peaks >= 0)
+        return (t, peaks[t, p] << 12) if len(t) else (np.zeros(1, np.int64), np.zeros(1, np.int64))
     t, c = np.concatenate(times), np.concatenate(codes)
     order = np.lexsort((c, t))
     return t[order], c[order]
