@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import let
+from ..functions.tables import written
+from .similar import heads, similar_pairs
 
 WORD = r"[\p{L}\p{Nd}]+"
 
@@ -24,40 +24,28 @@ def trigrams(text: Column) -> Column:
     return let(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), made)
 
 
-def _heads(pairs: pd.DataFrame) -> pd.DataFrame:
-    """(nr, head) of the messages that aren't heads: pairs (early, late) in order of late, then early."""
-    member: dict[int, int] = {}
-    for late, early in sorted(zip(pairs["late"].tolist(), pairs["early"].tolist(), strict=True)):
-        if late not in member and early not in member:
-            member[late] = early
-    first = pairs.iloc[0]
-    return pd.DataFrame({"conv_id": first["conv_id"], "role": first["role"], "nr": list(member), "head": list(member.values())})
-
-
 def near_duplicates(turns: DataFrame, threshold: float = 0.85, least_bytes: int = 200, system: bool = False) -> DataFrame:
     """(conv_id, turn, head_turn, head_nr, dropped_bytes): each message that repeats an earlier one of its role.
 
     A message goes to the earliest message before it that is a head and whose trigrams have a
     Jaccard similarity of threshold; else it is a head itself. Short messages and (unless `system`
     is true) system ones take no part. head_nr: the head's place in its conversation, from 1.
-    Messages with equal sets are one, so a conversation that says one thing often makes no pairs.
+    Messages with equal sets are one, so a conversation that says one thing often makes no pairs;
+    of the others only those that share a rare trigram are looked at. Sets and pairs are written
+    tables, so turns are read once.
     Null texts, roles and ids take no part. Ties of turn: by text.
     """
     numbered = turns.select("conv_id", "turn", "role", "text", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")).alias("nr"))
     able = numbered.filter((F.octet_length("text") >= least_bytes) & (F.lit(system) | (F.col("role") != "system"))).withColumn("set", F.array_sort(trigrams(F.col("text")))).filter(F.size("set") > 0)
-    keyed = able.withColumn("key", F.xxhash64("set"))
-    same = Window.partitionBy("conv_id", "role", "key")
-    keyed = keyed.withColumn("first", F.min("nr").over(same))
-    sets = keyed.filter("nr = first").select("conv_id", "role", "nr", F.size("set").alias("size"), F.explode("set").alias("gram"))
-    both = sets.alias("a").join(sets.alias("b"), F.expr("a.conv_id = b.conv_id and a.role = b.role and a.gram = b.gram and a.nr < b.nr"))
-    shared = both.groupBy("a.conv_id", "a.role", F.col("a.nr").alias("early"), F.col("b.nr").alias("late"), F.col("a.size").alias("n"), F.col("b.size").alias("m")).agg(F.count("*").alias("both"))
-    close = shared.filter(F.col("both") >= F.lit(threshold) * (F.col("n") + F.col("m") - F.col("both"))).select("conv_id", "role", "early", "late")
-    kind = dict(turns.dtypes)["conv_id"]
-    heads = close.groupBy("conv_id", "role").applyInPandas(_heads, f"conv_id {kind}, role string, nr int, head int")
+    same = Window.partitionBy("conv_id", "role", "set")
+    keyed = written(able.withColumn("first", F.min("nr").over(same)), "messages")
+    by = ["conv_id", "role"]
+    pairs = similar_pairs(keyed.filter("nr = first").select(*by, F.col("nr").alias("id"), F.col("set").alias("tokens")), threshold, by)
+    found = heads(pairs, by).select(*by, F.col("id").alias("nr"), "head")
     # a copy of a head goes to it, a copy of a member to the member's head
-    found = keyed.select("conv_id", "role", "turn", "nr", "first", F.octet_length("text").alias("bytes")).join(heads.withColumnRenamed("nr", "first"), ["conv_id", "role", "first"], "left")
+    found = keyed.select("conv_id", "role", "turn", "nr", "first", F.octet_length("text").alias("bytes")).join(found.withColumnRenamed("nr", "first"), ["conv_id", "role", "first"], "left")
     found = found.withColumn("head_nr", F.coalesce("head", "first")).filter("head_nr < nr")
-    at = numbered.select("conv_id", F.col("nr").alias("head_nr"), F.col("turn").alias("head_turn"))
+    at = keyed.select("conv_id", F.col("nr").alias("head_nr"), F.col("turn").alias("head_turn"))
     return found.join(at, ["conv_id", "head_nr"]).select("conv_id", "turn", "head_turn", "head_nr", F.col("bytes").alias("dropped_bytes"))
 
 

@@ -10,6 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
+from ..functions.tables import written
+from .similar import heads, similar_pairs
+
 # Pairs of word lists that contradict each other, by name.
 CONTRARY = [
     ("concise_vs_verbose", ["be concise", "keep it short", "be brief", "terse"], ["explain thoroughly", "be detailed", "verbose", "comprehensive explanation"]),
@@ -183,6 +187,58 @@ def compressed(docs: DataFrame, similarity: float = 0.85, n: int = 3, least_toke
     return cut.mapInPandas(run, schema)
 
 
+def gram_set(body: Column, n: int) -> Column:
+    """The distinct n-grams of a body's words in lower case, list marks left out."""
+    plain = F.regexp_replace(body, r"(?m)^\s*[-*+]\s+", "")
+    words = F.filter(F.split(plain, "[ \t\n\r,.;:!?()\"']+"), lambda w: w != "")
+
+    def grams(w: Column) -> Column:
+        count = F.size(w) - n + 1
+        return F.when(count > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.lower(F.array_join(F.slice(w, i + 1, n), " "))))).otherwise(F.array().cast("array<string>"))
+
+    return let(words, grams)
+
+
+def compressed_corpus(parts: DataFrame, similarity: float = 0.85, n: int = 3, least_tokens: int = 24, floor: float = 0.6, across: bool = False) -> DataFrame:
+    """As `compressed`, of parts (source_id, nr, anchor, body), without taking a document as one unit of work.
+
+    Near-duplicates come from a set similarity join, so a document, or with `across` all documents
+    in order of source_id, may have any number of sections. A section that repeats the body of an
+    earlier one goes to the first of them that stays.
+    """
+    by = [] if across else ["source_id"]
+    tokens = F.ceil(F.octet_length("body") / 4).cast("long")
+    trimmed = F.regexp_replace("body", r"\A\s+|\s+\z", "")
+    norm = F.sha2(F.regexp_replace(F.regexp_replace(trimmed, "[ \t]+", " "), "\n{3,}", "\n\n").cast("binary"), 256)
+    grams = F.when((F.lit(similarity) > 0) & (tokens >= least_tokens), gram_set(F.col("body"), n)).otherwise(F.array().cast("array<string>"))
+    rows = parts.filter("source_id is not null").select("source_id", "nr", "anchor", "body", tokens.alias("tokens"), norm.alias("norm"), grams.alias("grams"), F.struct("source_id", "nr").alias("id"))
+    rows = written(rows, "sections")
+    compared = F.size("grams") > 0
+    # of the sections with one body: the first, and the first that is too short to be compared
+    same = rows.groupBy(*by, "norm").agg(F.min(F.struct("id", compared.alias("compared"))).alias("f"), F.min(F.when(~compared, F.col("id"))).alias("free")).select(*by, "norm", F.col("f.id").alias("first"), F.col("f.compared").alias("compared"), "free")
+    same = written(same, "bodies")
+    firsts = rows.join(same.filter("compared").select(*by, F.col("first").alias("id")), [*by, "id"], "left_semi")
+    group = [*by] or ["everything"]
+    sets = firsts.select(*by, *([] if by else [F.lit(1).alias("everything")]), "id", F.col("grams").alias("tokens"))
+    found = heads(similar_pairs(sets, similarity, group), group).select(*by, F.col("id").alias("first"), F.col("head"))
+    owned = rows.join(same.join(found, [*by, "first"], "left"), [*by, "norm"])
+    stays = F.when(F.col("head").isNull(), F.col("id") == F.col("first")).otherwise(F.coalesce(F.col("id") == F.col("free"), F.lit(False)))
+    near = F.col("head").isNotNull() & (F.col("free").isNull() | (F.col("id") < F.col("free")))
+    owner = F.when(near, F.col("head")).when(F.col("head").isNotNull(), F.col("free")).otherwise(F.col("first"))
+    owned = owned.withColumns({"stays": stays, "reason": F.when(~stays, F.when(near, "near_duplicate").otherwise("redundant")), "owner": F.when(~stays, owner)})
+
+    @F.pandas_udf("string")
+    def compact(bodies: pd.Series) -> pd.Series:
+        return bodies.map(compacted)
+
+    names = rows.select(F.col("id").alias("owner"), section_id().alias("duplicate_of"))
+    out = owned.join(names, "owner", "left").withColumn("body", F.when(F.col("stays"), compact(F.col("body"))))
+    out = out.withColumns({"original_tokens": F.col("tokens"), "compressed_tokens": F.coalesce(F.ceil(F.octet_length("body") / 4).cast("long"), F.lit(0).cast("long"))})
+    out = written(out.select("source_id", "nr", "anchor", "body", "reason", "duplicate_of", "original_tokens", "compressed_tokens"), "compressed")
+    sums = out.groupBy("source_id").agg(F.sum("original_tokens").alias("o"), F.sum("compressed_tokens").alias("c"))
+    return out.join(sums.select("source_id", ((F.col("o") == 0) | (F.col("c") >= F.col("o") * F.lit(floor))).alias("accepted")), "source_id")
+
+
 def returns(exposures: DataFrame, retry_rate: float = 0.10, per_retry: int = 800, growth: float = 1.08) -> DataFrame:
     """Each exposure (requests, rule_tokens, output_tokens, baseline_tokens, retries, …) with context_tokens, tokens_saved, retries_avoided, context_reduction and roi.
 
@@ -229,6 +285,78 @@ def relevance(parts: DataFrame, tools: list[str] = (), keywords: list[str] = (),
     return parts.withColumn("score", score)
 
 
+#: distinct terms that one automaton holds; more are looked for in several passes
+TERMS = 200_000
+
+
+def _found_terms(parts: DataFrame, terms: DataFrame) -> DataFrame:
+    """An inverted index (term, source_id, nr, in_anchor, in_body) of the terms that a section has anywhere in its text, in one pass over it."""
+    spark, lots = parts.sparkSession, max(1, -(-terms.count() // TERMS))
+    text = parts.select("source_id", "nr", F.lower(F.coalesce("anchor", F.lit(""))).alias("anchor"), F.lower(F.coalesce("body", F.lit(""))).alias("body"))
+    out = None
+    for lot in range(lots):
+        own = [r.term for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(lots)) == lot).collect()]  # TERMS at most, about
+        sent = spark.sparkContext.broadcast(own)
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for term in sent.value:
+                automaton.add_word(term, term)
+            if sent.value:
+                automaton.make_automaton()
+            within = lambda t: {x for _, x in automaton.iter(t)} if sent.value else set()
+            for batch in batches:
+                rows = []
+                for source, nr, anchor, body in zip(batch["source_id"], batch["nr"], batch["anchor"], batch["body"], strict=True):
+                    a, b = within(anchor), within(body)
+                    rows += [(t, source, nr, t in a, t in b) for t in a | b]
+                yield pd.DataFrame(rows, columns=["term", "source_id", "nr", "in_anchor", "in_body"])
+
+        found = text.mapInPandas(run, "term string, source_id string, nr int, in_anchor boolean, in_body boolean")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _near_paths(parts: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(task, path): rule paths that a file of the task equals, contains, or has the extension of; by equality joins on the parts of file names."""
+    rules = parts.select("path").filter("path <> ''").distinct().withColumn("ext", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
+    files = tasks.select("task", F.explode("paths").alias("file")).filter("file <> ''").distinct()
+    ends = files.select("task", F.lower(F.regexp_extract("file", r"\.([^./]+)$", 1)).alias("ext")).filter("ext <> ''").distinct()
+    size = F.length("file")
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda k: F.substr("file", i, k))))
+    inside = files.select("task", F.explode(F.array_distinct(pieces)).alias("path")).join(rules.select("path"), "path")
+    return inside.select("task", "path").unionByName(ends.join(rules.filter("ext <> ''"), "ext").select("task", "path")).distinct()
+
+
+def task_relevance(parts: DataFrame, tasks: DataFrame, global_scope: bool = False) -> DataFrame:
+    """(task, source_id, nr, score) of the sections that a task has some tool, keyword, workflow or path in common with.
+
+    tasks: task and any of tools, keywords, paths (arrays), repo, workflow; parts may have path, repo and
+    scope. Points as in `relevance`, for all tasks at once: terms are found by an inverted index, so
+    no task is compared with sections that have nothing of it. A repository alone is no link, nor is
+    the global scope; both only add to one. Ids (source_id, nr) and tasks are unique; null ones take no part.
+    """
+    none = {"tools": "array<string>", "keywords": "array<string>", "paths": "array<string>", "repo": "string", "workflow": "string"}
+    tasks = tasks.withColumns({c: F.lit(None).cast(t) for c, t in none.items() if c not in tasks.columns}).filter("task is not null")
+    parts = parts.withColumns({c: F.lit(None).cast("string") for c in ("path", "repo", "scope") if c not in parts.columns})
+    # a tool counts each time it is named, as does a keyword
+    named = lambda kind, c: tasks.select("task", F.lit(kind).alias("kind"), F.explode(c).alias("term"))
+    asked = named("tool", F.transform("tools", F.lower)).unionByName(named("keyword", F.transform("keywords", lambda k: F.lower(F.btrim(k))))).unionByName(named("workflow", F.array(F.lower("workflow"))))
+    asked = written(asked.filter("term <> ''"), "terms")
+    index = _found_terms(parts, asked.select("term").distinct())
+    a, b = F.col("in_anchor"), F.col("in_body")
+    points = F.when(F.col("kind") == "tool", 1.0).when(F.col("kind") == "workflow", F.when(a, 0.5).otherwise(0.0)).otherwise(F.when(a, 1.0).otherwise(0.0) + F.when(b, 0.5).otherwise(0.0))
+    hits = index.join(asked, "term").select("task", "source_id", "nr", points.alias("score")).filter("score > 0")
+    paths = parts.select("source_id", "nr", "path").join(_near_paths(parts, tasks), "path").select("task", "source_id", "nr", F.lit(1.0).alias("score"))
+    sums = hits.unionByName(paths).groupBy("task", "source_id", "nr").agg(F.sum("score").alias("score"))
+    facts = parts.select("source_id", "nr", F.col("repo").alias("r"), "scope")
+    out = sums.join(facts, ["source_id", "nr"]).join(tasks.select("task", "repo"), "task")
+    more = F.when((F.col("repo") != "") & (F.col("repo") == F.col("r")), 0.5).otherwise(0.0) + F.when(F.lit(global_scope) & (F.col("scope") == "global"), 1.0).otherwise(0.0)
+    return out.select("task", "source_id", "nr", (F.col("score") + more).alias("score"))
+
+
 def selected(scored: DataFrame, budget: int, least: float = 1.0, key: str | None = None) -> DataFrame:
     """Sections of a score of `least` or more, best first, as long as they fit: one that doesn't is passed over, smaller ones after it may fit.
 

@@ -317,6 +317,38 @@ u AS (SELECT source_id, generate_subscripts(p, 1) - 1 AS nr, unnest(p) AS b FROM
 parts AS (SELECT source_id, nr, CASE WHEN nr = 0 THEN '' ELSE '/Part' END AS anchor, CASE WHEN b = '' THEN '' ELSE b || chr(10) END AS body, source_id || '#' || CASE WHEN nr = 0 THEN '_preamble' ELSE '/Part' END AS id FROM u)"""
 
 
+def _compressed(spark: SparkSession, d: str) -> DataFrame:
+    """No SQL: which section stays depends on those before it. Held against plain loops in tests/test_similar.py."""
+    out = rulebook.compressed_corpus(_rule_sections(spark, d))
+    return out.select("source_id", "nr", "reason", "duplicate_of", "original_tokens", "compressed_tokens", "accepted", F.md5(F.col("body").cast("binary")).alias("digest"))
+
+
+def _task_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as tasks: four of their words as keywords, two as tools; (task, id, tokens, score) of the sections they concern."""
+    words = F.split(F.lower("text"), " ")
+    tasks = _read(spark, d, "benchmark").select(F.col("item_id").alias("task"), F.slice(words, 1, 2).alias("tools"), F.slice(words, 3, 4).alias("keywords"))
+    parts = _rule_sections(spark, d)
+    scores = rulebook.task_relevance(parts, tasks)
+    tokens = parts.select("source_id", "nr", F.ceil(F.octet_length("body") / 4).cast("long").alias("tokens"))
+    out = scores.filter("score >= 1").join(tokens, ["source_id", "nr"])
+    return out.select("task", F.concat_ws("#", "source_id", F.col("nr").cast("string")).alias("id"), "tokens", "score")
+
+
+_SCORES_SQL = f"""{_SECTIONS},
+k AS (SELECT item_id AS task, string_split(lower(text), ' ') AS w FROM benchmark),
+terms AS (SELECT task, kind, term FROM (SELECT task, unnest([1, 1, 2, 2, 2, 2]) AS kind, unnest(w[1:6]) AS term FROM k WHERE len(w) >= 6) WHERE term <> ''),
+low AS (SELECT source_id || '#' || nr AS id, ceil(strlen(body) / 4.0::DOUBLE)::BIGINT AS tokens, lower(body) AS body, lower(anchor) AS anchor FROM parts),
+near AS (SELECT DISTINCT term, id, contains(anchor, term) AS a, contains(body, term) AS b FROM (SELECT DISTINCT term FROM terms) t JOIN low ON contains(anchor, term) OR contains(body, term)),
+scores AS (SELECT task, id, sum(CASE WHEN kind = 1 THEN 1 ELSE CASE WHEN a THEN 1 ELSE 0 END + CASE WHEN b THEN 0.5 ELSE 0 END END)::DOUBLE AS score FROM terms JOIN near USING (term) GROUP BY ALL),
+scored AS (SELECT task, id, tokens, score FROM scores JOIN low USING (id) WHERE score >= 1)"""
+_ROUTES_SQL = f"""WITH RECURSIVE {_SCORES_SQL},
+o AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY score DESC, id) AS i FROM scored),
+f AS (
+  SELECT task, i, id, tokens, tokens <= 200 AS taken, CASE WHEN tokens <= 200 THEN tokens ELSE 0 END AS used FROM o WHERE i = 1
+  UNION ALL SELECT o.task, o.i, o.id, o.tokens, f.used + o.tokens <= 200, CASE WHEN f.used + o.tokens <= 200 THEN f.used + o.tokens ELSE f.used END FROM f JOIN o ON o.task = f.task AND o.i = f.i + 1)
+SELECT task, (row_number() OVER (PARTITION BY task ORDER BY i) - 1)::INTEGER AS place, id, tokens FROM f WHERE taken"""
+
+
 def _exposures(spark: SparkSession, d: str) -> DataFrame:
     n = _usage(spark, d).groupBy("workflow_id", "agent_id").agg(F.count("*").alias("requests"), F.count_if(F.col("k") % 17 == 0).alias("retries"), F.sum("output_tokens").alias("output_tokens"), F.sum(F.when(F.col("k") % 2 == 0, F.col("input_tokens")).otherwise(0)).alias("baseline_tokens"))
     return n.withColumn("rule_tokens", F.col("requests") % 40)
@@ -510,6 +542,9 @@ QUERIES = {
     "rule_redundant": lambda s, d: rulebook.redundant(_rule_sections(s, d)).select("hash", "sections", "id"),
     "rule_drift": lambda s, d: rulebook.drifting(_rule_sections(s, d)),
     "rule_contrary": lambda s, d: rulebook.contrary(_rule_sections(s, d), [("a_vs_b", ["the that", "que la"], ["und die", "el que", "with"])]),
+    "rule_compress": _compressed,
+    "rule_relevance": _task_scores,
+    "rule_routes": lambda s, d: rulebook.selected(_task_scores(s, d), 200, 1.0, "task").select("task", "place", "id", "tokens"),
     "rule_roi": lambda s, d: rulebook.returns(_exposures(s, d)),
     "rule_winners": lambda s, d: rulebook.winners(rulebook.returns(_exposures(s, d)).filter("agent_id is not null").select(F.col("workflow_id").alias("scenario"), F.col("agent_id").alias("profile"), "roi")),
     "rule_select": _selected,
@@ -577,6 +612,8 @@ SELECT source_id, count(*) AS sections, sum(b)::BIGINT AS bytes, sum(tokens)::BI
     "rule_contrary": f"""WITH {_SECTIONS}, h AS (SELECT id, bool_or(contains(lower(body), 'the that') OR contains(lower(body), 'que la')) AS a, bool_or(contains(lower(body), 'und die') OR contains(lower(body), 'el que') OR contains(lower(body), 'with')) AS b FROM parts GROUP BY id)
 SELECT 'a_vs_b' AS pattern, true AS inside, id, NULL AS side FROM h WHERE a AND b
 UNION ALL SELECT 'a_vs_b', false, id, CASE WHEN a THEN 'a' ELSE 'b' END FROM h WHERE a <> b AND (SELECT count(*) FROM h WHERE a AND NOT b) > 0 AND (SELECT count(*) FROM h WHERE b AND NOT a) > 0""",
+    "rule_relevance": f"WITH {_SCORES_SQL} SELECT * FROM scored",
+    "rule_routes": _ROUTES_SQL,
     "rule_roi": f"WITH {_EXPOSED} SELECT * FROM roi",
     "rule_winners": f"WITH {_EXPOSED} SELECT workflow_id AS scenario, agent_id AS profile FROM roi WHERE agent_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY workflow_id ORDER BY roi DESC, agent_id) = 1",
     "rule_select": _SELECTED_SQL,

@@ -3,12 +3,12 @@
 import duckdb
 import pytest
 
-from meterlake.plans import coach_queries, more_queries, queries
+from meterlake.plans import coach_queries, log_queries, more_queries, queries
 
-QUERIES = queries.QUERIES | coach_queries.QUERIES | more_queries.QUERIES
-ORACLE_SQL = queries.ORACLE_SQL | coach_queries.ORACLE_SQL | more_queries.ORACLE_SQL
+QUERIES = queries.QUERIES | coach_queries.QUERIES | more_queries.QUERIES | log_queries.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | coach_queries.ORACLE_SQL | more_queries.ORACLE_SQL | log_queries.ORACLE_SQL
 DATA = "/root/testdata/sf0.001"
-TABLES = ["events", "documents", "conversations", "lineitem", "part", "supplier"]
+TABLES = ["events", "documents", "conversations", "lineitem", "part", "supplier", "benchmark"]
 
 
 def cell(v):
