@@ -174,21 +174,26 @@ COMMANDS = ["git status", "cd /a && rm -rf build", "sudo FOO=1 /usr/bin/pytest -
 
 def _blocks(spark: SparkSession, d: str, output=None) -> DataFrame:
     """Every usage event as a tool call, most with a result, some with prose. output: a function of k, for what the shell's results say."""
-    e = _usage(spark, d).select("event_id", "ts", "k", F.col("workflow_id").alias("session"), "provider")
-    name = F.when(F.col("k") % 3 == 0, "Bash").when(F.col("k") % 3 == 1, "Read").otherwise("Grep")
-    command = F.when(name == "Bash", F.get(F.array(*map(F.lit, COMMANDS)), (F.col("k") % 8).cast("int")))
-    path = F.when(name == "Read", F.concat(F.lit("/a/f"), (F.col("k") % 4).cast("string"), F.when(F.col("k") % 2 == 0, ".PY").otherwise("")))
-    text = lambda c: F.lit(c).cast("string")
-    base = {"role": text(None), "name": text(None), "command": text(None), "path": text(None), "ranged": F.lit(False), "content": text(None), "is_error": F.lit(False)}
-    identity = ["session", "ts", "k", F.col("event_id").cast("string").alias("id")]
-    use = e.select(*identity, name.alias("n"), command.alias("c"), path.alias("p")).withColumns({**base, "kind": F.lit("tool_use"), "name": F.col("n"), "command": F.col("c"), "path": F.col("p"), "ranged": F.col("k") % 5 == 0}).drop("n", "c", "p")
-    content = F.repeat(F.concat(F.lit("line "), (F.col("k") % 6).cast("string"), F.lit("\n")), (F.col("k") % 9).cast("int"))
-    content = F.when(F.col("k") % 3 == 0, F.coalesce(output(F.col("k")), content)).otherwise(content) if output else content
-    result = e.filter("k % 11 <> 0").select(*identity).withColumns({**base, "kind": F.lit("tool_result"), "content": content, "is_error": F.col("k") % 9 == 1})
-    orphan = e.filter("k % 13 = 0").select("session", "ts", "k", F.concat(F.lit("o"), F.col("event_id").cast("string")).alias("id")).withColumns({**base, "kind": F.lit("tool_result"), "content": F.lit("lost")})
-    prose = e.filter("k % 4 = 0").select(*identity).withColumns({**base, "kind": F.lit("text"), "role": F.when(F.col("k") % 8 == 0, "assistant").otherwise("user"), "content": F.col("session")})
-    out = use.unionByName(result).unionByName(orphan).unionByName(prose)
-    return out.drop("k")
+    e = _usage(spark, d).select("event_id", "ts", "k", F.col("workflow_id").alias("session"))
+    k, own = F.col("k"), F.col("event_id").cast("string")
+    name = F.when(k % 3 == 0, "Bash").when(k % 3 == 1, "Read").otherwise("Grep")
+    command = F.when(name == "Bash", F.get(F.array(*map(F.lit, COMMANDS)), (k % 8).cast("int")))
+    path = F.when(name == "Read", F.concat(F.lit("/a/f"), (k % 4).cast("string"), F.when(k % 2 == 0, ".PY").otherwise("")))
+    said = F.repeat(F.concat(F.lit("line "), (k % 6).cast("string"), F.lit("\n")), (k % 9).cast("int"))
+    said = F.when(k % 3 == 0, F.coalesce(output(k), said)).otherwise(said) if output else said
+    kinds = {"id": "string", "kind": "string", "role": "string", "name": "string", "command": "string", "path": "string", "ranged": "boolean", "content": "string", "is_error": "boolean"}
+    no = {"ranged": F.lit(False), "is_error": F.lit(False)}
+
+    def block(**fields):
+        return F.struct(*[(no | fields).get(c, F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
+
+    parts = F.array(
+        block(id=own, kind=F.lit("tool_use"), name=name, command=command, path=path, ranged=k % 5 == 0),
+        F.when(k % 11 != 0, block(id=own, kind=F.lit("tool_result"), content=said, is_error=k % 9 == 1)),
+        F.when(k % 13 == 0, block(id=F.concat(F.lit("o"), own), kind=F.lit("tool_result"), content=F.lit("lost"))),
+        F.when(k % 4 == 0, block(id=own, kind=F.lit("text"), role=F.when(k % 8 == 0, "assistant").otherwise("user"), content=F.col("session"))),
+    )
+    return e.select("session", "ts", F.explode(F.array_compact(parts)).alias("b")).select("session", "ts", "b.*")
 
 
 _BLOCKS = f"""{_USAGE},
@@ -324,9 +329,10 @@ def _compressed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _task_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items as tasks: four of their words as keywords, two as tools; (task, id, tokens, score) of the sections they concern."""
+    """Benchmark items as tasks: their first two words as a tool, three more pairs of words as keywords; (task, id, tokens, score) of the sections they concern."""
     words = F.split(F.lower("text"), " ")
-    tasks = _read(spark, d, "benchmark").select(F.col("item_id").alias("task"), F.slice(words, 1, 2).alias("tools"), F.slice(words, 3, 4).alias("keywords"))
+    pair = lambda i: F.array_join(F.slice(words, i, 2), " ")
+    tasks = _read(spark, d, "benchmark").filter(F.size(words) >= 8).select(F.col("item_id").alias("task"), F.array(pair(1)).alias("tools"), F.array(pair(3), pair(5), pair(7)).alias("keywords"))
     parts = _rule_sections(spark, d)
     scores = rulebook.task_relevance(parts, tasks)
     tokens = parts.select("source_id", "nr", F.ceil(F.octet_length("body") / 4).cast("long").alias("tokens"))
@@ -336,7 +342,7 @@ def _task_scores(spark: SparkSession, d: str) -> DataFrame:
 
 _SCORES_SQL = f"""{_SECTIONS},
 k AS (SELECT item_id AS task, string_split(lower(text), ' ') AS w FROM benchmark),
-terms AS (SELECT task, kind, term FROM (SELECT task, unnest([1, 1, 2, 2, 2, 2]) AS kind, unnest(w[1:6]) AS term FROM k WHERE len(w) >= 6) WHERE term <> ''),
+terms AS (SELECT task, unnest([1, 2, 2, 2]) AS kind, trim(unnest([w[1] || ' ' || w[2], w[3] || ' ' || w[4], w[5] || ' ' || w[6], w[7] || ' ' || w[8]])) AS term FROM k WHERE len(w) >= 8),
 low AS (SELECT source_id || '#' || nr AS id, ceil(strlen(body) / 4.0::DOUBLE)::BIGINT AS tokens, lower(body) AS body, lower(anchor) AS anchor FROM parts),
 near AS (SELECT DISTINCT term, id, contains(anchor, term) AS a, contains(body, term) AS b FROM (SELECT DISTINCT term FROM terms) t JOIN low ON contains(anchor, term) OR contains(body, term)),
 scores AS (SELECT task, id, sum(CASE WHEN kind = 1 THEN 1 ELSE CASE WHEN a THEN 1 ELSE 0 END + CASE WHEN b THEN 0.5 ELSE 0 END END)::DOUBLE AS score FROM terms JOIN near USING (term) GROUP BY ALL),
