@@ -40,6 +40,7 @@ class Linker:
     def __init__(self, facts: DataFrame, sets: DataFrame, percent: int, fits: Callable[[str, str], Column], prepared: Callable[[pd.DataFrame], list], meets: Callable[[object, object], bool], scratch: Scratch):
         self.facts, self.sets, self.percent, self.fits, self.prepared, self.meets, self.keep = facts, sets, percent, fits, prepared, meets, scratch.written
         self.scratch = scratch
+        self.sizes = self.keep(facts.select("node", "n"), "node-sizes")
         self.member = self.keep(facts.select("node", F.col("node").alias("root")), "member")
 
     def beside(self, wide: DataFrame, narrow: DataFrame, on: str) -> DataFrame:
@@ -49,11 +50,14 @@ class Linker:
     def candidates(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes and filters allow a link; many a have one b."""
         named = lambda df, p: df.select([F.col(c).alias(p if c == "node" else f"{p}_{c}") for c in df.columns])
+        # sizes alone come first: they are narrow, and few pairs are left for the wide columns
+        for end in ("a", "b"):
+            pairs = self.beside(pairs, self.sizes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}")), end)
+        pairs = self.keep(pairs.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent).select("a", "b"), "candidates")
         ends = self.keep(pairs.groupBy("b").agg(F.count("*").alias("size")), "pivot-sizes")
         pivots = self.keep(self.beside(named(self.facts, "b"), ends, "b"), "pivots")
-        both = keyed_join(self.beside(named(self.facts, "a"), self.keep(pairs, "candidates"), "a"), pivots, ["b"], most=50_000)
-        sizes = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * self.percent
-        return both.filter(sizes).filter(self.fits("a_", "b_")).select("a", "b")
+        both = keyed_join(self.beside(named(self.facts, "a"), pairs, "a"), pivots, ["b"], most=50_000)
+        return both.filter(self.fits("a_", "b_")).select("a", "b")
 
     def rooted(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of nodes in different components, with those components."""

@@ -23,8 +23,8 @@ from .linking import Linker
 from .shingles import ShingleSets, mixed
 
 ORDERS = 3
-#: counters of tokens, by hash: as many as the corpus has words, between these bounds; a byte each is broadcast, so 16 MB at most
-COUNTERS, MOST_COUNTERS = 1 << 20, 1 << 24
+#: counters of tokens, by hash: one for about SHARED words of the corpus, between these bounds; a byte each is broadcast, so 64 MB at most
+COUNTERS, MOST_COUNTERS, SHARED = 1 << 20, 1 << 26, 16
 #: counters of a chunk, in which a task's counters travel
 CHUNK = 1 << 18
 LOG_STEPS = 8
@@ -36,9 +36,9 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def counter_number(docs: DataFrame) -> int:
-    """A power of two that is about the number of words of all texts, within the bounds."""
+    """A power of two that is about the number of words of all texts by SHARED, within the bounds."""
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return min(MOST_COUNTERS, max(COUNTERS, 1 << (size // 6).bit_length()))
+    return min(MOST_COUNTERS, max(COUNTERS, 1 << (size // (6 * SHARED)).bit_length()))
 
 
 def token_counts(docs: DataFrame, words: int, counters: int = COUNTERS) -> np.ndarray:
@@ -182,7 +182,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, round
     nodes = keep(only(signed, digests.select(F.col("node").alias("row")), "row").drop("doc_id").withColumnRenamed("row", "node"), "nodes")
     keyed = nodes.select("node", F.explode("first").alias("bucket"))
     shared = keep(keyed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "shared")
-    buckets = keep(keyed_join(keyed, shared, ["bucket"]), "buckets")
+    buckets = keep(keyed_join(keyed, shared, ["bucket"], most=2_000_000), "buckets")
     met = keep(buckets.select("node").distinct(), "met")
     facts = keep(only(nodes, met, "node").select("node", "n", "second", "third"), "facts")
     ids = only(signed.select(F.col("row").alias("node"), "doc_id", "digest"), met, "node")
