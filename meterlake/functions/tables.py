@@ -7,6 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: bytes of a batch for Python, and about what a function makes of it before it hands that on
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession | None) -> None:
+    """Batches of texts for Python are bounded by bytes from here on, unless the session has a bound of its own; without it 10,000 rows of any size are one batch."""
+    if spark is not None and spark.conf.get(BATCH_BOUND, None) in (None, "-1", str(2**31 - 1), str(2**63 - 1)):
+        spark.conf.set(BATCH_BOUND, str(BATCH_BYTES))
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session, which driver and executors share; only where that is unset and the master is local a temporary folder."""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import let
-from ..functions.tables import written
+from ..functions.tables import BATCH_BYTES, bounded_batches, written
 from .similar import heads, similar_pairs
 
 # Pairs of word lists that contradict each other, by name.
@@ -59,13 +59,32 @@ def sections_of(text: str) -> list[tuple[str, int, str]]:
     return [*out, ("/".join(path), level, "".join(body))]
 
 
+#: what a row takes in Python beside its texts
+_ROW_BYTES = 400
+
+
+def _frames(rows: Iterator[tuple], columns: list[str], most: int = BATCH_BYTES) -> Iterator[pd.DataFrame]:
+    """Rows as frames of about `most` bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += _ROW_BYTES + sum(len(x) for x in row if isinstance(x, str))
+        if size >= most:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def sections(docs: DataFrame, id_col: str = "source_id", text_col: str = "text") -> DataFrame:
-    """(source_id, nr, anchor, level, body, hash) of each document; the order of lines decides, so this is an Arrow UDF. A null text counts as empty."""
+    """(source_id, nr, anchor, level, body, hash) of each document; the order of lines decides, so this is an Arrow UDF. A null text counts as empty.
+
+    A Python worker holds about BATCH_BYTES of texts and as much of sections, or one document's.
+    """
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(i, n, *s) for i, t in zip(batch["source_id"], batch["text"], strict=True) for n, s in enumerate(sections_of(t))]
-            yield pd.DataFrame(rows, columns=["source_id", "nr", "anchor", "level", "body"])
+        yield from _frames(((i, n, *s) for batch in batches for i, t in zip(batch["source_id"], batch["text"], strict=True) for n, s in enumerate(sections_of(t))), ["source_id", "nr", "anchor", "level", "body"])
 
     cut = docs.select(F.col(id_col).cast("string").alias("source_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return cut.mapInPandas(run, "source_id string, nr int, anchor string, level int, body string").withColumn("hash", F.concat(F.lit("sha256:"), F.sha2(F.col("body").cast("binary"), 256)))
@@ -174,18 +193,20 @@ def compressed(docs: DataFrame, similarity: float = 0.85, n: int = 3, least_toke
     tokens = lambda t: -(-len(t.encode()) // 4)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for source, text in zip(batch["source_id"], batch["text"], strict=True):
-                parts = sections_of(text)
-                found = compressed_rows([(f"{source}#{a or '_preamble'}", b) for a, _, b in parts], similarity, n, least_tokens)
-                before, after = sum(tokens(b) for _, _, b in parts), sum(tokens(b) for _, b, _, _ in found if b is not None)
-                rows += [(source, i, parts[i][0], b, why, of, tokens(parts[i][2]), tokens(b or ""), not before or after >= floor * before) for i, (_, b, why, of) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in schema.split(",")])
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for source, text in zip(batch["source_id"], batch["text"], strict=True):
+                    parts = sections_of(text)
+                    found = compressed_rows([(f"{source}#{a or '_preamble'}", b) for a, _, b in parts], similarity, n, least_tokens)
+                    before, after = sum(tokens(b) for _, _, b in parts), sum(tokens(b) for _, b, _, _ in found if b is not None)
+                    yield from ((source, i, parts[i][0], b, why, of, tokens(parts[i][2]), tokens(b or ""), not before or after >= floor * before) for i, (_, b, why, of) in enumerate(found))
+
+        yield from _frames(rows(), [c.strip().split(" ")[0] for c in schema.split(",")])
 
     cut = docs.select(F.col(id_col).cast("string").alias("source_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return cut.mapInPandas(run, schema)
 
+    bounded_batches(docs.sparkSession)
 
 def gram_set(body: Column, n: int) -> Column:
     """The distinct n-grams of a body's words in lower case, list marks left out."""
@@ -220,19 +241,20 @@ def compressed_corpus(parts: DataFrame, similarity: float = 0.85, n: int = 3, le
     firsts = rows.join(same.filter("compared").select(*by, F.col("first").alias("id")), [*by, "id"], "left_semi")
     group = [*by] or ["everything"]
     sets = firsts.select(*by, *([] if by else [F.lit(1).alias("everything")]), "id", F.col("grams").alias("tokens"))
+    bounded_batches(parts.sparkSession)
     found = heads(similar_pairs(sets, similarity, group), group).select(*by, F.col("id").alias("first"), F.col("head"))
     owned = rows.join(same.join(found, [*by, "first"], "left"), [*by, "norm"])
     stays = F.when(F.col("head").isNull(), F.col("id") == F.col("first")).otherwise(F.coalesce(F.col("id") == F.col("free"), F.lit(False)))
     near = F.col("head").isNotNull() & (F.col("free").isNull() | (F.col("id") < F.col("free")))
     owner = F.when(near, F.col("head")).when(F.col("head").isNotNull(), F.col("free")).otherwise(F.col("first"))
-    owned = owned.withColumns({"stays": stays, "reason": F.when(~stays, F.when(near, "near_duplicate").otherwise("redundant")), "owner": F.when(~stays, owner)})
+    owned = owned.withColumns({"stays": stays, "reason": F.when(~stays, F.when(near, "near_duplicate").otherwise("redundant")), "owner": F.when(~stays, owner).otherwise(F.col("id"))})  # one that stays meets itself: nulls would all meet in one task
 
     @F.pandas_udf("string")
     def compact(bodies: pd.Series) -> pd.Series:
         return bodies.map(compacted)
 
     names = rows.select(F.col("id").alias("owner"), section_id().alias("duplicate_of"))
-    out = owned.join(names, "owner", "left").withColumn("body", F.when(F.col("stays"), compact(F.col("body"))))
+    out = owned.join(names, "owner").withColumns({"body": F.when(F.col("stays"), compact(F.col("body"))), "duplicate_of": F.when(~F.col("stays"), F.col("duplicate_of"))})
     out = out.withColumns({"original_tokens": F.col("tokens"), "compressed_tokens": F.coalesce(F.ceil(F.octet_length("body") / 4).cast("long"), F.lit(0).cast("long"))})
     out = written(out.select("source_id", "nr", "anchor", "body", "reason", "duplicate_of", "original_tokens", "compressed_tokens"), "compressed")
     sums = out.groupBy("source_id").agg(F.sum("original_tokens").alias("o"), F.sum("compressed_tokens").alias("c"))
