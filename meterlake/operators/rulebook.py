@@ -105,6 +105,20 @@ def document_summary(parts: DataFrame, top: int = 5, bytes_per_token: float = 4.
     return ranked.groupBy("source_id").agg(F.count("*").alias("sections"), F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), per_k.alias("tokens_per_k"), F.array_join(largest, "|").alias("largest"))
 
 
+#: sections of a key from which on it is broadcast: there are at most as many such keys as sections by this
+HOT = 10_000
+
+
+def _joined(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """rows with the columns of their key, both written tables; keys have its number of rows as `sections`.
+
+    A key may have a large share of the rows: they meet broadcast keys where they are, and only the others' are shuffled.
+    """
+    hot = F.broadcast(keys.filter(F.col("sections") > HOT))
+    rest = rows.join(hot.select(on), on, "left_anti").join(keys.filter(F.col("sections") <= HOT), on)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def redundant(parts: DataFrame) -> DataFrame:
     """(hash, sections, id): a row for each section whose body two sections or more have, blank ones aside."""
     named = parts.filter(F.btrim("body", F.lit(" \t\r\n")) != "").select("hash", section_id().alias("id"))
@@ -114,9 +128,9 @@ def redundant(parts: DataFrame) -> DataFrame:
 
 def drifting(parts: DataFrame) -> DataFrame:
     """(anchor, sections, bodies, id, hash): a row for each section under a heading that stands, whatever its case, over different bodies."""
-    named = parts.filter("anchor <> ''").select(F.lower("anchor").alias("anchor"), "hash", section_id().alias("id"))
+    named = written(parts.filter("anchor <> ''").select(F.lower("anchor").alias("anchor"), "hash", section_id().alias("id")), "headings")
     bodies = named.groupBy("anchor", "hash").agg(F.count("*").alias("n")).groupBy("anchor").agg(F.sum("n").alias("sections"), F.count("*").alias("bodies"))
-    return named.join(bodies.filter("sections >= 2 and bodies >= 2"), "anchor").select("anchor", "sections", "bodies", "id", "hash")
+    return _joined(named, written(bodies.filter("sections >= 2 and bodies >= 2"), "drift"), "anchor").select("anchor", "sections", "bodies", "id", "hash")
 
 
 def contrary(parts: DataFrame, patterns: list[tuple[str, list[str], list[str]]] | None = None) -> DataFrame:
@@ -191,6 +205,7 @@ def compressed(docs: DataFrame, similarity: float = 0.85, n: int = 3, least_toke
     """
     schema = "source_id string, nr int, anchor string, body string, reason string, duplicate_of string, original_tokens long, compressed_tokens long, accepted boolean"
     tokens = lambda t: -(-len(t.encode()) // 4)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple]:
@@ -206,7 +221,6 @@ def compressed(docs: DataFrame, similarity: float = 0.85, n: int = 3, least_toke
     cut = docs.select(F.col(id_col).cast("string").alias("source_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return cut.mapInPandas(run, schema)
 
-    bounded_batches(docs.sparkSession)
 
 def gram_set(body: Column, n: int) -> Column:
     """The distinct n-grams of a body's words in lower case, list marks left out."""
@@ -227,6 +241,7 @@ def compressed_corpus(parts: DataFrame, similarity: float = 0.85, n: int = 3, le
     in order of source_id, may have any number of sections. A section that repeats the body of an
     earlier one goes to the first of them that stays.
     """
+    bounded_batches(parts.sparkSession)
     by = [] if across else ["source_id"]
     tokens = F.ceil(F.octet_length("body") / 4).cast("long")
     trimmed = F.regexp_replace("body", r"\A\s+|\s+\z", "")
@@ -241,7 +256,6 @@ def compressed_corpus(parts: DataFrame, similarity: float = 0.85, n: int = 3, le
     firsts = rows.join(same.filter("compared").select(*by, F.col("first").alias("id")), [*by, "id"], "left_semi")
     group = [*by] or ["everything"]
     sets = firsts.select(*by, *([] if by else [F.lit(1).alias("everything")]), "id", F.col("grams").alias("tokens"))
-    bounded_batches(parts.sparkSession)
     found = heads(similar_pairs(sets, similarity, group), group).select(*by, F.col("id").alias("first"), F.col("head"))
     owned = rows.join(same.join(found, [*by, "first"], "left"), [*by, "norm"])
     stays = F.when(F.col("head").isNull(), F.col("id") == F.col("first")).otherwise(F.coalesce(F.col("id") == F.col("free"), F.lit(False)))

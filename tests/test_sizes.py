@@ -65,6 +65,13 @@ def _parts(spark, body):
     return rows.withColumn("hash", F.sha2("body", 256))
 
 
+def test_drift_of_one_heading_is_spread(spark, shuffled):
+    out = rulebook.drifting(_parts(spark, (F.col("id") % 7).cast("string"))).localCheckpoint()
+    assert out.count() == 4000 and out.filter("anchor = '/part' and sections = 3960 and bodies = 7").count() == 3960
+    assert out.filter("anchor <> '/part'").select("anchor", "sections").distinct().count() == 4
+    assert _most_in_a_task(out) < 0.5  # all sections of the heading were in one task
+
+
 def test_sections_that_stay_are_spread(spark, shuffled, monkeypatch):
     """They repeat none, and rows without an owner were all joined in one task."""
     held = {}
