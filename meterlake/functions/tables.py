@@ -33,3 +33,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """df dealt out in tasks of about `rows` rows: a table of few bytes is read by a few tasks, however dear each row is to what follows."""
+    return df.repartition(max(1, -(-df.count() // rows)))

@@ -87,7 +87,12 @@ def assistant_turns(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, glob: str, model: str | None = None, provider: str = "openai") -> DataFrame:
-    """Session logs of another kind: token counts numbered by their place in the file; reasoning counts as output.
+    """`counts_of` log files, a session each."""
+    return counts_of(spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"), model, provider)
+
+
+def counts_of(logs: DataFrame, model: str | None = None, provider: str = "openai") -> DataFrame:
+    """Session logs of another kind (file, value: its whole text), as files or as rows of an archive: token counts numbered by their place in the log; reasoning counts as output.
 
     The session is that of the file's first head line. Lines are numbered in the file, so counts of
     the same time keep their order. model: for lines that name none. attributes: what the log says
@@ -96,7 +101,7 @@ def token_counts(spark: SparkSession, glob: str, model: str | None = None, provi
     limit = "struct<used_percent:double,window_minutes:long,resets_at:string>"
     schema = f"timestamp string, type string, payload struct<id:string,type:string,model:string,info:struct<last_token_usage:struct<input_tokens:long,cached_input_tokens:long,output_tokens:long,reasoning_output_tokens:long>,model_context_window:long>,rate_limits:struct<primary:{limit},secondary:{limit},plan_type:string>>"
     # whole files: a line's place is part of the record
-    files = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    files = logs.select("file", F.posexplode(F.split("value", "\n")).alias("line", "value"))
     raw = files.withColumn("j", F.from_json("value", schema)).select("file", "line", "j.*")
     heads = raw.filter("type = 'session_meta'").groupBy("file").agg(F.min_by("payload.id", "line").alias("session_id"))
     use, limits = F.col("payload.info.last_token_usage"), F.col("payload.rate_limits")
