@@ -78,16 +78,19 @@ def tool_events(rows: DataFrame) -> DataFrame:
 
 def stored_messages(rows: DataFrame) -> DataFrame:
     """Usage events of a message store's rows (id, session_id, data: JSON): the assistant's with tokens."""
-    get = lambda path: F.get_json_object("data", path)
-    number = lambda path: F.coalesce(F.expr(f"try_cast(get_json_object(data, '{path}') as bigint)"), F.lit(0))
-    n = {"input": number("$.tokens.input"), "output": number("$.tokens.output"), "reasoning": number("$.tokens.reasoning"), "read": number("$.tokens.cache.read"), "write": number("$.tokens.cache.write")}
-    out = rows.filter((get("$.role") == "assistant") & (sum(n.values()) > 0))
+    # each text is parsed once; leaves stay strings, as some stores quote their numbers
+    shape = "struct<role:string,time:struct<created:string>,providerID:string,modelID:string,tokens:struct<input:string,output:string,reasoning:string,cache:struct<read:string,write:string>>>"
+    parsed = rows.select("id", "session_id", F.from_json("data", shape).alias("d")).filter("d.role = 'assistant'")
+    number = lambda path: F.coalesce(F.col(f"d.{path}").try_cast("bigint"), F.lit(0))
+    paths = {"input": "tokens.input", "output": "tokens.output", "reasoning": "tokens.reasoning", "read": "tokens.cache.read", "write": "tokens.cache.write"}
+    n = {c: F.col(c) for c in paths}
+    out = parsed.withColumns({c: number(path) for c, path in paths.items()}).filter(sum(n.values()) > 0)
     return out.select(
         F.concat(F.lit("oc-"), F.substring(F.sha2(F.col("id"), 256), 1, 16)).alias("event_id"),
-        F.timestamp_millis(F.expr("try_cast(get_json_object(data, '$.time.created') as bigint)")).alias("ts"),
+        F.timestamp_millis(F.col("d.time.created").try_cast("bigint")).alias("ts"),
         "session_id",
-        F.lower(get("$.providerID")).alias("provider"),
-        get("$.modelID").alias("model"),
+        F.lower("d.providerID").alias("provider"),
+        F.col("d.modelID").alias("model"),
         (n["input"] + n["read"] + n["write"]).alias("input_tokens"),
         n["read"].alias("cached_input_tokens"),
         (n["output"] + n["reasoning"]).alias("output_tokens"),
