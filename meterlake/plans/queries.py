@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pricing
+from ..functions.tables import spread
 from ..operators import messages, redaction, series, spend, text, tool_output
 from ..sources.usage import usage_events, without_sources
 from . import tool_samples
@@ -109,7 +110,7 @@ def _outputs(spark: SparkSession, d: str, commands: list[str]) -> DataFrame:
     bare = lines.groupBy("command").agg(F.transform(F.array_sort(F.collect_list(F.struct("nr", "line"))), lambda x: x["line"]).alias("lines"))
     names = F.array(*map(F.lit, commands))
     w, k = F.lower(F.replace("p_brand", F.lit("#"))).alias("w"), (F.col("p_size") % 5 + 3).alias("k")
-    parts = _read(spark, d, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % len(commands)).cast("int")).alias("command"), w, k)
+    parts = spread(_read(spark, d, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % len(commands)).cast("int")).alias("command"), w, k), 5_000)
     return parts.join(F.broadcast(bare), "command").select("p_partkey", "command", tool_samples_text(F.col("lines"), F.col("w"), F.col("k")).alias("t"))
 
 
