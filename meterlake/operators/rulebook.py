@@ -328,6 +328,7 @@ TERMS = 200_000
 def _found_terms(parts: DataFrame, terms: DataFrame) -> DataFrame:
     """An inverted index (term, source_id, nr, in_anchor, in_body) of the terms that a section has anywhere in its text, in one pass over it."""
     spark, lots = parts.sparkSession, max(1, -(-terms.count() // TERMS))
+    bounded_batches(spark)
     text = parts.select("source_id", "nr", F.lower(F.coalesce("anchor", F.lit(""))).alias("anchor"), F.lower(F.coalesce("body", F.lit(""))).alias("body"))
     out = None
     for lot in range(lots):
@@ -343,12 +344,14 @@ def _found_terms(parts: DataFrame, terms: DataFrame) -> DataFrame:
             if sent.value:
                 automaton.make_automaton()
             within = lambda t: {x for _, x in automaton.iter(t)} if sent.value else set()
-            for batch in batches:
-                rows = []
-                for source, nr, anchor, body in zip(batch["source_id"], batch["nr"], batch["anchor"], batch["body"], strict=True):
-                    a, b = within(anchor), within(body)
-                    rows += [(t, source, nr, t in a, t in b) for t in a | b]
-                yield pd.DataFrame(rows, columns=["term", "source_id", "nr", "in_anchor", "in_body"])
+
+            def rows() -> Iterator[tuple]:
+                for batch in batches:
+                    for source, nr, anchor, body in zip(batch["source_id"], batch["nr"], batch["anchor"], batch["body"], strict=True):
+                        a, b = within(anchor), within(body)
+                        yield from ((t, source, nr, t in a, t in b) for t in a | b)
+
+            yield from _frames(rows(), ["term", "source_id", "nr", "in_anchor", "in_body"])
 
         found = text.mapInPandas(run, "term string, source_id string, nr int, in_anchor boolean, in_body boolean")
         out = found if out is None else out.unionByName(found)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pricing
+from ..functions.tables import written
 from ..operators import bodies, coach, order, quality, quotas, rulebook, series, talk, text, token_count
 from ..sources import ledger, logs
 from ..sources.usage import usage_events, without_sources
@@ -333,7 +334,7 @@ def _task_scores(spark: SparkSession, d: str) -> DataFrame:
     words = F.split(F.lower("text"), " ")
     pair = lambda i: F.array_join(F.slice(words, i, 2), " ")
     tasks = _read(spark, d, "benchmark").filter(F.size(words) >= 8).select(F.col("item_id").alias("task"), F.array(pair(1)).alias("tools"), F.array(pair(3), pair(5), pair(7)).alias("keywords"))
-    parts = _rule_sections(spark, d)
+    parts = written(_rule_sections(spark, d), "sections")  # it is read four times, and then no task has two Python workers
     scores = rulebook.task_relevance(parts, tasks)
     tokens = parts.select("source_id", "nr", F.ceil(F.octet_length("body") / 4).cast("long").alias("tokens"))
     out = scores.filter("score >= 1").join(tokens, ["source_id", "nr"])
