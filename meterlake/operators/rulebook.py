@@ -121,9 +121,9 @@ def _joined(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 
 def redundant(parts: DataFrame) -> DataFrame:
     """(hash, sections, id): a row for each section whose body two sections or more have, blank ones aside."""
-    named = parts.filter(F.btrim("body", F.lit(" \t\r\n")) != "").select("hash", section_id().alias("id"))
-    shared = named.groupBy("hash").agg(F.count("*").alias("sections")).filter("sections >= 2")
-    return named.join(shared, "hash").select("hash", "sections", "id")
+    named = written(parts.filter(F.btrim("body", F.lit(" \t\r\n")) != "").select("hash", section_id().alias("id")), "bodies")
+    shared = written(named.groupBy("hash").agg(F.count("*").alias("sections")).filter("sections >= 2"), "shared")
+    return _joined(named, shared, "hash").select("hash", "sections", "id")
 
 
 def drifting(parts: DataFrame) -> DataFrame:
