@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterlake.functions import tables
-from meterlake.operators import rulebook
+from meterlake.operators import redaction, rulebook
+from meterlake.plans import log_queries, queries
+from meterlake.sources import logs
 
 TEXT = "".join(f"## Part\nline {i} of a rule\n" for i in range(400))
 
@@ -72,6 +74,12 @@ def test_drift_of_one_heading_is_spread(spark, shuffled):
     assert _most_in_a_task(out) < 0.5  # all sections of the heading were in one task
 
 
+def test_one_body_of_many_sections_is_spread(spark, shuffled):
+    out = rulebook.redundant(_parts(spark, F.when(F.col("id") % 200 < 2, (F.col("id") % 400).cast("string")).otherwise("same"))).localCheckpoint()
+    assert out.count() == 4000 and out.filter("sections = 3960").count() == 3960 and out.filter("sections = 10").count() == 40
+    assert _most_in_a_task(out) < 0.5
+
+
 def test_sections_that_stay_are_spread(spark, shuffled, monkeypatch):
     """They repeat none, and rows without an owner were all joined in one task."""
     held = {}
@@ -79,3 +87,35 @@ def test_sections_that_stay_are_spread(spark, shuffled, monkeypatch):
     parts = spark.range(0, 400, 1, 4).select((F.col("id") % 50).cast("string").alias("source_id"), F.col("id").cast("int").alias("nr"), F.lit("").alias("anchor"), F.col("id").cast("string").alias("body"))
     assert rulebook.compressed_corpus(parts).filter("reason is null and duplicate_of is null").count() == 400
     assert _most_in_a_task(held["compressed"]) < 0.6
+
+
+def test_events_are_redacted_by_one_function(spark):
+    none = F.lit(None)
+    lists = {"conflicts_with": F.array(F.lit("x"), none, F.lit("b.c@example.org")), "attributes": F.create_map(F.lit("note"), F.lit("c.d@example.org"), F.lit("none"), none), "redundant_with": none.cast("array<string>")}
+    out = redaction.redacted_events(spark.range(2).select("id", F.when(F.col("id") == 0, "mail a.b@example.org").alias("summary")).withColumns(lists))
+    a, b = out.orderBy("id").collect()
+    assert (a.summary, b.summary) == ("mail <redacted:email>", None)
+    assert a.conflicts_with == ["x", None, "<redacted:email>"] and a.attributes == {"note": "<redacted:email>", "none": None} and a.redundant_with is None
+    # a worker for each function in every task: there were four
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_each_stored_text_is_parsed_once(spark):
+    data = [("1", "s", '{"role":"assistant","time":{"created":1700000000123},"providerID":"X","modelID":"m","tokens":{"input":"7","output":2,"cache":{"read":1}}}'), ("2", "s", "no json"), ("3", "s", '{"role":"assistant","tokens":5}'), ("4", "s", None)]
+    out = logs.stored_messages(spark.createDataFrame(data, "id string, session_id string, data string"))
+    (r,) = out.collect()
+    assert (r.provider, r.model, r.input_tokens, r.cached_input_tokens, r.output_tokens) == ("x", "m", 8, 1, 2)
+    assert "get_json_object" not in out._jdf.queryExecution().optimizedPlan().toString()  # it was there 15 times
+
+
+def test_sessions_are_no_files(spark, monkeypatch):
+    """A folder and a file for each session took most of the time."""
+    monkeypatch.setattr(log_queries, "_text_files", lambda *_: pytest.fail("a file for each session"))
+    assert log_queries.QUERIES["count_logs"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize("name", ["tool_output_sniffed", "tool_output_reduce"])
+def test_outputs_are_spread(spark, monkeypatch, name):
+    """The table of parts is small, so that a task or two had all rows."""
+    monkeypatch.setattr(queries, "spread", lambda df, rows: tables.spread(df, 50), raising=False)
+    assert _most_in_a_task(queries.QUERIES[name](spark, "/root/testdata/sf0.001").localCheckpoint()) < 0.6
