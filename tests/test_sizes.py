@@ -1,11 +1,12 @@
 """What a query holds in one Python worker or one task doesn't grow with its input."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from meterlake.functions import tables
 from meterlake.operators import redaction, rulebook
-from meterlake.plans import log_queries, queries
+from meterlake.plans import log_queries, more_queries, queries
 from meterlake.sources import logs
 
 TEXT = "".join(f"## Part\nline {i} of a rule\n" for i in range(400))
@@ -44,6 +45,29 @@ def test_sections_are_handed_on_in_small_frames():
     assert list(rulebook._frames(iter([]), ["a"])) == []
 
 
+@pytest.fixture
+def python(spark, monkeypatch):
+    """The functions that are given to mapInPandas."""
+    held, kind = [], type(spark.range(0))
+    monkeypatch.setattr(kind, "mapInPandas", lambda self, f, schema, on=kind.mapInPandas: held.append(f) or on(self, f, schema))
+    return held
+
+
+def test_found_terms_are_handed_on_in_small_frames(spark, python):
+    n = 30_000
+    parts = pd.DataFrame({"source_id": "s", "nr": range(n), "anchor": "/part", "body": "one two"})
+    rulebook._found_terms(spark.createDataFrame(parts[:1]), spark.createDataFrame([("one",), ("two",), ("part",)], "term string"))
+    frames = [*python[0](iter([parts]))]
+    assert len(frames) > 5 and max(map(len, frames)) < 15_000  # what was found in a batch was one frame
+    out = pd.concat(frames)
+    assert len(out) == 3 * n and len(out.drop_duplicates(["term", "nr"])) == 3 * n and out.in_anchor.sum() == n
+
+
+def test_no_task_of_routes_has_two_python_workers(spark):
+    plan = more_queries.QUERIES["rule_routes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1  # sections were cut anew before the terms were looked for, and for each join
+
+
 def _most_in_a_task(df) -> float:
     sizes = [r["count"] for r in df.withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()]
     return max(sizes) / sum(sizes)
