@@ -53,6 +53,15 @@ def python(spark, monkeypatch):
     return held
 
 
+def test_sections_of_one_batch_are_several_frames(spark, python):
+    docs = pd.DataFrame({"source_id": [str(i) for i in range(100)], "text": TEXT})
+    rulebook.sections(spark.createDataFrame(docs[:1]))
+    frames = [*python[0](iter([docs]))]
+    assert len(frames) > 3 and max(map(len, frames)) < 12_000  # the sections of a batch were one frame
+    out = pd.concat(frames)
+    assert len(out) == 100 * 401 and "".join(out[out.source_id == "7"].body) == TEXT.replace("## Part\n", "")
+
+
 def test_found_terms_are_handed_on_in_small_frames(spark, python):
     n = 30_000
     parts = pd.DataFrame({"source_id": "s", "nr": range(n), "anchor": "/part", "body": "one two"})
