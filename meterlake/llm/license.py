@@ -17,7 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import id_and_text
@@ -300,15 +300,13 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col
     Equal reductions: the template listed first.
     """
     schema = "doc_id long, start int, end int, block string, license string, reduction double, covered double, differences array<string>"
+    fields = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("block", pa.string()), ("license", pa.string()), ("reduction", pa.float64()), ("covered", pa.float64()), ("differences", pa.list_(pa.string()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = LicenseScanner(templates)
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
-                for a, b, *rest in scanner.rows(text):
-                    rows.append((doc, a, b, text[a:b], *rest))
-            columns = list(zip(*rows, strict=True)) or [()] * 8
-            yield pd.DataFrame({"doc_id": pd.array(columns[0], "Int64"), **{n: list(c) for n, c in zip(("start", "end", "block", "license", "reduction", "covered", "differences"), columns[1:], strict=True)}})
-
-    return id_and_text(docs, id_col, text_col).mapInPandas(run, schema)
+            rows = [(doc, a, b, text[a:b], *rest) for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True) for a, b, *rest in scanner.rows(text)]
+            if rows:  # many batches have none
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)

@@ -131,3 +131,22 @@ def test_empty_table_repeats_and_long_texts(spark):
     rows = spark.createDataFrame([(None, "All rights reserved."), (5, "All rights reserved."), (5, "All rights reserved."), (6, long)], "doc_id long, text string")
     found = sorted((r.doc_id or 0, r.license) for r in scan(rows).collect())
     assert found == [(0, "Proprietary"), (5, "Proprietary"), (5, "Proprietary"), (6, "MIT")]
+
+
+def test_a_batch_without_any_block(spark):
+    """It was an error: an empty column of lists has no type in pandas."""
+    assert scan(docs(spark, ["no such words", "", None, "nor here"]).coalesce(1)).collect() == []
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        found = scan(docs(spark, ["nothing"] * 5 + ["Licensed under the MIT License."] + ["nothing"] * 5).coalesce(1)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [(r.doc_id, r.license, r.differences) for r in found] == [(5, "MIT", [])]
+
+
+def test_large_ids_beside_null_ones(spark):
+    """They went through floating point: 2**53 + 1 came back as 2**53, and 2**63 - 1 was an error."""
+    ids = [None, 2**53 + 1, 2**63 - 1, -(2**63)]
+    rows = spark.createDataFrame([(i, "All rights reserved.") for i in ids], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in scan(rows).collect()} == set(ids)
