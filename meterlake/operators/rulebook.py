@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import let
 from ..functions.tables import BATCH_BYTES, bounded_batches, written
-from .similar import heads, similar_pairs
+from .similar import SLACK, heads, similar_pairs
 
 # Pairs of word lists that contradict each other, by name.
 CONTRARY = [
@@ -154,7 +157,7 @@ def contrary(parts: DataFrame, patterns: list[tuple[str, list[str], list[str]]]
     return both.unionByName(across)
 
 
-_SPACES, _BLANKS, _BULLETS = re.compile(r"[ \t]+"), re.compile(r"\n{3,}"), re.compile(r"(?m)^\s*[-*+]\s+")
+_SPACES, _BLANKS, _BULLETS = re.compile(r"[ \t]+"), re.compile(r"\n{3,}"), re.compile(r"(?m)^\s*[-*+]\s+", re.ASCII)
 _WORD_PARTS = re.compile(r"[ \t\n\r,.;:!?()\"']+")
 
 
@@ -173,35 +176,50 @@ def compacted(body: str) -> str:
 
 
 def _shingles(body: str, n: int) -> frozenset[str]:
-    words = [w for w in _WORD_PARTS.split(_BULLETS.sub("", body)) if w]
-    return frozenset(" ".join(words[i : i + n]).lower() for i in range(len(words) - n + 1))
+    words = [w.lower() for w in _WORD_PARTS.split(_BULLETS.sub("", body)) if w]
+    return frozenset(" ".join(words[i : i + n]) for i in range(len(words) - n + 1))
+
+
+def _shared_first(sets: list[frozenset[str]], similarity: float) -> list[list[str]]:
+    """Of each set its rarest shingles, of which every similar set has one among its own, those that no other set has left out."""
+    counts = Counter(chain.from_iterable(sets))
+    if len(counts) == sum(map(len, sets)):
+        return [[]] * len(sets)
+    return [[x for x in sorted(s, key=lambda x: (counts[x], x))[: len(s) - math.ceil(len(s) * similarity - SLACK) + 1] if counts[x] > 1] if any(counts[x] > 1 for x in s) else [] for s in sets]
 
 
 def compressed_rows(parts: list[tuple[str, str]], similarity: float, n: int, least_tokens: int) -> list[tuple]:
     """(id, body or None, reason or None, id it repeats or None) of a document's (id, body) sections in order."""
-    kept, seen, out = [], {}, []
-    for sid, body in parts:
+    sets = [_shingles(body, n) if similarity > 0 and -(-len(body.encode()) // 4) >= least_tokens else frozenset() for _, body in parts]
+    kept, seen, out = {}, {}, []
+    for nr, ((sid, body), own, first) in enumerate(zip(parts, sets, _shared_first(sets, similarity), strict=True)):
         key = hashlib.sha256(_BLANKS.sub("\n\n", _SPACES.sub(" ", body.strip())).encode()).digest()
         if key in seen:
             out.append((sid, None, "redundant", seen[key]))
             continue
-        own = _shingles(body, n) if similarity > 0 and -(-len(body.encode()) // 4) >= least_tokens else frozenset()
-        near = next((k for k, other in kept if own and len(own & other) >= similarity * len(own | other)), None)
+        met = sorted({k for x in first for k in kept.get(x, ())})
+        near = next((k for k in met if len(own & sets[k]) >= similarity * len(own | sets[k]) - SLACK), None)
         if near is not None:
-            out.append((sid, None, "near_duplicate", near))
+            out.append((sid, None, "near_duplicate", parts[near][0]))
             continue
         seen[key] = sid
-        if own:
-            kept.append((sid, own))
+        for x in first:
+            kept.setdefault(x, []).append(nr)
         out.append((sid, compacted(body), None, None))
     return out
 
 
+#: bytes of a document from which on it isn't one unit of work
+LARGE = 1 << 20
+
+
 def compressed(docs: DataFrame, similarity: float = 0.85, n: int = 3, least_tokens: int = 24, floor: float = 0.6, id_col: str = "source_id", text_col: str = "text") -> DataFrame:
     """(source_id, nr, anchor, body, reason, duplicate_of, original_tokens, compressed_tokens, accepted): each section kept in compact form or dropped.
 
     The earlier section of a document is the one that stays. accepted: of the document, whether
-    what is left is at least `floor` of its tokens. One document is one unit of work.
+    what is left is at least `floor` of its tokens. A document of up to LARGE bytes is one unit of
+    work where it is read, so nothing of it is shuffled or written; larger ones go through
+    `compressed_corpus`. Rows with a null id take no part.
     """
     schema = "source_id string, nr int, anchor string, body string, reason string, duplicate_of string, original_tokens long, compressed_tokens long, accepted boolean"
     tokens = lambda t: -(-len(t.encode()) // 4)
@@ -218,13 +236,19 @@ def compressed(docs: DataFrame, similarity: float = 0.85, n: int = 3, least_toke
 
         yield from _frames(rows(), [c.strip().split(" ")[0] for c in schema.split(",")])
 
-    cut = docs.select(F.col(id_col).cast("string").alias("source_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return cut.mapInPandas(run, schema)
+    cut = docs.select(F.col(id_col).cast("string").alias("source_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("source_id is not null")
+    large = cut.filter(F.octet_length("text") > LARGE)
+    out = cut.filter(F.octet_length("text") <= LARGE).mapInPandas(run, schema)
+    return out if large.isEmpty() else out.unionByName(compressed_corpus(sections(large), similarity, n, least_tokens, floor))
+
+
+#: what Python's strip takes off
+_BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def gram_set(body: Column, n: int) -> Column:
     """The distinct n-grams of a body's words in lower case, list marks left out."""
-    plain = F.regexp_replace(body, r"(?m)^\s*[-*+]\s+", "")
+    plain = F.regexp_replace(body, r"(?md)^\s*[-*+]\s+", "")
     words = F.filter(F.split(plain, "[ \t\n\r,.;:!?()\"']+"), lambda w: w != "")
 
     def grams(w: Column) -> Column:
@@ -244,7 +268,7 @@ def compressed_corpus(parts: DataFrame, similarity: float = 0.85, n: int = 3, le
     bounded_batches(parts.sparkSession)
     by = [] if across else ["source_id"]
     tokens = F.ceil(F.octet_length("body") / 4).cast("long")
-    trimmed = F.regexp_replace("body", r"\A\s+|\s+\z", "")
+    trimmed = F.regexp_replace("body", rf"\A[{_BLANK}]+|[{_BLANK}]+\z", "")
     norm = F.sha2(F.regexp_replace(F.regexp_replace(trimmed, "[ \t]+", " "), "\n{3,}", "\n\n").cast("binary"), 256)
     grams = F.when((F.lit(similarity) > 0) & (tokens >= least_tokens), gram_set(F.col("body"), n)).otherwise(F.array().cast("array<string>"))
     rows = parts.filter("source_id is not null").select("source_id", "nr", "anchor", "body", tokens.alias("tokens"), norm.alias("norm"), grams.alias("grams"), F.struct("source_id", "nr").alias("id"))

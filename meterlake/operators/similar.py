@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import written
 
-_SLACK = 1e-9
+SLACK = 1e-9
 
 
 def least_overlap(n: Column, m: Column, threshold: float) -> Column:
     """How many tokens sets of n and m must share at least."""
-    return F.ceil((n + m) * (threshold / (1 + threshold)) - _SLACK)
+    return F.ceil((n + m) * (threshold / (1 + threshold)) - SLACK)
 
 
 def prefixes(sets: DataFrame, by: list[str], threshold: float) -> DataFrame:
@@ -24,7 +24,7 @@ def prefixes(sets: DataFrame, by: list[str], threshold: float) -> DataFrame:
     tokens = sets.select(*by, "id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     counts = tokens.groupBy(*by, "token").agg(F.count("*").alias("c"))
     ranked = tokens.join(counts, [*by, "token"]).groupBy(*by, "id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("ranked"))
-    length = (F.col("n") - F.ceil(F.col("n") * threshold - _SLACK) + 1).cast("int")
+    length = (F.col("n") - F.ceil(F.col("n") * threshold - SLACK) + 1).cast("int")
     first = ranked.select(*by, "id", "n", F.posexplode(F.slice("ranked", F.lit(1), length)).alias("at", "t")).filter("t.c > 1")
     return first.select(*by, "id", "n", F.col("t.token").alias("token"), "at")
 
@@ -40,13 +40,13 @@ def similar_pairs(sets: DataFrame, threshold: float, by: list[str]) -> DataFrame
     a, b = first.alias("a"), first.alias("b")
     same = " and ".join([*[f"a.{k} = b.{k}" for k in by], "a.token = b.token", "a.id < b.id"])
     n, m = F.col("a.n"), F.col("b.n")
-    sizes = F.least(n, m) >= F.greatest(n, m) * threshold - _SLACK
+    sizes = F.least(n, m) >= F.greatest(n, m) * threshold - SLACK
     places = 1 + F.least(n - F.col("a.at") - 1, m - F.col("b.at") - 1) >= least_overlap(n, m, threshold)
     met = a.join(b, F.expr(same)).filter(sizes & places).select(*[f"a.{k}" for k in by], F.col("a.id").alias("early"), F.col("b.id").alias("late")).distinct()
     side = lambda name, tokens: sets.select(*by, F.col("id").alias(name), F.col("tokens").alias(tokens))
     both = met.join(side("early", "x"), [*by, "early"]).join(side("late", "y"), [*by, "late"])
     shared = F.size(F.array_intersect("x", "y"))
-    return written(both.filter(shared >= F.lit(threshold) * (F.size("x") + F.size("y") - shared) - _SLACK).select(*by, "early", "late"), "similar")
+    return written(both.filter(shared >= F.lit(threshold) * (F.size("x") + F.size("y") - shared) - SLACK).select(*by, "early", "late"), "similar")
 
 
 def heads(pairs: DataFrame, by: list[str]) -> DataFrame:

@@ -312,10 +312,14 @@ SELECT conv_id, md5(body) AS digest, CASE WHEN changed THEN before ELSE 0 END AS
 # ---- rules
 
 
-def _rule_sections(spark: SparkSession, d: str) -> DataFrame:
+def _rule_documents(spark: SparkSession, d: str) -> DataFrame:
     """documents with a heading before each sentence but the first; anchors repeat, so they drift."""
     t = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), F.lit(". "), F.lit(".\n## Part\n"))
-    return rulebook.sections(_read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), t.alias("text")))
+    return _read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), t.alias("text"))
+
+
+def _rule_sections(spark: SparkSession, d: str) -> DataFrame:
+    return rulebook.sections(_rule_documents(spark, d))
 
 
 _SECTIONS = """s AS (SELECT doc_id::VARCHAR AS source_id, string_split(replace(replace(coalesce(text, ''), chr(10), ' '), '. ', '.' || chr(10) || '## Part' || chr(10)), chr(10) || '## Part' || chr(10)) AS p FROM documents),
@@ -325,7 +329,7 @@ parts AS (SELECT source_id, nr, CASE WHEN nr = 0 THEN '' ELSE '/Part' END AS anc
 
 def _compressed(spark: SparkSession, d: str) -> DataFrame:
     """No SQL: which section stays depends on those before it. Held against plain loops in tests/test_similar.py."""
-    out = rulebook.compressed_corpus(_rule_sections(spark, d))
+    out = rulebook.compressed(_rule_documents(spark, d))
     return out.select("source_id", "nr", "reason", "duplicate_of", "original_tokens", "compressed_tokens", "accepted", F.md5(F.col("body").cast("binary")).alias("digest"))
 
 

@@ -157,3 +157,87 @@ def test_terms_in_several_lots(spark, monkeypatch):
     assert sorted(map(tuple, rulebook.task_relevance(parts, tasks).collect())) == want
     assert (3, "s", 3, 1.5) in want and (1, "s", 11, 1.5) in want and len(want) == 12 + 2
     assert rulebook.task_relevance(parts, tasks.limit(0)).collect() == [] and rulebook.task_relevance(parts.limit(0), tasks).collect() == []
+
+
+def plain_compressed(parts, similarity, n, least_tokens):
+    """Each section against all that stay before it."""
+    import re
+
+    kept, seen, out = [], {}, []
+    for sid, body in parts:
+        key = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", body.strip()))
+        words = [w for w in re.split(r"[ \t\n\r,.;:!?()\"']+", re.sub(r"(?m)^[ \t\n\r\f\v]*[-*+][ \t\n\r\f\v]+", "", body)) if w]
+        own = {" ".join(words[i : i + n]).lower() for i in range(len(words) - n + 1)} if similarity and len(body.encode()) > 4 * (least_tokens - 1) else set()
+        near = next((k for k, x in kept if own and len(own & x) >= similarity * len(own | x) - 1e-9), None)
+        if key in seen:
+            out.append((sid, None, "redundant", seen[key]))
+        elif near is not None:
+            out.append((sid, None, "near_duplicate", near))
+        else:
+            seen[key] = sid
+            kept += [(sid, own)] if own else []
+            out.append((sid, rulebook.compacted(body), None, None))
+    return out
+
+
+def rule_texts():
+    """Documents with many headings over near copies, with blanks and line ends that Java and Python take differently."""
+    rng, out = random.Random(4), []
+    for _ in range(12):
+        words, parts = BODY.split(), []
+        for _ in range(rng.choice([0, 1, 12, 40])):
+            own = list(words)
+            for _ in range(rng.choice([0, 0, 1, 2, 3, 9])):
+                own[rng.randrange(len(own))] = f"W{rng.randint(0, 9)}"
+            body = rng.choice([" ".join(own), "\xa0" + "  ".join(own) + "\u3000\n\n\n\n", "short", "", "- a\x85- " + " ".join(own) + "\u2028* x\n-\xa0y\n", "\x1c" + " ".join(own).upper()])
+            parts.append(f"{'#' * rng.randint(1, 3)} P{rng.randint(0, 3)}\n{body}\n")
+        out.append("".join(parts))
+    return out
+
+
+@pytest.mark.parametrize("similarity", [0.0, 0.3, 0.85, 1.0])
+def test_sections_of_a_document_against_a_plain_loop(similarity):
+    seen = set()
+    for text in rule_texts():
+        parts = [(str(i), b) for i, (_, _, b) in enumerate(rulebook.sections_of(text))]
+        got = rulebook.compressed_rows(parts, similarity, 3, 24)
+        assert got == plain_compressed(parts, similarity, 3, 24)
+        seen |= {r[2] for r in got}
+    assert seen == {None, "redundant"} | ({"near_duplicate"} if 0 < similarity < 1 else set())
+
+
+def test_large_documents_come_out_as_others_do(spark, monkeypatch):
+    texts = [*enumerate(rule_texts()), (97, None), (None, "# A\nx\n"), (98, "")]
+    df = spark.createDataFrame(texts, "source_id long, text string")
+    found = []
+    for most in (1 << 30, 2_000, -1):
+        monkeypatch.setattr(rulebook, "LARGE", most, raising=False)
+        out = rulebook.compressed(df)
+        found.append(sorted(map(tuple, out.select("source_id", "nr", "anchor", "body", "reason", "duplicate_of", "original_tokens", "compressed_tokens", "accepted").collect()), key=lambda r: r[:2]))
+    assert found[0] == found[1] == found[2] and len({r[0] for r in found[0]}) == len(texts) - 1
+    assert {r[4] for r in found[0]} == {None, "redundant", "near_duplicate"}
+
+
+def test_nothing_of_a_document_is_shuffled_or_written_on_the_way(spark, monkeypatch):
+    """All sections and all their shingles were, several times: some 30 times the input of disk."""
+    from meterlake.plans.more_queries import QUERIES
+
+    for module in (rulebook, similar):
+        monkeypatch.setattr(module, "written", lambda *_: pytest.fail("a table on the way"))
+    out = QUERIES["rule_compress"](spark, DATA)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInPandas") == 1
+
+
+def test_near_copies_of_one_document_are_not_all_compared(monkeypatch):
+    """Sections with a common part and much of their own: each was compared with all before it."""
+    met = []
+
+    class Counted(frozenset):
+        def __and__(self, other):
+            met.append(1)
+            return frozenset.__and__(self, other)
+
+    monkeypatch.setattr(rulebook, "_shingles", lambda body, n, of=rulebook._shingles: Counted(of(body, n)))
+    parts = [(str(i), "the common part of all " + " ".join(f"own{i}x{k}" for k in range(30))) for i in range(200)]
+    assert all(r[2] is None for r in rulebook.compressed_rows(parts, 0.85, 3, 24)) and len(met) < 200
